@@ -171,6 +171,34 @@ BINDINGS: dict[str, str] = {
                max(o_orderdate) AS created_at
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey
         GROUP BY 1, 2, 3""",
+    "rawtext": """
+        SELECT c_custkey AS id,
+               CASE c_custkey % 5 WHEN 0 THEN ' p-' || CAST(c_custkey AS STRING) || '.x ' WHEN 1 THEN lower(c_name)
+                    WHEN 2 THEN NULL WHEN 3 THEN '#!' ELSE 'P' || CAST(c_custkey AS STRING) END AS parcel_raw,
+               CASE c_custkey % 6 WHEN 0 THEN '*' WHEN 1 THEN ' nan' WHEN 2 THEN 'None ' WHEN 3 THEN ' good '
+                    WHEN 4 THEN NULL ELSE lower(c_mktsegment) END AS cat_raw,
+               CASE c_custkey % 7 WHEN 0 THEN '(110' || CAST(c_custkey AS STRING) || ') uga-' || lower(c_mktsegment) || ' EAST'
+                    WHEN 1 THEN ' 20asky - conway' WHEN 2 THEN '( ) x' WHEN 3 THEN '' WHEN 4 THEN NULL
+                    WHEN 5 THEN 'see (20MV8) hill' ELSE '20mv' || CAST(c_custkey AS STRING) END AS code_raw,
+               CASE c_custkey % 7 WHEN 0 THEN '1650' WHEN 1 THEN 'x' WHEN 2 THEN '2051' ELSE CAST(1900 + c_custkey % 150 AS STRING) END AS year_raw,
+               CASE c_custkey % 7 WHEN 0 THEN '0' WHEN 1 THEN '-3' WHEN 2 THEN '60000.5' ELSE CAST(c_custkey AS STRING) || '.25' END AS area_raw,
+               CASE c_custkey % 10 WHEN 0 THEN '2FB,HB' WHEN 1 THEN '33FB' WHEN 2 THEN '3QB' WHEN 3 THEN 'QTR' WHEN 4 THEN 'FB;HB MB'
+                    WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN '2HB, fb' WHEN 8 THEN '12fb 33QB' ELSE '3FB,3QB,zz' END AS plumbing_raw,
+               CASE c_custkey % 10 WHEN 0 THEN '3' WHEN 1 THEN '¾' WHEN 2 THEN '3qb' WHEN 3 THEN '1 / 2' WHEN 4 THEN 'NA' WHEN 5 THEN '2.5 baths'
+                    WHEN 6 THEN NULL WHEN 7 THEN '4/0' WHEN 8 THEN '2q' ELSE 'about ' || CAST(c_custkey AS STRING) END AS count_raw,
+               CASE c_custkey % 8 WHEN 0 THEN '$4,900.00' WHEN 1 THEN '$.00' WHEN 2 THEN '(1,200)' WHEN 3 THEN 'x' WHEN 4 THEN NULL
+                    WHEN 5 THEN '' WHEN 6 THEN '$ 12.50' ELSE '$' || CAST(c_custkey AS STRING) || ',000.75' END AS money_raw,
+               CASE c_custkey % 6 WHEN 0 THEN 'Fish $12.50 today' WHEN 1 THEN 'market' WHEN 2 THEN '1,25 each' WHEN 3 THEN NULL
+                    WHEN 4 THEN '$ 7' ELSE 'No. ' || CAST(c_custkey AS STRING) END AS price_raw,
+               CASE c_custkey % 6 WHEN 0 THEN '12.5%' WHEN 1 THEN ' 7 %' WHEN 2 THEN 'n/a' WHEN 3 THEN NULL WHEN 4 THEN ''
+                    ELSE CAST(c_custkey AS STRING) || '%' END AS percent_raw,
+               CASE c_custkey % 8 WHEN 0 THEN 'nan' WHEN 1 THEN ' NaN nan, nan ' WHEN 2 THEN NULL WHEN 3 THEN ' ' WHEN 4 THEN '-'
+                    WHEN 5 THEN 'nan ,nan' ELSE ' ' || c_name || ' ' END AS address_raw,
+               CASE c_custkey % 9 WHEN 0 THEN 'MA' WHEN 1 THEN 'LOFT' WHEN 2 THEN 'LOFTX' WHEN 3 THEN 'MPS' WHEN 4 THEN 'CWP'
+                    WHEN 5 THEN 'BMU' WHEN 6 THEN 'ARK' WHEN 7 THEN NULL ELSE substr(c_mktsegment, 1, 2) END AS type_raw,
+               CASE c_custkey % 6 WHEN 0 THEN 'McDonalds ' || c_name WHEN 1 THEN 'Taco  Time' WHEN 2 THEN 'Denny''s' WHEN 3 THEN NULL
+                    WHEN 4 THEN 'The Sonic' ELSE c_name END AS place_name
+        FROM {customer}""",
     "visits": """
         SELECT event_id, user_id AS place_id, ts, value, event_type,
                CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'skip' ELSE 'success' END AS outcome

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     for module in _MODULES:
+        if importlib.util.find_spec(f"parcelmill.plans.{module}") is None:
+            continue
         importlib.import_module(f"parcelmill.plans.{module}")
 
 

@@ -51,7 +51,7 @@ def main() -> int:
     con = duckdb.connect()
     for t in SOURCE_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    spark = get_session("check", master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = get_session("check", master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
                         spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
