@@ -50,7 +50,7 @@ def dedupe_land(df: DataFrame) -> DataFrame:
 
 
 def dedupe_improvements_by_id(df: DataFrame) -> DataFrame:
-    order = [c("eff_year_built").desc_nulls_last(), c("year_built").desc_nulls_last(), c("detail_id")]
+    order = [c("eff_year_built").desc_nulls_last(), c("year_built").desc_nulls_last(), c("detail_id"), c("value").desc_nulls_last()]
     return first_by(df, ["parcel_id", "improvement_id"], order)
 
 
@@ -73,7 +73,7 @@ def review_cadence(reviews: DataFrame, key: str = "place_id", when: str = "creat
     Gaps between neighbors add up to the span, so no pairwise step is needed.
     """
     newest = first_by(reviews.select(key, when, "review_id"), [key], [c(when).desc(), c("review_id").desc()], last)
-    span = (F.unix_micros(F.max(when)) - F.unix_micros(F.min(when))) / 86400e6
+    span = (F.unix_micros(F.max(when).cast("timestamp")) - F.unix_micros(F.min(when).cast("timestamp"))) / 86400e6
     out = newest.groupBy(key).agg(F.count(F.lit(1)).alias("recent"), span.alias("__span"))
     gap = F.when(c("recent") >= 2, F.greatest(c("__span") / (c("recent") - 1), F.lit(1.0)))
     return out.select(key, "recent", gap.alias("avg_gap_days"))

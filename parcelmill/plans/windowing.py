@@ -35,7 +35,7 @@ def _(t):
 LAND_SQL = """land1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parcel_id, land_segment_id, value_year, land_type
     ORDER BY market_value DESC NULLS LAST, size_sqft, size_acres NULLS FIRST) AS rn FROM land) WHERE rn = 1)"""
 IMPR_SQL = """impr1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parcel_id, improvement_id
-    ORDER BY eff_year_built DESC NULLS LAST, year_built DESC NULLS LAST, detail_id) AS rn FROM improvements) WHERE rn = 1)"""
+    ORDER BY eff_year_built DESC NULLS LAST, year_built DESC NULLS LAST, detail_id, value DESC) AS rn FROM improvements) WHERE rn = 1)"""
 SALE_SQL = """sale1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parcel_id, sale_price, sale_date, recording_number
     ORDER BY sale_id DESC NULLS LAST) AS rn FROM sales) WHERE rn = 1)"""
 
