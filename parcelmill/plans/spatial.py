@@ -302,11 +302,11 @@ def _(t):
 
 @query(
     "g19_zonal_means",
-    """SELECT z.zone_id AS parcel_id, count(t.z) AS cells, round(avg(t.z / 0.3048), 6) AS val FROM zones z LEFT JOIN terrain t ON (t.ix + 0.5) * 0.2 >= z.x0 AND (t.ix + 0.5) * 0.2 < z.x0 + z.side
-       AND (t.iy + 0.5) * 0.2 >= z.y0 AND (t.iy + 0.5) * 0.2 < z.y0 + z.side GROUP BY z.zone_id""",
+    """SELECT z.zone_id AS parcel_id, count(t.z) AS cells, round(avg(t.z / 0.3048), 6) AS val FROM zones z LEFT JOIN terrain t ON 0.00013 + (t.ix + 0.5) * 0.2 >= z.x0 AND 0.00013 + (t.ix + 0.5) * 0.2 < z.x0 + z.side
+       AND 0.00013 + (t.iy + 0.5) * 0.2 >= z.y0 AND 0.00013 + (t.iy + 0.5) * 0.2 < z.y0 + z.side GROUP BY z.zone_id""",
 )
 def _(t):
-    out = ra.zonal_mean(zones(t).withColumnRenamed("zone_id", "parcel_id"), t.terrain.withColumn("z", c("z") / 0.3048), DEM_CELL)
+    out = ra.zonal_mean(zones(t).withColumnRenamed("zone_id", "parcel_id"), t.terrain.withColumn("z", c("z") / 0.3048), DEM_CELL, x0=0.00013, y0=0.00013)
     return out.select("parcel_id", F.coalesce("cells", F.lit(0)).alias("cells"), *r6("val"))
 
 
