@@ -37,8 +37,8 @@ def band_calibration(df: DataFrame, group: Sequence[str], bands: int = 10, value
         F.sum("k").alias("__n"), F.count(F.lit(1)).alias("__d")
     )
     cut = qcut(df, value, [i / bands for i in range(bands + 1)], group, "band")
-    by_band = group_quantiles(cut, [*group, "band"], "ratio", {"__bm": 0.5})
-    target = group_quantiles(df, group, "ratio", {"__tm": 0.5})
+    by_band = cut_lineage(group_quantiles(cut, [*group, "band"], "ratio", {"__bm": 0.5}))
+    target = cut_lineage(group_quantiles(df, group, "ratio", {"__tm": 0.5}))
     rows = attach(attach(attach(cut, by_band, [*group, "band"]), target, group), sizes, group)
     enough = (c("__n") >= 100) & (c("__d") >= 5)
     factor = F.when(enough, c("__tm") / c("__bm")).otherwise(F.lit(1.0))
@@ -51,7 +51,7 @@ def prb_flatten(df: DataFrame, group: Sequence[str], value: str = "v_proxy", rat
     """Remove the trend of ln(ratio) on relative value, where 60 rows or more support it."""
     group = list(group)
     df = cut_lineage(df)
-    marks = metric_quantiles(df, group, {"__lo": (value, 0.1), "__hi": (value, 0.9), "__m": (value, 0.5)})
+    marks = cut_lineage(metric_quantiles(df, group, {"__lo": (value, 0.1), "__hi": (value, 0.9), "__m": (value, 0.5)}))
     rows = attach(df, marks, group)
     dev = c(value) / c("__m") - 1.0
     used = (c(ratio) > 0) & c(value).between(c("__lo"), c("__hi"))

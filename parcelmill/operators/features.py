@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelmill.functions import fixed_values as fv
 from parcelmill.operators.quantiles import attach, group_quantiles, metric_quantiles
+from parcelmill.session import cut_lineage
 
 c = F.col
 
@@ -164,7 +165,7 @@ def trim(df: DataFrame, group: Sequence[str], bounds: Mapping[str, tuple[float,
     for x, (lo, hi) in bounds.items():
         wanted[f"__lo_{x}"] = (x, lo)
         wanted[f"__hi_{x}"] = (x, hi)
-    marked = attach(df, metric_quantiles(df, group, wanted), group, "inner")
+    marked = attach(df, cut_lineage(metric_quantiles(df, group, wanted)), group, "inner")
     inside = [c(x).between(c(f"__lo_{x}"), c(f"__hi_{x}")) for x in bounds]
     return marked.where(reduce(lambda a, b: a & b, inside)).drop(*wanted)
 
@@ -174,7 +175,7 @@ def tier_trim(df: DataFrame, group: Sequence[str], tier: str = "value_tier") ->
     group = [*group, tier]
     probs = sorted({p for rule in fv.TIER_TRIMS.values() for pair in rule.values() for p in pair})
     wanted = {f"__{x}{i}": (col, p) for x, col in (("p", "sale_price"), ("a", "living_area")) for i, p in enumerate(probs)}
-    marked = attach(df, metric_quantiles(df, group, wanted), group, "inner")
+    marked = attach(df, cut_lineage(metric_quantiles(df, group, wanted)), group, "inner")
 
     def bound(x: str, rule: str, side: int) -> Column:
         out = None
@@ -193,7 +194,7 @@ def qcut(df: DataFrame, column: str, probs: Sequence[float], group: Sequence[str
     """Right-closed quantile bins per group; repeated edges are dropped."""
     group = list(group)
     inner = {f"__e{i}": p for i, p in enumerate(probs)}
-    edges = group_quantiles(df, group, column, inner)
+    edges = cut_lineage(group_quantiles(df, group, column, inner))
     packed = edges.select(*group, F.array_distinct(F.array(*inner)).alias("__edges"))
     marked = attach(df, packed, group)
     inside = F.slice(c("__edges"), F.lit(2), F.greatest(F.size("__edges") - 2, F.lit(0)))

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelmill.operators.windows import first_by
+from parcelmill.session import cut_lineage
 
 c = F.col
 BOX = ("x0", "y0", "x1", "y1")
@@ -114,7 +115,9 @@ def nearest(
         F.pow(_gap(c("x"), c("x"), c("f_x0"), c("f_x1")), 2) + F.pow(_gap(c("y"), c("y"), c("f_y0"), c("f_y1")), 2)
     )
     if point_features and distance is None:
+        # At one spot only the k lowest ids can ever be among the nearest.
         features = first_by(features, [*fkeys, "f_x0", "f_y0", "f_x1", "f_y1"], [c(feature_id)], k)
+    features = cut_lineage(features)  # read by the extent, every occupancy check, the pyramid and the last join
 
     facts = features.agg(
         F.count(F.lit(1)).alias("n"), F.min("f_x0").alias("x0"), F.min("f_y0").alias("y0"),

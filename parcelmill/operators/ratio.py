@@ -155,7 +155,7 @@ def clipped_fit(df: DataFrame, group: Sequence[str], value: str, prediction: str
     """COD (mean deviation) and half-mean PRD of value / prediction held to 0.1-5."""
     group = list(group)
     r = F.greatest(F.lit(0.1), F.least(F.lit(5.0), c(value) / c(prediction)))
-    rows = df.select(*group, r.alias("r"))
+    rows = df.where((c(value) / c(prediction)).isNotNull()).select(*group, r.alias("r"))
     marked = attach(rows, group_quantiles(rows, group, "r", {"med": 0.5}), group, "inner")
     out = marked.groupBy(*group).agg(
         F.max("med").alias("median_ratio"), (F.avg(F.abs(c("r") - c("med")) / c("med")) * 100).alias("cod"),
