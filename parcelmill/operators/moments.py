@@ -419,7 +419,13 @@ def vif_values(m: np.ndarray, n: int, idx: Sequence[int], centered: bool) -> np.
         mean = m[0, idx] / n
         x = x - n * np.outer(mean, mean)
     d = np.sqrt(np.clip(np.diag(x), 1e-300, None))
-    return np.diag(np.linalg.pinv(x / np.outer(d, d), rcond=1e-13, hermitian=True))
+    r = x / np.outer(d, d)
+    out = np.empty(len(r))
+    for j in range(len(r)):
+        rest = np.delete(np.arange(len(r)), j)
+        fit = r[j, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)], rcond=1e-13, hermitian=True) @ r[rest, j]
+        out[j] = 1.0 / (1.0 - fit) if fit < 1.0 - 1e-12 else np.inf
+    return out
 
 
 def vif(mom: Moments, use: Sequence[str] | None = None, centered: bool = True) -> DataFrame:
