@@ -81,36 +81,35 @@ def bath_tokens(c: Column) -> Column:
     """Struct of full, half and quarter baths named by tokens such as ``2FB``."""
     pattern = r"^(\d+)([A-Z]+)"
 
-    def counted(token: Column) -> Column:
-        digits = F.regexp_extract(token, pattern, 1)
-        bare = F.regexp_extract(token, pattern, 2)
-        first = F.substring(digits, 1, 1)
-        repeated = F.length(F.replace(digits, first, F.lit(""))) == 0
+    # Each step names its results in a struct, so nothing is evaluated twice.
+    def parse(token: Column) -> Column:
+        return F.struct(
+            token.alias("t"), F.regexp_extract(token, pattern, 1).alias("d"), F.regexp_extract(token, pattern, 2).alias("b")
+        )
+
+    def weigh(e: Column) -> Column:
+        digits, first = e["d"], F.substring(e["d"], 1, 1)
         many = (
-            F.when((F.length(digits) == 1) & (bare == "QB"), F.lit(1))
-            .when(repeated, first.try_cast("int"))
+            F.when(digits == "", F.lit(1))
+            .when((F.length(digits) == 1) & (e["b"] == "QB"), F.lit(1))
+            .when(F.length(F.replace(digits, first, F.lit(""))) == 0, first.try_cast("int"))
             .otherwise(digits.try_cast("int"))
         )
-        prefixed = token.rlike(pattern)
-        value = F.when(prefixed, lookup(bare, fv.ROLL_BATHS)).otherwise(lookup(token, fv.ROLL_BATHS))
-        count = F.when(prefixed, F.coalesce(many, F.lit(1))).otherwise(F.lit(1))
-
-        def take(size: float) -> Column:
-            return F.when(value == size, count).otherwise(F.lit(0))
-
-        return F.struct(take(1.0).alias("full"), take(0.5).alias("half"), take(0.75).alias("quarter"))
+        name = F.when(digits == "", e["t"]).otherwise(e["b"])
+        return F.struct(lookup(name, fv.ROLL_BATHS).alias("v"), F.coalesce(many, F.lit(1)).alias("n"))
+
+    def add(acc: Column, e: Column) -> Column:
+        return F.struct(
+            *[
+                (acc[name] + F.when(e["v"] == size, e["n"]).otherwise(F.lit(0))).alias(name)
+                for name, size in (("full", 1.0), ("half", 0.5), ("quarter", 0.75))
+            ]
+        )
 
-    parts = F.transform(F.transform(F.split(F.coalesce(c, F.lit("")), r"[;,]+|\s+"), norm), counted)
+    tokens = F.transform(F.split(F.coalesce(c, F.lit("")), r"[;,]+|\s+"), norm)
+    weighed = F.transform(F.transform(tokens, parse), weigh)
     zero = F.struct(F.lit(0).alias("full"), F.lit(0).alias("half"), F.lit(0).alias("quarter"))
-    return F.aggregate(
-        parts,
-        zero,
-        lambda acc, p: F.struct(
-            (acc["full"] + p["full"]).alias("full"),
-            (acc["half"] + p["half"]).alias("half"),
-            (acc["quarter"] + p["quarter"]).alias("quarter"),
-        ),
-    )
+    return F.aggregate(weighed, zero, add)
 
 
 def market_group(c: Column, areas=fv.AREAS_SHORT) -> Column:

@@ -4,9 +4,10 @@
 matches its size, so it touches at most four cells there, however large it is.
 Cells that hold very many rows are salted.
 
-`nearest` walks down a pyramid of cell bounds. It works on groups of query points
-that share a cell, keeps only cells that can still hold one of the k nearest, and
-compares points with features only in the cells left at the bottom.
+`nearest` walks down a pyramid of cell bounds, opening a cell only while it holds
+many features. It works on groups of query points that share a block, keeps only
+cells that can still hold one of the k nearest, and compares points with features
+only in the cells left at the end.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BOX = ("x0", "y0", "x1", "y1")
 HOT_CELL_ROWS = 500_000
 FANOUT = 8
 MAX_LEAF_ROWS = 1024
+SMALL_CELL_ROWS = 64
 
 
 def box_of(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str) -> DataFrame:
@@ -129,6 +131,7 @@ def nearest(
     x0, y0 = facts["x0"], facts["y0"]
     extent = max(facts["x1"] - x0, facts["y1"] - y0, 1e-9) * 1.0000001
     depth = max(1, math.ceil(math.log(max(facts["n"] / 4, 1), FANOUT * FANOUT)))
+    small = max(SMALL_CELL_ROWS, 2 * k)
     mid_x, mid_y = (c("f_x0") + c("f_x1")) / 2, (c("f_y0") + c("f_y1")) / 2
 
     def leaves(levels: int) -> DataFrame:
@@ -141,45 +144,72 @@ def nearest(
             break
         depth += 1
     placed = leaves(depth)
-    size = extent / FANOUT**depth
 
+    # Cells of every level; a cell is opened further only while it holds many features.
     bounds = [F.min("f_x0").alias("f_x0"), F.min("f_y0").alias("f_y0"), F.max("f_x1").alias("f_x1"), F.max("f_y1").alias("f_y1")]
-    pyramid = [placed.groupBy(*fkeys, "ix", "iy").agg(*bounds, F.count(F.lit(1)).alias("n"))]
-    for _ in range(depth - 1):
-        up = pyramid[-1].withColumn("ix", F.floor(c("ix") / FANOUT)).withColumn("iy", F.floor(c("iy") / FANOUT))
-        pyramid.append(up.groupBy(*fkeys, "ix", "iy").agg(*bounds, F.sum("n").alias("n")))
-
-    located = points.withColumn("qx", F.floor((c("x") - x0) / size)).withColumn("qy", F.floor((c("y") - y0) / size))
-    cand = located.groupBy(*by, "qx", "qy").agg(
+    parent = [F.floor(c(a) / FANOUT) for a in ("ix", "iy")]
+    level = placed.groupBy(*fkeys, "ix", "iy").agg(*bounds, F.count(F.lit(1)).alias("n"))
+    pyramid = [level]
+    for _ in range(depth):
+        level = level.withColumns({"ix": parent[0], "iy": parent[1]}).groupBy(*fkeys, "ix", "iy").agg(*bounds, F.sum("n").alias("n"))
+        pyramid.append(level)
+    opened = []
+    for lv, cells in enumerate(pyramid[:-1]):
+        marked = cells.withColumns({"px": parent[0], "py": parent[1]})
+        total = F.sum("n").over(W.partitionBy(*fkeys, "px", "py"))
+        opened.append(marked.withColumn("pn", total).where(c("pn") > small).withColumn("lv", F.lit(lv)).drop("pn"))
+    top = pyramid[-1].withColumn("lv", F.lit(depth))
+    tables = [top.select(*fkeys, "lv", "ix", "iy", "n")] + [t.select(*fkeys, "lv", "ix", "iy", "n") for t in opened]
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    last = every.where((c("n") <= small) | (c("lv") == 0)).drop("n")
+    path = F.array(*[F.struct(F.lit(j).alias("lv"), F.floor(c("ix") / FANOUT**j).alias("ix"), F.floor(c("iy") / FANOUT**j).alias("iy")) for j in range(depth + 1)])
+    spread = placed.withColumn("path", path).drop("ix", "iy")
+    housed = spread.select(*[x for x in spread.columns if x != "path"], F.inline("path")).join(last, [*fkeys, "lv", "ix", "iy"])
+
+    block = extent / FANOUT**depth
+    located = points.withColumn("qx", F.floor((c("x") - x0) / block)).withColumn("qy", F.floor((c("y") - y0) / block))
+    groups = located.groupBy(*by, "qx", "qy").agg(
         F.min("x").alias("q_x0"), F.min("y").alias("q_y0"), F.max("x").alias("q_x1"), F.max("y").alias("q_y1")
-    ).withColumn("ix", F.lit(0).cast("bigint")).withColumn("iy", F.lit(0).cast("bigint"))
-    if per:
-        kinds = features.agg(F.sort_array(F.collect_set(per))).scalar()
-        cand = cand.withColumn(per, F.explode(kinds))
+    )
     qkeys = [*fkeys, "qx", "qy"]
-    for depth_left, level in enumerate(reversed(pyramid)):
-        parent = level.withColumn("px", F.floor(c("ix") / FANOUT)).withColumn("py", F.floor(c("iy") / FANOUT))
+    box = [f"q_{n}" for n in BOX]
+    low = F.sqrt(F.pow(_gap(c("q_x0"), c("q_x1"), c("f_x0"), c("f_x1")), 2) + F.pow(_gap(c("q_y0"), c("q_y1"), c("f_y0"), c("f_y1")), 2))
+    high = F.sqrt(F.pow(_reach(c("q_x0"), c("q_x1"), c("f_x0"), c("f_x1")), 2) + F.pow(_reach(c("q_y0"), c("q_y1"), c("f_y0"), c("f_y1")), 2))
+    start = top.select(*fkeys, "lv", "ix", "iy", "n", "f_x0", "f_y0", "f_x1", "f_y1")
+    if by:
+        cand = groups.join(start, by)
+    else:
+        # One top cell, or one per value of `per`: both sides meet on a constant key.
+        cand = groups.withColumn("one", F.lit(1)).join(start.withColumn("one", F.lit(1)), "one").drop("one")
+    cand = cand.withColumns({"lo": low, "hi": high})
+    own = ["lv", "ix", "iy", "n", "lo", "hi"]
+    for depth_left, cells in enumerate(reversed(opened)):
+        child = cells.select(*fkeys, "px", "py", "lv", "ix", "iy", "n", "f_x0", "f_y0", "f_x1", "f_y1").withColumn("plv", c("lv") + 1)
         if not fkeys and depth_left < 2:
-            parent = F.broadcast(parent)  # at most 64 then 4096 cells exist on the two top levels
-        step = cand.withColumnRenamed("ix", "px").withColumnRenamed("iy", "py").join(parent, [*fkeys, "px", "py"])
-        low = F.sqrt(F.pow(_gap(c("q_x0"), c("q_x1"), c("f_x0"), c("f_x1")), 2) + F.pow(_gap(c("q_y0"), c("q_y1"), c("f_y0"), c("f_y1")), 2))
-        high = F.sqrt(F.pow(_reach(c("q_x0"), c("q_x1"), c("f_x0"), c("f_x1")), 2) + F.pow(_reach(c("q_y0"), c("q_y1"), c("f_y0"), c("f_y1")), 2))
-        scored = step.withColumn("lo", low).withColumn("hi", high)
+            child = F.broadcast(child)  # at most 64 then 4096 cells exist on the two levels below the top
+        named = child.select(*fkeys, *[c(x).alias(f"k_{x}") for x in ("lv", "ix", "iy", "n")], "f_x0", "f_y0", "f_x1", "f_y1",
+                             c("px").alias("ix"), c("py").alias("iy"), c("plv").alias("lv"))
+        step = cand.select(*qkeys, *box, *own).join(named, [*fkeys, "lv", "ix", "iy"], "left")
+        deeper = c("k_lv").isNotNull()
+        # Cells that are not opened stay as they are.
+        step = step.select(
+            *qkeys, *box, *[F.when(deeper, c(f"k_{x}")).otherwise(c(x)).alias(x) for x in ("lv", "ix", "iy", "n")],
+            F.when(deeper, low).otherwise(c("lo")).alias("lo"), F.when(deeper, high).otherwise(c("hi")).alias("hi"),
+        )
         whole = W.partitionBy(*qkeys)
         if k == 1:
-            limit = F.min("hi").over(whole)
-            kept = scored.withColumn("lim", limit)
+            kept = step.withColumn("lim", F.min("hi").over(whole))
         else:
             running = F.sum("n").over(whole.orderBy("hi").rowsBetween(W.unboundedPreceding, W.currentRow))
-            kept = scored.withColumn("run", running).withColumn("lim", F.min(F.when(c("run") >= k, c("hi"))).over(whole))
-        cand = kept.where(c("lim").isNull() | (c("lo") <= c("lim"))).select(
-            *qkeys, "q_x0", "q_y0", "q_x1", "q_y1", "ix", "iy"
-        )
-    pairs = located.join(cand.select(*qkeys, "ix", "iy"), [*by, "qx", "qy"]).join(placed, [*fkeys, "ix", "iy"])
+            kept = step.withColumn("run", running).withColumn("lim", F.min(F.when(c("run") >= k, c("hi"))).over(whole))
+        cand = kept.where(c("lim").isNull() | (c("lo") <= c("lim")))
+    pairs = located.join(cand.select(*qkeys, "lv", "ix", "iy"), [*by, "qx", "qy"]).join(housed, [*fkeys, "lv", "ix", "iy"])
     measured = pairs.withColumn("distance", exact)
     order = W.partitionBy(point_id, *extra).orderBy("distance", feature_id)
     ranked = measured.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
-    return ranked.drop("ix", "iy", "qx", "qy")
+    return ranked.drop("lv", "ix", "iy", "qx", "qy")
 
 
 def point_box(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -97,7 +97,7 @@ def accumulate_parcels(df: DataFrame) -> DataFrame:
         code.alias("code"),
         F.coalesce(F.nullif(c("area"), F.lit(0.0)), F.lit(0.0)).alias("a"),
         c("value").cast("bigint").alias("v"),
-        cd.bath_tokens(c("plumbing")).alias("b"),
+        F.inline(F.array(cd.bath_tokens(c("plumbing")))).alias("full", "half", "quarter"),
         cd.lookup(cd.norm(c("class_code")), fv.QUALITY_SCORES).alias("q"),
         cd.norm(c("condition_code")).alias("cc"),
         cd.lookup(cd.norm(c("condition_code")), fv.CONDITION_SCORES).alias("cs"),
@@ -132,9 +132,9 @@ def accumulate_parcels(df: DataFrame) -> DataFrame:
         F.bool_or(c("k") == "shop").alias("has_shop"),
         F.bool_or((c("k") == "deck") & (c("a") > 0)).alias("has_deck"),
         F.when(finished, True).when(F.bool_or(basement), False).alias("has_finished_basement"),
-        F.sum("b.full").alias("bf"),
-        F.sum("b.half").alias("bh"),
-        F.sum("b.quarter").alias("bq"),
+        F.sum("full").alias("bf"),
+        F.sum("half").alias("bh"),
+        F.sum("quarter").alias("bq"),
         (F.sum(c("q") * c("w")) / F.sum(F.when(c("q").isNotNull(), c("w")))).alias("quality_score"),
         best_condition.alias("bc"),
         F.coalesce(best_effective["eff_year_built"], best_actual["year_built"]).alias("improvement_year_built"),
