@@ -282,7 +282,7 @@ def _(t):
 
 @query(
     "r24_time_trend",
-    f"WITH {CALIB_SQL} SELECT valuation_area, regr_count(ratio_final, t) AS n, round(regr_slope(ratio_final, t), 8) AS slope, round(regr_r2(ratio_final, t), 8) AS r2 FROM fin GROUP BY 1",
+    f"WITH {CALIB_SQL} SELECT valuation_area, CAST(regr_count(ratio_final, t) AS BIGINT) AS n, round(regr_slope(ratio_final, t), 8) AS slope, round(regr_r2(ratio_final, t), 8) AS r2 FROM fin GROUP BY 1",
 )
 def _(t):
     out = cb.time_trend(final(t), G)
