@@ -182,12 +182,12 @@ def nearest(
     if by:
         cand = groups.join(start, by)
     else:
-        # One top cell, or one per value of `per`: a row that short travels to every block.
+        # One top cell, or one per value of `per`: read as a scalar subquery.
         kinds = start.count() if per else 1
         if kinds > MAX_KINDS:
             raise ValueError(f"{kinds} values of {per}; name it in `by` and give the points that column")
-        packed = F.broadcast(start.agg(F.collect_list(F.struct(*start.columns)).alias("tops")).withColumn("one", F.lit(1)))
-        cand = groups.withColumn("one", F.lit(1)).join(packed, "one").select(*groups.columns, F.inline("tops"))
+        tops = start.agg(F.collect_list(F.struct(*start.columns))).scalar()
+        cand = groups.withColumn("tops", tops).select(*groups.columns, F.inline("tops"))
     cand = cand.withColumns({"lo": low, "hi": high})
     own = ["lv", "ix", "iy", "n", "lo", "hi"]
     for depth_left, cells in enumerate(reversed(opened)):
