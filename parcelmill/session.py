@@ -1,10 +1,12 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings, the shared checkpoint folder and shipping of the package to workers."""
 
 from __future__ import annotations
 
-import os
+import sys
 import tempfile
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,27 +22,60 @@ def get_session(app: str = "parcelmill", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package()
+    return session
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and continue from there.
+def ship_package() -> None:
+    """Send this package's functions to Python workers by value.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a private temporary folder.
+    Workers then need neither the repository folder on their path nor an
+    installed copy, wherever the driver was started.
+    """
+    package = sys.modules[__package__]
+    if __package__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session without that setting gets a private temporary folder;
+    a cluster without it is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
+    found = sc.getCheckpointDir()
+    if found is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="parcelmill-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(shared)
+            found = tempfile.mkdtemp(prefix="parcelmill-checkpoint-")
+        sc.setCheckpointDir(found)
+        found = sc.getCheckpointDir()
+    return found
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the reliable checkpoint folder and continue from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back.
+
+    Like `cut_lineage`, but columnar and compressed, with column pruning and
+    filters when it is read again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
