@@ -25,4 +25,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     there = docs.select(F.col(id_col).alias("id")).where(F.col(text_col).isNotNull())
     chosen = known.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return chosen.join(texts, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    # `chosen` holds `rows` ids at most.
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
