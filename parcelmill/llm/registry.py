@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from parcelmill.llm import ann, bpe, chat, imatch, langid, neardup, packing, pii, quality, toxicity
+from parcelmill.llm import ann, chat, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,18 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def all_queries() -> dict[str, Query]:
     return {
         "op1_cross_polytope_neighbors": ann.op1_cross_polytope_neighbors,
-        "op2_residual_packing": packing.op2_residual_packing,
-        "op3_imatch_fingerprints": imatch.op3_imatch_fingerprints,
         "op4_toxicity_scores": toxicity.op4_toxicity_scores,
-        "op5_personal_data": pii.op5_personal_data,
-        "op6_languages": langid.op6_languages,
-        "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_quality_scores": quality.op8_quality_scores,
-        "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_chat_masks": chat.op10_chat_masks,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {"op5_personal_data": pii.SQL} if getattr(pii, "SQL", None) else {}
+    return {}

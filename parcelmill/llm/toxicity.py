@@ -25,7 +25,7 @@ SECOND_PERSON = ("you", "your", "yours", "yourself", "du", "dich", "dir", "dein"
 
 #: Letters read for the digits and signs that stand in for them.
 DISGUISE_FROM, DISGUISE_TO = "013457@$", "oleastas"
-_STEM_LENGTHS = (4, 5, 6, 7)
+_STEM_LENGTHS = (4, 5, 6, 7)  # letters
 _NEAR = r"(?:[^\p{L}]+\p{L}+){0,4}[^\p{L}]+"
 
 
@@ -41,7 +41,11 @@ def words_of(text: Column) -> Column:
 def stems(text: Column) -> Column:
     """Distinct words of a text and their beginnings."""
     words = F.array_distinct(words_of(text))
-    parts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in _STEM_LENGTHS]
+
+    def beginnings(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
+
+    parts = [beginnings(n) for n in _STEM_LENGTHS]
     whole = F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 20))
     return F.array_distinct(F.flatten(F.array(*[F.transform(whole, lambda w: F.concat(w, F.lit("."))), *parts])))
 
@@ -59,9 +63,10 @@ def learn_lexicons(sample: DataFrame, strong_terms: int = 48, weak_terms: int =
     counted = sample.select("label", F.explode(stems(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (pos + 1.0)) - F.log((F.col("b") + 0.5) / (neg + 1.0))
     gain = F.col("a") / pos - F.col("b") / neg
-    ranked = (
-        counted.where(F.col("a") >= max(3, 0.005 * pos)).withColumn("odds", odds).withColumn("gain", gain).where((F.col("odds") > 1.2) & (F.col("gain") > 0))
-    )
+    share = (F.col("a") + F.col("b")) / (pos + neg)
+    # A difference that chance makes once in a billion terms is not kept.
+    sure = F.col("gain") > 6 * F.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
+    ranked = counted.where(F.col("a") >= max(3, 0.01 * pos)).withColumn("odds", odds).withColumn("gain", gain).where((F.col("odds") > 1.2) & sure)
 
     def best(rows: DataFrame, count: int) -> list[str]:
         kept: list[str] = []
