@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelmill.llm import ann, chat, quality, toxicity
+from parcelmill.llm import ann, bpe, chat, imatch, langid, packing, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def all_queries() -> dict[str, Query]:
     return {
         "op1_cross_polytope_neighbors": ann.op1_cross_polytope_neighbors,
+        "op2_residual_packing": packing.op2_residual_packing,
+        "op3_imatch_fingerprints": imatch.op3_imatch_fingerprints,
         "op4_toxicity_scores": toxicity.op4_toxicity_scores,
+        "op5_personal_data": pii.op5_personal_data,
+        "op6_languages": langid.op6_languages,
+        "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_quality_scores": quality.op8_quality_scores,
         "op10_chat_masks": chat.op10_chat_masks,
     }
