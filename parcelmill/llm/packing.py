@@ -25,8 +25,11 @@ _FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
 _MEMBER = pa.struct([*_FIELDS, ("offset", pa.int64())])
 
 
-def _word_ids(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
-    """Ids of words cut at white space.
+_KNOWN_WORDS = 150_000
+
+
+def _word_ids(tokenizer: Tokenizer, words: list[str], known: dict[str, list[int]]) -> list[list[int]]:
+    """Ids of words cut at white space; `known` keeps up to some 150,000 of them for the next call.
 
     Plain ASCII words are encoded once for all their spellings: in lower case, and apart
     from full stops and commas after a letter or digit, where the tokenizer cuts as well.
@@ -39,9 +42,12 @@ def _word_ids(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
             parts.append((core, word[len(core) :]) if core[-1:].isalnum() else (word, ""))
         else:
             parts.append((word, ""))
-    distinct = dict.fromkeys(p for pair in parts for p in pair)
-    ids = dict(zip(distinct, encode_distinct(tokenizer, list(distinct)), strict=True))
-    return [ids[a] + ids[b] if b else ids[a] for a, b in parts]
+    fresh = list({p for pair in parts for p in pair}.difference(known))
+    if len(known) + len(fresh) > _KNOWN_WORDS:
+        known.clear()
+        fresh = list({p for pair in parts for p in pair})
+    known.update(zip(fresh, encode_distinct(tokenizer, fresh), strict=True))
+    return [known[a] + known[b] if b else known[a] for a, b in parts]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,14 +60,14 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(tokenizer_path)
+        tokenizer, known = load_tokenizer(tokenizer_path), {}
         for whole in batches:
-            for low, high in slices(whole.column("text")):
+            for low, high in slices(whole.column("text"), 8_000_000):
                 batch = whole.slice(low, high - low)
                 split = pc.split_pattern(pc.replace_substring(batch.column("text"), "\n", " "), " ")
                 coded = split.flatten().dictionary_encode()
                 codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-                items, sizes = ragged(_word_ids(tokenizer, words))
+                items, sizes = ragged(_word_ids(tokenizer, words, known))
                 starts = np.cumsum(sizes) - sizes
                 edges = split.offsets.to_numpy() - split.offsets[0].as_py()
                 out: list[tuple[int | None, int, int, int, int]] = []

@@ -17,7 +17,7 @@ def load_tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
-def encode_distinct(tokenizer: Tokenizer, words: list[str], step: int = 20_000) -> list[list[int]]:
+def encode_distinct(tokenizer: Tokenizer, words: list[str], step: int = 5_000) -> list[list[int]]:
     """Ids of each word."""
     found: list[list[int]] = []
     for at in range(0, len(words), step):
@@ -41,7 +41,7 @@ def gather(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.n
     return items[np.repeat(starts[codes] - (ends - size), size) + np.arange(ends[-1])]
 
 
-def slices(texts: pa.Array, limit: int = 24_000_000) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
     """Ranges of rows with about `limit` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes) - sizes) // limit
