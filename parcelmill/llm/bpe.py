@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelmill.llm.words import encode_distinct, load_tokenizer, pack, ragged, unpack
+from parcelmill.llm.words import WordEncoder, byte_values, load_tokenizer, pack, pack_words, ragged, ranges, unpack, unpack_words
 from parcelmill.session import stored
 
 # Fixed value: how the byte-level vocabulary cuts a text before its merges.
@@ -42,17 +44,6 @@ def words_of(text: Column, added: list[str]) -> Column:
     return F.when(text.rlike(quoted), mixed).otherwise(cut(text))
 
 
-def byte_values() -> dict[str, int]:
-    """The byte that each character of a byte-level piece stands for.
-
-    Printable Latin-1 characters stand for themselves, the other bytes take the code points
-    from 256 on, in order.
-    """
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def piece_table(tokenizer_path: str) -> list[bytes]:
     """The bytes of each id, as a list by id: as long as the vocabulary."""
     vocabulary = load_tokenizer(tokenizer_path).get_vocab(with_added_tokens=True)
@@ -63,35 +54,38 @@ def piece_table(tokenizer_path: str) -> list[bytes]:
     return table
 
 
+_BLOCK = "block string, bucket int, doc_ids array<long>, counts binary, codes binary, word_sizes binary, word_text binary"
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per batch: one row with its documents as word numbers, and one row per bucket with its words."""
-    names = ["block", "bucket", "doc_ids", "counts", "codes", "words"]
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    for turn, batch in enumerate(batches):
-        if not batch.num_rows:
-            continue
-        words = batch.column("words")
-        coded = words.flatten().dictionary_encode()
-        found = coded.dictionary.to_pylist()
-        raw = coded.indices.to_numpy()
-        # Common words get the small numbers, which compress best.
-        order = np.argsort(-np.bincount(raw, minlength=len(found)), kind="stable")
-        number = np.empty(len(found), np.int64)
-        number[order] = np.arange(len(found))
-        block = f"{part}.{turn}"
-        counts = np.diff(words.offsets.to_numpy())
-        rows = [(block, None, batch.column("doc_id").to_pylist(), pack(counts), pack(number[raw]), None)]
-        home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in found), np.int64, len(found))
-        by_home = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[by_home], np.arange(buckets + 1))
-        for b in range(buckets):
-            at = by_home[edges[b] : edges[b + 1]]
-            if len(at):
-                rows.append((block, b, None, None, pack(number[at]), [found[i] for i in at]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    """Per block of some two million words: one row with its documents as word numbers, and one row per bucket with its words."""
+    names = [c.split(" ")[0] for c in _BLOCK.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    part, turn = TaskContext.get().partitionId(), 0
+    for whole in batches:
+        for low, high in ranges(pc.list_value_length(whole.column("words")), 2_000_000):
+            batch = whole.slice(low, high - low)
+            words = batch.column("words")
+            coded = words.flatten().dictionary_encode()
+            raw = coded.indices.to_numpy()
+            # Common words get the small numbers, which compress best.
+            order = np.argsort(-np.bincount(raw, minlength=len(coded.dictionary)), kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            turn += 1
+            block = f"{part}.{turn}"
+            counts = np.diff(words.offsets.to_numpy())
+            rows = [(block, None, batch.column("doc_id").to_pylist(), pack(counts), pack(number[raw]), None, None)]
+            by_name = pc.sort_indices(coded.dictionary).to_numpy()
+            found, number = coded.dictionary.take(by_name).to_pylist(), number[by_name]
+            home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in found), np.int64, len(found))
+            by_home = np.argsort(home, kind="stable")
+            edges = np.searchsorted(home[by_home], np.arange(buckets + 1))
+            for b in range(buckets):
+                at = by_home[edges[b] : edges[b + 1]]
+                if len(at):
+                    rows.append((block, b, None, None, pack(number[at]), *pack_words([found[i] for i in at])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16_000_000) -> tuple[DataFrame, DataFrame]:
@@ -106,28 +100,25 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     # Buckets grow with the corpus, so that a bucket's words fit a task whatever its size.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // bucket_bytes))
-    schema = "block string, bucket int, doc_ids array<long>, counts binary, codes binary, words array<string>"
-    made = stored(
-        rows.select("doc_id", words_of(F.col("text"), added_tokens(tokenizer_path)).alias("words")).mapInArrow(lambda b: _blocks(b, buckets), schema), "word_blocks",
-    )
+    added = added_tokens(tokenizer_path)
+    made = stored(rows.select("doc_id", words_of(F.col("text"), added).alias("words")).mapInArrow(lambda b: _blocks(b, buckets), _BLOCK), "word_blocks")
 
     def encode_bucket(table: pa.Table) -> pa.Table:
-        tokenizer = load_tokenizer(tokenizer_path)
-        column = table.column("words").combine_chunks()
-        coded = column.flatten().dictionary_encode()
-        lists = encode_distinct(tokenizer, coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy()
-        edges = column.offsets.to_numpy() - column.offsets[0].as_py()
+        encoder = WordEncoder(tokenizer_path)
+        known = {w: encoder.encoded([w])[0] for w in added}
         sizes, ids = [], []
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            items, size = ragged([lists[i] for i in at[low:high]])
+        for row in range(table.num_rows):
+            words = unpack_words(table.column("word_sizes")[row].as_py(), table.column("word_text")[row].as_py())
+            for w in words:
+                if w not in known:
+                    known[w] = encoder.merged(w)
+            items, size = ragged([known[w] for w in words])
             sizes.append(pack(size))
             ids.append(pack(items))
         return pa.table({"block": table.column("block"), "codes": table.column("codes"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    coded = made.where("bucket IS NOT NULL").select("bucket", "block", "codes", "words").groupBy("bucket").applyInArrow(
-        encode_bucket, "block string, codes binary, sizes binary, ids binary",
-    )
+    words = made.where("bucket IS NOT NULL").select("bucket", "block", "codes", "word_sizes", "word_text")
+    coded = words.groupBy("bucket").applyInArrow(encode_bucket, "block string, codes binary, sizes binary, ids binary")
     return made.where("bucket IS NULL").select("block", "doc_ids", "counts", "codes"), coded
 
 

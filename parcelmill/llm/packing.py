@@ -15,9 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from parcelmill.llm.words import encode_distinct, gather, load_tokenizer, ragged, slices
+from parcelmill.llm.words import WordEncoder, gather, ragged, slices
 from parcelmill.session import stored
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -25,29 +24,34 @@ _FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
 _MEMBER = pa.struct([*_FIELDS, ("offset", pa.int64())])
 
 
-_KNOWN_WORDS = 150_000
+_KNOWN_WORDS = 400_000
+# Fixed value: Latin letters, and marks that the tokenizer always cuts from letters before them.
+_SPELLING = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!%&*$#.,;:?)]*)$"
 
 
-def _word_ids(tokenizer: Tokenizer, words: list[str], known: dict[str, list[int]]) -> list[list[int]]:
-    """Ids of words cut at white space; `known` keeps up to some 150,000 of them for the next call.
+def _word_ids(encoder: WordEncoder, words: pa.StringArray, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words cut at white space, one after the other, and how many each has.
 
-    Plain ASCII words are encoded once for all their spellings: in lower case, and apart
-    from full stops and commas after a letter or digit, where the tokenizer cuts as well.
+    Words of Latin letters are encoded once for all their spellings: in lower case and apart
+    from marks at their end. Their merges give their ids; anything else is encoded as it
+    stands. `known` keeps ids for the next call, of _KNOWN_WORDS words or one call's more.
     """
-    parts: list[tuple[str, str]] = []
-    for word in words:
-        if word.isascii():
-            word = word.lower()
-            core = word.rstrip(".,")
-            parts.append((core, word[len(core) :]) if core[-1:].isalnum() else (word, ""))
-        else:
-            parts.append((word, ""))
-    fresh = list({p for pair in parts for p in pair}.difference(known))
-    if len(known) + len(fresh) > _KNOWN_WORDS:
+    parts = pc.extract_regex(words, _SPELLING)
+    plain = parts.is_valid()
+    core = pc.if_else(plain, pc.utf8_lower(pc.struct_field(parts, "core")), words).dictionary_encode()
+    tail = pc.fill_null(pc.struct_field(parts, "tail"), "").dictionary_encode()
+    names = core.dictionary.to_pylist()
+    whole = pc.match_substring_regex(core.dictionary, _SPELLING).to_pylist()
+    if len(known) > _KNOWN_WORDS:
         known.clear()
-        fresh = list({p for pair in parts for p in pair})
-    known.update(zip(fresh, encode_distinct(tokenizer, fresh), strict=True))
-    return [known[a] + known[b] if b else known[a] for a, b in parts]
+    fresh = [(w, p) for w, p in zip(names, whole, strict=True) if w not in known]
+    merged = encoder.merged
+    known.update([(w, merged(w)) for w, p in fresh if p])
+    others = [w for w, p in fresh if not p]
+    known.update(zip(others, encoder.encoded(others), strict=True))
+    items, sizes = ragged([known[w] for w in names] + encoder.encoded(tail.dictionary.to_pylist()))
+    pairs = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(names)], axis=1)
+    return gather(items, np.cumsum(sizes) - sizes, sizes, pairs.ravel()), sizes[pairs].sum(axis=1)
 
 
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,14 +64,14 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = load_tokenizer(tokenizer_path), {}
+        encoder, known = WordEncoder(tokenizer_path), {}
         for whole in batches:
             for low, high in slices(whole.column("text"), 8_000_000):
                 batch = whole.slice(low, high - low)
                 split = pc.split_pattern(pc.replace_substring(batch.column("text"), "\n", " "), " ")
                 coded = split.flatten().dictionary_encode()
-                codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-                items, sizes = ragged(_word_ids(tokenizer, words, known))
+                codes = coded.indices.to_numpy()
+                items, sizes = _word_ids(encoder, coded.dictionary, known)
                 starts = np.cumsum(sizes) - sizes
                 edges = split.offsets.to_numpy() - split.offsets[0].as_py()
                 out: list[tuple[int | None, int, int, int, int]] = []
