@@ -10,6 +10,7 @@ about one of its terms, so texts of any length get subsets that survive small ch
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,13 @@ from parcelmill.session import stored
 
 _SUBSETS = 24
 _LEVEL_MAX = 30
-#: Stands among the terms of every text, so that texts without a term in the band stay.
-_MARK = 0
+#: Stands among the words of every text, so that texts without a term in the band stay.
+_MARK = ""
 
 
-def term_hashes(text: Column) -> Column:
-    """Hashes of the distinct lower-cased words of a text."""
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+def words_of(text: Column) -> Column:
+    """Distinct lower-cased words of a text, and the mark."""
+    return F.array_distinct(F.concat(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(F.lit(_MARK))))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low_share: float = 0.002, high_share: float = 0.05) -> DataFrame:
@@ -39,24 +39,35 @@ def lexicon(docs: DataFrame, text_col: str = "text", low_share: float = 0.002, h
     """
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     count = rows.count()
-    terms = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
+    terms = rows.select(F.explode(words_of(F.col("text"))).alias("word")).where(F.col("word") != _MARK)
     counted = terms.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("df"))
     return counted.where((F.col("df") >= max(2.0, low_share * count)) & (F.col("df") <= max(2.0, high_share * count)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def cells_of(terms: Column) -> Column:
     """"level.subset=hash" for each used subset that holds a term; `terms` are distinct and sorted."""
     level = F.when(F.size(terms) > 0, F.least(F.lit(_LEVEL_MAX), F.round(F.log2(F.size(terms).cast("double"))).cast("int"))).otherwise(0)
 
-    def of_level(number: Column) -> Column:
-        parts = F.pow(F.lit(2.0), number).cast("long")
-        subset = lambda t: F.pmod(F.shiftrightunsigned(t, 7), parts)
-        kept = F.filter(terms, lambda t: subset(t) < _SUBSETS)
-        one = lambda s: F.filter(kept, lambda t: subset(t) == s)
-        used = F.array_sort(F.array_distinct(F.transform(kept, subset)))
-        return F.transform(used, lambda s: F.concat(number.cast("string"), F.lit("."), s.cast("string"), F.lit("="), F.substring(F.hex(F.xxhash64(one(s))), 1, 10)))
+    def numbered(number: Column) -> Column:
+        return F.struct(number.alias("level"), (F.call_function("shiftleft", F.lit(1).cast("long"), number) - 1).alias("mask"))
+
+    def of_level(at: Column) -> Column:
+        subset = lambda t: F.shiftrightunsigned(t, 7).bitwiseAND(at["mask"])
+        kept = F.filter(F.transform(terms, lambda t: F.struct(subset(t).alias("s"), t.alias("t"))), lambda x: x["s"] < _SUBSETS)
 
-    return F.flatten(F.transform(F.array(level, level + 1), of_level))
+        def hashed(kept: Column) -> Column:
+            used = F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["s"])))
+            own = lambda s: F.transform(F.filter(kept, lambda x: x["s"] == s), lambda x: x["t"])
+            return F.transform(used, lambda s: F.concat(at["level"].cast("string"), F.lit("."), s.cast("string"), F.lit("="), F.substring(F.hex(F.xxhash64(own(s))), 1, 10)))
+
+        return _let(kept, hashed)
+
+    return _let(level, lambda n: F.flatten(F.transform(F.array(numbered(n), numbered(n + 1)), of_level)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,8 +129,8 @@ def fingerprints(
     result.
     """
     # Bounded by mean distinct terms / low_share rows: see `lexicon`.
-    words = stored(lexicon(docs, text_col, low_share, high_share), "lexicon").select("term")
-    marked = words.unionByName(docs.sparkSession.range(1).select(F.lit(_MARK).cast("long").alias("term")))
+    known = stored(lexicon(docs, text_col, low_share, high_share), "lexicon").select("term")
+    marked = known.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit(_MARK)).alias("term")))
     placed, _ = neighbours(docs, id_col, text_col, bucket_bytes, max_buckets)
     order = Window.partitionBy("bucket").orderBy("ghost", "id", "text")
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
@@ -134,12 +145,13 @@ def fingerprints(
     )
     terms = rows.select(
         "bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256", F.col("form.which").alias("which"), F.xxhash64(F.lower("form.t")).alias("plain"),
-        F.explode(F.array_append(term_hashes(F.col("form.t")), F.lit(_MARK).cast("long"))).alias("term"),
-    )
+        F.explode(words_of(F.col("form.t"))).alias("word"),
+    ).withColumn("term", F.xxhash64("word"))
     # What a row says of its text is carried by its mark alone.
-    about = F.when(F.col("term") == _MARK, F.struct("ghost", "doc_id", "n_chars", "edited_sha256"))
+    of_mark = lambda c: F.when(F.col("word") == _MARK, c)
     found = terms.join(F.broadcast(marked), "term").select(
-        "bucket", "place", "which", F.when(F.col("term") != _MARK, F.col("term")).alias("term"), F.when(F.col("term") == _MARK, F.col("plain")).alias("plain"), about.alias("about"),
+        "bucket", "place", "which", F.when(F.col("word") != _MARK, F.col("term")).alias("term"), of_mark(F.col("plain")).alias("plain"),
+        of_mark(F.struct("ghost", "doc_id", "n_chars", "edited_sha256")).alias("about"),
     )
     of = lambda which, c: F.when(F.col("which") == which, F.col(c))
     # A bucket's rows are together already, so this grouping moves nothing.
