@@ -103,7 +103,7 @@ def l2_distance(vector: Column, query: Sequence[float]) -> Column:
 def vector_search(df: DataFrame, query: Sequence[float], k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Nearest `k` vectors by distance; rows without a vector are skipped."""
     near = df.where(c(vector).isNotNull()).withColumn("distance", l2_distance(c(vector), query))
-    top = near.orderBy("distance", key).limit(min(k, 50))
+    top = near.orderBy("distance", key).limit(k)
     return top.withColumn("similarity", 1 / (1 + c("distance"))).drop(vector)
 
 

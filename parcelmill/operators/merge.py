@@ -16,16 +16,29 @@ from parcelmill.functions.cleaning import price_decimal
 c = F.col
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = (), last: bool = True) -> DataFrame:
+    """One row per key: the last (or first) by `order`, ties by the other columns in their order."""
+    rest = [x for x in df.columns if x not in keys]
+    if not rest:
+        return df.distinct()
+    by = [(F.col(x) if isinstance(x, str) else x).alias(f"__o{i}") for i, x in enumerate(order)]
+    ranked = F.struct(*by, F.struct(*rest).alias("__row"))
+    return df.groupBy(*keys).agg((F.max if last else F.min)(ranked)["__row"].alias("__row")).select(*keys, "__row.*").select(*df.columns)
+
+
 def _paired(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     old = target.select(*keys, F.struct(*[x for x in target.columns if x not in keys]).alias("__old"))
     new = source.select(*keys, F.struct(*[x for x in source.columns if x not in keys]).alias("__new"))
     return old.join(new, list(keys), "full_outer")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Source values replace the target's given columns; unknown keys are added."""
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
+    """Source values replace the target's given columns; unknown keys are added.
+
+    Of source rows with one key the last by `order` counts (ties: by the other columns).
+    """
     given = [x for x in source.columns if x not in keys]
-    both = _paired(target, source, keys)
+    both = _paired(target, one_per_key(source, keys, order), keys)
     out = []
     for x in target.columns:
         if x in keys:
@@ -37,9 +50,12 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
     return both.select(*out)
 
 
-def insert_new(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target plus the source rows whose key it does not hold."""
-    fresh = source.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+def insert_new(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
+    """Target plus the source rows whose key it does not hold.
+
+    Of source rows with one key the first by `order` counts (ties: by the other columns).
+    """
+    fresh = one_per_key(source, keys, order, last=False).join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -51,10 +67,13 @@ def truthy(x: Column, kind: str) -> Column:
     return x != 0
 
 
-def merge_changed(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Overwrite only with truthy values that differ; `action` tells what happened."""
+def merge_changed(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
+    """Overwrite only with truthy values that differ; `action` tells what happened.
+
+    Of source rows with one key the last by `order` counts (ties: by the other columns).
+    """
     kinds = {f.name: f.dataType.typeName() for f in target.schema.fields}
-    both = _paired(target, source, keys)
+    both = _paired(target, one_per_key(source, keys, order), keys)
     changes, out = [], []
     for x in target.columns:
         if x in keys:
@@ -90,22 +109,26 @@ def undo_run(df: DataFrame, run_id: str | None = None) -> DataFrame:
 
 
 def menu_items(items: DataFrame) -> DataFrame:
-    """Trimmed, length-limited items with a parsed price; names need two letters."""
-    name = F.trim(F.coalesce(c("name"), F.lit("")))
+    """Trimmed, length-limited items with a parsed price; names need two letters.
+
+    The limits are part of the format; `was_cut` marks rows that lost text to them.
+    """
+    name, text, section = (F.trim(F.coalesce(c(x), F.lit(""))) for x in ("name", "description", "section"))
     return items.where(F.length(name) >= 2).select(
         "place_id",
         "source_url",
         F.substring(name, 1, 255).alias("name"),
-        F.substring(F.trim(F.coalesce(c("description"), F.lit(""))), 1, 1000).alias("description"),
+        F.substring(text, 1, 1000).alias("description"),
         price_decimal(c("price_text")).cast("decimal(8,2)").alias("price"),
-        F.substring(F.trim(F.coalesce(c("section"), F.lit(""))), 1, 255).alias("section"),
+        F.substring(section, 1, 255).alias("section"),
         F.lit("USD").alias("currency"),
+        ((F.length(name) > 255) | (F.length(text) > 1000) | (F.length(section) > 255)).alias("was_cut"),
     )
 
 
 def upsert_menu(target: DataFrame, items: DataFrame) -> DataFrame:
     keys = ["place_id", "source_url", "name"]
-    return upsert(target, menu_items(items).dropDuplicates(keys), keys)
+    return upsert(target, menu_items(items), keys)
 
 
 def comp_key(parcel: Column, sale_date: Column, sale_price: Column) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,45 +21,59 @@ from parcelmill.session import cut_lineage
 
 c = F.col
 TIERS = ("T1_LOW", "T2_MID", "T3_HIGH")
-MAX_GROUPS_ON_DRIVER = 100_000
 
 
-def three_means(df: DataFrame, group: Sequence[str], value: str, rounds: int = 50) -> DataFrame:
+def _binned_means(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Lloyd's rounds on the bins of each group, from the 1/6, 1/2 and 5/6 quantiles."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            total, count = (np.array([b[x] for b in row.bins], float) for x in ("s", "n"))
+            mean = total / count
+            rank = (np.cumsum(count) - count / 2) / count.sum()
+            centers = np.array([mean[np.searchsorted(rank, q).clip(0, len(mean) - 1)] for q in (1 / 6, 0.5, 5 / 6)])
+            for _ in range(10_000):
+                part = (mean > (centers[0] + centers[1]) / 2).astype(int) + (mean > (centers[1] + centers[2]) / 2)
+                n = np.bincount(part, weights=count, minlength=3)
+                fresh = np.where(n > 0, np.bincount(part, weights=total, minlength=3) / np.maximum(n, 1), centers)
+                if np.array_equal(fresh, centers):
+                    break
+                centers = fresh
+            out.append((*[getattr(row, k) for k in keys], *centers.tolist()))
+        yield pd.DataFrame(out, columns=[*keys, "c0", "c1", "c2"])
+
+
+def three_means(df: DataFrame, group: Sequence[str], value: str, bins: int = 4096, rounds: int = 1000) -> DataFrame:
     """One-dimensional 3-means per group; adds `cluster` 0, 1, 2 in order of the centers.
 
-    Starts at the 1/6, 1/2 and 5/6 quantiles, so runs repeat exactly. Rows are
-    first reduced to distinct values with counts and kept in the shared checkpoint
-    folder; each round is one small aggregate that brings back three centers per group.
+    Each group's values are summed in `bins` equal steps, on which the centers settle in one
+    pass over one row per group. From there exact rounds over the rows run until no center
+    moves, mostly two or three. Groups and their centers stay in Spark; runs repeat exactly.
+    Raises when `rounds` are not enough.
     """
     keys = list(group)
-    points = cut_lineage(df.where(c(value).isNotNull()).groupBy(*keys, c(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
-    start = group_quantiles(points, keys, "__v", {"c0": 1 / 6, "c1": 0.5, "c2": 5 / 6}, weight="__n")
-    centers = {tuple(r[k] for k in keys): (r["c0"], r["c1"], r["c2"]) for r in start.limit(MAX_GROUPS_ON_DRIVER + 1).collect()}
-    if len(centers) > MAX_GROUPS_ON_DRIVER:
-        raise ValueError("too many groups for tiering; split the run by group")
-    spark = df.sparkSession
-    types = {f.name: f.dataType.simpleString() for f in start.schema.fields}
+    points = cut_lineage(df.where(c(value).isNotNull()).groupBy(*keys, c(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    spread = points.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    step = F.when(c("__hi") > c("__lo"), F.floor((c("__v") - c("__lo")) / (c("__hi") - c("__lo")) * bins)).otherwise(0)
+    sums = attach(points, spread, keys, "inner").groupBy(*keys, F.least(step, F.lit(bins - 1)).alias("b")).agg(F.sum(c("__v") * c("__n")).alias("s"), F.sum("__n").alias("n"))
+    packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "s", "n"))).alias("bins"))
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "c0 double, c1 double, c2 double"
-
-    def table() -> DataFrame:
-        return spark.createDataFrame([(*k, *v) for k, v in centers.items()], schema)
+    centers = cut_lineage(packed.mapInPandas(lambda batches: _binned_means(batches, keys), schema))
 
     def cluster(v: str) -> Column:
         return F.when(c(v) <= (c("c0") + c("c1")) / 2, 0).when(c(v) <= (c("c1") + c("c2")) / 2, 1).otherwise(2)
 
     for _ in range(rounds):
-        placed = attach(points, table(), keys, "inner").groupBy(*keys, cluster("__v").alias("k")).agg(
-            (F.sum(c("__v") * c("__n")) / F.sum("__n")).alias("m")
-        )
-        new = {k: list(v) for k, v in centers.items()}
-        for r in placed.collect():
-            new[tuple(r[x] for x in keys)][r["k"]] = r["m"]
-        fresh = {k: tuple(v) for k, v in new.items()}
-        moved = max((abs(a - b) for k in fresh for a, b in zip(fresh[k], centers[k])), default=0.0)
-        centers = fresh
-        if moved < 1e-12:
-            break
-    return attach(df, table(), keys, "inner").withColumn("cluster", cluster(value)).drop("c0", "c1", "c2")
+        k = cluster("__v")
+        means = [(F.sum(F.when(k == i, c("__v") * c("__n"))) / F.sum(F.when(k == i, c("__n")))).alias(f"m{i}") for i in range(3)]
+        placed = attach(points, centers, keys, "inner").groupBy(*keys).agg(*means)
+        both = attach(centers, placed, keys)
+        fresh = cut_lineage(both.select(*keys, *[F.coalesce(f"m{i}", f"c{i}").alias(f"c{i}") for i in range(3)], F.greatest(*[F.coalesce(F.abs(c(f"m{i}") - c(f"c{i}")), F.lit(0.0)) for i in range(3)]).alias("moved")))
+        centers = fresh.drop("moved")
+        if (fresh.agg(F.max("moved")).first()[0] or 0.0) < 1e-12:
+            return attach(df, centers, keys, "inner").withColumn("cluster", cluster(value)).drop("c0", "c1", "c2")
+    raise RuntimeError(f"centers still move after {rounds} rounds")
 
 
 def price_tiers(df: DataFrame, group: str, terms: Sequence[str], min_group: int = fv.MIN_GROUP_TIERING) -> DataFrame:
@@ -93,14 +109,19 @@ def run_model(
     tiering = list(dict.fromkeys([*names["core"], *[x for x in fv.TIERING_EXTRA_TERMS if x in rows.columns]]))
     rows = cut_lineage(price_tiers(rows, group, tiering, min_group))
     keys = [group, "value_tier"]
-    counted = attach(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys).where(c("__n") >= fv.MIN_ROWS_FIT).drop("__n")
-    trimmed = ft.tier_trim(counted, [group])
+
+    def large(df: DataFrame) -> DataFrame:
+        return attach(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys).where(c("__n") >= fv.MIN_ROWS_FIT).drop("__n")
+
+    # Segments must be large enough before and after the trim.
+    trimmed = cut_lineage(large(ft.tier_trim(large(rows), [group])))
     shaped, forced = ft.tier_terms(trimmed, names["core"])
     every = list(dict.fromkeys([*[x for v in forced.values() for x in v], *names["candidates"]]))
     mom = mo.moments(shaped, keys, every, "log_price", required=names["core"])
+    mom = mo.Moments(cut_lineage(mom.df), mom.group, mom.shape)
     chosen = cut_lineage(mo.stepwise(mom, forced, names["candidates"], tier="value_tier"))
     fit = cut_lineage(mo.ols_chosen(mom, chosen))
-    robust = mo.hc3(shaped, mom, chosen=chosen)
+    robust = mo.hc3(shaped, mom, chosen=chosen, spare=5)
     fitted = mo.predict(shaped, fit, keys, every, "log_price")
     values = cb.prb_flatten(cb.band_calibration(cb.retransform(fitted, keys), keys), keys)
     return {"tiers": rows, "chosen": chosen, "fit": fit, "coefficients": robust, "values": values}

@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelmill.operators.quantiles import attach
+
 c = F.col
 FLUSH_GROUPS = 2000
-COLLECT_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -284,12 +285,12 @@ def _varies(m: np.ndarray, n: int, i: int) -> bool:
     return bool(m[i, i] - m[0, i] ** 2 / max(n, 1) > 1e-10 * max(m[i, i], 1e-12))
 
 
-def ols_chosen(mom: Moments, chosen: DataFrame) -> DataFrame:
-    """Fit each group on its own chosen terms."""
+def ols_chosen(mom: Moments, chosen: DataFrame, spare: int = 5) -> DataFrame:
+    """Fit each group on its own chosen terms; groups with fewer than terms + `spare` rows have none."""
     shape = mom.shape
     keys, p = list(mom.group), shape.size
     types = {x.name: x.dataType.simpleString() for x in mom.df.schema.fields}
-    both = mom.df.join(chosen.select(*keys, "terms"), keys)
+    both = attach(mom.df, chosen.select(*keys, "terms"), keys, "inner")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [*keys, "term", "beta", "beta_se", "n", "r2", "adj_r2", "aic", "ssr"]
@@ -297,7 +298,7 @@ def ols_chosen(mom: Moments, chosen: DataFrame) -> DataFrame:
             out = []
             for row in pdf.itertuples(index=False):
                 use, n = list(row.terms), int(row.n)
-                if n < len(use) + 5:
+                if n < len(use) + spare:
                     continue
                 r = solve(_square(row.m, p), n, shape, use)
                 s2 = r.ssr / (n - r.k)
@@ -323,75 +324,64 @@ def predict(df: DataFrame, coefficients: DataFrame, group: Sequence[str], terms:
     return out.withColumn("residual", c(y) - c("pred_ln")).where(c("residual").isNotNull()) if y else out
 
 
-def hc3(df: DataFrame, mom: Moments, use: Sequence[str] | None = None, chosen: DataFrame | None = None) -> DataFrame:
+def hc3(df: DataFrame, mom: Moments, use: Sequence[str] | None = None, chosen: DataFrame | None = None, spare: int = 2) -> DataFrame:
     """Heteroskedasticity-robust (HC3) standard errors, one row per group and term.
 
-    A second pass over the rows weighs each by its residual and leverage. The
-    groups' fits are shipped to the tasks only when their measured size is small;
-    otherwise each row meets its fit in a join.
+    A second pass over the rows weighs each by its residual and leverage, which follow from
+    the group's coefficients and inverse by column expressions. Groups with fewer than
+    terms + `spare` rows have no errors; a NULL group is a group.
     """
     shape = mom.shape
-    keys = list(mom.group)
-    terms = list(shape.terms)
-    picked = mom.df.withColumn("terms", F.array(*[F.lit(x) for x in (terms if use is None else use)])) if chosen is None else mom.df.join(
-        chosen.select(*keys, "terms"), keys
-    )
-    fits_df = picked.select(*keys, "n", "m", "terms")
-    p = shape.size
-    count = fits_df.count()
-    schema = "".join(f"`{k}` string, " for k in keys) + "meat array<double>, rows double"
+    keys, terms, p = list(mom.group), list(shape.terms), shape.size
+    one = F.array(*[F.lit(x) for x in (terms if use is None else use)])
+    picked = mom.df.withColumn("terms", one) if chosen is None else attach(mom.df, chosen.select(*keys, "terms"), keys, "inner")
+    at = {x: i for i, x in enumerate(["const", *terms])}
+    size = len(at)
+
+    def fit_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                used = list(row.terms)
+                if int(row.n) < len(used) + spare:
+                    continue
+                r = solve(_square(row.m, p), int(row.n), shape, used)
+                own = [at[x] for x in ["const", *used]]
+                beta, cov, mark = np.zeros(size), np.zeros((size, size)), np.zeros(size, bool)
+                beta[own], mark[own] = r.beta, True
+                cov[np.ix_(own, own)] = r.cov
+                out.append((*[getattr(row, q) for q in keys], used, beta.tolist(), cov.tolist(), mark.tolist()))
+            yield pd.DataFrame(out, columns=[*keys, "used", "beta", "cov", "mark"])
+
+    head = "".join(f"`{k}` string, " for k in keys)
+    fits = picked.select(*keys, "n", "m", "terms").mapInPandas(fit_all, head + "used array<string>, beta array<double>, cov array<array<double>>, mark array<boolean>")
     rows = df.where(c(shape.y).isNotNull()).select(
-        *[c(k).cast("string").alias(k) for k in keys], *[c(x).cast("double").alias(x) for x in terms], c(shape.y).cast("double").alias("__y")
+        *[c(k).cast("string").alias(k) for k in keys], c(shape.y).cast("double").alias("__y"), F.array(F.lit(1.0), *[c(x).cast("double") for x in terms]).alias("raw"),
     )
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = attach(rows, fits.select(*keys, "beta", "cov", "mark"), keys, "inner")
+    lost = F.exists(F.zip_with("raw", "mark", lambda x, m: m & (x.isNull() | F.isnan(x))), lambda x: x)
+    full = met.where(~lost).withColumn("x", F.zip_with("raw", "mark", lambda x, m: F.when(m, x).otherwise(0.0)))
+    error = c("__y") - dot(c("x"), c("beta"))
+    leverage = dot(c("x"), F.transform("cov", lambda row: dot(row, c("x"))))
+    weighted = full.select(*keys, "x", F.pow(error / F.greatest(1 - leverage, F.lit(1e-8)), F.lit(2)).alias("w"))
 
-    def fit_of(flat, n, used) -> Fit | None:
-        if n <= len(used) + 1:
-            return None
-        return solve(_square(flat, p), int(n), shape, list(used))
-
-    def meat(part: pd.DataFrame, r: Fit) -> np.ndarray | None:
-        x = part[r.terms].to_numpy(float)
-        y = part["__y"].to_numpy(float)
-        ok = ~(np.isnan(x).any(axis=1) | np.isnan(y))
-        x = np.column_stack([np.ones(ok.sum()), x[ok]])
-        if not len(x):
-            return None
-        e = y[ok] - x @ r.beta
-        h = np.einsum("ij,jk,ik->i", x, r.cov, x)
-        w = (e / np.clip(1 - h, 1e-8, None)) ** 2
-        return (x * w[:, None]).T @ x
-
-    if count * p * p * 8 <= COLLECT_LIMIT_BYTES:
-        table = {tuple(r[k] for k in keys): fit_of(r["m"], r["n"], r["terms"]) for r in fits_df.collect()}
-
-        def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[tuple, list] = {}
-            for pdf in batches:
-                for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
-                    key = key if isinstance(key, tuple) else (key,)
-                    r = table.get(key)
-                    got = meat(part, r) if r is not None else None
-                    if got is not None:
-                        slot = sums.setdefault(key, [np.zeros_like(got), 0])
-                        slot[0] += got
-                        slot[1] += len(part)
-            yield pd.DataFrame([(*k, v[0].ravel().tolist(), float(v[1])) for k, v in sums.items()], columns=[*keys, "meat", "rows"])
-
-        partial = rows.mapInPandas(add_up, schema)
-    else:
-        joined = rows.join(fits_df.withColumnRenamed("n", "__n").withColumnRenamed("m", "__m").withColumnRenamed("terms", "__t"), keys)
-
-        def add_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for key, part in pdf.groupby(keys, dropna=False, sort=False):
-                    r = fit_of(part["__m"].iloc[0], part["__n"].iloc[0], part["__t"].iloc[0])
-                    got = meat(part, r) if r is not None else None
-                    if got is not None:
-                        out.append((*(key if isinstance(key, tuple) else (key,)), got.ravel().tolist(), float(len(part))))
-                yield pd.DataFrame(out, columns=[*keys, "meat", "rows"])
-
-        partial = joined.mapInPandas(add_joined, schema)
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                x = np.stack(part["x"].to_numpy())
+                sums[key] = sums.get(key, 0.0) + (x * part["w"].to_numpy()[:, None]).T @ x
+            if len(sums) >= FLUSH_GROUPS:
+                yield pd.DataFrame([(*k, v.ravel().tolist()) for k, v in sums.items()], columns=[*keys, "meat"])
+                sums.clear()
+        if sums:
+            yield pd.DataFrame([(*k, v.ravel().tolist()) for k, v in sums.items()], columns=[*keys, "meat"])
+
+    partial = weighted.mapInPandas(add_up, head + "meat array<double>")
     cells = partial.select(*keys, F.posexplode("meat").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
     summed = cells.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("meat"))
 
@@ -399,17 +389,15 @@ def hc3(df: DataFrame, mom: Moments, use: Sequence[str] | None = None, chosen: D
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                r = fit_of(row.m, row.n, row.terms)
-                if r is None:
+                if row.meat is None:
                     continue
-                k = r.k
-                v = r.cov @ np.asarray(row.meat).reshape(k, k) @ r.cov
-                for x, b, s in zip(["const", *r.terms], r.beta, np.sqrt(np.clip(np.diag(v), 0, None))):
-                    out.append((*[getattr(row, q) for q in keys], x, float(b), float(s)))
+                cov = np.array([list(r) for r in row.cov])
+                v = cov @ np.asarray(row.meat, float).reshape(size, size) @ cov
+                for x in ["const", *row.used]:
+                    out.append((*[getattr(row, q) for q in keys], x, float(row.beta[at[x]]), float(math.sqrt(max(v[at[x], at[x]], 0.0)))))
             yield pd.DataFrame(out, columns=[*keys, "term", "beta", "beta_se"])
 
-    head = "".join(f"`{k}` string, " for k in keys)
-    return fits_df.join(summed, keys).mapInPandas(sandwich, head + COEFFICIENTS)
+    return attach(fits, summed, keys, "inner").select(*keys, "used", "beta", "cov", "meat").mapInPandas(sandwich, head + COEFFICIENTS)
 
 
 def vif_values(m: np.ndarray, n: int, idx: Sequence[int], centered: bool) -> np.ndarray:

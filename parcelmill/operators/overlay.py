@@ -300,7 +300,7 @@ def nearby(df: DataFrame, lat: float, lon: float, radius: float = 1000.0, limit:
     dlon = dlat / max(math.cos(math.radians(lat)), 1e-6) * 1.01
     near = df.where(c("latitude").between(lat - dlat, lat + dlat) & c("longitude").between(lon - dlon, lon + dlon))
     metres = gm.haversine(F.lit(lat), F.lit(lon), c("latitude"), c("longitude"))
-    return near.withColumn("distance_meters", metres).where(c("distance_meters") <= radius).orderBy("distance_meters", KEY).limit(min(limit, 200))
+    return near.withColumn("distance_meters", metres).where(c("distance_meters") <= radius).orderBy("distance_meters", KEY).limit(limit)
 
 
 def water_facts(

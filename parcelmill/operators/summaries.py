@@ -29,11 +29,11 @@ def _metric(name: str) -> Column:
 
 
 def parcel_summary(df: DataFrame, by: str, metric: str, limit: int = 50) -> DataFrame:
-    """Groups ordered by one metric, best first (ties by group)."""
+    """The `limit` first groups by one metric, best first (ties by group)."""
     out = df.groupBy(c(by).alias("group_value")).agg(
         _metric(metric).alias("metric_value"), F.count(F.lit(1)).alias("parcel_count")
     )
-    return out.orderBy(c("metric_value").desc_nulls_last(), c("group_value")).limit(min(limit, 200))
+    return out.orderBy(c("metric_value").desc_nulls_last(), c("group_value")).limit(limit)
 
 
 def hood_stats(df: DataFrame, now_year: int, group: str = "hood_code") -> DataFrame:

@@ -99,15 +99,33 @@ def sales_list(df: DataFrame, sort: str = "recent", direction: str | None = None
     column, default = SORT_FIELDS[sort]
     way = (direction or default).lower()
     order = c(column).asc_nulls_last() if way == "asc" else c(column).desc_nulls_last()
-    return df.orderBy(order, c("sale_id").desc_nulls_last()).limit(min(limit, 100))
+    return df.orderBy(order, c("sale_id").desc_nulls_last()).limit(limit)
 
 
 def parcel_search(df: DataFrame, page: int = 1, size: int = 25, key: str = "parcel_id") -> DataFrame:
-    """One page of parcels by assessed value, highest first."""
-    size = min(size, 250)
+    """One page of parcels by assessed value, highest first.
+
+    Page numbers need all rows before the page in one place; to walk through many pages use
+    `parcel_search_after`.
+    """
     return df.orderBy(c("assessed_value").desc_nulls_last(), c(key)).offset((page - 1) * size).limit(size)
 
 
+def parcel_search_after(df: DataFrame, last_value: float | None = None, last_key: str | int | None = None, size: int = 25, key: str = "parcel_id") -> DataFrame:
+    """The page that follows a row, named by its value and key; the first page without one.
+
+    Only `size` rows per task and page are kept, however deep the page lies.
+    """
+    rows = df
+    if last_key is not None:
+        later = c(key) > F.lit(last_key)
+        if last_value is None:
+            rows = df.where(c("assessed_value").isNull() & later)
+        else:
+            rows = df.where((c("assessed_value") < last_value) | c("assessed_value").isNull() | ((c("assessed_value") == last_value) & later))
+    return rows.orderBy(c("assessed_value").desc_nulls_last(), c(key)).limit(size)
+
+
 def _with_delta(joined: DataFrame) -> DataFrame:
     kept = joined.where((F.lower(F.trim("sale_type")) == "valid sale") & c("sale_price").isNotNull() & is_residential())
     delta = F.when(c("assessed_value") != 0, (c("sale_price") - c("assessed_value")) / c("assessed_value") * 100)

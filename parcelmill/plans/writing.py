@@ -116,12 +116,14 @@ def _(t):
     return t.orders.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LINES = """CASE WHEN o_orderkey % 9 = 0 THEN 'broken line' ELSE CAST(o_orderkey AS STRING) || '|' || o_orderstatus || '"|' || CAST(o_custkey AS STRING) || '.5' END"""
+_LINES = """CASE o_orderkey % 9 WHEN 0 THEN 'too|many|fields|here' WHEN 1 THEN 'short line' WHEN 2 THEN CAST(o_orderkey AS STRING) || '|' || o_orderstatus || '"|no number'
+           ELSE CAST(o_orderkey AS STRING) || '|' || o_orderstatus || '"|' || CAST(o_custkey AS STRING) || '.5' END"""
 
 
 @query(
     "s01_roll_lines",
-    """SELECT o_orderkey AS id, o_orderstatus || '"' AS status, o_custkey + 0.5 AS amount FROM orders WHERE o_orderkey % 9 <> 0""".replace("0.5", "5e-1"),
+    """SELECT CASE WHEN o_orderkey % 9 = 1 THEN NULL ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 9 = 1 THEN NULL ELSE o_orderstatus || '"' END AS status,
+              CASE WHEN o_orderkey % 9 > 2 THEN o_custkey + 5e-1 END AS amount FROM orders WHERE o_orderkey % 9 <> 0""",
 )
 def _(t):
     lines = t.orders.selectExpr(f"{_LINES} AS line")
@@ -217,6 +219,8 @@ def _(t):
         F.when(c("p_size") % 4 == 0, "").when(c("p_size") % 4 == 1, "yes").otherwise("no").alias("allows_adu"),
         F.when(c("p_size") % 2 == 0, "T").otherwise("NONE").alias("allows_duplex"),
     )
+    stale = rows.withColumn("min_lot_size_sqft", F.lit("1")).withColumn("line_no", F.lit(1))
+    rows = rows.withColumn("line_no", F.lit(2)).unionByName(stale)
     return rl.load_zoning_rules(rows).select("zone_code", "jurisdiction", "min_lot_size_sqft", "allows_adu", "allows_duplex")
 
 

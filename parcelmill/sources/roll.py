@@ -10,31 +10,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelmill.functions import fixed_values as fv
+from parcelmill.operators.merge import one_per_key, upsert
 
 c = F.col
-BAD_LINE = "_bad_line"
+
+
+def roll_lines(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """The lines of Latin-1 roll files as one text column, without header and blank lines."""
+    options = {"sep": "\u0001", "encoding": "ISO-8859-1", "quote": "", "escape": "", "header": header, "maxCharsPerColumn": -1}
+    return spark.read.schema("line string").options(**options).csv(path).where(F.trim("line") != "")
+
+
+def parse_roll_lines(lines: DataFrame, column: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows of pipe-separated lines, and the lines with more fields than the schema.
+
+    Text is cut into fields first and cast field by field: an unreadable number or a missing
+    field is NULL and the row stays, whichever columns are selected later.
+    """
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    parts = F.split(c(column), r"\|", -1)
+    fits = F.size(parts) <= len(fields)
+    good = lines.where(fits).select(*[F.nullif(F.get(parts, F.lit(i)), F.lit("")).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+    return good, lines.where(~fits)
 
 
 def read_roll(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Pipe-separated Latin-1 roll without quoting; malformed lines are dropped.
+    """Pipe-separated Latin-1 roll without quoting; see `parse_roll_lines` for what is kept.
 
     The schema is given, so nothing is scanned to infer it.
     """
-    return (
-        spark.read.schema(schema)
-        .options(sep="|", encoding="ISO-8859-1", quote="", header=True, mode="DROPMALFORMED", ignoreTrailingWhiteSpace=False)
-        .csv(path)
+    return parse_roll_lines(roll_lines(spark, path), "line", schema)[0]
+
+
+def roll_counts(lines: DataFrame, column: str, schema: str | T.StructType) -> DataFrame:
+    """One row: lines read, kept and skipped, and kept lines with an unreadable field."""
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    parts = F.split(c(column), r"\|", -1)
+    fits = F.size(parts) <= len(fields)
+    text = [F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i in range(len(fields))]
+    odd = F.array(*[x.isNotNull() & x.try_cast(f.dataType).isNull() for x, f in zip(text, fields)])
+    return lines.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(fits).alias("kept"), F.count_if(~fits).alias("skipped"),
+        F.count_if(fits & F.array_contains(odd, True)).alias("unreadable"),
     )
 
 
-def parse_roll_lines(lines: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed rows of pipe-separated text lines, and the lines that do not fit."""
-    width = len(T._parse_datatype_string(schema).fields)
-    fits = F.size(F.split(c(column), r"\|", -1)) == width
-    good = lines.where(fits).select(F.from_csv(c(column), schema, {"sep": "|", "quote": "", "mode": "PERMISSIVE"}).alias("r"))
-    return good.select("r.*"), lines.where(~fits)
-
-
 def snake_case(name: str) -> str:
     """Lower case with single underscores for blanks, dashes and slashes."""
     return re.sub(r"_{2,}", "_", re.sub(r"[\s\-/]", "_", name.lower())).strip("_")
@@ -73,8 +93,12 @@ def acs_to_table(rows: DataFrame, header: Sequence[str], column: str = "row", ye
     return rows.select(cell("NAME").alias("name"), *numbers, F.concat(*parts).alias("geoid"), F.lit(year).alias("year"))
 
 
-def load_zoning_rules(df: DataFrame, defaults: Mapping[str, object] = fv.ZONING_DEFAULTS) -> DataFrame:
-    """Zoning rules with unknown values replaced by county defaults; last row per key wins."""
+def load_zoning_rules(df: DataFrame, defaults: Mapping[str, object] = fv.ZONING_DEFAULTS, order: Sequence[str] = ("line_no",)) -> DataFrame:
+    """Zoning rules with unknown values replaced by county defaults.
+
+    Of rows with one (zone_code, jurisdiction) the last by `order` wins; order columns that
+    `df` lacks are left out, and ties go to the greatest values.
+    """
     out = [F.trim("zone_code").alias("zone_code"), F.trim("jurisdiction").alias("jurisdiction")]
     for name, default in defaults.items():
         known = F.when(~F.upper(F.trim(c(name))).isin(*fv.BLANK_RULES), c(name))
@@ -83,7 +107,14 @@ def load_zoning_rules(df: DataFrame, defaults: Mapping[str, object] = fv.ZONING_
             out.append(F.coalesce(flag, F.lit(default)).alias(name))
         else:
             out.append(F.coalesce(known.try_cast("double"), F.lit(float(default))).alias(name))
-    return df.select(*out)
+    by = [x for x in order if x in df.columns]
+    rows = df.select(*out, *[c(x).alias(f"__by{i}") for i, x in enumerate(by)])
+    return one_per_key(rows, ["zone_code", "jurisdiction"], [f"__by{i}" for i in range(len(by))]).drop(*[f"__by{i}" for i in range(len(by))])
+
+
+def upsert_zoning_rules(target: DataFrame, df: DataFrame, **settings: object) -> DataFrame:
+    """Stored rules with the rules of a sheet put in or replaced by (zone_code, jurisdiction)."""
+    return upsert(target, load_zoning_rules(df, **settings), ["zone_code", "jurisdiction"])
 
 
 def read_places(df: DataFrame, column: str = "json") -> DataFrame:

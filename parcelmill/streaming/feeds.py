@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,30 +29,48 @@ def last_review_dates(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("place_id").agg(F.max("created_at").alias("last_review_date"), F.count(F.lit(1)).alias("reviews"))
 
 
-def ingest_reviews(stream: DataFrame, table_path: str, checkpoint: str, watermark: str = "7 days") -> StreamingQuery:
-    """Add each review once to a stored table.
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:  # nothing was written yet
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
-    Repeats within the watermark are dropped by the stream's state; older repeats
-    by an anti join with the table. Every micro-batch owns one folder of the
-    table and overwrites it, so a batch run again after a failure leaves no copy.
+
+def ingest_reviews(stream: DataFrame, table_path: str, checkpoint: str, places_path: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Add each review once to a stored table, however old it is.
+
+    Repeats inside a micro-batch leave the earliest; an anti join with the stored keys drops
+    what the table holds. The table is partitioned by a hash bucket of the key and by the
+    batch, so a batch reads only the buckets it touches, and one run again after a failure
+    replaces its own partitions. With `places_path` the newest date and the number of stored
+    reviews per place are kept as well, one snapshot per batch.
     """
-    marked = valid_reviews(stream).withColumn("created_at", c("created_at").cast("timestamp")).withWatermark("created_at", watermark)
-    once = marked.dropDuplicatesWithinWatermark(REVIEW_KEY)
     columns = stream.columns
+    bucket = F.pmod(F.xxhash64(*REVIEW_KEY), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*columns)
-        try:
-            stored = spark.read.parquet(table_path).where(c("batch") < batch_id).select(*REVIEW_KEY)
-        except Exception as error:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        else:
+        rows = distinct_reviews(batch.select(*columns)).withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
+        old = _read_or_none(spark, table_path)
+        if old is not None:
+            # At most `buckets` numbers.
+            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+            stored = old.where(c("bucket").isin(touched) & (c("batch") < batch_id)).select(*REVIEW_KEY)
             rows = rows.join(stored, REVIEW_KEY, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch={batch_id}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(table_path)
+        if places_path is not None:
+            written = _read_or_none(spark, table_path)
+            news = last_review_dates(written.where(c("batch") == batch_id)) if written is not None else None
+            before = _read_or_none(spark, places_path)
+            parts = [x for x in (news, before.where(c("batch") == batch_id - 1).drop("batch") if before is not None else None) if x is not None]
+            if parts:
+                both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+                total = both.groupBy("place_id").agg(F.max("last_review_date").alias("last_review_date"), F.sum("reviews").alias("reviews"))
+                total.write.mode("overwrite").parquet(f"{places_path.rstrip('/')}/batch={batch_id}")
 
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity_feed(stream: DataFrame, table_path: str, checkpoint: str, n: int = 20) -> StreamingQuery:

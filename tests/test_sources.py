@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from parcelmill.functions import fixed_values as fv
 from parcelmill.operators import windows as wn
 from parcelmill.sources import roll as rl
 from parcelmill.sources import runs as rn
@@ -9,11 +10,28 @@ from parcelmill.streaming import feeds as fd
 
 
 def test_roll_file_round_trip(spark, tmp_path):
-    text = "PARCEL|OWNER \"X\"|VALUE\nP1|Jos\xe9 \"B\"|10.5\nbad line\nP2|Ann|x\nP3|Bo|7\n"
+    text = "PARCEL|OWNER \"X\"|VALUE\nP1|Jos\xe9 \"B\"|10.5\nshort\na|b|1|2\n\nP2|Ann|x\nP3|Bo|7\n"
     path = tmp_path / "roll.txt"
     path.write_bytes(text.encode("latin-1"))
-    rows = rl.read_roll(spark, str(path), "parcel string, owner string, value double").orderBy("parcel").collect()
-    assert [(r[0], r[1], r[2]) for r in rows] == [("P1", 'José "B"', 10.5), ("P3", "Bo", 7.0)]
+    schema = "parcel string, owner string, value double"
+    df = rl.read_roll(spark, str(path), schema)
+    rows = df.orderBy("parcel").collect()
+    assert [(r[0], r[1], r[2]) for r in rows] == [("P1", 'José "B"', 10.5), ("P2", "Ann", None), ("P3", "Bo", 7.0), ("short", None, None)]
+    assert df.count() == 4 and [df.select(x).count() for x in df.columns] == [4, 4, 4] and len(df.select("value").collect()) == 4
+    lines = rl.roll_lines(spark, str(path))
+    assert [r["line"] for r in rl.parse_roll_lines(lines, "line", schema)[1].collect()] == ["a|b|1|2"]
+    assert tuple(rl.roll_counts(lines, "line", schema).first()) == (5, 4, 1, 1)
+
+
+def test_zoning_rules_are_kept_once_per_key(spark):
+    names = ["min_lot_size_sqft", "max_lot_coverage_pct", "max_height_ft", "front_setback_ft", "side_setback_ft", "rear_setback_ft", "allows_adu", "allows_duplex", "allows_multifamily"]
+    sheet = spark.createDataFrame([("R1", "X", "5", 1), (" R1", "X ", "7", 2), ("R2", "X", "UNKNOWN", 3)], "zone_code string, jurisdiction string, min_lot_size_sqft string, line_no int")
+    for x in names[1:]:
+        sheet = sheet.withColumn(x, F.lit("NONE"))
+    rules = {r["zone_code"]: r["min_lot_size_sqft"] for r in rl.load_zoning_rules(sheet).collect()}
+    assert rules == {"R1": 7.0, "R2": float(fv.ZONING_DEFAULTS["min_lot_size_sqft"])}
+    later = rl.upsert_zoning_rules(rl.load_zoning_rules(sheet), sheet.where("line_no = 1"))
+    assert {r["zone_code"]: r["min_lot_size_sqft"] for r in later.collect()}["R1"] == 5.0 and later.count() == 2
 
 
 def test_roll_years_are_replaced(spark, tmp_path):
@@ -42,16 +60,21 @@ def test_runs_export_and_log(spark, tmp_path, tables):
 def test_review_stream_keeps_each_review_once(spark, tmp_path):
     schema = "place_id long, source string, review_id string, text string, created_at timestamp"
     at = dt.datetime(2024, 1, 1)
-    first = [(1, "g", "a", "x", at), (1, "g", "a", "x", at), (1, "g", "b", " ", at), (2, "g", "a", "y", at)]
-    later = [(1, "g", "a", "x", at), (1, "g", "c", "z", at + dt.timedelta(days=40))]
-    src, table = str(tmp_path / "in"), str(tmp_path / "table")
-    for rows in (first, later):
+    day = lambda n: at + dt.timedelta(days=n)
+    first = [(1, "g", "a", "x", at), (1, "g", "a", "x", day(3)), (1, "g", "b", " ", at), (2, "g", "a", "y", at)]
+    second = [(1, "g", "a", "x", at), (1, "g", "c", "z", day(400))]
+    # A place that is new brings its whole history.
+    third = [(3, "g", "a", "old", day(-4000)), (3, "g", "b", "new", day(401)), (1, "g", "d", "late", day(-1))]
+    src, table, places = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "places")
+    for rows in (first, second, third, third):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        q = fd.ingest_reviews(stream, table, str(tmp_path / "cp"))
-        q.awaitTermination(120)
-    got = sorted((r["place_id"], r["review_id"]) for r in spark.read.parquet(table).collect())
-    assert got == [(1, "a"), (1, "c"), (2, "a")]
+        fd.ingest_reviews(stream, table, str(tmp_path / "cp"), places, buckets=4).awaitTermination(120)
+    stored = spark.read.parquet(table)
+    want = [(1, "a", at), (1, "c", day(400)), (1, "d", day(-1)), (2, "a", at), (3, "a", day(-4000)), (3, "b", day(401))]
+    assert sorted((r["place_id"], r["review_id"], r["created_at"]) for r in stored.collect()) == want
+    newest = spark.read.parquet(f"{places}/batch=3")
+    assert sorted(tuple(r) for r in newest.select("place_id", "last_review_date", "reviews").collect()) == [(1, day(400), 3), (2, at, 1), (3, day(401), 2)]
 
 
 def test_activity_stream_keeps_newest(spark, tmp_path):
