@@ -58,12 +58,12 @@ _BLOCK = "block string, bucket int, doc_ids array<long>, counts binary, codes bi
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per block of some two million words: one row with its documents as word numbers, and one row per bucket with its words."""
+    """Per block of some 1.5 million words: one row with its documents as word numbers, and one row per bucket with its words."""
     names = [c.split(" ")[0] for c in _BLOCK.split(", ")]
     kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
     part, turn = TaskContext.get().partitionId(), 0
     for whole in batches:
-        for low, high in ranges(pc.list_value_length(whole.column("words")), 2_000_000):
+        for low, high in ranges(pc.list_value_length(whole.column("words")), 1_500_000):
             batch = whole.slice(low, high - low)
             words = batch.column("words")
             coded = words.flatten().dictionary_encode()
@@ -103,8 +103,12 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     added = added_tokens(tokenizer_path)
     made = stored(rows.select("doc_id", words_of(F.col("text"), added).alias("words")).mapInArrow(lambda b: _blocks(b, buckets), _BLOCK), "word_blocks")
 
+    kept: list[WordEncoder] = []
+
     def encode_bucket(table: pa.Table) -> pa.Table:
-        encoder = WordEncoder(tokenizer_path)
+        if not kept:  # once per task
+            kept.append(WordEncoder(tokenizer_path))
+        encoder = kept[0]
         known = {w: encoder.encoded([w])[0] for w in added}
         sizes, ids = [], []
         for row in range(table.num_rows):
@@ -128,8 +132,9 @@ def texts(documents: DataFrame, coded: DataFrame, tokenizer_path: str, digest: b
     Returns doc_id, n_tokens and either ids (array) and decoded (string), or with `digest`
     their SHA-256: of the decimal ids joined by commas, and of the text in UTF-8.
     """
+    pieces = piece_table(tokenizer_path)  # as long as the vocabulary
+
     def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
-        pieces = piece_table(tokenizer_path)
         count = sum(len(unpack(c.as_py())) for c in words.column("codes"))
         shown, plain, size = [b""] * count, [b""] * count, np.zeros(count, np.int64)
         for codes, sizes, ids in zip(words.column("codes"), words.column("sizes"), words.column("ids"), strict=True):

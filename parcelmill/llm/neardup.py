@@ -5,6 +5,8 @@ signature is put into several sorted orders, each beginning with other signature
 nodes that stand close in an order and share a prefix are candidates. In a sparse region all
 nodes of a prefix are compared; in a crowded one only the nearest in order, which share the
 longest prefixes. Candidates are confirmed on their full sets, and links make components.
+Nodes of crowded regions are then walked again, much further, for partners that are still in
+other components.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from parcelmill.llm.components import components
 from parcelmill.llm.words import slices
 from parcelmill.session import stored
 
-_VALUES = 64
+_VALUES = 128
 _TREES = 16
 _START = 2  # values that candidates share at least
 _DEPTH = 10  # values of an order's key
+_MARK_BITS = 1 << 24
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,78 +100,134 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             )
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
     """Each node once per tree, with the tree's key and a sketch of four bits per value."""
-    order = orders()
+    order = orders()[:trees]
     for batch in batches:
         if not batch.num_rows:
             continue
         signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), ">u2").reshape(-1, _VALUES)
         small = (signs & 15).astype(np.uint8)
         sketch = (small[:, ::2] << 4 | small[:, 1::2])
-        nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
         sketches = [s.tobytes() for s in sketch]
+        more = [batch.column("items")] if "items" in batch.schema.names else []
         for tree, own in enumerate(order):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(nodes), tree, np.int32)), pa.array([k.tobytes() for k in np.ascontiguousarray(signs[:, own])], pa.binary()),
-                    pa.array(nodes), pa.array(sizes), pa.array(sketches, pa.binary()),
+                    pa.array(np.full(len(signs), tree, np.int32)), pa.array([k.tobytes() for k in np.ascontiguousarray(signs[:, own])], pa.binary()),
+                    batch.column("node"), batch.column("n"), batch.column("root"), pa.array(sketches, pa.binary()), *more,
                 ],
-                ["tree", "key", "node", "n", "sketch"],
+                ["tree", "key", "node", "n", "root", "sketch", "items"][: 6 + len(more)],
             )
 
 
-def _walk(batches: Iterator[pa.RecordBatch], crowd: int, reach: int, share: float, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of close nodes of sorted rows (tree, key, node, n, sketch), with an estimate of their likeness."""
-    equal = np.array([int(x >> 4 == 0) + int(x & 15 == 0) for x in range(256)], np.uint8)
-    held: list[np.ndarray] | None = None
+_EQUAL = np.array([int(x >> 4 == 0) + int((x & 15) == 0) for x in range(256)], np.uint8)
+
 
-    def pairs(rows: list[np.ndarray], fresh: int) -> pa.RecordBatch:
-        """Pairs whose later row is not before `fresh`."""
-        head, node, n, sketch = rows
-        start = np.flatnonzero(np.append(True, (head[1:] != head[:-1]).any(axis=1)))
-        size = np.repeat(np.diff(np.append(start, len(head))), np.diff(np.append(start, len(head))))
-        first, second, likely = [], [], []
-        for step in range(1, min(crowd, len(head) - 1) + 1):
-            same = (head[step:] == head[:-step]).all(axis=1)
-            same &= (np.arange(step, len(head)) >= fresh) & ((size[step:] <= crowd) | (step <= reach))
-            at = np.flatnonzero(same)
-            if not len(at):
-                if step > reach and not (size <= crowd).any():
-                    break
-                continue
-            small, large = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
-            at = at[small >= share * large]
-            match = equal[sketch[at] ^ sketch[at + step]].sum(axis=1, dtype=np.int64) / _VALUES
-            guess = (match - 1 / 16) / (15 / 16)
-            good = (guess >= least) & (node[at] != node[at + step])
-            first.append(node[at[good]])
-            second.append(node[at[good] + step])
-            likely.append(guess[good])
-        a, b, guess = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((first, np.int64), (second, np.int64), (likely, np.float64)))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(guess.astype(np.float32))], ["a", "b", "guess"])
+def _close(rows: list[np.ndarray], fresh: int, crowd: int, reach: int, share: float, least: float, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places i < j of close rows of a sorted stretch, their estimated likeness, and the nodes of crowded regions.
 
+    j is not before `fresh`. With `apart` only rows of different roots count.
+    """
+    head, node, n, root, sketch = rows
+    start = np.flatnonzero(np.append(True, (head[1:] != head[:-1]).any(axis=1)))
+    run = np.diff(np.append(start, len(head)))
+    size = np.repeat(run, run)
+    first, second, likely = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for step in range(1, min(crowd, len(head) - 1) + 1):
+        at = np.arange(max(0, fresh - step), len(head) - step)
+        at = at[(size[at + step] <= crowd) | (step <= reach)]
+        if apart:
+            at = at[root[at] != root[at + step]]
+        at = at[(head[at] == head[at + step]).all(axis=1)]
+        if not len(at):
+            continue
+        small, large = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
+        at = at[small >= share * large]
+        match = _EQUAL[sketch[at] ^ sketch[at + step]].sum(axis=1, dtype=np.int64) / _VALUES
+        guess = (match - 1 / 16) / (15 / 16)
+        good = (guess >= least) & (node[at] != node[at + step])
+        first.append(at[good])
+        second.append(at[good] + step)
+        likely.append(guess[good])
+    return np.concatenate(first), np.concatenate(second), np.concatenate(likely), np.unique(node[fresh:][size[fresh:] > crowd])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], overlap: int, extra: bool) -> Iterator[tuple[list[np.ndarray], int]]:
+    """Sorted rows (tree, key, node, n, root, sketch[, items]) in stretches that overlap, and where the new rows of each begin."""
+    held: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(-1, _DEPTH)[:, :_START].astype(np.int32)
         head = np.concatenate([batch.column("tree").to_numpy()[:, None], key], axis=1)
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, _VALUES // 2)
-        rows = [head, batch.column("node").to_numpy(), batch.column("n").to_numpy(), sketch]
+        rows = [head, *[batch.column(c).to_numpy() for c in ("node", "n", "root")], sketch]
+        if extra:
+            items = np.empty(batch.num_rows, object)
+            items[:] = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
+            rows.append(items)
         before = 0 if held is None else len(held[0])
         if held is not None:
             rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
-        yield pairs(rows, before)
-        held = [x[-2 * crowd :] for x in rows]
+        yield rows, before
+        held = [x[-overlap:] for x in rows]
+
+
+def _same(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _ordered(nodes: DataFrame, trees: int) -> DataFrame:
+    """Each node once per tree, in ranges of the full order.
+
+    A crowded prefix is spread over as many tasks as its rows fill.
+    """
+    schema = "tree int, key binary, node long, n long, root long, sketch binary" + (", items binary" if "items" in nodes.columns else "")
+    return nodes.mapInArrow(lambda b: _keys(b, trees), schema).repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
 
 
 def candidates(nodes: DataFrame, share: float, crowd: int, reach: int, least: float) -> DataFrame:
-    """(a, b, guess): pairs of nodes (node, n, signs) that stand close in some tree."""
-    keyed = nodes.mapInArrow(_keys, "tree int, key binary, node long, n long, sketch binary")
-    # Ranges of the full order: a crowded prefix is spread over as many tasks as its rows fill.
-    ordered = keyed.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    close = ordered.mapInArrow(lambda b: _walk(b, crowd, reach, share, least), "a long, b long, guess float")
-    return close.groupBy("a", "b").agg(F.max("guess").alias("guess"))
+    """(a, b, guess): pairs of nodes (node, n, signs, root) that stand close in some tree.
+
+    Each node of a crowded region also comes out paired with itself.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, fresh in _stretches(batches, 2 * crowd, False):
+            i, j, guess, crowded = _close(rows, fresh, crowd, reach, share, least, False)
+            a, b = np.append(rows[1][i], crowded), np.append(rows[1][j], crowded)
+            guess = np.append(guess, np.ones(len(crowded))).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(guess)], ["a", "b", "guess"])
+
+    return _ordered(nodes, _TREES).mapInArrow(run, "a long, b long, guess float").groupBy("a", "b").agg(F.max("guess").alias("guess"))
+
+
+def far_links(nodes: DataFrame, percent: int, crowd: int, reach: int, least: float, trees: int) -> DataFrame:
+    """(a, b): linked pairs of nodes (node, n, signs, root, items) of different roots, looked for far along some trees.
+
+    Pairs are confirmed where they meet; roots that a task has linked already are not tried again.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for rows, fresh in _stretches(batches, 2 * crowd, True):
+            i, j, guess, _ = _close(rows[:5], fresh, crowd, reach, percent / 100, least, True)
+            linked = []
+            for x, y in zip(*[k[np.argsort(-guess, kind="stable")].tolist() for k in (i, j)], strict=True):
+                one, two = top(int(rows[3][x])), top(int(rows[3][y]))
+                if one != two and _same(rows[5][x], rows[5][y], percent):
+                    parent[max(one, two)] = min(one, two)
+                    linked.append((int(rows[1][x]), int(rows[1][y])))
+            columns = list(zip(*linked, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return _ordered(nodes, trees).mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -179,7 +238,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 own = [x.tobytes() for x in shingle_sets(batch.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], ["node", "items"])
 
-    return docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, items binary")
+    # A bit map of the wanted ids, of at most _MARK_BITS / 64 rows, keeps most other texts out of the join.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_MARK_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), slot(c).bitwiseAND(63).cast("int"))
+    marks = wanted.groupBy(F.floor(slot("node") / 64).alias("word")).agg(F.bit_or(bit("node")).alias("bits"))
+    near = docs.withColumn("word", F.floor(slot("doc_id") / 64)).join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(bit("doc_id")) != 0)
+    return near.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, items binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,9 +253,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             x, y = batch.column("x"), batch.column("y")
             good = []
             for i in range(batch.num_rows):
-                one, two = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(100 * both >= percent * (len(one) + len(two) - both))
+                good.append(_same(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -208,7 +270,8 @@ def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def find(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, crowd: int = 48, reach: int = 8, least: float = 0.53,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, crowd: int = 48, reach: int = 4,
+    far_crowd: int = 1024, far_reach: int = 256, far_trees: int = 6, least: float = 0.58,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document.
 
@@ -216,9 +279,11 @@ def find(
     compared in full, larger ones with the `reach` next nodes in order. Candidates whose
     estimated likeness is below `least`, four standard errors under `percent`, are left out.
 
-    Only components are wanted, so pairs are confirmed in three turns: each node's likeliest
-    partner, then the likeliest pair of any two components, then all pairs between different
-    components. No candidate between components stays unconfirmed.
+    Only components are wanted, so pairs are confirmed in turns: each node's likeliest partner,
+    then the likeliest pair of any two components, then all that still lie between different
+    components. Nodes of crowded regions are then walked again in `far_trees` trees, regions of
+    `far_crowd` in full and `far_reach` nodes ahead in larger ones, and pairs of different
+    components confirmed on the spot. No candidate between components stays unconfirmed.
 
     Null texts and texts without words link with nothing. Rows of one id are one document,
     of the union of their links; null ids stay alone, with a null component. An empty table
@@ -229,9 +294,10 @@ def find(
     classes = stored(
         signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("signs").alias("signs")), "classes",
     )
-    pairs = stored(candidates(classes.select("node", "n", "signs"), percent / 100, crowd, reach, least), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_sets(rows.where("doc_id IS NOT NULL"), ends, width), "sets")
+    nodes = classes.select("node", "n", "signs", F.col("node").alias("root"))
+    found = stored(candidates(nodes, percent / 100, crowd, reach, least), "candidates")
+    pairs, crowded = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
+    sets = stored(_sets(rows.where("doc_id IS NOT NULL"), found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
 
     both = pairs.select("a", "b", "guess", F.explode(F.array("a", "b")).alias("node"))
     best = both.groupBy("node").agg(F.max(F.struct("guess", F.negative(F.col("a") + F.col("b")).alias("near"), "a", "b")).alias("m"))
@@ -245,6 +311,10 @@ def find(
     roots = components(links)
     left = _with_roots(rest.select("a", "b").join(second, ["a", "b"], "left_anti"), roots).where("root_a <> root_b")
     links = stored(links.unionByName(_confirm(left, sets, percent)), "links_3")
+    roots = components(links)
+    again = crowded.join(classes.select("node", "n", "signs"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = stored(again.join(sets, "node").select("node", "n", "signs", "root", "items"), "crowded")
+    links = stored(links.unionByName(far_links(again, percent, far_crowd, far_reach, least, far_trees)), "links_4")
     # Classes that share a document id are one.
     own = signed.where("n > 0 AND doc_id IS NOT NULL").join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).select("doc_id", "node")
     shared = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
