@@ -144,6 +144,16 @@ def interactions(df: DataFrame, names: Sequence[str], terms: Mapping[str, Sequen
     return df, {"created": created, "skipped": skipped}
 
 
+def term_report(df: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Per term: share of rows that have it, number of distinct values and variance, from one pass."""
+    count = F.count(F.lit(1)).cast("double")
+    facts = [
+        F.struct(F.lit(x).alias("term"), (F.count(c(x)) / count).alias("present"), F.countDistinct(c(x)).alias("distinct_values"), F.var_samp(c(x).cast("double")).alias("variance"))
+        for x in terms
+    ]
+    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+
+
 def predictors(columns: Sequence[str], profile: str = "baseline", bundle: str | None = "standard") -> dict[str, list[str]]:
     """Forced and candidate terms of a profile, without repeats; absent ones are reported."""
     if profile not in fv.PROFILE_EXTRAS:

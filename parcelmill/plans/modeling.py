@@ -18,13 +18,17 @@ from parcelmill.plans.registry import query
 c = F.col
 
 
-@query("r09_predictor_inventory")
+_REPORTED = ("log_area", "log_lot", "log_age", "quality_score", "t")
+
+
+@query(
+    "r09_predictor_report",
+    f"""WITH {FEATURE_SQL}, v AS (UNPIVOT (SELECT """ + ", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in _REPORTED) + """ FROM feat) ON """ + ", ".join(_REPORTED) + """ INTO NAME term VALUE value),
+        n AS (SELECT count(*) AS rows FROM feat)
+        SELECT term, round(count(value) / any_value(rows), 6) AS present, count(DISTINCT value) AS distinct_values, round(var_samp(value), 6) AS variance FROM v, n GROUP BY term""",
+)
 def _(t):
-    columns = feature_rows(t).columns
-    rows = [(p, kind, x) for p in fv.PROFILE_EXTRAS for kind, names in ft.predictors(columns, p).items() for x in names]
-    inventory = t.spark.createDataFrame(rows, "profile string, kind string, term string")
-    present = feature_rows(t).agg(F.count(F.lit(1)).alias("rows")).scalar()
-    return inventory.withColumn("rows", present)
+    return ft.term_report(feature_rows(t), _REPORTED).select("term", *r6("present"), "distinct_values", *r6("variance"))
 
 
 @query(
@@ -69,6 +73,22 @@ def _(t):
 _TERMS = ["log_area", "log_age", "log_lot", "quality_score", "condition_score", "t", "has_garage", "is_view"]
 
 
+@query(
+    "r15_robust_errors_one_term",
+    f"""WITH {FEATURE_SQL}, r AS (SELECT valuation_area AS g, log_area AS x, log_price AS y FROM feat WHERE log_area IS NOT NULL AND log_price IS NOT NULL),
+        m AS (SELECT g, avg(x) AS mx FROM r GROUP BY 1), z AS (SELECT r.g, x - mx AS x, y, mx FROM r JOIN m ON r.g IS NOT DISTINCT FROM m.g),
+        s AS (SELECT g, count(*) AS n, any_value(mx) AS mx, sum(x * x) AS sxx, avg(y) AS my, sum(x * y) AS sxy FROM z GROUP BY 1),
+        w AS (SELECT z.g, z.x, pow((y - my - sxy / sxx * z.x) / (1 - 1e0 / n - z.x * z.x / sxx), 2) AS w FROM z JOIN s ON z.g IS NOT DISTINCT FROM s.g),
+        k AS (SELECT g, sum(w) AS w0, sum(w * x) AS w1, sum(w * x * x) AS w2 FROM w GROUP BY 1),
+        v AS (SELECT s.g, w0 / (n * n) AS v00, w1 / (n * sxx) AS v01, w2 / (sxx * sxx) AS v11, mx FROM s JOIN k ON s.g IS NOT DISTINCT FROM k.g)
+        SELECT g AS valuation_area, 'log_area' AS term, round(sqrt(v11), 6) AS beta_se FROM v
+        UNION ALL SELECT g, 'const', round(sqrt(v00 - 2 * mx * v01 + mx * mx * v11), 6) FROM v""",
+)
+def _(t):
+    rows = feature_rows(t)
+    return mo.hc3(rows, mo.moments(rows, G, ["log_area"], "log_price")).select("valuation_area", "term", *r6("beta_se"))
+
+
 @query("r15_robust_errors")
 def _(t):
     rows = feature_rows(t)

@@ -126,7 +126,7 @@ def _(t):
 
 @query("g07_buffer_overlap")
 def _(t):
-    return ov.buffer_overlap_area(lots(t), zones(t, "zone_class").where("zone_class = 'PROMO'"), 0.05, CELL)
+    return ov.buffer_overlap_area(lots(t), zones(t), 0.05, CELL)
 
 
 _NEAR = """SELECT parcel_id, feature_id, distance, attribute FROM (SELECT p.parcel_id, a.amenity_id AS feature_id, sqrt(pow(p.x - a.x, 2) + pow(p.y - a.y, 2)) AS distance, a.flow AS attribute,
@@ -147,10 +147,10 @@ def _(t):
 @query(
     "g08_nearest_zone",
     f"""SELECT parcel_id, round(d, 6) AS distance FROM (SELECT p.parcel_id, z.zone_id, {BOX_GAP} AS d,
-        row_number() OVER (PARTITION BY p.parcel_id ORDER BY {BOX_GAP}, z.zone_id) AS rn FROM parcels p, zones z WHERE z.zone_class = 'LARGE') WHERE rn = 1""",
+        row_number() OVER (PARTITION BY p.parcel_id ORDER BY {BOX_GAP}, z.zone_id) AS rn FROM parcels p, zones z) WHERE rn = 1""",
 )
 def _(t):
-    return ov.nearest_polygon(t.parcels, zones(t, "zone_class").where("zone_class = 'LARGE'"), "zone_id").select("parcel_id", *r6("distance"))
+    return ov.nearest_polygon(t.parcels, zones(t), "zone_id").select("parcel_id", *r6("distance"))
 
 
 @query(
@@ -383,22 +383,21 @@ def _(t):
 
 @query(
     "s07_layer_in_boundary",
-    f"SELECT DISTINCT z.zone_id FROM zones z JOIN zones a ON {MEET} WHERE a.zone_class = 'PROMO' AND a.zone_rank > 45",
+    f"SELECT DISTINCT a.parcel_id FROM lots a JOIN zones z ON {MEET}",
 )
 def _(t):
-    area = zones(t, "zone_class", "zone_rank").where("zone_class = 'PROMO' AND zone_rank > 45")
-    return ov.filter_intersecting(zones(t), area, CELL, "zone_id").select("zone_id")
+    return ov.filter_intersecting(lots(t), zones(t), CELL, "parcel_id").select("parcel_id")
 
 
 @query(
     "j12_census_by_point",
     f"""SELECT parcel_id, zone_id, median_income FROM (SELECT p.parcel_id, z.zone_id, z.zone_rank * 1000 AS median_income,
-        row_number() OVER (PARTITION BY p.parcel_id ORDER BY z.zone_id) AS rn FROM parcels p JOIN zones z ON {HIT} WHERE z.zone_class = 'ECONOMY') WHERE rn = 1""",
+        row_number() OVER (PARTITION BY p.parcel_id ORDER BY z.zone_id) AS rn FROM parcels p JOIN zones z ON {HIT}) WHERE rn = 1""",
 )
 def _(t):
     from parcelmill.operators.profiles import census_join
 
-    groups = zones(t, "zone_class").where("zone_class = 'ECONOMY'").withColumnRenamed("zone_id", "geoid")
+    groups = zones(t).withColumnRenamed("zone_id", "geoid")
     acs = t.zones.select(c("zone_id").alias("geoid"), (c("zone_rank") * 1000).alias("median_income"))
     return census_join(t.parcels, groups, acs, CELL).select("parcel_id", c("geoid").alias("zone_id"), "median_income")
 

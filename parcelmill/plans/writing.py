@@ -13,16 +13,19 @@ from parcelmill.sources import roll as rl
 
 c = F.col
 
-# Two overlapping key ranges of one table play the stored table and the new rows.
-_SIDES = """old_rows AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS amount, c_mktsegment AS seg FROM {c} WHERE c_nationkey < 16),
-    new_rows AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN NULL ELSE lower(c_name) END AS name,
-                 CASE WHEN c_custkey % 5 = 0 THEN 0e0 ELSE c_acctbal END AS amount FROM {c} WHERE c_nationkey > 8)"""
+# The whole table plays the stored rows, and once more, partly under new keys, the new ones.
+_SIDES = """old_rows AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS amount, c_mktsegment AS seg FROM {c}),
+    new_rows AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN NULL ELSE lower(c_name) END AS name,
+                 CASE WHEN c_custkey % 5 = 0 THEN 0e0 ELSE c_acctbal END AS amount FROM {c})"""
 _DUCK = _SIDES.format(c="customer")
 
 
 def sides(t):
+    """Stored rows, and new rows with every key twice: `ver` 1 is stale, 2 counts."""
     sql = "WITH " + _SIDES.format(c="{customer}") + " SELECT * FROM "
-    return t.sql(sql + "old_rows"), t.sql(sql + "new_rows")
+    old, new = t.sql(sql + "old_rows"), t.sql(sql + "new_rows").withColumn("ver", F.lit(2))
+    stale = new.select("k", F.lit("stale").alias("name"), (c("amount") + 1).alias("amount"), F.lit(1).alias("ver"))
+    return old, stale.unionByName(new)
 
 
 @query(
@@ -31,7 +34,7 @@ def sides(t):
         CASE WHEN n.k IS NOT NULL THEN n.amount ELSE o.amount END AS amount, o.seg FROM old_rows o FULL JOIN new_rows n ON o.k = n.k""",
 )
 def _(t):
-    return mg.upsert(*sides(t), ["k"])
+    return mg.upsert(*sides(t), ["k"], order=["ver"])
 
 
 @query(
@@ -39,7 +42,8 @@ def _(t):
     f"WITH {_DUCK} SELECT k, name, amount, seg FROM old_rows UNION ALL SELECT k, name, amount, NULL FROM new_rows WHERE k NOT IN (SELECT k FROM old_rows)",
 )
 def _(t):
-    return mg.insert_new(*sides(t), ["k"])
+    old, new = sides(t)
+    return mg.insert_new(old, new, ["k"], order=[-c("ver")]).drop("ver")
 
 
 @query(
@@ -51,7 +55,7 @@ def _(t):
 )
 def _(t):
     old, new = sides(t)
-    return mg.merge_changed(old, new, ["k"], ["name", "amount"])
+    return mg.merge_changed(old, new, ["k"], ["name", "amount"], order=["ver"])
 
 
 @query(
@@ -60,7 +64,7 @@ def _(t):
 )
 def _(t):
     old, new = sides(t)
-    return mg.replace_scope(old, new, c("seg") == "BUILDING")
+    return mg.replace_scope(old, new.where("ver = 2").drop("ver"), c("seg") == "BUILDING")
 
 
 @query(
@@ -179,11 +183,11 @@ def _(t):
 
 @query(
     "s06_attribute_merge",
-    """SELECT s.s_suppkey AS d_point_id, p.p_brand AS wr_doc_nr, CAST(p.p_size AS INT) AS eventdate FROM supplier s LEFT JOIN (SELECT * FROM part WHERE p_size > 20) p ON s.s_suppkey = p.p_partkey""",
+    """SELECT s.s_suppkey AS d_point_id, p.p_brand AS wr_doc_nr, CAST(p.p_size AS INT) AS eventdate FROM supplier s LEFT JOIN part p ON s.s_suppkey = p.p_partkey""",
 )
 def _(t):
     points = t.supplier.select(c("s_suppkey").alias("d_point_id"), "s_name")
-    docs = t.part.where("p_size > 20").select(c("p_partkey").alias("D_POINT_ID"), c("p_brand").alias("WRDOCNR"), c("p_size").alias("CREATED_TD"))
+    docs = t.part.select(c("p_partkey").alias("D_POINT_ID"), c("p_brand").alias("WRDOCNR"), c("p_size").alias("CREATED_TD"))
     return ly.merge_attributes(points, docs).select("d_point_id", "wr_doc_nr", c("eventdate").cast("int").alias("eventdate"))
 
 
