@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmill.llm.words import WordEncoder, byte_values, load_tokenizer, pack, pack_words, ragged, ranges, unpack, unpack_words
-from parcelmill.session import stored
+from parcelmill.session import settings, stored
 
 # Fixed value: how the byte-level vocabulary cuts a text before its merges.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +101,10 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // bucket_bytes))
     added = added_tokens(tokenizer_path)
-    made = stored(rows.select("doc_id", words_of(F.col("text"), added).alias("words")).mapInArrow(lambda b: _blocks(b, buckets), _BLOCK), "word_blocks")
+    words = rows.select("doc_id", words_of(F.col("text"), added).alias("words"))
+    # A batch of words takes several times the room of its texts.
+    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2500"):
+        made = stored(words.mapInArrow(lambda b: _blocks(b, buckets), _BLOCK), "word_blocks")
 
     kept: list[WordEncoder] = []
 
