@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,28 +193,96 @@ def overlap_pct(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
     return overlap_area(parcels, layer, cell).join(sized, KEY).select(KEY, (c("val") / c("a")).alias("val"))
 
 
-def buffer_overlap_area(parcels: DataFrame, layer: DataFrame, distance: float, cell: float, corners: int = 32) -> DataFrame:
-    """Overlap with the layer grown by a distance; convex features become their rounded outline."""
-    grown = layer.select(grow_convex_udf(distance, corners)(gm.edges(c("rings"))).alias("rings"))
-    return overlap_area(parcels, grown, cell)
+def buffer_overlap_area(parcels: DataFrame, layer: DataFrame, distance: float, cell: float, corners: int = 32, square: bool = False) -> DataFrame:
+    """Largest overlap of a parcel with one feature grown by a distance.
+
+    A feature is grown by a regular polygon of `corners` corners, or by an upright square,
+    whatever its shape: it is its own area together with what each of its edges sweeps. A parcel that only lies in the
+    hull of a bent feature has no overlap.
+    """
+    pairs = polygon_pairs(parcels.select(KEY, "rings"), layer.select("rings"), cell, grow=distance)
+    angle = 2 * np.pi * np.arange(corners) / corners
+    shape = distance * (np.array([(1, 1), (-1, 1), (-1, -1), (1, -1)], float) if square else np.stack([np.cos(angle), np.sin(angle)], axis=1))
+
+    @F.pandas_udf(DoubleType())
+    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([grown_overlap(x, y, shape) for x, y in zip(a, b)])
+
+    hits = pairs.select(KEY, overlap(c("l_edges"), c("r_edges")).alias("overlap")).where(c("overlap") > 0)
+    return _facts(parcels, hits.groupBy(KEY).agg(F.max("overlap").alias("val")))
 
 
-def grow_convex_udf(distance: float, corners: int):
-    ring_type = "array<array<struct<x:double,y:double>>>"
+def _edge_array(edge_list) -> np.ndarray:
+    return np.array([(e["ax"], e["ay"], e["bx"], e["by"]) for e in edge_list], float).reshape(-1, 4)
 
-    @F.pandas_udf(ring_type)
-    def grow(edge_lists: pd.Series) -> pd.Series:
-        out = []
-        for edge_list in edge_lists:
-            points = [
-                (e["ax"] + distance * math.cos(2 * math.pi * i / corners), e["ay"] + distance * math.sin(2 * math.pi * i / corners))
-                for e in edge_list for i in range(corners)
-            ]
-            hull = convex_hull(points)
-            out.append([[{"x": x, "y": y} for x, y in [*hull, hull[0]]]])
-        return pd.Series(out)
 
-    return grow
+def _swept(edges: np.ndarray, box: np.ndarray, shape: np.ndarray) -> list[np.ndarray]:
+    """What a convex shape covers that moves along each edge near a box: convex rings, as edges."""
+    distance = np.abs(shape).max()
+    out = []
+    for ax, ay, bx, by in edges:
+        if min(ax, bx) - distance > box[2] or max(ax, bx) + distance < box[0] or min(ay, by) - distance > box[3] or max(ay, by) + distance < box[1]:
+            continue
+        hull = np.array(convex_hull([tuple(p) for p in np.concatenate([shape + (ax, ay), shape + (bx, by)])]))
+        out.append(np.concatenate([hull, np.roll(hull, -1, axis=0)], axis=1))
+    return out
+
+
+def _crossings(edges: np.ndarray) -> np.ndarray:
+    """x of the points where edges cross."""
+    d = edges[:, 2:] - edges[:, :2]
+    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
+    gap = edges[None, :, :2] - edges[:, None, :2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[:, :, 0] * d[None, :, 1] - gap[:, :, 1] * d[None, :, 0]) / cross
+        u = (gap[:, :, 0] * d[:, None, 1] - gap[:, :, 1] * d[:, None, 0]) / cross
+    hit = (np.abs(cross) > 1e-300) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+    i, j = np.nonzero(np.triu(hit))
+    return edges[i, 0] + t[i, j] * d[i, 0]
+
+
+def _strips(edges: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper ends of the inside of a polygon (even-odd) on vertical lines; empty ones are infinite."""
+    low, high = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+    on = (x[:, None] > low) & (x[:, None] < high)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = edges[:, 1] + (x[:, None] - edges[:, 0]) / (edges[:, 2] - edges[:, 0]) * (edges[:, 3] - edges[:, 1])
+    y = np.sort(np.where(on, y, np.inf), axis=1)
+    if y.shape[1] % 2:
+        y = np.concatenate([y, np.full((len(y), 1), np.inf)], axis=1)
+    return y[:, 0::2], y[:, 1::2]
+
+
+def grown_overlap(a, b, shape: np.ndarray) -> float:
+    """Overlap area of polygon `a` with polygon `b` grown by a convex shape, from vertical slabs.
+
+    Between two neighboring corners or crossings all borders are straight, so the length of
+    the overlap on the middle line times the width is the exact area of a slab.
+    """
+    first, second = _edge_array(a), _edge_array(b)
+    box = np.array([first[:, 0].min(), first[:, 1].min(), first[:, 0].max(), first[:, 1].max()])
+    parts = [second, *_swept(second, box, shape)]
+    edges = np.concatenate([first, *parts])
+    near = (np.minimum(edges[:, 0], edges[:, 2]) <= box[2]) & (np.maximum(edges[:, 0], edges[:, 2]) >= box[0])
+    near &= (np.minimum(edges[:, 1], edges[:, 3]) <= box[3]) & (np.maximum(edges[:, 1], edges[:, 3]) >= box[1])
+    x = np.concatenate([edges[:, 0], _crossings(edges[near])])
+    x = np.unique(x[(x >= box[0]) & (x <= box[2])])
+    middle, width = (x[1:] + x[:-1]) / 2, np.diff(x)
+    if not len(middle):
+        return 0.0
+    ends = [_strips(p, middle) for p in parts]
+    low, high = np.concatenate([e[0] for e in ends], axis=1), np.concatenate([e[1] for e in ends], axis=1)
+    total = np.zeros(len(middle))
+    for j in range(_strips(first, middle)[0].shape[1]):
+        floor, roof = (side[:, j : j + 1] for side in _strips(first, middle))
+        lo, hi = np.clip(low, floor, roof), np.clip(high, floor, roof)
+        order = np.argsort(lo, axis=1, kind="stable")
+        lo, hi = np.take_along_axis(lo, order, 1), np.take_along_axis(hi, order, 1)
+        before = np.concatenate([np.full((len(lo), 1), -np.inf), np.maximum.accumulate(hi, axis=1)[:, :-1]], axis=1)
+        with np.errstate(invalid="ignore"):
+            length = np.nan_to_num(hi - np.maximum(lo, before), nan=0.0, posinf=0.0)
+        total += np.where(np.isfinite(floor[:, 0]), np.maximum(length, 0.0).sum(axis=1), 0.0)
+    return float((total * width).sum())
 
 
 def convex_hull(points: list) -> list:

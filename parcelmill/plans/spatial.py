@@ -124,6 +124,19 @@ def _(t):
     return ov.parcels_within(lots(t), zones(t, "zone_class"), 0.05, CELL, c("zone_class") == "SMALL")
 
 
+_GROWN = OVERLAP.replace("z.x0 + z.side", "z.x0 + z.side + 0.05").replace("a.x0, z.x0)", "a.x0, z.x0 - 0.05)").replace("z.y0 + z.side", "z.y0 + z.side + 0.05").replace("a.y0, z.y0)", "a.y0, z.y0 - 0.05)")
+
+
+@query(
+    "g07_square_buffer_overlap",
+    f"""SELECT l.parcel_id, round(h.ov * 247.105381, 6) AS area FROM lots l LEFT JOIN (SELECT a.parcel_id, max({_GROWN}) AS ov FROM lots a JOIN zones z ON {_GROWN} > 0 GROUP BY 1) h
+        ON l.parcel_id = h.parcel_id""",
+)
+def _(t):
+    found = ov.buffer_overlap_area(lots(t), zones(t), 0.05, CELL, square=True)
+    return found.select("parcel_id", F.round(c("val") * 247.105381, 6).alias("area"))
+
+
 @query("g07_buffer_overlap")
 def _(t):
     return ov.buffer_overlap_area(lots(t), zones(t), 0.05, CELL)

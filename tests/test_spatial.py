@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,31 @@ def test_hood_outline_and_projection(spark):
     assert (row["a"], row["b"]) == (pytest.approx(-122.33), pytest.approx(48.42))
 
 
+def _edges(points):
+    return [{"ax": a[0], "ay": a[1], "bx": b[0], "by": b[1]} for a, b in zip(points, points[1:] + points[:1])]
+
+
+def test_grown_shapes_keep_their_form():
+    n = 32
+    angle = 2 * np.pi * np.arange(n) / n
+    circle = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    square = lambda x, y, s: _edges([(x, y), (x + s, y), (x + s, y + s), (x, y + s)])
+    caps = n / 2 * math.sin(2 * math.pi / n)
+    assert ov.grown_overlap(square(-9, -9, 30), square(0, 0, 2), 0.5 * circle) == pytest.approx(4 + 4 * 2 * 0.5 + caps * 0.25)
+    bent = _edges([(0, 0), (10, 0), (10, 1), (1, 1), (1, 10), (0, 10)])
+    assert ov.grown_overlap(square(3, 3, 1), bent, 0.1 * circle) == 0
+    assert ov.grown_overlap(square(3, 1.05, 1), bent, 0.1 * circle) == pytest.approx(0.05)
+    ring_shaped = square(0, 0, 10) + _edges([(3, 3), (3, 7), (7, 7), (7, 3)])
+    assert ov.grown_overlap(square(4, 4, 2), ring_shaped, 0.5 * circle) == 0
+    assert ov.grown_overlap(square(4, 4, 2), ring_shaped, 1.5 * circle) == pytest.approx(3)
+
+
+def test_bent_feature_has_no_overlap_in_its_hull(spark):
+    bent = layer(spark, [(1, [ring((0, 0), (10, 0), (10, 1), (1, 1), (1, 10), (0, 10))])], "zone_id")
+    lot = layer(spark, [(7, [ring((3, 3), (4, 3), (4, 4), (3, 4))])], "parcel_id")
+    assert ov.buffer_overlap_area(lot, bent, 0.1, 1.0).first()["val"] is None
+
+
 def test_buffer_overlap_and_fact_table(spark):
     parcels = layer(spark, [(1, [ring((5, 0), (7, 0), (7, 4), (5, 4), (5, 0))])], "parcel_id")
     zone = layer(spark, [(9, [SQUARE])], "zone_id")
