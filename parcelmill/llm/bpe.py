@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +54,18 @@ def piece_table(tokenizer_path: str) -> list[bytes]:
     return table
 
 
-_BLOCK = "block string, bucket int, doc_ids array<long>, counts binary, codes binary, word_sizes binary, word_text binary"
+_DOCUMENTS = "block string, doc_ids array<long>, counts binary, codes binary"
+_WORDS = "block string, bucket int, codes binary, word_sizes binary, word_text binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per block of some 1.5 million words: one row with its documents as word numbers, and one row per bucket with its words."""
-    names = [c.split(" ")[0] for c in _BLOCK.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-    part, turn = TaskContext.get().partitionId(), 0
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, documents: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of some 1.5 million words, named by a hash of their content.
+
+    Either one row per block with its documents as word numbers, or one row per block and
+    bucket with the words and their numbers.
+    """
+    names = [c.split(" ")[0] for c in (_DOCUMENTS if documents else _WORDS).split(", ")]
+    kinds = [pa.string(), pa.list_(pa.int64()) if documents else pa.int32(), *[pa.binary()] * (2 if documents else 3)]
     for whole in batches:
         for low, high in ranges(pc.list_value_length(whole.column("words")), 1_500_000):
             batch = whole.slice(low, high - low)
@@ -72,28 +76,38 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             order = np.argsort(-np.bincount(raw, minlength=len(coded.dictionary)), kind="stable")
             number = np.empty(len(order), np.int64)
             number[order] = np.arange(len(order))
-            turn += 1
-            block = f"{part}.{turn}"
-            counts = np.diff(words.offsets.to_numpy())
-            rows = [(block, None, batch.column("doc_id").to_pylist(), pack(counts), pack(number[raw]), None, None)]
+            counts, docs = np.diff(words.offsets.to_numpy()), batch.column("doc_id").to_pylist()
             by_name = pc.sort_indices(coded.dictionary).to_numpy()
-            found, number = coded.dictionary.take(by_name).to_pylist(), number[by_name]
-            home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in found), np.int64, len(found))
-            by_home = np.argsort(home, kind="stable")
-            edges = np.searchsorted(home[by_home], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = by_home[edges[b] : edges[b + 1]]
-                if len(at):
-                    rows.append((block, b, None, None, pack(number[at]), *pack_words([found[i] for i in at])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
-def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16_000_000) -> tuple[DataFrame, DataFrame]:
-    """Documents as word numbers, and the ids of each block's words.
-
-    The first frame has a row per block: block, doc_ids, counts (words of each document) and
-    codes (word numbers); the second (block, codes, sizes, ids) rows, one per block and
-    bucket. `texts` puts them together. Numbers are packed by `words.pack`.
+            found = coded.dictionary.take(by_name).to_pylist()
+            digest = xxhash.xxh3_128(number[raw].tobytes())
+            for part in (counts.tobytes(), repr(docs).encode(), "".join(found).encode()):
+                digest.update(part)
+            block = digest.hexdigest()
+            if documents:
+                rows = [(block, docs, pack(counts), pack(number[raw]))]
+            else:
+                rows, number = [], number[by_name]
+                home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in found), np.int64, len(found))
+                by_home = np.argsort(home, kind="stable")
+                edges = np.searchsorted(home[by_home], np.arange(buckets + 1))
+                for b in range(buckets):
+                    at = by_home[edges[b] : edges[b + 1]]
+                    if len(at):
+                        rows.append((block, b, pack(number[at]), *pack_words([found[i] for i in at])))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, bucket_bytes: int = 16_000_000) -> DataFrame:
+    """Ids of each text, and the text decoded from them.
+
+    Returns doc_id, n_tokens and ids (array) and decoded (string), or with `digest` their
+    SHA-256: of the decimal ids joined by commas, and of the text in UTF-8. The result is
+    written to the shared folder.
+
+    Texts are read twice, once for words and once for documents, rather than kept twice on
+    disk; a block whose two readings differ is an error. Null texts are empty, repeated rows
+    stay, an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -102,10 +116,6 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     buckets = max(8, -(-size // bucket_bytes))
     added = added_tokens(tokenizer_path)
     words = rows.select("doc_id", words_of(F.col("text"), added).alias("words"))
-    # A batch of words takes several times the room of its texts.
-    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2500"):
-        made = stored(words.mapInArrow(lambda b: _blocks(b, buckets), _BLOCK), "word_blocks")
-
     kept: list[WordEncoder] = []
 
     def encode_bucket(table: pa.Table) -> pa.Table:
@@ -115,63 +125,57 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         known = {w: encoder.encoded([w])[0] for w in added}
         sizes, ids = [], []
         for row in range(table.num_rows):
-            words = unpack_words(table.column("word_sizes")[row].as_py(), table.column("word_text")[row].as_py())
-            for w in words:
+            own = unpack_words(table.column("word_sizes")[row].as_py(), table.column("word_text")[row].as_py())
+            for w in own:
                 if w not in known:
                     known[w] = encoder.merged(w)
-            items, size = ragged([known[w] for w in words])
+            items, size = ragged([known[w] for w in own])
             sizes.append(pack(size))
             ids.append(pack(items))
         return pa.table({"block": table.column("block"), "codes": table.column("codes"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    words = made.where("bucket IS NOT NULL").select("bucket", "block", "codes", "word_sizes", "word_text")
-    coded = words.groupBy("bucket").applyInArrow(encode_bucket, "block string, codes binary, sizes binary, ids binary")
-    return made.where("bucket IS NULL").select("block", "doc_ids", "counts", "codes"), coded
-
-
-def texts(documents: DataFrame, coded: DataFrame, tokenizer_path: str, digest: bool = False) -> DataFrame:
-    """Ids and decoded text of each document of `encode`.
-
-    Returns doc_id, n_tokens and either ids (array) and decoded (string), or with `digest`
-    their SHA-256: of the decimal ids joined by commas, and of the text in UTF-8.
-    """
     pieces = piece_table(tokenizer_path)  # as long as the vocabulary
 
-    def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
-        count = sum(len(unpack(c.as_py())) for c in words.column("codes"))
-        shown, plain, size = [b""] * count, [b""] * count, np.zeros(count, np.int64)
-        for codes, sizes, ids in zip(words.column("codes"), words.column("sizes"), words.column("ids"), strict=True):
-            codes, sizes, ids = unpack(codes.as_py()).tolist(), unpack(sizes.as_py()), unpack(ids.as_py()).tolist()
-            ends = np.cumsum(sizes).tolist()
-            size[codes] = sizes
+    def put_together(docs: pa.Table, coded: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            raise RuntimeError("the texts changed between two readings")
+        shown: dict[int, bytes] = {}
+        plain: dict[int, bytes] = {}
+        length: dict[int, int] = {}
+        for codes, sizes, ids in zip(coded.column("codes"), coded.column("sizes"), coded.column("ids"), strict=True):
+            codes, ids = unpack(codes.as_py()).tolist(), unpack(ids.as_py()).tolist()
             at = 0
-            for code, end in zip(codes, ends, strict=True):
-                own = ids[at:end]
+            for code, n in zip(codes, unpack(sizes.as_py()).tolist(), strict=True):
+                own = ids[at : at + n]
+                at += n
                 shown[code] = b"".join([b"%d," % i for i in own])
                 plain[code] = b"".join([pieces[i] for i in own])
-                at = end
-        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
+                length[code] = n
+        out: list[list] = [[], [], [], []]
         for row in range(docs.num_rows):
-            codes = unpack(docs.column("codes")[row].as_py()).astype(np.int64)
+            codes = unpack(docs.column("codes")[row].as_py()).tolist()
             at = 0
             for doc, n in zip(docs.column("doc_ids")[row].as_py(), unpack(docs.column("counts")[row].as_py()).tolist(), strict=True):
-                own = codes[at : at + n].tolist()
+                own = codes[at : at + n]
                 at += n
                 joined, text = b"".join([shown[c] for c in own])[:-1], b"".join([plain[c] for c in own])
-                out["doc_id"].append(doc)
-                out["n_tokens"].append(int(size[own].sum()))
                 if digest:
-                    out["ids"].append(hashlib.sha256(joined).hexdigest())
-                    out["decoded"].append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
+                    last = [hashlib.sha256(joined).hexdigest(), hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest()]
                 else:
-                    out["ids"].append([int(i) for i in joined.split(b",")] if joined else [])
-                    out["decoded"].append(text.decode("utf-8", "replace"))
+                    last = [[int(i) for i in joined.split(b",")] if joined else [], text.decode("utf-8", "replace")]
+                for column, value in zip(out, [doc, sum([length[c] for c in own]), *last], strict=True):
+                    column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else list(out)
-        return pa.table([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return documents.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, schema)
+    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"])]
+    schema = f"doc_id long, n_tokens long, {names[2]} {'string' if digest else 'array<int>'}, {names[3]} string"
+    coded = words.mapInArrow(lambda b: _blocks(b, buckets, False), _WORDS).groupBy("bucket").applyInArrow(encode_bucket, "block string, codes binary, sizes binary, ids binary")
+    documents = words.mapInArrow(lambda b: _blocks(b, buckets, True), _DOCUMENTS)
+    joined = documents.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, schema)
+    # A batch of words takes several times the room of its texts.
+    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2500"):
+        return stored(joined, "round_trip")
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,5 +183,4 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     name = path("byte_bpe_50k.json")
-    documents, coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), name)
-    return texts(documents, coded, name, digest=True)
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), name, digest=True)

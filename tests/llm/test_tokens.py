@@ -34,16 +34,16 @@ def test_packed_numbers_and_words():
 def test_bpe_round_trip(spark, hard):
     name = path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(name)
-    found = bpe.texts(*bpe.encode(hard, name), name).collect()
+    found = bpe.round_trip(hard, name, bucket_bytes=2000).collect()
     assert len(found) == len(HARD)
     want = sorted((i if i is not None else -1, tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in HARD)
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, list(r["ids"])) for r in found) == want
     texts = sorted((i if i is not None else -1, tokenizer.decode(ids, skip_special_tokens=False)) for i, ids in want)
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["decoded"]) for r in found) == texts
-    digest = {r["doc_id"]: r for r in bpe.texts(*bpe.encode(hard, name), name, digest=True).collect()}
+    digest = {r["doc_id"]: r for r in bpe.round_trip(hard, name, digest=True).collect()}
     ids = dict(want)[6]
     assert digest[6]["ids_sha256"] == sha(",".join(map(str, ids))) and digest[6]["n_tokens"] == len(ids)
-    assert bpe.texts(*bpe.encode(hard.limit(0), name), name).count() == 0
+    assert bpe.round_trip(hard.limit(0), name).count() == 0
 
 
 def test_pieces_and_packing(spark, hard):
@@ -124,14 +124,8 @@ def test_words_of_a_block_stay_in_order():
     words = pa.array([["b", "a", "b"], []])
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), words], ["doc_id", "words"])
 
-    class Context:
-        def partitionId(self):
-            return 0
-
-    old, bpe.TaskContext = bpe.TaskContext, type("T", (), {"get": staticmethod(Context)})
-    try:
-        rows = pa.Table.from_batches(list(bpe._blocks(iter([batch]), 4))).to_pylist()
-    finally:
-        bpe.TaskContext = old
-    number = {w: c for r in rows if r["bucket"] is not None for w, c in zip(unpack_words(r["word_sizes"], r["word_text"]), unpack(r["codes"]).tolist(), strict=True)}
-    assert unpack(rows[0]["codes"]).tolist() == [number["b"], number["a"], number["b"]] and unpack(rows[0]["counts"]).tolist() == [3, 0]
+    read = lambda documents: pa.Table.from_batches(list(bpe._blocks(iter([batch]), 4, documents))).to_pylist()
+    docs, rows = read(True)[0], read(False)
+    assert {r["block"] for r in rows} == {docs["block"]}
+    number = {w: c for r in rows for w, c in zip(unpack_words(r["word_sizes"], r["word_text"]), unpack(r["codes"]).tolist(), strict=True)}
+    assert unpack(docs["codes"]).tolist() == [number["b"], number["a"], number["b"]] and unpack(docs["counts"]).tolist() == [3, 0]
