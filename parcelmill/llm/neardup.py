@@ -243,7 +243,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), slot(c).bitwiseAND(63).cast("int"))
     marks = wanted.groupBy(F.floor(slot("node") / 64).alias("word")).agg(F.bit_or(bit("node")).alias("bits"))
     near = docs.withColumn("word", F.floor(slot("doc_id") / 64)).join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(bit("doc_id")) != 0)
-    return near.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, items binary")
+    # An inner join, as a semi join would be moved below the filter; `wanted` is distinct.
+    return near.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "text").mapInArrow(run, "node long, items binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
