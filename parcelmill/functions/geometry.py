@@ -146,6 +146,22 @@ def polygon_distance(a: Column, b: Column) -> Column:
     return F.when(polygons_intersect(a, b), F.lit(0.0)).otherwise(F.least(corner_gap(a, b), corner_gap(b, a)))
 
 
+def shape_distance(a: Column, b: Column, b_filled: Column) -> Column:
+    """Distance of a polygon to points, lines or a polygon (edge lists), 0 where they meet.
+
+    `b_filled` tells whether the inside of `b` belongs to it.
+    """
+    first_a, first_b = F.element_at(a, 1), F.element_at(b, 1)
+    touch = F.exists(a, lambda e: F.exists(b, lambda f: edges_meet(e, f)))
+    inside = contains_point(a, first_b["ax"], first_b["ay"]) | (b_filled & contains_point(b, first_a["ax"], first_a["ay"]))
+
+    def corner_gap(u: Column, v: Column) -> Column:
+        ends = lambda e, f: F.least(segment_distance(f, e["ax"], e["ay"]), segment_distance(f, e["bx"], e["by"]))
+        return F.aggregate(u, F.lit(float("inf")), lambda d, e: F.least(d, F.aggregate(v, F.lit(float("inf")), lambda g, f: F.least(g, ends(e, f)))))
+
+    return F.when(touch | inside, F.lit(0.0)).otherwise(F.least(corner_gap(a, b), corner_gap(b, a)))
+
+
 def box_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Distance from a point to a rectangle, 0 inside."""
     dx = F.greatest(x0 - x, F.lit(0.0), x - x1)

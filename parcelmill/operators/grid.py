@@ -103,10 +103,12 @@ def nearest(
     per: str | None = None,
     distance: Column | None = None,
     point_features: bool = True,
+    query_box: Sequence[str] | None = None,
 ) -> DataFrame:
     """The k nearest features of every point, ties to the lower feature id.
 
-    Points have columns x and y. Features have f_x0, f_y0, f_x1, f_y1 bounds and any
+    Points have columns x and y; for shapes these are any place inside and `query_box` names the
+    columns of their bounds (x0, y0, x1, y1), which `distance` must respect. Features have f_x0, f_y0, f_x1, f_y1 bounds and any
     columns `distance` needs (default: distance to the bounds). `by` columns must
     agree on both sides. `per` is a feature column: k neighbors are found for each
     of its values. Returns the point columns, the feature columns, `distance` and `rank`.
@@ -172,7 +174,7 @@ def nearest(
     block = extent / FANOUT**depth
     located = points.withColumn("qx", F.floor((c("x") - x0) / block)).withColumn("qy", F.floor((c("y") - y0) / block))
     groups = located.groupBy(*by, "qx", "qy").agg(
-        F.min("x").alias("q_x0"), F.min("y").alias("q_y0"), F.max("x").alias("q_x1"), F.max("y").alias("q_y1")
+        *[f(x).alias(f"q_{n}") for f, x, n in zip((F.min, F.min, F.max, F.max), query_box or ("x", "y", "x", "y"), BOX, strict=True)]
     )
     qkeys = [*fkeys, "qx", "qy"]
     box = [f"q_{n}" for n in BOX]

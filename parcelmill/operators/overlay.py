@@ -339,6 +339,39 @@ def nearest_polygon(points: DataFrame, layer: DataFrame, feature_id: str) -> Dat
     return gr.nearest(points.select(KEY, "x", "y"), features, 1, point_id=KEY, distance=d).select(KEY, "feature_id", "distance")
 
 
+def shape_features(features: DataFrame, feature_id: str, filled: Column | bool, *keep: Column) -> DataFrame:
+    """Features of any kind for `nearest_shapes`, from `rings` (lists of points).
+
+    A point is a ring of one place, a line an open ring, a polygon a closed one; `filled`
+    tells whether the inside belongs to the feature.
+    """
+    paths = F.transform("rings", lambda r: F.when(F.size(r) == 1, F.concat(r, r)).otherwise(r))
+    shaped = features.select(
+        c(feature_id).alias("feature_id"), *keep, gm.edges(paths).alias("f_edges"), gm.bbox(c("rings")).alias("b"), (F.lit(filled) if isinstance(filled, bool) else filled).alias("f_filled"),
+    )
+    return gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "f_").drop("b")
+
+
+def nearest_shapes(parcels: DataFrame, features: DataFrame, per: str | None = None) -> DataFrame:
+    """(parcel, feature_id, distance): the nearest feature of each parcel polygon, 0 where they meet.
+
+    `features` come from `shape_features`; `per` finds one for each value of a feature column.
+    """
+    shaped = parcels.select(KEY, gm.edges(c("rings")).alias("edges"), gm.bbox(c("rings")).alias("b"))
+    boxed = gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "s_").drop("b")
+    placed = boxed.withColumn("x", (c("s_x0") + c("s_x1")) / 2).withColumn("y", (c("s_y0") + c("s_y1")) / 2)
+    gap = gm.shape_distance(c("edges"), c("f_edges"), c("f_filled"))
+    found = gr.nearest(placed, features, 1, point_id=KEY, per=per, distance=gap, query_box=[f"s_{n}" for n in gr.BOX])
+    return found.select(KEY, *([per] if per else []), "feature_id", "distance")
+
+
+def shape_distances(parcels: DataFrame, features: DataFrame, classes: Sequence, per: str = "cls") -> DataFrame:
+    """Distance of each parcel polygon to the nearest feature of every class, one column per class."""
+    found = nearest_shapes(parcels, features.where(c(per).isin(*classes)), per)
+    wide = found.groupBy(KEY).agg(*[F.min(F.when(c(per) == v, c("distance"))).alias(f"dist_{v}") for v in classes])
+    return parcels.select(KEY).join(wide, KEY, "left")
+
+
 def nearest_yield_class(points: DataFrame, wells: DataFrame, feature_id: str, flow: str) -> DataFrame:
     found = nearest_fact(points, wells, feature_id, flow)
     return found.select(KEY, F.when(c("feature_id").isNotNull(), yield_class(c("attribute"))).alias("val"))
@@ -503,6 +536,13 @@ def build_facts(
             val = parcels_within(parcels, layer, float(op["distance"]), cell, where)
         elif metric == "buffer_intersection_area":
             val = buffer_overlap_area(parcels, layer, float(op["distance"]), cell)
+        elif "rings" in layer.columns and metric in ("nearest_distance", "nearest_boundary_distance", "nearest_distance_filtered"):
+            kept = layer.where(c(str(op["filter_column"])).isin(*op["filter_values"])) if "filter_column" in op else layer
+            # A boundary counts as a line: inside of it the distance is not 0.
+            closed = F.forall("rings", lambda r: (F.size(r) > 3) & (F.element_at(r, 1) == F.element_at(r, -1)))
+            filled = F.lit(False) if metric == "nearest_boundary_distance" else closed
+            near = nearest_shapes(parcels, shape_features(kept, str(op["id"]), filled))
+            val = near.select(KEY, c("distance").alias("val"))
         elif metric in ("nearest_distance", "nearest_boundary_distance", "nearest_distance_filtered"):
             where = c(str(op["filter_column"])).isin(*op["filter_values"]) if "filter_column" in op else None
             val = nearest_fact(parcels, layer, str(op["id"]), None, where).select(KEY, c("distance").alias("val"))

@@ -205,6 +205,24 @@ def _(t):
     return out.select("parcel_id", *r6(*[f"dist_{k}" for k in range(9)]))
 
 
+_SHAPE_GAP = """sqrt(pow(greatest(f.x0 - a.x0 - a.side, a.x0 - f.x1, 0), 2) + pow(greatest(f.y0 - a.y0 - a.side, a.y0 - f.y1, 0), 2))"""
+
+
+@query(
+    "g11_shape_distances",
+    f"""WITH f AS (SELECT 'point' AS cls, x AS x0, y AS y0, x AS x1, y AS y1 FROM amenities UNION ALL SELECT 'line', x0, y0, x0 + side, y0 FROM zones UNION ALL SELECT 'area', x0, y0, x0 + side, y0 + side FROM zones)
+        SELECT a.parcel_id, """ + ", ".join(f"round(min(CASE WHEN f.cls = '{k}' THEN {_SHAPE_GAP} END), 6) AS dist_{k}" for k in ("point", "line", "area")) + " FROM lots a, f GROUP BY a.parcel_id",
+)
+def _(t):
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0, x1 = c("x0"), c("y0"), c("x0") + c("side")
+    points = t.amenities.select(c("amenity_id").alias("id"), F.lit("point").alias("cls"), F.array(F.array(p(c("x"), c("y")))).alias("rings"))
+    lines = t.zones.select(c("zone_id").alias("id"), F.lit("line").alias("cls"), F.array(F.array(p(x0, y0), p(x1, y0))).alias("rings"))
+    areas = zones(t).select(c("zone_id").alias("id"), F.lit("area").alias("cls"), "rings")
+    features = ov.shape_features(points.unionByName(lines).unionByName(areas), "id", c("cls") == "area", c("cls"))
+    return ov.shape_distances(lots(t), features, ["point", "line", "area"]).select("parcel_id", *r6("dist_point", "dist_line", "dist_area"))
+
+
 _LONLAT = "SELECT parcel_id, -122.5 + x / 50 AS lon, 48.3 + y / 50 AS lat FROM parcels"
 
 
