@@ -67,13 +67,16 @@ def cell_pairs(
     a = _to_cells(left, "l_", cell, levels)
     b = _to_cells(right, "r_", cell, levels)
     keys = [*equal, "lv", "cx", "cy"]
-    crowded = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(c("__n") > hot_rows)
-    salts = crowded.select(*keys, F.ceil(c("__n") / hot_rows).cast("int").alias("__s"))
-    a = a.join(salts, keys, "left").withColumn(
-        "salt", F.when(c("__s").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), c("__s"))).cast("int")
-    ).drop("__s")
-    b = b.join(salts, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(c("__s"), F.lit(1)) - 1))).drop("__s")
-    joined = a.join(b, [*keys, "salt"])
+    # A cell crowded on either side is cut into blocks of both; every pair of blocks is one key.
+    sizes = [df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias(n)).where(c(n) > 1) for df, n in ((a, "__sa"), (b, "__sb"))]
+    salts = sizes[0].join(sizes[1], keys, "full_outer").na.fill(1, ["__sa", "__sb"])
+
+    def blocks(df: DataFrame, columns: Sequence[str], own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*columns), F.coalesce(c(f"__{own}"), F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(c(f"__{other}"), F.lit(1)) - 1))
+        return df.join(salts, keys, "left").withColumn(own, part).withColumn(other, every).drop("__sa", "__sb")
+
+    joined = blocks(a, left.columns, "sa", "sb").join(blocks(b, right.columns, "sb", "sa"), [*keys, "sa", "sb"])
     meets = (
         (c("l_x0") <= c("r_x1")) & (c("r_x0") <= c("l_x1")) & (c("l_y0") <= c("r_y1")) & (c("r_y0") <= c("l_y1"))
     )
@@ -82,7 +85,7 @@ def cell_pairs(
         & (c("cx") == F.greatest("l_cx", "r_cx"))
         & (c("cy") == F.greatest("l_cy", "r_cy"))
     )
-    return joined.where(meets & once).drop("lv", "cx", "cy", "salt", "l_lv", "r_lv", "l_cx", "l_cy", "r_cx", "r_cy")
+    return joined.where(meets & once).drop("lv", "cx", "cy", "sa", "sb", "l_lv", "r_lv", "l_cx", "l_cy", "r_cx", "r_cy")
 
 
 def _gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -498,65 +498,3 @@ def assign_zone(hits: DataFrame, by_source: bool = False) -> DataFrame:
         rank = F.when(c("source") == "ManualOverride", 3).when(c("source") == "CityGIS", 2).when(c("source") == "WAZA", 1).otherwise(0)
         order = [rank.desc(), *order]
     return first_by(hits, [KEY], order)
-
-
-METRIC_ALIASES = {
-    "area_intersect_pct": "intersection_area_pct",
-    "boolean_overlay": "intersects_boolean",
-    "categorical_overlay": "intersects_attribute",
-    "nearest_distance_ft": "nearest_distance",
-}
-
-
-def build_facts(
-    parcels: DataFrame, layers: Mapping[str, DataFrame], manifest: Sequence[Mapping[str, object]], cell: float
-) -> DataFrame:
-    """Wide fact table: one column per manifest entry.
-
-    An entry has layer, metric, field and the metric's own options. Parcels carry
-    rings and a centroid in x and y; layers carry rings (or x and y for points).
-    """
-    out = parcels.select(KEY)
-    for op in manifest:
-        metric = METRIC_ALIASES.get(str(op["metric"]), str(op["metric"]))
-        layer = layers[str(op["layer"])]
-        field = str(op["field"])
-        if metric == "intersects_boolean":
-            val = intersects(parcels, layer, cell)
-        elif metric == "intersects_attribute":
-            val = intersects_attr(parcels, layer, str(op["column"]), str(op.get("order_by", op["column"])), cell)
-        elif metric == "intersects_attribute_list":
-            val = intersects_list(parcels, layer, str(op["column"]), cell)
-        elif metric == "intersection_area":
-            val = overlap_area(parcels, layer, cell)
-        elif metric == "intersection_area_pct":
-            val = overlap_pct(parcels, layer, cell)
-        elif metric in ("buffer_intersects", "buffer_intersects_boolean", "buffer_intersects_filtered_boolean"):
-            where = c(str(op["filter_column"])).isin(*op["filter_values"]) if "filter_column" in op else None
-            val = parcels_within(parcels, layer, float(op["distance"]), cell, where)
-        elif metric == "buffer_intersection_area":
-            val = buffer_overlap_area(parcels, layer, float(op["distance"]), cell)
-        elif "rings" in layer.columns and metric in ("nearest_distance", "nearest_boundary_distance", "nearest_distance_filtered"):
-            kept = layer.where(c(str(op["filter_column"])).isin(*op["filter_values"])) if "filter_column" in op else layer
-            # A boundary counts as a line: inside of it the distance is not 0.
-            closed = F.forall("rings", lambda r: (F.size(r) > 3) & (F.element_at(r, 1) == F.element_at(r, -1)))
-            filled = F.lit(False) if metric == "nearest_boundary_distance" else closed
-            near = nearest_shapes(parcels, shape_features(kept, str(op["id"]), filled))
-            val = near.select(KEY, c("distance").alias("val"))
-        elif metric in ("nearest_distance", "nearest_boundary_distance", "nearest_distance_filtered"):
-            where = c(str(op["filter_column"])).isin(*op["filter_values"]) if "filter_column" in op else None
-            val = nearest_fact(parcels, layer, str(op["id"]), None, where).select(KEY, c("distance").alias("val"))
-        elif metric == "nearest_attribute":
-            val = nearest_fact(parcels, layer, str(op["id"]), str(op["column"])).select(KEY, c("attribute").alias("val"))
-        elif metric == "yield_classification":
-            val = nearest_yield_class(parcels, layer, str(op["id"]), str(op["column"]))
-        elif metric == "density_per_acre":
-            val = density_per_acre(parcels, layer, cell)
-        elif metric == "contains_boolean":
-            held = contains_join(layer, parcels.select(KEY, "rings"), cell).select(KEY).distinct()
-            val = _facts(parcels, held.withColumn("val", F.lit(True)))
-        else:
-            raise ValueError(f"unknown metric {metric}")
-        out = out.join(val.select(KEY, c("val").alias(field)), KEY, "left")
-    return out
-

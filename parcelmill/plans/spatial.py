@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelmill.functions import geometry as gm
 from parcelmill.functions.codes import aspect_direction
 from parcelmill.operators import grid as gr
+from parcelmill.operators import facts as fc
 from parcelmill.operators import overlay as ov
 from parcelmill.operators import quality as ql
 from parcelmill.operators import raster as ra
@@ -378,10 +379,34 @@ def _(t):
         {"layer": "zones", "metric": "area_intersect_pct", "field": "zone_share"},
         {"layer": "amenities", "metric": "nearest_distance_ft", "id": "amenity_id", "field": "amenity_distance"},
     ]
-    out = ov.build_facts(parcels, {"zones": zones(t, "zone_class"), "amenities": t.amenities}, manifest, CELL)
+    out = fc.build_facts(parcels, {"zones": zones(t, "zone_class"), "amenities": t.amenities}, manifest, CELL)
     return out.select("parcel_id", "in_zone", F.array_join("zone_classes", ";").alias("zone_classes"), *r6("zone_share", "amenity_distance"))
 
 
+@query(
+    "g21_terrain_and_rules",
+    f"""WITH {_SLOPE_SQL}, r AS (SELECT zone_code, source, min(zone_id) AS rule_id FROM zones GROUP BY 1, 2),
+        f AS (SELECT parcel_id, arg_min(zone_code, (zone_rank, zone_code)) AS code, arg_min(source, (zone_rank, source)) AS source FROM (
+          SELECT a.parcel_id, z.zone_code, z.source, z.zone_rank FROM lots a JOIN zones z ON {MEET}) GROUP BY 1)
+        SELECT p.parcel_id, round(s.z, 6) AS elevation, round(s.slope, 5) AS slope, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[CAST(floor(((aspect + 22.5) % 360) / 45) AS INT) + 1] AS direction,
+               f.code AS zone_code, r.rule_id
+        FROM lots l JOIN parcels p ON l.parcel_id = p.parcel_id LEFT JOIN surface s ON s.ix = CAST(floor(p.x / 0.2) AS BIGINT) AND s.iy = CAST(floor(p.y / 0.2) AS BIGINT)
+        LEFT JOIN f ON f.parcel_id = p.parcel_id LEFT JOIN r ON lower(f.code) = lower(r.zone_code) AND lower(f.source) = lower(r.source)""",
+)
+def _(t):
+    parcels = lots(t).join(t.parcels.select("parcel_id", "x", "y"), "parcel_id")
+    rules = t.zones.groupBy("zone_code", c("source").alias("jurisdiction")).agg(F.min("zone_id").alias("rule_id"))
+    terrain = {"layer": "terrain", "cell": DEM_CELL}
+    manifest = [
+        {"layer": "rules", "metric": "lookup_zoning_rule", "field": "rule_id", "zone_field": "zone_code", "jurisdiction_field": "jurisdiction"},
+        {**terrain, "metric": "raster_value", "field": "elevation"}, {**terrain, "metric": "raster_slope", "field": "slope"}, {**terrain, "metric": "aspect_direction", "field": "direction"},
+        {"layer": "zones", "metric": "categorical_overlay", "column": "zone_code", "order_by": "zone_rank", "field": "zone_code"},
+        {"layer": "zones", "metric": "categorical_overlay", "column": "source", "order_by": "zone_rank", "field": "jurisdiction"},
+    ]
+    out = fc.build_facts(parcels, {"zones": zones(t, "zone_code", "source", "zone_rank"), "terrain": t.terrain, "rules": rules}, manifest, CELL)
+    return out.select("parcel_id", *r6("elevation"), F.round("slope", 5).alias("slope"), "direction", "zone_code", "rule_id")
+
+
 @query(
     "w10_zone_by_overlap",
     f"""SELECT parcel_id, zone_id FROM (SELECT a.parcel_id, z.zone_id, row_number() OVER (PARTITION BY a.parcel_id ORDER BY round({OVERLAP}, 9) DESC, z.zone_id) AS rn

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelmill.functions import geometry as gm
+from parcelmill.operators import facts as fc
 from parcelmill.operators import grid as gr
 from parcelmill.operators import overlay as ov
 from parcelmill.operators import raster as ra
@@ -141,5 +142,5 @@ def test_buffer_overlap_and_fact_table(spark):
         {"layer": "z", "metric": "buffer_intersects", "distance": 0.5, "field": "very_near"},
         {"layer": "z", "metric": "boolean_overlay", "field": "on"},
     ]
-    row = ov.build_facts(parcels.withColumns({"x": F.lit(6.0), "y": F.lit(2.0)}), {"z": zone}, manifest, 1.0).first()
+    row = fc.build_facts(parcels.withColumns({"x": F.lit(6.0), "y": F.lit(2.0)}), {"z": zone}, manifest, 1.0).first()
     assert (row["near"], row["very_near"], row["on"]) == (True, None, None)
