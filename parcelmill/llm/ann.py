@@ -175,13 +175,12 @@ def search(
                 ["gid", "vec", "wanted"],
             )
 
-    placed = (
-        spots.select("gid", "band", "vec").mapInArrow(place, "gid long, band int, vec array<double>, cells array<long>")
-        .select("gid", "band", "vec", F.posexplode("cells").alias("tab", "cell"))
-    )
+    # Vectors are turned once; each step below takes them apart into cells anew.
+    turned = stored(spots.select("gid", "band", "vec").mapInArrow(place, "gid long, band int, vec array<double>, cells array<long>"), "turned")
+    placed = turned.select("gid", "band", "vec", F.posexplode("cells").alias("tab", "cell"))
+    asking = stored(spots.where("asked").select("gid", "vec").mapInArrow(probe, "gid long, vec array<double>, wanted array<array<long>>"), "asking")
     wanted = (
-        spots.where("asked").select("gid", "vec").mapInArrow(probe, "gid long, vec array<double>, wanted array<array<long>>")
-        .select(F.col("gid").alias("qid"), F.col("vec").alias("qvec"), F.posexplode("wanted").alias("tab", "axes"))
+        asking.select(F.col("gid").alias("qid"), F.col("vec").alias("qvec"), F.posexplode("wanted").alias("tab", "axes"))
         .select("qid", "qvec", "tab", F.posexplode("axes").alias("turn", "cell"))
         .withColumn("band", F.explode(F.array(*[F.lit(b) for b in bands])))
     )
