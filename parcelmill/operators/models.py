@@ -105,6 +105,7 @@ def run_model(
     """Features, tiers, trim, term choice, robust fit, calibration and diagnostics of every segment."""
     rows = ft.features(sales, anchor, reference_year)
     rows, _report = ft.interactions(rows, [x for x in fv.INTERACTION_BUNDLES[bundle] if x not in rows.columns])
+    rows = cut_lineage(rows)  # read by tiering, the trim and the calibration
     names = ft.predictors(rows.columns, profile, bundle)
     tiering = list(dict.fromkeys([*names["core"], *[x for x in fv.TIERING_EXTRA_TERMS if x in rows.columns]]))
     rows = cut_lineage(price_tiers(rows, group, tiering, min_group))
