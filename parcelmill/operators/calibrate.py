@@ -48,6 +48,13 @@ def band_calibration(df: DataFrame, group: Sequence[str], bands: int = 10, value
     )
 
 
+def calibration_bands(calibrated: DataFrame, group: Sequence[str], value: str = "v_proxy") -> DataFrame:
+    """Value range and factor of every band of `band_calibration`."""
+    return calibrated.where(c("band").isNotNull()).groupBy(*group, "band").agg(
+        F.min(value).alias("value_min"), F.max(value).alias("value_max"), F.max("calib_factor").alias("factor"), F.count(F.lit(1)).alias("count")
+    )
+
+
 def prb_flatten(df: DataFrame, group: Sequence[str], value: str = "v_proxy", ratio: str = "ratio_adj") -> DataFrame:
     """Remove the trend of ln(ratio) on relative value, where 60 rows or more support it."""
     group = list(group)

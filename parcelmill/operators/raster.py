@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,17 @@ FEET_PER_METRE = 3.28084
 
 
 def tile_grid(boxes: DataFrame, size: float) -> DataFrame:
-    """Square tiles over the extent of all boxes (x0, y0, x1, y1)."""
-    extent = boxes.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    counts = [F.greatest(F.ceil((c(f"{a}1") - c(f"{a}0")) / size) - 1, F.lit(0)) for a in ("x", "y")]
-    columns = extent.withColumn("tx", F.explode(F.sequence(F.lit(0).cast("bigint"), counts[0])))
-    tiles = columns.withColumn("ty", F.explode(F.sequence(F.lit(0).cast("bigint"), counts[1])))
-    return tiles.select("tx", "ty", (c("x0") + c("tx") * size).alias("tile_x"), (c("y0") + c("ty") * size).alias("tile_y"))
+    """Square tiles over the extent of all boxes (x0, y0, x1, y1).
+
+    Tiles are counted out by a distributed range, so no task makes them all.
+    """
+    extent = boxes.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).first()
+    if extent["x0"] is None:
+        return boxes.sparkSession.createDataFrame([], "tx long, ty long, tile_x double, tile_y double")
+    x0, y0 = float(extent["x0"]), float(extent["y0"])
+    wide, high = (max(1, math.ceil((float(extent[f"{a}1"]) - float(extent[f"{a}0"])) / size)) for a in ("x", "y"))
+    tiles = boxes.sparkSession.range(wide * high).select(F.expr(f"id div {high}").alias("tx"), F.expr(f"id % {high}").alias("ty"))
+    return tiles.select("tx", "ty", (F.lit(x0) + c("tx") * size).alias("tile_x"), (F.lit(y0) + c("ty") * size).alias("tile_y"))
 
 
 def tile_pairs(boxes: DataFrame, size: float, key: str = KEY) -> DataFrame:

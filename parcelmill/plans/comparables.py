@@ -133,12 +133,12 @@ def _(t):
 
 @query(
     "c09_selected_comps",
-    f"""WITH {SCORE_SQL} SELECT subject_id, comp_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY round(total_score, 9) DESC, comp_id) AS rank FROM scored) WHERE rank <= 5""",
+    f"""WITH {SCORE_SQL} SELECT subject_id, comp_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY round(total_score, 9) DESC, round(location_score, 9) DESC,
+        time_score DESC, round(physical_score, 9) DESC, sdate DESC, round(distance, 6), comp_id) AS rank FROM scored) WHERE rank <= 5""",
 )
 def _(t):
-    rows = scored(t).withColumn("total_score", F.round("total_score", 9))
-    rows = rows.withColumns({x: F.lit(0.0) for x in ("location_score", "time_score", "physical_score")})
-    rows = rows.withColumn("c_sale_date", F.lit(AS_OF)).withColumn("distance", F.lit(0.0))
+    # Rounded, as sums in another order differ in the last digit.
+    rows = scored(t).withColumns({x: F.round(x, 9) for x in ("total_score", "location_score", "physical_score")}).withColumn("distance", F.round("distance", 6))
     return cm.select_comps(rows, 5).select("subject_id", "comp_id", "rank")
 
 

@@ -232,6 +232,16 @@ def _(t):
     return cb.band_calibration(valued(t), G).select("sale_id", "band", *r6("calib_factor", "ratio_adj"))
 
 
+@query(
+    "r20_calibration_bands",
+    f"""WITH {CALIB_SQL} SELECT valuation_area, CAST(band AS INT) AS band, round(min(v_proxy), 4) AS value_min, round(max(v_proxy), 4) AS value_max, round(max(calib_factor), 6) AS factor, count(*) AS count
+        FROM cal WHERE band IS NOT NULL GROUP BY 1, 2""",
+)
+def _(t):
+    bands = cb.calibration_bands(cb.band_calibration(valued(t), G), G)
+    return bands.select("valuation_area", "band", *[F.round(x, 4).alias(x) for x in ("value_min", "value_max")], *r6("factor"), "count")
+
+
 def final(t):
     return cb.prb_flatten(cb.band_calibration(valued(t), G), G)
 

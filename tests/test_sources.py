@@ -23,6 +23,20 @@ def test_roll_file_round_trip(spark, tmp_path):
     assert tuple(rl.roll_counts(lines, "line", schema).first()) == (5, 4, 1, 1)
 
 
+def test_one_run_is_read_back(spark, tmp_path, tables):
+    path = str(tmp_path / "runs")
+    stats = tables.segment_stats
+    for run, mode, day in (("RUN1", "sfr", "01"), ("RUN2", "sfr", "03"), ("RUN2", "condo", "02")):
+        own = stats.where(F.col("run_id") == run)
+        segments = own.select("run_id", "market_group", F.lit("large").alias("size")).distinct()
+        rn.write_run(own, tables.coefficients, {"generated_at": f"2025-02-{day}", "mode": mode}, path, segments, {"cod": 9.5}, ["few sales"])
+    one = rn.load_run(spark, path, "RUN1").first()
+    assert one["metadata"]["mode"] == "sfr" and one["global_metrics"]["cod"] == 9.5 and one["warnings"] == ["few sales"] and one["errors"] == [] and len(one["segments"]) > 0
+    assert rn.load_run(spark, path).first()["metadata"]["generated_at"] == "2025-02-03"
+    assert rn.load_run(spark, path, mode="condo").first()["run_id"] == "RUN2"
+    assert rn.load_run(spark, path, "RUN1", "condo").count() == 0
+
+
 def test_zoning_rules_are_kept_once_per_key(spark):
     names = ["min_lot_size_sqft", "max_lot_coverage_pct", "max_height_ft", "front_setback_ft", "side_setback_ft", "rear_setback_ft", "allows_adu", "allows_duplex", "allows_multifamily"]
     sheet = spark.createDataFrame([("R1", "X", "5", 1), (" R1", "X ", "7", 2), ("R2", "X", "UNKNOWN", 3)], "zone_code string, jurisdiction string, min_lot_size_sqft string, line_no int")
@@ -53,7 +67,8 @@ def test_runs_export_and_log(spark, tmp_path, tables):
     rn.export(stats.withColumn("tags", F.array(F.lit("a"))), str(tmp_path / "csv"))
     rn.export(stats, str(tmp_path / "json"), "json")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == stats.count() == spark.read.json(str(tmp_path / "json")).count()
-    rn.log_import(spark, str(tmp_path / "log"), "rolls", "assessor", "file", 5)
+    counts = spark.createDataFrame([(7, 5, 2)], "lines int, kept int, skipped int")
+    rn.log_import(spark, str(tmp_path / "log"), "rolls", "assessor", "file", counts, dt.datetime(2025, 1, 1))
     assert spark.read.parquet(str(tmp_path / "log")).first()["row_count"] == 5
 
 
