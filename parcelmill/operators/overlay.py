@@ -414,15 +414,21 @@ def water_facts(
     right number and date.
     """
     rights = intersects_list(parcels.select(KEY, "rings"), places_of_use.select("rings", "right_no"), "right_no", cell)
-    lat_step = radius_m / 111_000.0
-    spots = as_points(parcels.select(KEY, c("longitude").alias("x"), c("latitude").alias("y")))
-    lon_grow = lat_step / F.greatest(F.cos(F.radians(F.abs(c("latitude")) + lat_step)), F.lit(0.01))
-    boxes = gr.box_of(
-        diversions, c("longitude") - lon_grow, c("latitude") - lat_step, c("longitude") + lon_grow, c("latitude") + lat_step, "r_"
-    )
-    pairs = gr.cell_pairs(spots, boxes, lat_step)
+    # The nearest on a plane bounds how far the nearest on the sphere can lie; only that circle is searched.
+    flat = lambda lon, lat: (lon * math.cos(math.radians(47.5)), lat)
+    x, y = flat(c("longitude"), c("latitude"))
+    wells = diversions.select(F.monotonically_increasing_id().alias("feature_id"), x.alias("x"), y.alias("y"), c("latitude").alias("f_lat"), c("longitude").alias("f_lon"))
+    spots = parcels.select(KEY, "latitude", "longitude", x.alias("x"), y.alias("y"))
+    first = gr.nearest(spots, gr.point_box(wells).drop("x", "y"), 1, point_id=KEY)
+    bound = gm.haversine(c("latitude"), c("longitude"), c("f_lat"), c("f_lon")) * (1 + 1e-9) + 1e-3
+    reach = first.select(KEY, c("longitude").alias("px"), c("latitude").alias("py"), F.least(bound, F.lit(radius_m)).alias("reach"))
+    lat_step = c("reach") / 111_000.0
+    lon_step = lat_step / F.greatest(F.cos(F.radians(F.abs(c("py")) + lat_step)), F.lit(0.01))
+    circles = gr.box_of(reach, c("px") - lon_step, c("py") - lat_step, c("px") + lon_step, c("py") + lat_step, "l_")
+    spots = gr.box_of(diversions.select("latitude", "longitude", "right_no", "event_date"), c("longitude"), c("latitude"), c("longitude"), c("latitude"), "r_")
+    pairs = gr.cell_pairs(circles, spots, radius_m / 111_000.0 / 16)
     metres = gm.haversine(c("py"), c("px"), c("latitude"), c("longitude"))
-    near = pairs.withColumn("m", metres).where(c("m") <= radius_m).groupBy(KEY).agg(
+    near = pairs.withColumn("m", metres).where(c("m") <= c("reach")).groupBy(KEY).agg(
         F.min(F.struct("m", "right_no", "event_date")).alias("d")
     )
     return rights.join(near, KEY, "left").select(

@@ -92,9 +92,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     Like `cut_lineage`, but columnar and compressed, with column pruning and
-    filters when it is read again.
+    filters when it is read again. The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
