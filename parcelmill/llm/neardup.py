@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from parcelmill.llm.components import components
 from parcelmill.llm.words import slices
-from parcelmill.session import stored
+from parcelmill.session import settings, stored
 
 _VALUES = 128
 _TREES = 16
@@ -291,14 +291,18 @@ def find(
     gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = stored(rows.mapInArrow(lambda b: _signatures(b, width), "doc_id long, n long, h1 long, h2 long, signs binary"), "signatures")
+    # Whole texts go to Python in small batches, as words and shingles take several times their room.
+    small = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2500"}
+    with settings(docs.sparkSession, **small):
+        signed = stored(rows.mapInArrow(lambda b: _signatures(b, width), "doc_id long, n long, h1 long, h2 long, signs binary"), "signatures")
     classes = stored(
         signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("signs").alias("signs")), "classes",
     )
     nodes = classes.select("node", "n", "signs", F.col("node").alias("root"))
     found = stored(candidates(nodes, percent / 100, crowd, reach, least), "candidates")
     pairs, crowded = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
-    sets = stored(_sets(rows.where("doc_id IS NOT NULL"), found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
+    with settings(docs.sparkSession, **small):
+        sets = stored(_sets(rows.where("doc_id IS NOT NULL"), found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
 
     both = pairs.select("a", "b", "guess", F.explode(F.array("a", "b")).alias("node"))
     best = both.groupBy("node").agg(F.max(F.struct("guess", F.negative(F.col("a") + F.col("b")).alias("near"), "a", "b")).alias("m"))

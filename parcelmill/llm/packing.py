@@ -24,7 +24,7 @@ _FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
 _MEMBER = pa.struct([*_FIELDS, ("offset", pa.int64())])
 
 
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 250_000
 # Fixed value: Latin letters, and marks that the tokenizer always cuts from letters before them.
 _SPELLING = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!%&*$#.,;:?)]*)$"
 
@@ -66,7 +66,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = WordEncoder(tokenizer_path), {}
         for whole in batches:
-            for low, high in slices(whole.column("text"), 8_000_000):
+            for low, high in slices(whole.column("text"), 5_000_000):
                 batch = whole.slice(low, high - low)
                 split = pc.split_pattern(pc.replace_substring(batch.column("text"), "\n", " "), " ")
                 coded = split.flatten().dictionary_encode()
