@@ -318,3 +318,30 @@ DRIVER_GROUPS = {
 }
 MIN_ROWS_TIERING, MIN_GROUP_TIERING, MIN_ROWS_FIT = 350, 1300, 30
 ANCHOR_DATE, DAYS_PER_MONTH, REFERENCE_YEAR = "2015-01-01", 30.4375, 2025
+
+# The sentences of appeal screening, for an appeal and against one.
+APPEAL_REASONS = {
+    "over_20": "Assessed value appears 20%+ above market comps.",
+    "over_12": "Assessed value ~12–20% above market comps.",
+    "over_7": "Assessed value ~7–12% above market comps.",
+    "not_over": "Assessed value is at or below market comps.",
+    "slightly_over": "Slightly above comps; may be marginal.",
+    "comps_5": "5+ recent nearby comparable sales found.",
+    "comps_3": "3–4 nearby comparable sales found.",
+    "comps_few": "Fewer than 3 strong comparables available.",
+    "gap_8": "Your assessment rose far more than your neighborhood average.",
+    "gap_4": "Your assessment rose more than the neighborhood average.",
+    "gap_none": "Your assessment did not rise more than neighbors.",
+    "unreliable": "Neighborhood sample is small or inconsistent (higher COD).",
+    "reliable": "Neighborhood sample is large with consistent assessments (low COD).",
+    "stop_over": "Assessed value is less than ~7% above market comps.",
+    "stop_comps": "Fewer than 3 strong comparable sales are available.",
+    "stop_gap": "Your assessment did not rise more than your neighborhood average.",
+    "stop_score": "Overall appeal likelihood is below ~45%.",
+}
+
+# How adjustment factors are shown.
+FACTOR_LABELS = {
+    "area": "Living area", "lot": "Lot size", "age": "Age", "quality": "Quality", "condition": "Condition", "garage": "Garage",
+    "basement": "Basement", "view": "View", "time": "Time",
+}

@@ -13,10 +13,7 @@ from parcelmill.functions.measures import currency
 c = F.col
 TIME_CAP_MONTHS = 60.0
 FACTORS = ("area", "lot", "age", "quality", "condition", "garage", "basement", "view")
-LABELS = {
-    "area": "Living area", "lot": "Lot size", "age": "Age", "quality": "Quality", "condition": "Condition", "garage": "Garage",
-    "basement": "Basement", "view": "View", "time": "Time",
-}
+LABELS = fv.FACTOR_LABELS
 STORY_GROUPS = {"size": ("area", "lot"), "quality": ("quality",), "condition": ("condition",), "time": ("time",), "location": ("view",)}
 
 

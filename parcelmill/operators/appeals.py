@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelmill.functions import fixed_values as fv
 from parcelmill.operators import comps as cm
 from parcelmill.operators.windows import first_by, snapshot_delta
 
 c = F.col
+say = fv.APPEAL_REASONS
 
 
 def over_assessment(assessed: Column, median_price: Column) -> Column:
@@ -32,19 +34,19 @@ def appeal_score(over: Column, comps: Column, neighbor_gap: Column, reliability:
     score = F.greatest(F.lit(0), F.least(F.lit(100), points))
     reasons = F.array_compact(
         F.array(
-            F.when(over >= 20, "Assessed value appears 20%+ above market comps.")
-            .when(over >= 12, "Assessed value ~12–20% above market comps.")
-            .when(over >= 7, "Assessed value ~7–12% above market comps.")
-            .when(over <= 0, "Assessed value is at or below market comps.")
-            .when(over.isNotNull(), "Slightly above comps; may be marginal."),
-            F.when(comps >= 5, "5+ recent nearby comparable sales found.")
-            .when(comps >= 3, "3–4 nearby comparable sales found.")
-            .otherwise("Fewer than 3 strong comparables available."),
-            F.when(neighbor_gap >= 8, "Your assessment rose far more than your neighborhood average.")
-            .when(neighbor_gap >= 4, "Your assessment rose more than the neighborhood average.")
-            .when(neighbor_gap <= 0, "Your assessment did not rise more than neighbors."),
-            F.when(reliability == "LOW", "Neighborhood sample is small or inconsistent (higher COD).").when(
-                reliability == "HIGH", "Neighborhood sample is large with consistent assessments (low COD)."
+            F.when(over >= 20, say["over_20"])
+            .when(over >= 12, say["over_12"])
+            .when(over >= 7, say["over_7"])
+            .when(over <= 0, say["not_over"])
+            .when(over.isNotNull(), say["slightly_over"]),
+            F.when(comps >= 5, say["comps_5"])
+            .when(comps >= 3, say["comps_3"])
+            .otherwise(say["comps_few"]),
+            F.when(neighbor_gap >= 8, say["gap_8"])
+            .when(neighbor_gap >= 4, say["gap_4"])
+            .when(neighbor_gap <= 0, say["gap_none"]),
+            F.when(reliability == "LOW", say["unreliable"]).when(
+                reliability == "HIGH", say["reliable"]
             ),
         )
     )
@@ -56,10 +58,10 @@ def soft_stop(over: Column, comps: Column, neighbor_gap: Column, score: Column)
     """Reasons that speak against an appeal, and whether there is any."""
     reasons = F.array_compact(
         F.array(
-            F.when(over < 7, "Assessed value is less than ~7% above market comps."),
-            F.when(F.coalesce(comps, F.lit(0)) < 3, "Fewer than 3 strong comparable sales are available."),
-            F.when(neighbor_gap <= 0, "Your assessment did not rise more than your neighborhood average."),
-            F.when(score < 45, "Overall appeal likelihood is below ~45%."),
+            F.when(over < 7, say["stop_over"]),
+            F.when(F.coalesce(comps, F.lit(0)) < 3, say["stop_comps"]),
+            F.when(neighbor_gap <= 0, say["stop_gap"]),
+            F.when(score < 45, say["stop_score"]),
         )
     )
     return {"soft_stop": F.size(reasons) > 0, "soft_reasons": reasons}
