@@ -6,7 +6,7 @@ nodes that stand close in an order and share a prefix are candidates. In a spars
 nodes of a prefix are compared; in a crowded one only the nearest in order, which share the
 longest prefixes. Candidates are confirmed on their full sets, and links make components.
 Nodes of crowded regions are then walked again, much further, for partners that are still in
-other components.
+other components, and in the end joined exactly on their rarest shingles.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ _TREES = 16
 _START = 2  # values that candidates share at least
 _DEPTH = 10  # values of an order's key
 _MARK_BITS = 1 << 24
+_RARITY_BITS = 18
+_PART_ROWS = 4096
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -263,6 +265,75 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _slots(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - _RARITY_BITS)).astype(np.int64)
+
+
+def _rarity(nodes: DataFrame) -> np.ndarray:
+    """How many shingles of all nodes fall into each slot of the hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << _RARITY_BITS, np.int64)
+        for batch in batches:
+            for items in batch.column("items"):
+                np.add.at(count, _slots(np.frombuffer(items.as_buffer(), np.uint64)), 1)
+        slot = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count[slot])], ["slot", "n"])
+
+    rows = nodes.select("items").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << _RARITY_BITS, np.int64)
+    total[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return total
+
+
+def _rare_shingles(nodes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, place, node, n, root): of each node the shingles among which its first common one with a partner must be.
+
+    All nodes order their shingles alike, those of rare slots first.
+    """
+    rarity = _rarity(nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = []
+            for items in batch.column("items"):
+                own = np.frombuffer(items.as_buffer(), np.uint64)
+                parts.append(own[np.lexsort((own, rarity[_slots(own)]))[: len(own) + 1 + -percent * len(own) // 100]])
+            size = [len(x) for x in parts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in size])),
+                    *[pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("node", "n", "root")],
+                ],
+                ["shingle", "place", "node", "n", "root"],
+            )
+
+    return nodes.select("node", "n", "root", "items").mapInArrow(run, "shingle long, place int, node long, n long, root long")
+
+
+def exact_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, guess): all pairs of nodes (node, n, root, items) of different roots that may reach `percent`; guess counts rare shingles in common.
+
+    A prefix-filter join. The first common shingle of a linked pair leaves enough shingles
+    behind it in both sets. Shingles of one root alone are dropped before the join, and the
+    rows of a frequent one are cut into parts.
+    """
+    rows = stored(_rare_shingles(nodes, percent), "rare_shingles")
+    shared = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / _PART_ROWS).cast("int").alias("parts"))
+    rows = stored(rows.join(shared.where("low <> high").select("shingle", "parts"), "shingle"), "shared_shingles")
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("place", "node", "n", "root")]
+    left = rows.select("shingle", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *named("x"))
+    right = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *named("y"))
+    left, right = left.alias("l"), right.alias("r")
+    behind = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    may = (
+        (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.part") == F.col("r.part")) & (F.col("root_x") < F.col("root_y"))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * behind >= percent * (F.col("n_x") + F.col("n_y")))
+    )
+    return left.join(right, may).groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).agg(F.count("*").alias("guess"))
+
+
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
@@ -284,7 +355,9 @@ def find(
     then the likeliest pair of any two components, then all that still lie between different
     components. Nodes of crowded regions are then walked again in `far_trees` trees, regions of
     `far_crowd` in full and `far_reach` nodes ahead in larger ones, and pairs of different
-    components confirmed on the spot. No candidate between components stays unconfirmed.
+    components confirmed on the spot. What these walks leave apart is joined exactly: of the
+    nodes of crowded regions, all pairs that can reach `percent` by their rarest shingles are
+    candidates. No candidate between components stays unconfirmed.
 
     Null texts and texts without words link with nothing. Rows of one id are one document,
     of the union of their links; null ids stay alone, with a null component. An empty table
@@ -320,6 +393,17 @@ def find(
     again = crowded.join(classes.select("node", "n", "signs"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     again = stored(again.join(sets, "node").select("node", "n", "signs", "root", "items"), "crowded")
     links = stored(links.unionByName(far_links(again, percent, far_crowd, far_reach, least, far_trees)), "links_4")
+    with settings(docs.sparkSession, **small):
+        again = again.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        again = stored(again.select("node", "n", "root", "items"), "apart")
+        pairs = stored(exact_pairs(again, percent), "exact_pairs")
+    roots = again.select("node", "root")
+    rooted = _with_roots(pairs, roots)
+    between = rooted.groupBy(F.least("root_a", "root_b").alias("u"), F.greatest("root_a", "root_b").alias("v")).agg(F.max(F.struct("guess", "a", "b")).alias("m"))
+    first = stored(between.select("m.a", "m.b"), "exact_first")
+    links = stored(links.unionByName(_confirm(first, sets, percent)), "links_5")
+    left = _with_roots(pairs.join(first, ["a", "b"], "left_anti"), components(links)).where("root_a <> root_b")
+    links = stored(links.unionByName(_confirm(left, sets, percent)), "links_6")
     # Classes that share a document id are one.
     own = signed.where("n > 0 AND doc_id IS NOT NULL").join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).select("doc_id", "node")
     shared = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")

@@ -46,6 +46,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.find(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_fringe_of_a_crowd(spark):
+    rng = random.Random(8)
+    shared, rows = [f"s{i}" for i in range(80)], []
+    for i in range(1500):
+        own = [f"m{i}x{j}" for j in range(10)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 5 == 0:  # 76 of 101 words in common with this member, fewer than 6 in 10 with any other
+            rows.append((10_000 + i, " ".join(rng.sample(shared, 66) + own + [f"f{i}x{j}" for j in range(11)])))
+    found = {r["doc_id"]: r["component_id"] for r in neardup.find(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()}
+    assert set(found.values()) == {0}
+
+
 @pytest.mark.parametrize("edges_per_task", [3, 1000])
 def test_components(spark, edges_per_task):
     rng = random.Random(1)
