@@ -27,6 +27,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Digit groups in a row, of no more digits than an identifier has.
+_RUN = r"(?<![\p{L}\p{N}@.+_-])(?:\(\+?[0-9]{1,6}\)[\x20-]?|\+)?[0-9](?:(?:\x20-\x20|\x20?\(|\)[\x20-]?|[\x20.-])?[0-9]){5,18}(?![\p{L}\p{N}@])"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -91,17 +93,31 @@ def _context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     return F.regexp_extract(before, r"(?:(\S+)\s+)?\S+$", 0), F.regexp_extract(after, r"^[\s\"')>\]}.,;]*(\S+)", 1)
 
 
-def mentions(text: Column, spans: dict[str, Column]) -> Column:
-    """Seeds with their kind, and other tokens with a digit or an at sign without one, each with its context."""
+def _meets(spans: Column, one: Column) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < one["end"]) & (one["start"] < b["end"]))
 
-    def with_context(kind: Column, start: Column, end: Column, value: Column) -> Column:
+
+def spaced_runs(text: Column, spans: dict[str, Column]) -> Column:
+    """Runs of digit groups with spaces in them, apart from the base spans."""
+    taken = F.concat(*spans.values())
+    runs = F.filter(_found(text, _RUN), lambda s: s["value"].contains(" ") & ~_meets(taken, s))
+    return F.when(text.rlike("[0-9]\\)? ?[(-]? ?[0-9]"), runs).otherwise(F.array().cast(_SPAN))
+
+
+def mentions(text: Column, spans: dict[str, Column], runs: Column) -> Column:
+    """Seeds with their kind; runs and other tokens with a digit or an at sign without one, each with its context.
+
+    A token that meets a run is marked as `part` of it.
+    """
+
+    def with_context(kind: Column, start: Column, end: Column, value: Column, part: Column) -> Column:
         left, right = _context(text, start, end)
-        return F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), F.lower(value).alias("value"), left.alias("left"), right.alias("right"))
+        return F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), F.lower(value).alias("value"), left.alias("left"), right.alias("right"), part.alias("part"))
 
     def of_kind(kind: str) -> Column:
-        return F.transform(spans[kind], lambda s: with_context(F.lit(kind), s["start"], s["end"], s["value"]))
+        return F.transform(spans[kind], lambda s: with_context(F.lit(kind), s["start"], s["end"], s["value"], F.lit(False)))
 
-    taken = F.concat(*spans.values())
+    taken, no_kind = F.concat(*spans.values()), F.lit(None).cast("string")
 
     def trimmed(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+@]*", 0))
@@ -111,11 +127,12 @@ def mentions(text: Column, spans: dict[str, Column]) -> Column:
 
     tokens = F.filter(
         F.transform(_found(text, _TOKEN), trimmed),
-        lambda s: (F.length(s["value"]) >= 4) & ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        lambda s: (F.length(s["value"]) >= 4) & ~_meets(taken, s),
     )
-    others = F.transform(tokens, lambda s: with_context(F.lit(None).cast("string"), s["start"], s["end"], s["value"]))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>")
-    return F.when(text.rlike("[0-9@]"), F.concat(*[of_kind(k) for k in KINDS], others)).otherwise(none)
+    others = F.transform(tokens, lambda s: with_context(no_kind, s["start"], s["end"], s["value"], _meets(runs, s)))
+    spaced = F.transform(runs, lambda s: with_context(no_kind, s["start"], s["end"], s["value"], F.lit(False)))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,left:string,right:string,part:boolean>>")
+    return F.when(text.rlike("[0-9@]"), F.concat(*[of_kind(k) for k in KINDS], others, spaced)).otherwise(none)
 
 
 def _of_the_make(kind: Column, value: Column) -> Column:
@@ -137,7 +154,7 @@ def _key(id_col: str, text: Column) -> Column:
 def bootstrap(seen: DataFrame, rounds: int, least_known: int, trust: float) -> DataFrame:
     """(value, kind, score): strings that trusted patterns add to the seeds.
 
-    `seen` has (kind, value, left, right) of mentions. A pattern is a pair of words before,
+    `seen` has (kind, value, left, right, part) of mentions; parts of a run do not count in a pattern's trust. A pattern is a pair of words before,
     one word before, or the words on both sides. Its trust in a kind is the score of the
     known strings of that kind it surrounds, as a share of all distinct strings it surrounds
     and a half; it needs `least_known` known strings. A string takes the trust of its best
@@ -149,12 +166,13 @@ def bootstrap(seen: DataFrame, rounds: int, least_known: int, trust: float) -> D
         F.when((last != "") & (F.col("right") != ""), F.concat(F.lit("around "), last, F.lit(" _ "), F.col("right"))),
     )
     edges = stored(
-        seen.select("value", F.explode(F.array_compact(patterns)).alias("pattern")).distinct(), "pattern_graph",
+        seen.select("value", "part", F.explode(F.array_compact(patterns)).alias("pattern")).groupBy("value", "pattern").agg(F.min("part").alias("part")), "pattern_graph",
     )
+    counted = edges.where("NOT part")
     known = stored(seen.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "known_0")
-    width = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least_known)
+    width = counted.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least_known)
     for turn in range(rounds):
-        mass = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("hits")).where(F.col("hits") >= least_known)
+        mass = counted.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("hits")).where(F.col("hits") >= least_known)
         trusted = mass.join(width, "pattern").withColumn("trust", F.col("mass") / (F.col("n") + 0.5)).where(F.col("trust") >= trust).select("pattern", "kind", "trust")
         reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg(F.max("trust").alias("score"))
         fresh = reached.join(known.select("value").distinct(), "value", "left_anti").where(_of_the_make(F.col("kind"), F.col("value")))
@@ -170,19 +188,25 @@ def find(
     """Spans of personal data of each row, as (doc_id, key, email, ip, card, phone, added).
 
     The first four hold the spans of the base patterns; `added` those that contexts found, as
-    (kind, start, end), none of which overlaps a base span. Null texts are empty; repeated rows
+    (kind, start, end), none of which overlaps a base span: single tokens, and runs of digit
+    groups with spaces, dots, brackets or hyphens between, which go before their parts. Null texts are empty; repeated rows
     have equal results; rows of an empty table have none. Texts are read once.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", _key("doc_id", F.col("text")))
     spans = base_spans(F.col("text"))
     rows = rows.select("doc_id", "key", "text", *[c.alias(k) for k, c in spans.items()])
-    found = stored(rows.select("doc_id", "key", *KINDS, mentions(F.col("text"), {k: F.col(k) for k in KINDS}).alias("mentions")), "personal_data")
+    own = {k: F.col(k) for k in KINDS}
+    rows = rows.withColumn("runs", spaced_runs(F.col("text"), own))
+    found = stored(rows.select("doc_id", "key", *KINDS, mentions(F.col("text"), own, F.col("runs")).alias("mentions")), "personal_data")
     seen = found.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
     added = bootstrap(seen, rounds, least_known, trust)
     more = (
-        seen.where("kind IS NULL").select("key", "start", "end", "value").join(added.select("value", "kind"), "value")
-        .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+        seen.where("kind IS NULL").select("key", "start", "end", "value", "part").join(added.select("value", "kind"), "value")
+        .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end", "part"))).alias("all"))
+        .withColumn("whole", F.filter("all", lambda s: ~s["part"]))
+        .select("key", F.filter("all", lambda s: ~s["part"] | ~_meets(F.col("whole"), s)).alias("added"))
+        .withColumn("added", F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     )
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.drop("mentions").join(more, "key", "left").withColumn("added", F.coalesce("added", none))

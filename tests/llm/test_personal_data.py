@@ -48,6 +48,31 @@ def test_contexts_add_what_the_patterns_miss(spark):
     assert all(cut(i) == [] for i in texts if i not in (100, 101))
 
 
+def _added(spark, rows):
+    texts = dict(rows)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["added"]] for r in found if r["added"]}
+
+
+def _card(number):
+    """16 digits that pass the check sum, in groups."""
+    digits = f"4{number:014d}"
+    digits += next(c for c in "0123456789" if any(x.startswith("card") for x in base_spans(digits + c)))
+    return " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_contexts_add_identifiers_with_spaces(spark):
+    rows = [(i, f"call phone: +1 202 555 01{i:02d} today") for i in range(30)]
+    rows += [(100 + i, f"paid by card {_card(7919 * i)} at noon") for i in range(30)]
+    want = {
+        200: [("phone", "0171 555 7713")], 201: [("phone", "(0171) 555-77 14")], 202: [("phone", "0171.555 7715")], 203: [("phone", "0171 555 7713")],
+        210: [("card", "3782 822463 10005")], 211: [("card", "3782-8224 6310-006")],
+    }
+    rows += [(200, "call phone: 0171 555 7713"), (201, "call phone: (0171) 555-77 14 today"), (202, "call phone: 0171.555 7715. 3 more"), (203, "elsewhere 0171 555 7713, alone")]
+    rows += [(210, "paid by card 3782 822463 10005 at noon"), (211, "paid by card 3782-8224 6310-006, then"), (212, "rooms 12 34 56 78 and 2024 2025 2026"), (213, "1 " * 400)]
+    assert _added(spark, rows) == want
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "mail a@b.cc, ip 1.2.3.4!", 7, "k"), (1, "mail a@b.cc, ip 1.2.3.4!", 7, "k"), (2, None, None, None), (None, "é +44 20 7946 0958", 1, "k"), (3, "", 0, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
