@@ -155,10 +155,11 @@ def bootstrap(seen: DataFrame, rounds: int, least_known: int, trust: float) -> D
     """(value, kind, score): strings that trusted patterns add to the seeds.
 
     `seen` has (kind, value, left, right, part) of mentions; parts of a run do not count in a pattern's trust. A pattern is a pair of words before,
-    one word before, or the words on both sides. Its trust in a kind is the score of the
-    known strings of that kind it surrounds, as a share of all distinct strings it surrounds
-    and a half; it needs `least_known` known strings. A string takes the trust of its best
-    pattern, once that reaches `trust`.
+    one word before, or the words on both sides. It needs `least_known` known strings of a kind,
+    and the share of their score in all distinct strings of the kind's make and a half must be
+    over one half. As in RlogF the share weighs more the more is known: with a score of s, trust
+    is 1 - (1 - share) ^ log2(s). A string takes the trust of its best pattern, once that
+    reaches `trust`.
     """
     last = F.regexp_extract("left", r"\S+$", 0)
     patterns = F.array(
@@ -166,14 +167,20 @@ def bootstrap(seen: DataFrame, rounds: int, least_known: int, trust: float) -> D
         F.when((last != "") & (F.col("right") != ""), F.concat(F.lit("around "), last, F.lit(" _ "), F.col("right"))),
     )
     edges = stored(
-        seen.select("value", "part", F.explode(F.array_compact(patterns)).alias("pattern")).groupBy("value", "pattern").agg(F.min("part").alias("part")), "pattern_graph",
+        seen.select("value", "part", "kind", F.explode(F.array_compact(patterns)).alias("pattern")).groupBy("value", "pattern")
+        .agg(F.min("part").alias("part"), *[F.max(F.coalesce(F.col("kind") == k, F.lit(False))).alias(k) for k in KINDS])
+        .select("value", "pattern", "part", *[(F.col(k) | _of_the_make(F.lit(k), F.col("value"))).alias(k) for k in KINDS]), "pattern_graph",
     )
     counted = edges.where("NOT part")
     known = stored(seen.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "known_0")
-    width = counted.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least_known)
+    width = counted.groupBy("pattern").agg(*[F.count_if(F.col(k)).alias(k) for k in KINDS]).where(F.greatest(*KINDS) >= least_known)
+    n = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in KINDS])
+    share = F.col("mass") / (n + 0.5)
+    # Below 1, which is the score of seeds.
+    score = F.least(1 - F.pow(1 - share, F.log2("mass")), F.lit(1 - 1e-9))
     for turn in range(rounds):
         mass = counted.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("hits")).where(F.col("hits") >= least_known)
-        trusted = mass.join(width, "pattern").withColumn("trust", F.col("mass") / (F.col("n") + 0.5)).where(F.col("trust") >= trust).select("pattern", "kind", "trust")
+        trusted = mass.join(width, "pattern").where(share > 0.5).withColumn("trust", score).where(F.col("trust") >= trust).select("pattern", "kind", "trust")
         reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg(F.max("trust").alias("score"))
         fresh = reached.join(known.select("value").distinct(), "value", "left_anti").where(_of_the_make(F.col("kind"), F.col("value")))
         # A string belongs to the kind that trusts it most.

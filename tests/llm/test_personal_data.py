@@ -73,6 +73,16 @@ def test_contexts_add_identifiers_with_spaces(spark):
     assert _added(spark, rows) == want
 
 
+def test_contexts_with_a_third_unseen(spark):
+    rows = [(i, f"please dial number +44 20 7946 09{i:02d} now") for i in range(10)] + [(20 + i, f"please dial number 02079460{i}77 now") for i in range(5)]
+    rows += [(40 + i, f"my login from {i}.7.7.{i} failed") for i in range(4)] + [(50 + i, f"my login from fe80::{i}:a1 failed") for i in range(2)]
+    # Not of the make: no evidence against the pattern. Other contexts: not to be added.
+    rows += [(60 + i, f"please dial number {x} now") for i, x in enumerate(["v1.2.3b", "2024", "item12", "1999", "x86-64", "2031"])]
+    rows += [(70 + i, f"the order number 5500{i}1234 shipped") for i in range(12)] + [(90 + i, f"serial number 77{i}12345 and +44 20 7946 09{i:02d}") for i in range(6)]
+    want = {20 + i: [("phone", f"02079460{i}77")] for i in range(5)} | {50 + i: [("ip", f"fe80::{i}:a1")] for i in range(2)}
+    assert _added(spark, rows) == want
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "mail a@b.cc, ip 1.2.3.4!", 7, "k"), (1, "mail a@b.cc, ip 1.2.3.4!", 7, "k"), (2, None, None, None), (None, "é +44 20 7946 0958", 1, "k"), (3, "", 0, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
