@@ -105,7 +105,7 @@ def search(
     are cut into blocks of `block_rows`, so that a crowded cell is spread over tasks.
     Norms may differ: vectors are hashed in bands of norm, lifted to unit length by one
     more coordinate where norms differ inside a band. `hashes` signed axes make up a
-    cell; None takes 1, and one more for each time the rows outgrow the cells.
+    cell; None takes 1 whatever the size, as more of them lower the recall.
 
     Nulls, zero vectors and non-finite parts take no part; with fewer than `k` other
     rows all found are returned; repeated ids count once per vector; an empty table
@@ -133,13 +133,10 @@ def search(
     )
     # One row per band of norms: at most some two thousand, whatever the table holds.
     bands = {r["band"]: (r["lo"], r["hi"]) for r in spots.groupBy("band").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).collect()}
-    count = spots.count()
     flat = all(hi - lo <= 1e-3 * hi for lo, hi in bands.values())
     width = 1 << max(0, (len(first["vec"]) + (0 if flat else 1) - 1)).bit_length()
     if hashes is None:
         hashes = 1
-        while (2 * width) ** hashes * 50_000 < count:
-            hashes += 1
     depth = probes**hashes
     signs = rotations(width, tables, hashes, seed)
 

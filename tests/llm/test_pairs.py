@@ -150,6 +150,16 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), "id % 20 = 0").count() == 0
 
 
+def test_large_tables_are_hashed_like_small_ones(spark, monkeypatch):
+    taken, plain = set(), ann.rotations
+    monkeypatch.setattr(ann, "rotations", lambda width, tables, hashes, seed: taken.add(hashes) or plain(width, tables, hashes, seed))
+    angle = F.col("id") / 40_000
+    df = spark.range(200_001).select(F.col("id").alias("vec_id"), F.array(F.cos(angle), F.sin(angle)).alias("embedding"))
+    found = ann.search(df, "id = 1000", k=4, tables=1)
+    assert taken == {1}
+    assert {r["vec_id"] for r in found.collect()} == {998, 999, 1001, 1002}
+
+
 def test_recall_on_a_table(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
     found = ann.op1_cross_polytope_neighbors(spark, DATA)
