@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from parcelmill.llm import ann, bpe, chat, imatch, langid, neardup, packing, pii, quality, toxicity
+from parcelmill.llm import ann, bpe, chat, exactdup, hardneg, imatch, langid, neardup, packing, pii, prefixtrie, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +24,12 @@ def all_queries() -> dict[str, Query]:
         "op8_quality_scores": quality.op8_quality_scores,
         "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_chat_masks": chat.op10_chat_masks,
+        "op11_prefix_trie": prefixtrie.op11_prefix_trie,
+        "op12_hard_negatives": hardneg.op12_hard_negatives,
+        "op13_exact_duplicates": exactdup.op13_exact_duplicates,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op11_prefix_trie": prefixtrie.OP11_SQL, "op12_hard_negatives": hardneg.OP12_SQL, "op13_exact_duplicates": exactdup.OP13_SQL}

@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert 4 <= len(pipeline.STAGES) <= 5
 
 
