@@ -108,58 +108,9 @@ def point_distance(edge_list: Column, x: Column, y: Column) -> Column:
     return F.when(contains_point(edge_list, x, y), F.lit(0.0)).otherwise(outside)
 
 
-def _side(ax, ay, bx, by, px, py) -> Column:
-    return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
-
-
-def edges_meet(e: Column, f: Column) -> Column:
-    """Do two segments share a point?"""
-    s1 = _side(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"])
-    s2 = _side(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
-    s3 = _side(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"])
-    s4 = _side(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
-    overlap = (
-        (F.greatest(e["ax"], e["bx"]) >= F.least(f["ax"], f["bx"]))
-        & (F.greatest(f["ax"], f["bx"]) >= F.least(e["ax"], e["bx"]))
-        & (F.greatest(e["ay"], e["by"]) >= F.least(f["ay"], f["by"]))
-        & (F.greatest(f["ay"], f["by"]) >= F.least(e["ay"], e["by"]))
-    )
-    return overlap & (s1 * s2 <= 0) & (s3 * s4 <= 0)
-
-
-def polygons_intersect(a: Column, b: Column) -> Column:
-    """Do two polygons (edge lists) share a point?"""
-    first_a, first_b = F.element_at(a, 1), F.element_at(b, 1)
-    touch = F.exists(a, lambda e: F.exists(b, lambda f: edges_meet(e, f)))
-    inside = contains_point(a, first_b["ax"], first_b["ay"]) | contains_point(b, first_a["ax"], first_a["ay"])
-    return touch | inside
-
-
-def polygon_distance(a: Column, b: Column) -> Column:
-    """Distance between two polygons (edge lists), 0 when they meet."""
-    def corner_gap(u: Column, v: Column) -> Column:
-        return F.aggregate(
-            u, F.lit(float("inf")),
-            lambda d, e: F.least(d, F.aggregate(v, F.lit(float("inf")), lambda g, f: F.least(g, segment_distance(f, e["ax"], e["ay"])))),
-        )
-
-    return F.when(polygons_intersect(a, b), F.lit(0.0)).otherwise(F.least(corner_gap(a, b), corner_gap(b, a)))
-
-
-def shape_distance(a: Column, b: Column, b_filled: Column) -> Column:
-    """Distance of a polygon to points, lines or a polygon (edge lists), 0 where they meet.
-
-    `b_filled` tells whether the inside of `b` belongs to it.
-    """
-    first_a, first_b = F.element_at(a, 1), F.element_at(b, 1)
-    touch = F.exists(a, lambda e: F.exists(b, lambda f: edges_meet(e, f)))
-    inside = contains_point(a, first_b["ax"], first_b["ay"]) | (b_filled & contains_point(b, first_a["ax"], first_a["ay"]))
-
-    def corner_gap(u: Column, v: Column) -> Column:
-        ends = lambda e, f: F.least(segment_distance(f, e["ax"], e["ay"]), segment_distance(f, e["bx"], e["by"]))
-        return F.aggregate(u, F.lit(float("inf")), lambda d, e: F.least(d, F.aggregate(v, F.lit(float("inf")), lambda g, f: F.least(g, ends(e, f)))))
-
-    return F.when(touch | inside, F.lit(0.0)).otherwise(F.least(corner_gap(a, b), corner_gap(b, a)))
+def starts(rings: Column) -> Column:
+    """The first corner of every ring."""
+    return F.transform(rings, lambda r: r[0])
 
 
 def box_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -42,15 +42,14 @@ def _value(metric: str, op: Mapping[str, object], parcels: DataFrame, layer: Dat
     if metric in ("nearest_distance", "nearest_boundary_distance", "nearest_distance_filtered"):
         if "rings" not in layer.columns:
             return ov.nearest_fact(parcels, layer, str(op["id"]), None, where).select(KEY, c("distance").alias("val"))
-        kept = layer if where is None else layer.where(where)
         # A boundary is a line: inside of it the distance is not 0.
-        closed = F.forall("rings", lambda r: (F.size(r) > 3) & (F.element_at(r, 1) == F.element_at(r, -1)))
-        filled = F.lit(False) if metric == "nearest_boundary_distance" else closed
-        return ov.nearest_shapes(parcels, ov.shape_features(kept, str(op["id"]), filled)).select(KEY, c("distance").alias("val"))
+        filled = False if metric == "nearest_boundary_distance" else None
+        return ov.nearest_shape_fact(parcels, layer, str(op["id"]), None, where, filled).select(KEY, c("distance").alias("val"))
     if metric == "nearest_attribute":
-        return ov.nearest_fact(parcels, layer, str(op["id"]), str(op["column"])).select(KEY, c("attribute").alias("val"))
+        nearest = ov.nearest_shape_fact if "rings" in layer.columns else ov.nearest_fact
+        return nearest(parcels, layer, str(op["id"]), str(op["column"]), where).select(KEY, c("attribute").alias("val"))
     if metric == "yield_classification":
-        return ov.nearest_yield_class(parcels, layer, str(op["id"]), str(op["column"]))
+        return ov.nearest_yield_class(parcels, layer, str(op["id"]), str(op["column"]), where)
     if metric == "density_per_acre":
         return ov.density_per_acre(parcels, layer, cell)
     if metric == "contains_boolean":

@@ -40,10 +40,21 @@ def _level(prefix: str, cell: float) -> Column:
     return F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell) / 2), F.lit(0)).cast("int")
 
 
-def _to_cells(df: DataFrame, prefix: str, cell: float, levels: Column) -> DataFrame:
-    """One row per box, level at or above its own, and cell touched there."""
-    own = df.withColumn(f"{prefix}lv", _level(prefix, cell))
-    rows = own.withColumn("lv", F.explode(levels)).where(c("lv") >= c(f"{prefix}lv"))
+def _to_cells(df: DataFrame, prefix: str, cell: float, own: Sequence[int], other: Sequence[int]) -> DataFrame:
+    """One row per box, level at which it may meet a box of the other side, and cell touched there.
+
+    Boxes meet on the coarser of their levels: on a box's own where the other side has a box
+    as small, and on each coarser level of the other side.
+    """
+    meets = {lv: sorted({lv} & {lv for o in other if o <= lv} | {o for o in other if o > lv}) for lv in own}
+    rows = df.withColumn(f"{prefix}lv", _level(prefix, cell))
+    if any(at != [lv] for lv, at in meets.items()):
+        chosen = F.lit(None).cast("array<int>")
+        for lv, at in meets.items():
+            chosen = F.when(c(f"{prefix}lv") == lv, F.array(*map(F.lit, at)).cast("array<int>")).otherwise(chosen)
+        rows = rows.withColumn("lv", F.explode(chosen))
+    else:
+        rows = rows.withColumn("lv", c(f"{prefix}lv"))
     size = F.pow(F.lit(4.0), c("lv")) * cell
     for axis in ("x", "y"):
         rows = rows.withColumn(f"{prefix}c{axis}", F.floor(c(f"{prefix}{axis}0") / size))
@@ -52,6 +63,19 @@ def _to_cells(df: DataFrame, prefix: str, cell: float, levels: Column) -> DataFr
     ).withColumn("cy", F.explode(F.sequence(c(f"{prefix}cy"), F.floor(c(f"{prefix}y1") / size))))
 
 
+def _in_blocks(a: DataFrame, b: DataFrame, keys: Sequence[str], left: Sequence[str], right: Sequence[str], hot_rows: int) -> DataFrame:
+    """Join of cells where a cell crowded on either side is cut into blocks of both; every pair of blocks is one key."""
+    sizes = [df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias(n)).where(c(n) > 1) for df, n in ((a, "__sa"), (b, "__sb"))]
+    salts = sizes[0].join(sizes[1], list(keys), "full_outer").na.fill(1, ["__sa", "__sb"])
+
+    def blocks(df: DataFrame, columns: Sequence[str], own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*columns), F.coalesce(c(f"__{own}"), F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(c(f"__{other}"), F.lit(1)) - 1))
+        return df.join(salts, list(keys), "left").withColumn(own, part).withColumn(other, every).drop("__sa", "__sb")
+
+    return blocks(a, left, "sa", "sb").join(blocks(b, right, "sb", "sa"), [*keys, "sa", "sb"])
+
+
 def cell_pairs(
     left: DataFrame, right: DataFrame, cell: float, equal: Sequence[str] = (), hot_rows: int = HOT_CELL_ROWS
 ) -> DataFrame:
@@ -60,23 +84,17 @@ def cell_pairs(
     `equal` names columns both sides share and must agree on. Each pair appears
     once, in the lowest cell both boxes touch on the coarser of their levels.
     """
-    found = [
-        df.agg(F.collect_set(_level(p, cell))).scalar() for df, p in ((left, "l_"), (right, "r_"))
+    # At most about forty levels and one count of each side.
+    (left_levels, left_rows), (right_levels, right_rows) = [
+        df.agg(F.collect_set(_level(p, cell)), F.count(F.lit(1))).first() for df, p in ((left, "l_"), (right, "r_"))
     ]
-    levels = F.array_union(*found)
-    a = _to_cells(left, "l_", cell, levels)
-    b = _to_cells(right, "r_", cell, levels)
+    a = _to_cells(left, "l_", cell, left_levels, right_levels)
+    b = _to_cells(right, "r_", cell, right_levels, left_levels)
     keys = [*equal, "lv", "cx", "cy"]
-    # A cell crowded on either side is cut into blocks of both; every pair of blocks is one key.
-    sizes = [df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias(n)).where(c(n) > 1) for df, n in ((a, "__sa"), (b, "__sb"))]
-    salts = sizes[0].join(sizes[1], keys, "full_outer").na.fill(1, ["__sa", "__sb"])
-
-    def blocks(df: DataFrame, columns: Sequence[str], own: str, other: str) -> DataFrame:
-        part = F.pmod(F.xxhash64(*columns), F.coalesce(c(f"__{own}"), F.lit(1))).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.coalesce(c(f"__{other}"), F.lit(1)) - 1))
-        return df.join(salts, keys, "left").withColumn(own, part).withColumn(other, every).drop("__sa", "__sb")
-
-    joined = blocks(a, left.columns, "sa", "sb").join(blocks(b, right.columns, "sb", "sa"), [*keys, "sa", "sb"])
+    if max(left_rows, right_rows) <= hot_rows:  # a box has one row per cell, so no cell can be crowded
+        joined = a.join(b, keys)
+    else:
+        joined = _in_blocks(a, b, keys, left.columns, right.columns, hot_rows)
     meets = (
         (c("l_x0") <= c("r_x1")) & (c("r_x0") <= c("l_x1")) & (c("l_y0") <= c("r_y1")) & (c("r_y0") <= c("l_y1"))
     )
@@ -107,6 +125,7 @@ def nearest(
     distance: Column | None = None,
     point_features: bool = True,
     query_box: Sequence[str] | None = None,
+    ceiling: Column | None = None,
 ) -> DataFrame:
     """The k nearest features of every point, ties to the lower feature id.
 
@@ -114,7 +133,9 @@ def nearest(
     columns of their bounds (x0, y0, x1, y1), which `distance` must respect. Features have f_x0, f_y0, f_x1, f_y1 bounds and any
     columns `distance` needs (default: distance to the bounds). `by` columns must
     agree on both sides. `per` is a feature column: k neighbors are found for each
-    of its values. Returns the point columns, the feature columns, `distance` and `rank`.
+    of its values. With `ceiling`, an upper bound of the distance of a pair, distances are not
+    measured: all pairs that can still be the nearest (k = 1) are returned, by the gap of
+    their bounds. Else returns the point columns, the feature columns, `distance` and `rank`.
     """
     by = list(by)
     extra = [per] if per else []
@@ -122,7 +143,7 @@ def nearest(
     exact = distance if distance is not None else F.sqrt(
         F.pow(_gap(c("x"), c("x"), c("f_x0"), c("f_x1")), 2) + F.pow(_gap(c("y"), c("y"), c("f_y0"), c("f_y1")), 2)
     )
-    if point_features and distance is None:
+    if point_features and distance is None and ceiling is None:
         # At one spot only the k lowest ids can ever be among the nearest.
         features = first_by(features, [*fkeys, "f_x0", "f_y0", "f_x1", "f_y1"], [c(feature_id)], k)
     features = cut_lineage(features)  # read by the extent, every occupancy check, the pyramid and the last join
@@ -216,6 +237,11 @@ def nearest(
             kept = step.withColumn("run", running).withColumn("lim", F.min(F.when(c("run") >= k, c("hi"))).over(whole))
         cand = kept.where(c("lim").isNull() | (c("lo") <= c("lim")))
     pairs = located.join(cand.select(*qkeys, "lv", "ix", "iy"), [*by, "qx", "qy"]).join(housed, [*fkeys, "lv", "ix", "iy"])
+    if ceiling is not None:
+        qb = query_box or ("x", "y", "x", "y")
+        floor = F.hypot(_gap(c(qb[0]), c(qb[2]), c("f_x0"), c("f_x1")), _gap(c(qb[1]), c(qb[3]), c("f_y0"), c("f_y1")))
+        bounded = pairs.withColumn("__lim", F.min(ceiling).over(W.partitionBy(point_id, *extra)))
+        return bounded.where(floor <= c("__lim")).drop("__lim", "lv", "ix", "iy", "qx", "qy")
     measured = pairs.withColumn("distance", exact)
     order = W.partitionBy(point_id, *extra).orderBy("distance", feature_id)
     ranked = measured.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)

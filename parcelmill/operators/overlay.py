@@ -13,8 +13,10 @@ from pyspark.sql.types import DoubleType
 
 from parcelmill.functions import geometry as gm
 from parcelmill.functions.codes import yield_class
+from parcelmill.functions.shapes import shape_distance, shapes_meet
 from parcelmill.operators import grid as gr
 from parcelmill.operators.joins import latest_valid_sale
+from parcelmill.operators.pieces import MAX_CORNERS, PIECE, WHOLE, corner_count, path_chunks, subdivide
 from parcelmill.operators.windows import first_by
 
 c = F.col
@@ -38,9 +40,9 @@ def as_polygons(df: DataFrame, prefix: str, rings: str = "rings", grow: float =
 
 
 def contains_join(points: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
-    """(point, polygon) pairs where the polygon holds the point."""
-    pairs = gr.cell_pairs(as_points_keep(points), as_polygons(layer, "r_"), cell)
-    return pairs.where(gm.contains_point(c("r_edges"), c("px"), c("py"))).drop("r_edges", *_boxes())
+    """(point, polygon) pairs where the polygon holds the point; a point lies in one piece of a large polygon."""
+    pairs = gr.cell_pairs(as_points_keep(points), as_polygons(subdivide(layer)[0], "r_"), cell)
+    return pairs.where(gm.contains_point(c("r_edges"), c("px"), c("py"))).drop(*_shapes())
 
 
 def as_points_keep(points: DataFrame) -> DataFrame:
@@ -51,14 +53,31 @@ def _boxes() -> list[str]:
     return [f"{p}{n}" for p in ("l_", "r_") for n in gr.BOX]
 
 
-def polygon_pairs(parcels: DataFrame, layer: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
-    """Parcel and layer polygons whose (grown) boxes meet, with both edge lists."""
-    return gr.cell_pairs(as_polygons(parcels, "l_"), as_polygons(layer, "r_", grow=grow), cell)
+def _shapes() -> list[str]:
+    return [*_boxes(), "l_edges", "r_edges", WHOLE, PIECE, *_NAMES]
+
+
+#: Names of whole shapes and pieces, once both sides are in one row.
+_NAMES = [f"__{side}_{n}" for side in "lr" for n in ("whole", "piece")]
+
+
+def _side(df: DataFrame, side: str, grow: float = 0.0) -> tuple[DataFrame, bool]:
+    """One side of a pair join, large polygons in pieces, and whether there were any."""
+    pieces, cut = subdivide(df)
+    if cut:
+        pieces = pieces.withColumnsRenamed({WHOLE: f"__{side}_whole", PIECE: f"__{side}_piece"})
+    return as_polygons(pieces, f"{side}_", grow=grow), cut
+
+
+def polygon_pairs(parcels: DataFrame, layer: DataFrame, cell: float, grow: float = 0.0) -> tuple[DataFrame, bool]:
+    """Parcel and layer polygons whose (grown) boxes meet, with both shapes, and whether they are pieces."""
+    (left, cut_left), (right, cut_right) = _side(parcels, "l"), _side(layer, "r", grow)
+    return gr.cell_pairs(left, right, cell), cut_left or cut_right
 
 
 def intersecting(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
-    pairs = polygon_pairs(parcels, layer, cell)
-    return pairs.where(gm.polygons_intersect(c("l_edges"), c("r_edges"))).drop(*_boxes())
+    """Pairs that meet; a pair of large polygons may come several times, once for each pair of pieces."""
+    return polygon_pairs(parcels, layer, cell)[0].where(shapes_meet("l_edges", "r_edges")).drop(*_shapes())
 
 
 def intersects(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
@@ -163,15 +182,36 @@ def clip_area(a, b) -> float:
     return abs(total)
 
 
+def _has_specks(edges: np.ndarray) -> bool:
+    """Is some edge so short, next to the whole, that its direction is rounding?"""
+    size = np.hypot(edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1])
+    return bool((size < 1e-9 * np.ptp(edges[:, :2], axis=0).max(initial=0.0)).any())
+
+
+def polygon_overlap(a, b) -> float:
+    """Overlap area of two polygons given as edge lists: by clipping, or by slabs where an edge has no sure direction."""
+    second = _edge_array(b)
+    return area_within(_edge_array(a), [second]) if len(second) > 8 or _has_specks(second) else clip_area(a, b)
+
+
 @F.pandas_udf(DoubleType())
-def _clip_area_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([clip_area(x, y) for x, y in zip(a, b)])
+def _overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([polygon_overlap(x, y) for x, y in zip(a, b)])
 
 
 def overlap_pairs(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
-    """Intersecting pairs with their overlap area; shapes reach Python only here."""
-    hits = intersecting(parcels, layer, cell)
-    return hits.withColumn("overlap", _clip_area_udf(c("l_edges"), c("r_edges"))).drop("l_edges", "r_edges")
+    """Intersecting pairs with their overlap area; shapes reach Python only here.
+
+    Areas of pieces are summed per pair; rows that repeat shape and columns then count once.
+    """
+    pairs, cut = polygon_pairs(parcels, layer, cell)
+    hits = pairs.where(shapes_meet("l_edges", "r_edges")).withColumn("overlap", _overlap_udf(c("l_edges"), c("r_edges")))
+    if not cut:
+        return hits.drop(*_shapes())
+    named = hits.drop("l_edges", "r_edges", *_boxes())
+    own = [x for x in named.columns if x not in ("overlap", "__l_piece", "__r_piece")]
+    once = named.groupBy([x for x in named.columns if x != "overlap"]).agg(F.max("overlap").alias("overlap"))
+    return once.groupBy(own).agg(F.sum("overlap").alias("overlap")).drop(*_NAMES)
 
 
 def box_overlap_pairs(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
@@ -200,7 +240,8 @@ def buffer_overlap_area(parcels: DataFrame, layer: DataFrame, distance: float, c
     whatever its shape: it is its own area together with what each of its edges sweeps. A parcel that only lies in the
     hull of a bent feature has no overlap.
     """
-    pairs = polygon_pairs(parcels.select(KEY, "rings"), layer.select("rings"), cell, grow=distance)
+    # Grown pieces would overlap one another, so shapes stay whole here.
+    pairs = gr.cell_pairs(as_polygons(parcels.select(KEY, "rings"), "l_"), as_polygons(layer.select("rings"), "r_", grow=distance), cell)
     angle = 2 * np.pi * np.arange(corners) / corners
     shape = distance * (np.array([(1, 1), (-1, 1), (-1, -1), (1, -1)], float) if square else np.stack([np.cos(angle), np.sin(angle)], axis=1))
 
@@ -254,33 +295,44 @@ def _strips(edges: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grown_overlap(a, b, shape: np.ndarray) -> float:
-    """Overlap area of polygon `a` with polygon `b` grown by a convex shape, from vertical slabs.
+    """Overlap area of polygon `a` with polygon `b` grown by a convex shape."""
+    first, second = _edge_array(a), _edge_array(b)
+    box = np.array([first[:, 0].min(), first[:, 1].min(), first[:, 0].max(), first[:, 1].max()])
+    return area_within(first, [second, *_swept(second, box, shape)])
+
+
+def area_within(first: np.ndarray, parts: list[np.ndarray]) -> float:
+    """Area of a polygon that a union of polygons covers, all given as edges, from vertical slabs.
 
     Between two neighboring corners or crossings all borders are straight, so the length of
-    the overlap on the middle line times the width is the exact area of a slab.
+    the overlap on the middle line times the width is the exact area of a slab. Rings may run
+    either way round.
     """
-    first, second = _edge_array(a), _edge_array(b)
-    box = np.array([first[:, 0].min(), first[:, 1].min(), first[:, 0].max(), first[:, 1].max()])
-    parts = [second, *_swept(second, box, shape)]
     edges = np.concatenate([first, *parts])
-    near = (np.minimum(edges[:, 0], edges[:, 2]) <= box[2]) & (np.maximum(edges[:, 0], edges[:, 2]) >= box[0])
-    near &= (np.minimum(edges[:, 1], edges[:, 3]) <= box[3]) & (np.maximum(edges[:, 1], edges[:, 3]) >= box[1])
-    x = np.concatenate([edges[:, 0], _crossings(edges[near])])
-    x = np.unique(x[(x >= box[0]) & (x <= box[2])])
-    middle, width = (x[1:] + x[:-1]) / 2, np.diff(x)
-    if not len(middle):
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    n = len(first)
+    if n == len(edges) or not n:
         return 0.0
-    ends = [_strips(p, middle) for p in parts]
+    start, end = np.maximum(low[:n].min(axis=0), low[n:].min(axis=0)), np.minimum(high[:n].max(axis=0), high[n:].max(axis=0))
+    if (start >= end).any():
+        return 0.0
+    near = ((low <= end) & (high >= start)).all(axis=1)
+    x = np.concatenate([edges[:, 0], _crossings(edges[near]), [start[0], end[0]]])
+    x = np.unique(x[(x >= start[0]) & (x <= end[0])])
+    middle, width = (x[1:] + x[:-1]) / 2, np.diff(x)
+    here = lambda e: e[(np.minimum(e[:, 0], e[:, 2]) < end[0]) & (np.maximum(e[:, 0], e[:, 2]) > start[0])]
+    ends = [_strips(here(p), middle) for p in parts]
     low, high = np.concatenate([e[0] for e in ends], axis=1), np.concatenate([e[1] for e in ends], axis=1)
     total = np.zeros(len(middle))
-    for j in range(_strips(first, middle)[0].shape[1]):
-        floor, roof = (side[:, j : j + 1] for side in _strips(first, middle))
+    for floor, roof in zip(*(side.T[:, :, None] for side in _strips(here(first), middle)), strict=True):
         lo, hi = np.clip(low, floor, roof), np.clip(high, floor, roof)
-        order = np.argsort(lo, axis=1, kind="stable")
-        lo, hi = np.take_along_axis(lo, order, 1), np.take_along_axis(hi, order, 1)
-        before = np.concatenate([np.full((len(lo), 1), -np.inf), np.maximum.accumulate(hi, axis=1)[:, :-1]], axis=1)
+        if lo.shape[1] > 1:
+            order = np.argsort(lo, axis=1, kind="stable")
+            lo, hi = np.take_along_axis(lo, order, 1), np.take_along_axis(hi, order, 1)
+            before = np.concatenate([np.full((len(lo), 1), -np.inf), np.maximum.accumulate(hi, axis=1)[:, :-1]], axis=1)
+            lo = np.maximum(lo, before)
         with np.errstate(invalid="ignore"):
-            length = np.nan_to_num(hi - np.maximum(lo, before), nan=0.0, posinf=0.0)
+            length = np.nan_to_num(hi - lo, nan=0.0, posinf=0.0)
         total += np.where(np.isfinite(floor[:, 0]), np.maximum(length, 0.0).sum(axis=1), 0.0)
     return float((total * width).sum())
 
@@ -307,16 +359,20 @@ def convex_hull(points: list) -> list:
 def within(points: DataFrame, layer: DataFrame, distance: float, cell: float, where: Column | None = None) -> DataFrame:
     """Point and feature pairs no farther apart than `distance`."""
     kept = layer if where is None else layer.where(where)
-    pairs = gr.cell_pairs(as_points_keep(points), as_polygons(kept, "r_", grow=distance), cell)
-    near = pairs.withColumn("distance", gm.point_distance(c("r_edges"), c("px"), c("py")))
-    return near.where(c("distance") <= distance).drop("r_edges", *_boxes())
+    pieces, cut = subdivide(kept)
+    pairs = gr.cell_pairs(as_points_keep(points), as_polygons(pieces, "r_", grow=distance), cell)
+    near = pairs.withColumn("distance", gm.point_distance(c("r_edges"), c("px"), c("py"))).where(c("distance") <= distance)
+    if cut:
+        own = [x for x in near.columns if x not in ("r_edges", "distance", PIECE, *_boxes())]
+        near = near.groupBy(own).agg(F.min("distance").alias("distance"))
+    return near.drop(*_shapes())
 
 
 def parcels_within(parcels: DataFrame, layer: DataFrame, distance: float, cell: float, where: Column | None = None) -> DataFrame:
     """Every parcel with `val` = true when a feature lies within the distance of its polygon."""
     kept = layer if where is None else layer.where(where)
-    pairs = polygon_pairs(parcels.select(KEY, "rings"), kept.select("rings"), cell, grow=distance)
-    near = pairs.where(gm.polygon_distance(c("l_edges"), c("r_edges")) <= distance).select(KEY).distinct()
+    pairs, _ = polygon_pairs(parcels.select(KEY, "rings"), kept.select("rings"), cell, grow=distance)
+    near = pairs.where(shape_distance("l_edges", "r_edges", F.lit(True)) <= distance).select(KEY).distinct()
     return _facts(parcels, near.withColumn("val", F.lit(True)))
 
 
@@ -333,7 +389,8 @@ def nearest_fact(
 
 def nearest_polygon(points: DataFrame, layer: DataFrame, feature_id: str) -> DataFrame:
     """Distance to the nearest polygon, 0 inside."""
-    shaped = layer.select(c(feature_id).alias("feature_id"), gm.edges(c("rings")).alias("edges"), gm.bbox(c("rings")).alias("b"))
+    pieces, _ = subdivide(layer.select(c(feature_id).alias("feature_id"), "rings"))
+    shaped = pieces.select("feature_id", gm.edges(c("rings")).alias("edges"), gm.bbox(c("rings")).alias("b"))
     features = gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "f_").drop("b")
     d = gm.point_distance(c("edges"), c("x"), c("y"))
     return gr.nearest(points.select(KEY, "x", "y"), features, 1, point_id=KEY, distance=d).select(KEY, "feature_id", "distance")
@@ -345,24 +402,38 @@ def shape_features(features: DataFrame, feature_id: str, filled: Column | bool,
     A point is a ring of one place, a line an open ring, a polygon a closed one; `filled`
     tells whether the inside belongs to the feature.
     """
+    named = features.select(c(feature_id).alias("feature_id"), *keep, (F.lit(filled) if isinstance(filled, bool) else filled).alias("f_filled"), "rings")
+    # Long lines go in chunks, large polygons in pieces; they keep the id of their feature.
+    line = ~c("f_filled") & (corner_count(c("rings")) > MAX_CORNERS)
+    short = named.withColumn("rings", F.explode(F.when(line, path_chunks(c("rings"))).otherwise(F.array("rings"))))
+    pieces = subdivide(short, only=c("f_filled"))[0].drop(WHOLE, PIECE)
     paths = F.transform("rings", lambda r: F.when(F.size(r) == 1, F.concat(r, r)).otherwise(r))
-    shaped = features.select(
-        c(feature_id).alias("feature_id"), *keep, gm.edges(paths).alias("f_edges"), gm.bbox(c("rings")).alias("b"), (F.lit(filled) if isinstance(filled, bool) else filled).alias("f_filled"),
-    )
+    shaped = pieces.withColumns({"f_edges": gm.edges(paths), "f_starts": gm.starts(c("rings")), "b": gm.bbox(c("rings"))}).drop("rings")
     return gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "f_").drop("b")
 
 
-def nearest_shapes(parcels: DataFrame, features: DataFrame, per: str | None = None) -> DataFrame:
+def nearest_shapes(parcels: DataFrame, features: DataFrame, per: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(parcel, feature_id, distance): the nearest feature of each parcel polygon, 0 where they meet.
 
-    `features` come from `shape_features`; `per` finds one for each value of a feature column.
+    `features` come from `shape_features`; `per` finds one for each value of a feature column,
+    `keep` names feature columns to return as well.
     """
-    shaped = parcels.select(KEY, gm.edges(c("rings")).alias("edges"), gm.bbox(c("rings")).alias("b"))
+    pieces, _ = subdivide(parcels.select(KEY, "rings"))
+    shaped = pieces.select(KEY, gm.edges(c("rings")).alias("edges"), gm.starts(c("rings")).alias("starts"), gm.bbox(c("rings")).alias("b"))
     boxed = gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "s_").drop("b")
-    placed = boxed.withColumn("x", (c("s_x0") + c("s_x1")) / 2).withColumn("y", (c("s_y0") + c("s_y1")) / 2)
-    gap = gm.shape_distance(c("edges"), c("f_edges"), c("f_filled"))
-    found = gr.nearest(placed, features, 1, point_id=KEY, per=per, distance=gap, query_box=[f"s_{n}" for n in gr.BOX])
-    return found.select(KEY, *([per] if per else []), "feature_id", "distance")
+    # The search sees boxes and one corner of each shape; only pairs that can still be nearest fetch their edges.
+    placed = boxed.withColumns({"x": (c("s_x0") + c("s_x1")) / 2, "y": (c("s_y0") + c("s_y1")) / 2, "s_row": F.xxhash64(KEY, "edges"), "s_one": c("starts")[0]})
+    known = features.withColumns({"f_row": F.xxhash64("feature_id", *([per] if per else []), "f_edges"), "f_one": c("f_starts")[0]})
+    ceiling = F.hypot(c("s_one.x") - c("f_one.x"), c("s_one.y") - c("f_one.y")) * (1 + 1e-9)
+    light = gr.nearest(
+        placed.drop("edges", "starts"), known.drop("f_edges", "f_starts"), 1, point_id=KEY, per=per, query_box=[f"s_{n}" for n in gr.BOX], ceiling=ceiling,
+    )
+    once = lambda df, row, *columns: df.groupBy(row).agg(*[F.any_value(x).alias(x) for x in columns])
+    near = light.join(once(placed, "s_row", "edges"), "s_row").join(once(known, "f_row", "f_edges"), "f_row")
+    gap = shape_distance("edges", "f_edges", "f_filled")
+    # All pieces of a parcel are ranked together.
+    measured = near.select(KEY, *([per] if per else []), "feature_id", gap.alias("distance"), *keep)
+    return first_by(measured, [KEY, *([per] if per else [])], [c("distance"), c("feature_id")])
 
 
 def shape_distances(parcels: DataFrame, features: DataFrame, classes: Sequence, per: str = "cls") -> DataFrame:
@@ -372,8 +443,26 @@ def shape_distances(parcels: DataFrame, features: DataFrame, classes: Sequence,
     return parcels.select(KEY).join(wide, KEY, "left")
 
 
-def nearest_yield_class(points: DataFrame, wells: DataFrame, feature_id: str, flow: str) -> DataFrame:
-    found = nearest_fact(points, wells, feature_id, flow)
+def nearest_shape_fact(
+    parcels: DataFrame, layer: DataFrame, feature_id: str, column: str | None = None, where: Column | None = None, filled: Column | bool | None = None
+) -> DataFrame:
+    """Distance of each parcel polygon to the nearest line or polygon, and optionally one of its attributes.
+
+    `filled` tells whether the inside belongs to a feature; None takes it from whether its rings are closed.
+    """
+    kept = layer if where is None else layer.where(where)
+    if filled is None:
+        filled = F.forall("rings", lambda r: (F.size(r) > 3) & (F.element_at(r, 1) == F.element_at(r, -1)))
+    extra = [c(column).alias("attribute")] if column else []
+    names = ["attribute"] if column else []
+    found = nearest_shapes(parcels, shape_features(kept, feature_id, filled, *extra), keep=names)
+    return parcels.select(KEY).join(found.select(KEY, "feature_id", "distance", *names), KEY, "left")
+
+
+def nearest_yield_class(parcels: DataFrame, wells: DataFrame, feature_id: str, flow: str, where: Column | None = None) -> DataFrame:
+    """Yield class of the nearest point, or of the nearest line or polygon where the layer has rings."""
+    nearest = nearest_shape_fact if "rings" in wells.columns else nearest_fact
+    found = nearest(parcels, wells, feature_id, flow, where)
     return found.select(KEY, F.when(c("feature_id").isNotNull(), yield_class(c("attribute"))).alias("val"))
 
 
@@ -439,8 +528,7 @@ def water_facts(
 
 def filter_intersecting(layer: DataFrame, boundary: DataFrame, cell: float, key: str) -> DataFrame:
     """Features that meet any boundary polygon."""
-    pairs = gr.cell_pairs(as_polygons(layer.select(key, "rings"), "l_"), as_polygons(boundary.select("rings"), "r_"), cell)
-    hit = pairs.where(gm.polygons_intersect(c("l_edges"), c("r_edges"))).select(key).distinct()
+    hit = intersecting(layer.select(key, "rings"), boundary.select("rings"), cell).select(key).distinct()
     return layer.join(hit, key, "left_semi")
 
 

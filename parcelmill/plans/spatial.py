@@ -224,6 +224,80 @@ def _(t):
     return ov.shape_distances(lots(t), features, ["point", "line", "area"]).select("parcel_id", *r6("dist_point", "dist_line", "dist_area"))
 
 
+# Parcels of two parts and zones with holes. A frame is a zone without its middle third; its outline has many corners.
+_PART_SHIFT = (0.7, 0.3)
+_PARTS = f"""parts AS (SELECT parcel_id, x0, y0, side FROM lots UNION ALL SELECT parcel_id, x0 + {_PART_SHIFT[0]}, y0 + {_PART_SHIFT[1]}, side FROM lots),
+    frames AS (SELECT *, x0 + side / 4 AS hx, y0 + side / 4 AS hy, side / 2 AS hs FROM zones)"""
+_IN_HOLE = "a.x0 > z.hx AND a.x0 + a.side < z.hx + z.hs AND a.y0 > z.hy AND a.y0 + a.side < z.hy + z.hs"
+_FRAME_MEET = f"({MEET}) AND NOT ({_IN_HOLE})"
+_HOLE_OVERLAP = OVERLAP.replace("z.x0", "z.hx").replace("z.y0", "z.hy").replace("z.side", "z.hs")
+_HOLE_GAP = "least(a.x0 - z.hx, z.hx + z.hs - a.x0 - a.side, a.y0 - z.hy, z.hy + z.hs - a.y0 - a.side)"
+_FRAME_GAP = f"CASE WHEN {_IN_HOLE} THEN {_HOLE_GAP} ELSE {_LOT_GAP} END"
+SIDE_STEPS = 40
+
+
+def two_part_lots(t):
+    """Each lot as a polygon of two squares."""
+    dx, dy = _PART_SHIFT
+    box = lambda x, y: gm.box_rings(x, y, x + c("side"), y + c("side"))
+    return t.lots.select("parcel_id", F.concat(box(c("x0"), c("y0")), box(c("x0") + dx, c("y0") + dy)).alias("rings"))
+
+
+def frames(t, *keep):
+    """Zones with a hole in the middle; the sides of both rings are cut into many short ones."""
+    def dense(x0, y0, side, clockwise):
+        x1, y1 = x0 + side, y0 + side
+        corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        if clockwise:
+            corners = corners[::-1]
+        point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+        def along(a, b):
+            return F.transform(F.sequence(F.lit(0), F.lit(SIDE_STEPS - 1)), lambda i: point(a[0] + i / SIDE_STEPS * (b[0] - a[0]), a[1] + i / SIDE_STEPS * (b[1] - a[1])))
+
+        sides = [along(a, b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
+        return F.array(F.concat(*sides, F.array(point(*corners[0]))))
+
+    x, y, s = c("x0"), c("y0"), c("side")
+    return t.zones.select("zone_id", *keep, F.concat(dense(x, y, s, False), dense(x + s / 4, y + s / 4, s / 2, True)).alias("rings"))
+
+
+@query("g01_points_in_frames", f"WITH {_PARTS} SELECT p.parcel_id, z.zone_id FROM parcels p JOIN frames z ON {HIT} AND NOT (p.x >= z.hx AND p.x < z.hx + z.hs AND p.y >= z.hy AND p.y < z.hy + z.hs)")
+def _(t):
+    return ov.contains_join(ov.as_points(t.parcels), frames(t), CELL).select("parcel_id", "zone_id")
+
+
+@query("g04_parts_meet_frames", f"""WITH {_PARTS} SELECT l.parcel_id, h.val FROM lots l LEFT JOIN (SELECT a.parcel_id, string_agg(DISTINCT z.zone_class, ';' ORDER BY z.zone_class) AS val
+        FROM parts a JOIN frames z ON {_FRAME_MEET} GROUP BY 1) h ON l.parcel_id = h.parcel_id""")
+def _(t):
+    return ov.intersects_list(two_part_lots(t), frames(t, "zone_class"), "zone_class", CELL).withColumn("val", F.array_join("val", ";"))
+
+
+@query("g05_parts_overlap_frames", f"""WITH {_PARTS} SELECT parcel_id, zone_id, round(sum({OVERLAP} - {_HOLE_OVERLAP}) * 247.105381, 6) AS area
+        FROM parts a JOIN frames z ON {_FRAME_MEET} GROUP BY 1, 2""")
+def _(t):
+    pairs = ov.overlap_pairs(two_part_lots(t), frames(t), CELL)
+    return pairs.select("parcel_id", "zone_id", F.round(c("overlap") * 247.105381, 6).alias("area"))
+
+
+@query("g06_parts_near_frames", f"""WITH {_PARTS} SELECT l.parcel_id, h.val FROM lots l LEFT JOIN (SELECT DISTINCT a.parcel_id, true AS val FROM parts a JOIN frames z
+        ON {_FRAME_GAP} <= 0.05 WHERE z.zone_class = 'SMALL') h ON l.parcel_id = h.parcel_id""")
+def _(t):
+    return ov.parcels_within(two_part_lots(t), frames(t, "zone_class"), 0.05, CELL, c("zone_class") == "SMALL")
+
+
+@query("g08_nearest_frame", f"""WITH {_PARTS} SELECT parcel_id, round(d, 6) AS distance, zone_class FROM (SELECT a.parcel_id, z.zone_class, {_FRAME_GAP} AS d,
+        row_number() OVER (PARTITION BY a.parcel_id ORDER BY {_FRAME_GAP}, z.zone_id) AS rn FROM parts a, frames z) WHERE rn = 1""")
+def _(t):
+    found = ov.nearest_shape_fact(two_part_lots(t), frames(t, "zone_class"), "zone_id", "zone_class")
+    return found.select("parcel_id", *r6("distance"), c("attribute").alias("zone_class"))
+
+
+@query("s07_parts_in_frames", f"WITH {_PARTS} SELECT DISTINCT a.parcel_id FROM parts a JOIN frames z ON {_FRAME_MEET} WHERE z.zone_class = 'PROMO'")
+def _(t):
+    return ov.filter_intersecting(two_part_lots(t), frames(t, "zone_class").where("zone_class = 'PROMO'"), CELL, "parcel_id").select("parcel_id")
+
+
 _LONLAT = "SELECT parcel_id, -122.5 + x / 50 AS lon, 48.3 + y / 50 AS lat FROM parcels"
 
 
