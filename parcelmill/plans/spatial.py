@@ -233,7 +233,7 @@ _FRAME_MEET = f"({MEET}) AND NOT ({_IN_HOLE})"
 _HOLE_OVERLAP = OVERLAP.replace("z.x0", "z.hx").replace("z.y0", "z.hy").replace("z.side", "z.hs")
 _HOLE_GAP = "least(a.x0 - z.hx, z.hx + z.hs - a.x0 - a.side, a.y0 - z.hy, z.hy + z.hs - a.y0 - a.side)"
 _FRAME_GAP = f"CASE WHEN {_IN_HOLE} THEN {_HOLE_GAP} ELSE {_LOT_GAP} END"
-SIDE_STEPS = 40
+SIDE_STEPS = 12
 
 
 def two_part_lots(t):

@@ -13,25 +13,35 @@ c = F.col
 
 
 def read_features(df: DataFrame, column: str = "json") -> DataFrame:
-    """One row per GeoJSON feature: rings, properties and whether the geometry is usable.
+    """One row per GeoJSON feature: kind, rings, properties and whether the geometry is usable.
 
-    Polygons keep all rings; multi-polygons give the rings of all parts; points
-    give x and y. Nothing is dropped here, callers filter on `valid`.
+    Polygons keep all rings, multi-polygons the rings of all parts; lines are open paths, one
+    per line of a multi-line; multi-points are paths of one place each, as `shape_features`
+    takes them. Points give x and y. Nothing is dropped here, callers filter on `valid`.
     """
     schema = "struct<features:array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
     rows = df.select(F.explode(F.from_json(c(column), schema)["features"]).alias("f"))
     kind, text = c("f.geometry.type"), c("f.geometry.coordinates")
-    numbers = "array<array<array<double>>>"
-    polygon = F.from_json(text, numbers)
-    multi = F.flatten(F.from_json(text, f"array<{numbers}>"))
-    raw = F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", multi)
+    place, path, paths = "array<double>", "array<array<double>>", "array<array<array<double>>>"
+    raw = (
+        F.when(kind.isin("Polygon", "MultiLineString"), F.from_json(text, paths))
+        .when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<{paths}>")))
+        .when(kind == "LineString", F.array(F.from_json(text, path)))
+        .when(kind == "MultiPoint", F.transform(F.from_json(text, path), lambda p: F.array(p)))
+    )
     rings = F.transform(raw, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    point = F.when(kind == "Point", F.from_json(text, "array<double>"))
-    sound = gm.rings_valid(c("rings"))
-    out = rows.select(c("f.properties").alias("properties"), rings.alias("rings"), point.alias("p"))
+    point = F.when(kind == "Point", F.from_json(text, place))
+    known = F.forall("rings", lambda r: F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    long_enough = F.forall("rings", lambda r: F.size(r) >= F.when(c("kind") == "MultiPoint", 1).otherwise(2))
+    sound = (
+        F.when(c("kind").isin("Polygon", "MultiPolygon"), gm.rings_valid(c("rings")))
+        .when(c("kind").isin("LineString", "MultiLineString", "MultiPoint"), (F.size("rings") > 0) & long_enough & known)
+        .otherwise(F.size("p") >= 2)
+    )
+    out = rows.select(c("f.properties").alias("properties"), kind.alias("kind"), rings.alias("rings"), point.alias("p"))
     return out.select(
-        "properties", "rings", F.try_element_at("p", F.lit(1)).alias("x"), F.try_element_at("p", F.lit(2)).alias("y"),
-        F.coalesce(sound, F.size("p") >= 2, F.lit(False)).alias("valid"),
+        "properties", "kind", "rings", F.try_element_at("p", F.lit(1)).alias("x"), F.try_element_at("p", F.lit(2)).alias("y"),
+        F.coalesce(sound, F.lit(False)).alias("valid"),
     )
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelmill.operators.windows import recent_activity
+from parcelmill.session import cut_lineage
 
 c = F.col
 REVIEW_KEY = ["place_id", "source", "review_id"]
@@ -38,41 +42,104 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def ingest_reviews(stream: DataFrame, table_path: str, checkpoint: str, places_path: str | None = None, buckets: int = 64) -> StreamingQuery:
-    """Add each review once to a stored table, however old it is.
+def _commits(spark: SparkSession, table_path: str) -> DataFrame:
+    """(batch): the batches that count, which are committed and not replaced by a compaction."""
+    found = _read_or_none(spark, f"{table_path.rstrip('/')}/_commits")
+    if found is None:
+        return spark.createDataFrame([], "batch string")
+    replaced = found.select(F.explode("replaces").alias("batch")).distinct()
+    return found.select("batch").distinct().join(replaced, "batch", "left_anti")
+
+
+def _commit(spark: SparkSession, table_path: str, batch: str, replaces: Column) -> None:
+    """One small file under the name of the batch: a batch that is run again commits again, to the same place."""
+    entry = spark.range(1).select(F.lit(batch).alias("batch"), replaces.cast("array<string>").alias("replaces"))
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/_commits/name={batch}")
+
+
+def _committed_rows(spark: SparkSession, table_path: str) -> DataFrame | None:
+    rows = _read_or_none(spark, table_path)
+    return None if rows is None else rows.join(_commits(spark, table_path), "batch", "left_semi")
+
+
+def stored_reviews(spark: SparkSession, table_path: str) -> DataFrame:
+    """The stored table: committed rows, one per review.
+
+    Two jobs that store the same review at the same time both commit it; here the earliest row stays.
+    """
+    rows = _committed_rows(spark, table_path)
+    if rows is None:
+        raise ValueError(f"no reviews were stored in {table_path}")
+    return distinct_reviews(rows.drop("batch", "bucket"))
 
-    Repeats inside a micro-batch leave the earliest; an anti join with the stored keys drops
-    what the table holds. The table is partitioned by a hash bucket of the key and by the
-    batch, so a batch reads only the buckets it touches, and one run again after a failure
-    replaces its own partitions. With `places_path` the newest date and the number of stored
-    reviews per place are kept as well, one snapshot per batch.
+
+def _job_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint: the same after a restart, another for a new checkpoint."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return str(json.loads(text)["id"])
+
+
+def ingest_reviews(stream: DataFrame, table_path: str, checkpoint: str, places_path: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Add each review once to a stored table, however old it is and however many jobs write.
+
+    Repeats inside a micro-batch leave the earliest; an anti join with the committed keys of the
+    touched buckets drops what the table holds. A batch is named by the id of its stream and its
+    number, is written to partitions of its own and counts once its name is committed. So a
+    batch that runs again replaces what it wrote itself, never what another job or an earlier
+    checkpoint wrote, and what a failed one left is not seen. `stored_reviews` reads the table,
+    `compact_reviews` joins its small files. With `places_path` each batch stores what it added
+    to every place; `place_counts` adds it up.
     """
     columns = stream.columns
     bucket = F.pmod(F.xxhash64(*REVIEW_KEY), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = distinct_reviews(batch.select(*columns)).withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
-        old = _read_or_none(spark, table_path)
+        name = f"{_job_of(spark, checkpoint)}-{batch_id}"
+        rows = distinct_reviews(batch.select(*columns)).withColumn("bucket", bucket).withColumn("batch", F.lit(name))
+        old = _committed_rows(spark, table_path)
         if old is not None:
             # At most `buckets` numbers.
             touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-            stored = old.where(c("bucket").isin(touched) & (c("batch") < batch_id)).select(*REVIEW_KEY)
-            rows = rows.join(stored, REVIEW_KEY, "left_anti")
+            known = old.where(c("bucket").isin(touched) & (c("batch") != name)).select(*REVIEW_KEY)
+            rows = rows.join(known, REVIEW_KEY, "left_anti")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(table_path)
         if places_path is not None:
             written = _read_or_none(spark, table_path)
-            news = last_review_dates(written.where(c("batch") == batch_id)) if written is not None else None
-            before = _read_or_none(spark, places_path)
-            parts = [x for x in (news, before.where(c("batch") == batch_id - 1).drop("batch") if before is not None else None) if x is not None]
-            if parts:
-                both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-                total = both.groupBy("place_id").agg(F.max("last_review_date").alias("last_review_date"), F.sum("reviews").alias("reviews"))
-                total.write.mode("overwrite").parquet(f"{places_path.rstrip('/')}/batch={batch_id}")
+            if written is not None:
+                added = last_review_dates(written.where(c("batch") == name))
+                added.write.mode("overwrite").parquet(f"{places_path.rstrip('/')}/batch={name}")
+        _commit(spark, table_path, name, F.array())
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def place_counts(spark: SparkSession, table_path: str, places_path: str) -> DataFrame:
+    """(place_id, last_review_date, reviews) over all committed batches of all jobs."""
+    added = spark.read.parquet(places_path).join(_commits(spark, table_path), "batch", "left_semi")
+    return added.groupBy("place_id").agg(F.max("last_review_date").alias("last_review_date"), F.sum("reviews").alias("reviews"))
+
+
+def compact_reviews(spark: SparkSession, table_path: str, places_path: str | None = None) -> str:
+    """Write all committed reviews anew, one file per bucket, and let them stand for the batches they come from.
+
+    The old files stay, unseen, so a reader that has begun is not disturbed; remove the folders
+    of replaced batches when no reader is left. No stream may write in the meantime. Returns the
+    name of the new batch.
+    """
+    name = f"compact-{uuid.uuid4().hex}"
+    names = cut_lineage(_commits(spark, table_path))
+    rows = spark.read.parquet(table_path).join(names, "batch", "left_semi")
+    kept = distinct_reviews(rows.drop("batch", "bucket")).join(rows.select(*REVIEW_KEY, "bucket").distinct(), REVIEW_KEY)
+    kept.withColumn("batch", F.lit(name)).repartition("bucket").write.mode("append").partitionBy("bucket", "batch").parquet(table_path)
+    if places_path is not None:
+        own = spark.read.parquet(table_path).where(c("batch") == name)
+        last_review_dates(own).write.mode("overwrite").parquet(f"{places_path.rstrip('/')}/batch={name}")
+    replaces = [r["batch"] for r in names.collect()]  # one name per batch
+    _commit(spark, table_path, name, F.array(*map(F.lit, replaces)))
+    return name
+
+
 def activity_feed(stream: DataFrame, table_path: str, checkpoint: str, n: int = 20) -> StreamingQuery:
     """Keep the newest `n` events: each batch merges its own newest with the stored ones.
 

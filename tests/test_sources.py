@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parcelmill.functions import fixed_values as fv
 from parcelmill.operators import windows as wn
+from parcelmill.sources import layers as ly
 from parcelmill.sources import roll as rl
 from parcelmill.sources import runs as rn
 from parcelmill.streaming import feeds as fd
@@ -85,11 +86,28 @@ def test_review_stream_keeps_each_review_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         fd.ingest_reviews(stream, table, str(tmp_path / "cp"), places, buckets=4).awaitTermination(120)
-    stored = spark.read.parquet(table)
+    stored = fd.stored_reviews(spark, table)
     want = [(1, "a", at), (1, "c", day(400)), (1, "d", day(-1)), (2, "a", at), (3, "a", day(-4000)), (3, "b", day(401))]
     assert sorted((r["place_id"], r["review_id"], r["created_at"]) for r in stored.collect()) == want
-    newest = spark.read.parquet(f"{places}/batch=3")
-    assert sorted(tuple(r) for r in newest.select("place_id", "last_review_date", "reviews").collect()) == [(1, day(400), 3), (2, at, 1), (3, day(401), 2)]
+    newest = [(1, day(400), 3), (2, at, 1), (3, day(401), 2)]
+    assert sorted(tuple(r) for r in fd.place_counts(spark, table, places).collect()) == newest
+    # A second job with a checkpoint of its own adds what is new and overwrites nothing.
+    other = str(tmp_path / "in2")
+    spark.createDataFrame([*first, (9, "g", "a", "mine", at)], schema).coalesce(1).write.parquet(other)
+    fd.ingest_reviews(spark.readStream.schema(schema).parquet(other), table, str(tmp_path / "cp2"), places, buckets=4).awaitTermination(120)
+    want.append((9, "a", at))
+    rows = lambda: sorted((r["place_id"], r["review_id"], r["created_at"]) for r in fd.stored_reviews(spark, table).collect())
+    assert rows() == want
+    # What a job left without a commit is not seen.
+    left = spark.createDataFrame([(7, "g", "lost", "x", at)], schema).withColumns({"bucket": F.lit(0), "batch": F.lit("dead-0")})
+    left.write.mode("append").partitionBy("bucket", "batch").parquet(table)
+    assert rows() == want
+    fd.compact_reviews(spark, table, places)
+    assert rows() == want and sorted(tuple(r) for r in fd.place_counts(spark, table, places).collect()) == [*newest, (9, at, 1)]
+    # The stream goes on after a compaction.
+    spark.createDataFrame([(1, "g", "a", "x", at), (9, "g", "b", "more", at)], schema).coalesce(1).write.mode("append").parquet(src)
+    fd.ingest_reviews(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "cp"), places, buckets=4).awaitTermination(120)
+    assert rows() == [*want, (9, "b", at)]
 
 
 def test_activity_stream_keeps_newest(spark, tmp_path):
@@ -109,3 +127,16 @@ def test_cadence_of_last_fifteen(spark):
     newest = sorted(r[2] for r in rows)[-15:]
     want = (newest[-1] - newest[0]).total_seconds() / 86400 / 14
     assert abs(wn.review_cadence(df).first()["avg_gap_days"] - want) < 1e-9
+
+
+def test_features_of_every_kind(spark):
+    shapes = [
+        ("Point", "[1, 2]"), ("MultiPoint", "[[1, 2], [3, 4]]"), ("LineString", "[[0, 0], [1, 1]]"), ("MultiLineString", "[[[0, 0], [1, 1]], [[2, 2], [3, 3], [4, 4]]]"),
+        ("Polygon", "[[[0, 0], [1, 0], [1, 1], [0, 0]]]"), ("MultiPolygon", "[[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]"),
+        ("LineString", "[[0, 0]]"), ("Polygon", "[[[0, 0], [1, 0], [1, 1]]]"), ("Point", "[]"), ("MultiLineString", "[]"), ("Curve", "[1]"),
+    ]
+    text = '{"features": [' + ", ".join(f'{{"geometry": {{"type": "{k}", "coordinates": {v}}}, "properties": {{"n": "{i}"}}}}' for i, (k, v) in enumerate(shapes)) + "]}"
+    rows = {int(r["properties"]["n"]): r for r in ly.read_features(spark.createDataFrame([(text,)], "json string")).collect()}
+    assert [i for i in sorted(rows) if rows[i]["valid"]] == [0, 1, 2, 3, 4, 5]
+    assert (rows[0]["x"], rows[0]["y"]) == (1, 2) and [len(r) for r in rows[1]["rings"]] == [1, 1]
+    assert [len(r) for r in rows[3]["rings"]] == [2, 3] and len(rows[5]["rings"]) == 2 and rows[2]["kind"] == "LineString"
