@@ -107,9 +107,10 @@ def search(
     more coordinate where norms differ inside a band. `hashes` signed axes make up a
     cell; None takes 1 whatever the size, as more of them lower the recall.
 
-    Nulls, zero vectors and non-finite parts take no part; with fewer than `k` other
-    rows all found are returned; repeated ids count once per vector; an empty table
-    gives an empty result.
+    Nulls, zero vectors, vectors with non-finite parts and vectors of another width than the
+    commonest take no part. A query has `k` rows, or all others where there are fewer: one
+    whose probes meet fewer goes on through all cells of a table. Repeated ids count once per
+    vector; an empty table gives an empty result.
     """
     rows = stored(usable_vectors(df, id_col, vector_col).distinct(), "vectors")
     first = rows.first()
@@ -216,9 +217,9 @@ def search(
 
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "gid")
 
-    def scored(queries: DataFrame) -> DataFrame:
+    def scored(queries: DataFrame, rows: DataFrame = right) -> DataFrame:
         a = queries.select(*group, "qid", "qvec", "floor").groupBy(group)
-        b = right.select(*group, "gid", "vec").groupBy(group)
+        b = rows.select(*group, "gid", "vec").groupBy(group)
         return a.cogroup(b).applyInArrow(rank, "qid long, gid long, score double")
 
     def top(found: DataFrame) -> DataFrame:
@@ -228,9 +229,20 @@ def search(
     start = stored(top(scored(left.where("turn = 0").withColumn("floor", F.lit(float("-inf"))))), "first_probe")
     floor = start.groupBy("qid").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("floor"))
     rest = scored(left.where("turn > 0").join(floor, "qid", "left").na.fill(float("-inf"), ["floor"]))
-    found = top(start.select("qid", "gid", "score").unionByName(rest))
+    found = stored(top(start.select("qid", "gid", "score").unionByName(rest)), "found")
 
+    # A query whose probes met fewer than `k` others goes on through every cell of one table, which is all rows.
     names = spots.select("gid", "ids")
+    reached = found.join(names, "gid").groupBy("qid").agg(F.sum(F.size("ids")).alias("reached"))
+    short = asking.select(F.col("gid").alias("qid"), F.col("vec").alias("qvec")).join(reached, "qid", "left")
+    short = stored(short.where(F.coalesce("reached", F.lit(0)) <= k).drop("reached"), "short")
+    if count := short.count():
+        parts = F.lit(max(1, -(-count // block_rows)))
+        every = stored(size.where("tab = 0"), "every_cell")  # two cells per dimension and band
+        asked_all = short.withColumns({"tab": F.lit(0), "qb": F.pmod(F.xxhash64("qid"), parts), "floor": F.lit(float("-inf"))}).join(F.broadcast(every), "tab")
+        asked_all = asked_all.withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
+        held = placed.join(F.broadcast(every), keys).withColumn("rb", part("gid", "row_blocks")).withColumn("qb", F.explode(F.sequence(F.lit(0), parts - 1)))
+        found = top(found.select("qid", "gid", "score").unionByName(scored(asked_all, held)))
     asked_at = asked.join(spots.where("asked").select("vec", F.col("gid").alias("qid")), "vec").select("query_id", "qid")
     expanded = (
         found.select("qid", "gid", "score").join(names, "gid").select("qid", "score", F.explode("ids").alias("vec_id"))

@@ -142,6 +142,19 @@ def test_neighbours(spark, norms, hashes):
     assert hits >= 0.9 * 20 * 30
 
 
+@pytest.mark.parametrize("rows", [15, 25])
+def test_sparse_tables_give_all_neighbours(spark, rows):
+    vecs = np.random.default_rng(rows).normal(size=(rows, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    found = ann.search(df, "true").collect()
+    near = min(20, rows - 1)
+    assert len(found) == rows * near
+    if rows == 15:
+        score = vecs @ vecs.T
+        want = {(q, r + 1, int(v)) for q in range(rows) for r, v in enumerate([v for v in np.argsort(-score[q]) if v != q])}
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == want
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [0.0, 0.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0])]
