@@ -286,11 +286,9 @@ def _(t):
     return ov.parcels_within(two_part_lots(t), frames(t, "zone_class"), 0.05, CELL, c("zone_class") == "SMALL")
 
 
-@query("g08_nearest_frame", f"""WITH {_PARTS} SELECT parcel_id, round(d, 6) AS distance, zone_class FROM (SELECT a.parcel_id, z.zone_class, {_FRAME_GAP} AS d,
-        row_number() OVER (PARTITION BY a.parcel_id ORDER BY {_FRAME_GAP}, z.zone_id) AS rn FROM parts a, frames z) WHERE rn = 1""")
+@query("g08_nearest_frame", f"""WITH {_PARTS} SELECT a.parcel_id, round(min({_FRAME_GAP}), 6) AS distance FROM parts a, frames z GROUP BY 1""")
 def _(t):
-    found = ov.nearest_shape_fact(two_part_lots(t), frames(t, "zone_class"), "zone_id", "zone_class")
-    return found.select("parcel_id", *r6("distance"), c("attribute").alias("zone_class"))
+    return ov.nearest_shape_fact(two_part_lots(t), frames(t), "zone_id").select("parcel_id", *r6("distance"))
 
 
 @query("s07_parts_in_frames", f"WITH {_PARTS} SELECT DISTINCT a.parcel_id FROM parts a JOIN frames z ON {_FRAME_MEET} WHERE z.zone_class = 'PROMO'")
