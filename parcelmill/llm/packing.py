@@ -148,12 +148,14 @@ def _round(items: DataFrame, capacity: int, chunk_rows: int) -> DataFrame:
     return items.mapInArrow(run, f"fill long, members {member}")
 
 
-def pack(found: DataFrame, capacity: int = 2048, nearly_full: float = 0.999, chunk_rows: int = 100_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int = 2048, chunk_rows: int = 100_000) -> DataFrame:
     """Sequence and place of each piece of `pieces`.
 
-    A bin is final when it is filled to `nearly_full`, or when the emptiest bin left would
-    not fit into it. Rounds end when one chunk of `chunk_rows` bins held all that was left,
-    or when a round joined less than one bin in a hundred. A bin has at most `capacity`
+    A bin is final, and nearly full, when the emptiest bin left would not fit into it. Rounds
+    end when the two emptiest bins do not fit together, so no two bins could be one. Best fit
+    leaves a chunk of `chunk_rows` bins at most one that is filled to half, and only those can
+    still be joined, so little is left to do after the second round; every other round deals
+    the bins by fill, which brings the emptiest together. A bin has at most `capacity`
     members, so no row grows with the data. An empty table gives an empty result.
     """
     whole = found.where(F.col("length") >= capacity)
@@ -161,21 +163,19 @@ def pack(found: DataFrame, capacity: int = 2048, nearly_full: float = 0.999, chu
     item = lambda rows: rows.select(F.col("length").alias("fill"), F.array(F.struct(*[name for name, _ in _FIELDS], F.lit(0).cast("long").alias("offset"))).alias("members"))
     done = [item(whole)]
     bins = stored(_round(item(small), capacity, chunk_rows), "bins_0")
-    turn, before = 0, None
+    turn = 0
     while True:
-        state = bins.agg(F.count("*").alias("n"), F.min("fill").alias("least")).first()
-        if not state["n"]:
-            break
-        full = (F.col("fill") >= nearly_full * capacity) | (F.col("fill") + state["least"] > capacity)
-        left = bins.where(~full)
-        count = left.count()
-        if count <= 1 or (before is not None and (before <= chunk_rows or count > 0.99 * before)):
+        least = [row["fill"] for row in bins.select("fill").orderBy("fill").limit(2).collect()]
+        if len(least) < 2 or sum(least) > capacity:
             done.append(bins)
             break
+        full = F.col("fill") + least[0] > capacity
         done.append(bins.where(full))
-        chunks = -(-count // chunk_rows)
-        turn, before = turn + 1, count
-        bins = stored(_round(left.repartition(chunks), capacity, chunk_rows), f"bins_{turn}")
+        left = bins.where(~full)
+        chunks = -(-left.count() // chunk_rows)
+        dealt = left.repartition(chunks) if turn % 2 == 0 else left.repartitionByRange(chunks, "fill")
+        turn += 1
+        bins = stored(_round(dealt, capacity, chunk_rows), f"bins_{turn}")
     united = done[0]
     for one in done[1:]:
         united = united.unionByName(one)

@@ -71,6 +71,9 @@ def _valid(rows, count, capacity):
             assert offset == at
             at += length
         assert at <= capacity
+    # No two sequences could be one.
+    fills = sorted(sum(length for _, length in members) for members in bins.values())
+    assert len(fills) < 2 or fills[0] + fills[1] > capacity
     return len(bins)
 
 
