@@ -23,57 +23,98 @@ c = F.col
 TIERS = ("T1_LOW", "T2_MID", "T3_HIGH")
 
 
-def _binned_means(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Lloyd's rounds on the bins of each group, from the 1/6, 1/2 and 5/6 quantiles."""
+def best_cuts(n: np.ndarray, total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """The two cuts of least squared error between sorted cells, and the cells that could hold a better one.
+
+    Cells have counts, sums and bounds of their values; cut k lies before cell k. The error
+    falls as S1^2/n1 + S2^2/n2 + S3^2/n3 grows, which is convex in the counts and sums to the
+    left of both cuts. A cut inside a cell has its count and sum in the triangle of the cell's
+    two ends and the point where all of its lower values are `lo` and all others `hi`. So the
+    corners of two triangles bound what cuts inside a pair of cells can reach.
+    """
+    center = total.sum() / n.sum()
+    total, lo, hi = total - center * n, lo - center, hi - center
+    cn, cs = np.append(0.0, np.cumsum(n)), np.append(0.0, np.cumsum(total))
+    cs[-1] = 0.0
+    wide = hi > lo
+    low = np.where(wide, (hi * n - total) / np.where(wide, hi - lo, 1.0), n).clip(0, n)
+    corners = [(cn[:-1], cs[:-1]), (cn[1:], cs[1:]), (cn[:-1] + low, cs[:-1] + low * lo)]
+
+    def part(s: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, s * s / np.where(k > 0, k, 1.0), 0.0)
+
+    def reach(n1, s1, n2, s2):  # noqa: ANN001, ANN202
+        return part(s1, n1)[:, None] + part(s2[None, :] - s1[:, None], n2[None, :] - n1[:, None]) + part(cs[-1] - s2, cn[-1] - n2)[None, :]
+
+    cells, block = len(n), 256
+    best, first, second = -1.0, 0, 0
+    for at in range(0, cells + 1, block):
+        rows = slice(at, at + block)
+        found = reach(cn[rows], cs[rows], cn, cs)
+        found[np.arange(cells + 1)[None, :] < np.arange(cells + 1)[rows, None]] = -1.0
+        k = int(found.argmax())
+        if found.flat[k] > best:
+            best, first, second = float(found.flat[k]), at + k // (cells + 1), k % (cells + 1)
+    open_cells = np.zeros(cells, bool)
+    for at in range(0, cells, block):
+        rows = slice(at, at + block)
+        bound = np.max([reach(a[rows], b[rows], d, e) for a, b in corners for d, e in corners], axis=0)
+        bound[np.arange(cells)[None, :] < np.arange(cells)[rows, None]] = -1.0
+        may = bound >= best * (1 - 1e-12)
+        open_cells[rows] |= may.any(axis=1)
+        open_cells |= may.any(axis=0)
+    return first, second, open_cells & wide
+
+
+def _cut_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Cuts and open cells of each group: the greatest values below the cuts and the codes to look into."""
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
-            total, count = (np.array([b[x] for b in row.bins], float) for x in ("s", "n"))
-            mean = total / count
-            rank = (np.cumsum(count) - count / 2) / count.sum()
-            centers = np.array([mean[np.searchsorted(rank, q).clip(0, len(mean) - 1)] for q in (1 / 6, 0.5, 5 / 6)])
-            for _ in range(10_000):
-                part = (mean > (centers[0] + centers[1]) / 2).astype(int) + (mean > (centers[1] + centers[2]) / 2)
-                n = np.bincount(part, weights=count, minlength=3)
-                fresh = np.where(n > 0, np.bincount(part, weights=total, minlength=3) / np.maximum(n, 1), centers)
-                if np.array_equal(fresh, centers):
-                    break
-                centers = fresh
-            out.append((*[getattr(row, k) for k in keys], *centers.tolist()))
-        yield pd.DataFrame(out, columns=[*keys, "c0", "c1", "c2"])
-
-
-def three_means(df: DataFrame, group: Sequence[str], value: str, bins: int = 4096, rounds: int = 1000) -> DataFrame:
-    """One-dimensional 3-means per group; adds `cluster` 0, 1, 2 in order of the centers.
-
-    Each group's values are summed in `bins` equal steps, on which the centers settle in one
-    pass over one row per group. From there exact rounds over the rows run until no center
-    moves, mostly two or three. Groups and their centers stay in Spark; runs repeat exactly.
-    Raises when `rounds` are not enough.
+            n, s, lo, hi = (np.array([b[x] for b in row.cells], float) for x in ("n", "s", "lo", "hi"))
+            first, second, opened = best_cuts(n, s, lo, hi)
+            ends = [float(hi[k - 1]) if k else None for k in (first, second)]
+            out.append((*[getattr(row, k) for k in keys], *ends, [b["code"] for b, o in zip(row.cells, opened) if o]))
+        yield pd.DataFrame(out, columns=[*keys, "t0", "t1", "opened"])
+
+
+def three_means(df: DataFrame, group: Sequence[str], value: str, bins: int = 256, split: int = 64, levels: int = 4) -> DataFrame:
+    """One-dimensional 3-means of least squared error per group; adds `cluster` 0, 1, 2 by value.
+
+    The best two cuts are sought over cells of each group's sorted values: `bins` equal steps
+    first, then only cells that could hold a better cut (`best_cuts`) are cut into `split` steps
+    each, `levels` in all. Nothing is iterated to convergence and nothing passes through the
+    driver: every level is one aggregate and one row of cells per group, in one plan. Values
+    that `bins * split ** (levels - 1)` steps of a group's range don't tell apart stay together;
+    up to that the split is the best one. Groups of one or two distinct values use as many
+    clusters. Rows without a value are left out; runs repeat exactly.
     """
     keys = list(group)
-    points = cut_lineage(df.where(c(value).isNotNull()).groupBy(*keys, c(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    counted = df.where(c(value).isNotNull()).groupBy(*keys, c(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    points = cut_lineage(counted)  # read by every level
     spread = points.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    step = F.when(c("__hi") > c("__lo"), F.floor((c("__v") - c("__lo")) / (c("__hi") - c("__lo")) * bins)).otherwise(0)
-    sums = attach(points, spread, keys, "inner").groupBy(*keys, F.least(step, F.lit(bins - 1)).alias("b")).agg(F.sum(c("__v") * c("__n")).alias("s"), F.sum("__n").alias("n"))
-    packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "s", "n"))).alias("bins"))
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "c0 double, c1 double, c2 double"
-    centers = cut_lineage(packed.mapInPandas(lambda batches: _binned_means(batches, keys), schema))
-
-    def cluster(v: str) -> Column:
-        return F.when(c(v) <= (c("c0") + c("c1")) / 2, 0).when(c(v) <= (c("c1") + c("c2")) / 2, 1).otherwise(2)
-
-    for _ in range(rounds):
-        k = cluster("__v")
-        means = [(F.sum(F.when(k == i, c("__v") * c("__n"))) / F.sum(F.when(k == i, c("__n")))).alias(f"m{i}") for i in range(3)]
-        placed = attach(points, centers, keys, "inner").groupBy(*keys).agg(*means)
-        both = attach(centers, placed, keys)
-        fresh = cut_lineage(both.select(*keys, *[F.coalesce(f"m{i}", f"c{i}").alias(f"c{i}") for i in range(3)], F.greatest(*[F.coalesce(F.abs(c(f"m{i}") - c(f"c{i}")), F.lit(0.0)) for i in range(3)]).alias("moved")))
-        centers = fresh.drop("moved")
-        if (fresh.agg(F.max("moved")).first()[0] or 0.0) < 1e-12:
-            return attach(df, centers, keys, "inner").withColumn("cluster", cluster(value)).drop("c0", "c1", "c2")
-    raise RuntimeError(f"centers still move after {rounds} rounds")
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "t0 double, t1 double, opened array<bigint>"
+    place = F.when(c("__hi") > c("__lo"), (c("__v") - c("__lo")) / (c("__hi") - c("__lo"))).otherwise(F.lit(0.0))
+
+    def code(steps: int) -> Column:
+        return F.least(F.floor(place * steps), F.lit(steps - 1)).cast("bigint")
+
+    coded = attach(points, spread, keys, "inner").withColumn("code", code(bins))
+    steps = bins
+    for level in range(levels):
+        sums = coded.groupBy(*keys, "code").agg(
+            F.sum("__n").alias("n"), F.sum(c("__v") * c("__n")).alias("s"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
+        )
+        packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("code", "n", "s", "lo", "hi"))).alias("cells"))
+        cuts = cut_lineage(packed.mapInPandas(lambda batches: _cut_groups(batches, keys), schema))
+        if level + 1 < levels:
+            steps *= split
+            # A value of a cell that stays whole keeps the code of the cell's first step.
+            finer = F.when(F.array_contains("opened", c("code")), code(steps)).otherwise(c("code") * split)
+            coded = attach(coded, cuts.select(*keys, "opened"), keys, "inner").withColumn("code", finer).drop("opened")
+    cluster = F.when(c("t0").isNotNull() & (c(value) <= c("t0")), 0).when(c("t1").isNotNull() & (c(value) <= c("t1")), 1).otherwise(2)
+    return attach(df.where(c(value).isNotNull()), cuts.drop("opened"), keys, "inner").withColumn("cluster", cluster).drop("t0", "t1")
 
 
 def price_tiers(df: DataFrame, group: str, terms: Sequence[str], min_group: int = fv.MIN_GROUP_TIERING) -> DataFrame:
@@ -173,6 +214,56 @@ def setting_terms(setting: Mapping[str, object]) -> dict[str, Column]:
     return out
 
 
+def _scales(setting: Mapping[str, object]) -> dict[str, float]:
+    """Terms of a setting with the factor each has over the plain column of the union."""
+    return {x: float(setting.get("interaction_weight", 1.0)) if x == "living_area_quality" else 1.0 for x in setting_terms(setting)}
+
+
+def setting_moments(df: DataFrame, grid: Sequence[Mapping[str, object]], y: str = "sale_price") -> tuple[DataFrame, mo.Moments, list[str]]:
+    """Rows with every term that a setting uses, their cross products in one pass, and the terms.
+
+    The products are grouped by `__missing`, the bits of the terms a row lacks: a setting
+    sums the groups that lack none of its own terms, as it would leave those rows out.
+    """
+    union: dict[str, Column] = {}
+    for setting in grid:
+        union |= {k: v for k, v in setting_terms({**setting, "interaction_weight": 1.0}).items()}
+    terms = list(union)
+    rows = df.select(*[x for x in df.columns if x not in union], *[v.alias(k) for k, v in union.items()])
+    bits = [F.when(c(x).isNull() | F.isnan(c(x)), F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(terms)]
+    marked = rows.withColumn("__missing", sum(bits[1:], bits[0]))
+    return rows, mo.moments(marked, ["__missing"], terms, y, required=[], standardize=False), terms
+
+
+def setting_fits(mom: mo.Moments, grid: Sequence[Mapping[str, object]], terms: Sequence[str]) -> DataFrame:
+    """Ridge coefficients (setting, term, beta, n) of all settings from the one matrix."""
+    plain = [(_scales(s), float(s.get("ridge_alpha", 0.0))) for s in grid]
+    names, p = list(terms), mom.shape.size
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                parts = [(int(g["missing"]), float(g["n"]), mo._square(g["m"], p)) for g in row.groups]
+                for i, (scale, alpha) in enumerate(plain):
+                    lacks = sum(1 << names.index(x) for x in scale)
+                    used = [(n, m) for missing, n, m in parts if not missing & lacks]
+                    if not used:
+                        continue
+                    n, m = sum(x[0] for x in used), np.sum([x[1] for x in used], axis=0)
+                    idx = [0, *[names.index(x) + 1 for x in scale]]
+                    f = np.array([1.0, *scale.values()])
+                    xtx = m[np.ix_(idx, idx)] * np.outer(f, f) + alpha * np.eye(len(idx))
+                    d = np.sqrt(np.clip(np.diag(xtx), 1e-300, None))
+                    b = np.linalg.solve(xtx / np.outer(d, d), m[idx, p - 1] * f / d) / d
+                    out += [(i, x, float(v), int(n)) for x, v in zip(["const", *scale], b)]
+            yield pd.DataFrame(out, columns=["setting", "term", "beta", "n"])
+
+    # One row per pattern of missing terms, of which there are at most 2 to the number of terms.
+    one = mom.df.agg(F.sort_array(F.collect_list(F.struct(c("__missing").cast("int").alias("missing"), "n", "m"))).alias("groups"))
+    return one.mapInPandas(solve, "setting int, term string, beta double, n bigint")
+
+
 def fit_setting(df: DataFrame, setting: Mapping[str, object], y: str = "sale_price") -> tuple[DataFrame, DataFrame]:
     """Ridge coefficients of one setting and the rows with `prediction`."""
     terms = setting_terms(setting)
@@ -182,6 +273,21 @@ def fit_setting(df: DataFrame, setting: Mapping[str, object], y: str = "sale_pri
     return fit, scored
 
 
+def score_settings(rows: DataFrame, fits: DataFrame, grid: Sequence[Mapping[str, object]], columns: Sequence[str]) -> DataFrame:
+    """`columns` of every row with `setting` and `prediction`, for all settings in one scan.
+
+    A row that lacks a term of a setting has no prediction there; settings without a fit drop out.
+    """
+    table = fits.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", c("setting").cast("string"), "term"), "beta")))).scalar()
+    made = []
+    for i, setting in enumerate(grid):
+        value = table[f"{i} const"]
+        for x, factor in _scales(setting).items():
+            value = value + table[f"{i} {x}"] * (c(x) * F.lit(factor))
+        made.append(F.struct(F.lit(i).alias("setting"), table[f"{i} const"].isNotNull().alias("fitted"), value.alias("prediction")))
+    return rows.select(*columns, F.explode(F.array(*made)).alias("s")).where("s.fitted").select("s.setting", *columns, "s.prediction")
+
+
 def fit_metrics(scored: DataFrame, group: Sequence[str], y: str = "sale_price", value: str = "assessed_value") -> DataFrame:
     keys = list(group)
     shape = clipped_fit(scored, keys, value, "prediction")
@@ -192,17 +298,14 @@ def fit_metrics(scored: DataFrame, group: Sequence[str], y: str = "sale_price",
 
 
 def tune(df: DataFrame, grid: Sequence[Mapping[str, object]], max_cod: float = 10.0, prd: tuple[float, float] = (0.98, 1.03)) -> DataFrame:
-    """Measures of every setting and which one to take: the first that meets both targets."""
-    parts = []
-    for i, setting in enumerate(grid):
-        _fit, scored = fit_setting(df, setting)
-        parts.append(scored.select(F.lit(i).alias("setting"), "sale_price", "assessed_value", "prediction"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    out = fit_metrics(rows, ["setting"])
+    """Measures of every setting and which one to take: the first that meets both targets.
+
+    All settings share one matrix of cross products over the union of their terms, each being
+    a submatrix, and one scan that scores a row under all of them.
+    """
+    rows, mom, terms = setting_moments(df, grid)
+    fits = cut_lineage(setting_fits(mom, grid, terms))
+    out = fit_metrics(score_settings(rows, fits, grid, ["sale_price", "assessed_value"]), ["setting"])
     meets = (c("cod") < max_cod) & c("prd").between(*prd)
     first = out.agg(F.min(F.when(meets, c("setting")))).scalar()
     return out.withColumn("meets_target", meets).withColumn("selected", F.coalesce(c("setting") == first, F.lit(False)))
-
-

@@ -83,3 +83,75 @@ def test_three_means_orders_clusters(spark):
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
     out = md.three_means(df, ["g"], "v").groupBy("cluster").agg(F.min("v").alias("lo"), F.count("v").alias("n")).orderBy("cluster").collect()
     assert [(r["lo"], r["n"]) for r in out] == [(1.0, 40), (5.0, 40), (9.0, 40)]
+
+
+def _least_error(values):
+    """Brute force over all cuts of the sorted values."""
+    v = np.sort(np.array(values, float))
+    error = lambda x: float(((x - x.mean()) ** 2).sum()) if len(x) else 0.0
+    return min(error(v[:i]) + error(v[i:j]) + error(v[j:]) for i in range(len(v) + 1) for j in range(i, len(v) + 1))
+
+
+def test_three_means_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    groups = {
+        "flat": rng.uniform(0, 1, 90), "normal": rng.normal(12, 0.5, 90), "tail": np.exp(rng.normal(0, 2, 90)), "ties": rng.integers(0, 6, 90) * 1.0,
+        "far": np.append(rng.normal(0, 1e-3, 60), [1e6, 1e6 + 1, -1e6]), "two": np.array([1.0, 1.0, 2.0]), "one": np.array([3.0] * 4),
+    }
+    rows = [(g, float(v), 7) for g, x in groups.items() for v in x] + [(None, float(v), 7) for v in groups["flat"]] + [("one", None, 7)]
+    found = md.three_means(spark.createDataFrame(rows, "g string, v double, n int"), ["g"], "v", bins=16, split=8, levels=8).toPandas()
+    assert len(found) == len(rows) - 1
+    for g, x in {**groups, None: groups["flat"]}.items():
+        mine = found[found.g.isna()] if g is None else found[found.g == g]
+        assert mine.sort_values("v").cluster.is_monotonic_increasing
+        got = sum(float(((k.v - k.v.mean()) ** 2).sum()) for _, k in mine.groupby("cluster"))
+        assert got == pytest.approx(_least_error(x), rel=1e-9, abs=1e-12), g
+    assert found[found.g == "two"].cluster.nunique() == 2 and found[found.g == "one"].cluster.nunique() == 1
+    assert md.three_means(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
+
+
+def test_open_cells_hold_every_better_cut():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        v = np.sort(np.exp(rng.normal(0, rng.uniform(0.1, 3), 60)))
+        cell = np.minimum((np.arange(60) // rng.integers(2, 9)), 59)
+        parts = [v[cell == k] for k in np.unique(cell)]
+        n, s, lo, hi = (np.array([f(p) for p in parts], float) for f in (len, np.sum, np.min, np.max))
+        _i, _j, opened = md.best_cuts(n, s, lo, hi)
+        fine = [p if o else [p] for p, o in zip(parts, opened)]
+        cells = [np.atleast_1d(x) for p in fine for x in p]
+        i, j, _ = md.best_cuts(*(np.array([f(p) for p in cells], float) for f in (len, np.sum, np.min, np.max)))
+        cut = [np.concatenate([np.empty(0), *x]) for x in (cells[:i], cells[i:j], cells[j:])]
+        got = sum(float(((x - x.mean()) ** 2).sum()) for x in cut if len(x))
+        assert got == pytest.approx(_least_error(v), rel=1e-9)
+
+
+def test_settings_from_one_matrix(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    rows = []
+    for i in range(n):
+        area, lot, bed, bath, q = rng.uniform(800, 3000), rng.uniform(2000, 9000), float(rng.integers(1, 6)), float(rng.integers(1, 4)), float(rng.integers(1, 7))
+        price = 50 * area + 3 * lot + 1000 * bed + 9000 * q + rng.normal(0, 9000)
+        rows.append((area, lot if i % 11 else None, bed, bath, q if i % 7 else None, price if i % 13 else None, price * rng.uniform(0.8, 1.2)))
+    df = spark.createDataFrame(rows, "living_area double, lot_size double, bedrooms double, bathrooms double, quality_score double, sale_price double, assessed_value double")
+    grid = [{}, {"include_quality": False, "poly_degree": 2, "ridge_alpha": 5.0}, {"include_interactions": True, "interaction_weight": 1.7, "ridge_alpha": 0.3}]
+    frame, mom, terms = md.setting_moments(df, grid)
+    fits = md.setting_fits(mom, grid, terms)
+    got = {(r["setting"], r["term"]): r for r in fits.collect()}
+    data = np.array([[np.nan if x is None else x for x in r] for r in rows])
+    area, q, y = data[:, 0], data[:, 4], data[:, 5]
+    for i, (x, alpha) in enumerate([(data[:, :5], 0.0), (np.column_stack([data[:, :4], area**2]), 5.0), (np.column_stack([data[:, :5], 1.7 * area * q]), 0.3)]):
+        ok = ~np.isnan(x).any(axis=1) & ~np.isnan(y)
+        z = np.column_stack([np.ones(ok.sum()), x[ok]])
+        d = np.sqrt((z * z).sum(axis=0) + alpha)
+        want = np.linalg.solve((z.T @ z + alpha * np.eye(z.shape[1])) / np.outer(d, d), z.T @ y[ok] / d) / d
+        names = ["const", *md.setting_terms(grid[i])]
+        assert [got[i, t]["beta"] for t in names] == pytest.approx(list(want), rel=1e-6) and got[i, "const"]["n"] == ok.sum()
+    scored = md.score_settings(frame, fits, grid, ["sale_price", "assessed_value"])
+    for i, setting in enumerate(grid):
+        alone = md.fit_setting(df, setting)[1].select("prediction").orderBy("prediction").toPandas().prediction.dropna()
+        mine = scored.where(F.col("setting") == i).select("prediction").orderBy("prediction").toPandas().prediction.dropna()
+        assert mine.to_numpy() == pytest.approx(alone.to_numpy(), rel=1e-6)
+    out = md.tune(df, grid, max_cod=1000.0, prd=(0.0, 9.0)).orderBy("setting").collect()
+    assert [r["setting"] for r in out] == [0, 1, 2] and [r["selected"] for r in out] == [True, False, False]
