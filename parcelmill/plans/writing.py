@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parcelmill.functions import fixed_values as fv
 from parcelmill.functions import geometry as gm
 from parcelmill.operators import merge as mg
 from parcelmill.plans.registry import query
+from parcelmill.session import shared_folder
 from parcelmill.sources import layers as ly
 from parcelmill.sources import roll as rl
 
@@ -166,6 +169,19 @@ def _(t):
     return f.select(c("properties.zone_id").cast("bigint").alias("zone_id"), c("properties.zone_class").alias("zone_class"), "valid", area.alias("acres"))
 
 
+@query(
+    "s04_feature_files",
+    """SELECT zone_id, zone_class, zone_id % 7 <> 0 AS valid, CASE WHEN zone_id % 7 <> 0 THEN round(x0, 6) END AS west FROM zones""",
+)
+def _(t):
+    # Files of several collections each, cut at closing braces as one large file is.
+    folder = f"{shared_folder(t.spark)}/collections-{uuid.uuid4().hex}"
+    _collections(t).write.text(folder)
+    f = ly.read_feature_files(t.spark, folder)
+    west = F.when(c("valid"), F.round(F.array_min(F.transform(F.flatten("rings"), lambda p: p["x"])), 6))
+    return f.select(c("properties.zone_id").cast("bigint").alias("zone_id"), c("properties.zone_class").alias("zone_class"), "valid", west.alias("west"))
+
+
 @query("s04_feature_counts", "SELECT count(*) FILTER (zone_id % 7 <> 0) AS loaded, count(*) FILTER (zone_id % 7 = 0) AS skipped FROM zones")
 def _(t):
     return ly.feature_counts(ly.read_features(_collections(t)))

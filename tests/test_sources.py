@@ -1,9 +1,13 @@
 import datetime as dt
+import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelmill.functions import fixed_values as fv
 from parcelmill.operators import windows as wn
+from parcelmill.session import settings
 from parcelmill.sources import layers as ly
 from parcelmill.sources import roll as rl
 from parcelmill.sources import runs as rn
@@ -140,3 +144,38 @@ def test_features_of_every_kind(spark):
     assert [i for i in sorted(rows) if rows[i]["valid"]] == [0, 1, 2, 3, 4, 5]
     assert (rows[0]["x"], rows[0]["y"]) == (1, 2) and [len(r) for r in rows[1]["rings"]] == [1, 1]
     assert [len(r) for r in rows[3]["rings"]] == [2, 3] and len(rows[5]["rings"]) == 2 and rows[2]["kind"] == "LineString"
+
+
+@pytest.mark.parametrize("block", [64, 301, 1_000_000])
+def test_feature_files_in_blocks(spark, tmp_path, block):
+    rng = random.Random(block)
+    odd = ['a}b', 'say \\"{x}\\"', 'back\\\\', "é😀}{", "line\\nbreak", "", '{"type": "Feature"}', "]}", "plain"]
+
+    def feature(i):
+        text = json.dumps(odd[i % len(odd)], ensure_ascii=i % 2 == 0)
+        props = {"n": str(i), "t": "@"} if i % 5 else {"n": str(i)}
+        geometry = {"type": "LineString", "coordinates": [[i, k] for k in range(2 + rng.randrange(30))]} if i % 3 else {"coordinates": [i, 2], "type": "Point"}
+        made = {"type": "Feature", "properties": props, "geometry": geometry} if i % 2 else {"geometry": geometry, "properties": props, "type": "Feature"}
+        return json.dumps(made, indent=rng.choice([None, 2])).replace('"@"', text)
+
+    head = '{"type": "FeatureCollection", "name": "x{\\"", "crs": {"type": "name", "properties": {"name": "}a"}}, "features": ['
+    tail = '], "note": "b}c", "extra": {"type": "other"}}'
+    first = head + ", ".join(feature(i) for i in range(60)) + tail + "\n" + '{"features": [], "type": "FeatureCollection"}' + head + feature(60) + tail
+    (tmp_path / "a.json").write_text(first, encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"features":[' + ",".join(feature(i) for i in range(61, 90)) + "]}\n", encoding="utf-8")
+    (tmp_path / "empty.json").write_text('{"type": "FeatureCollection", "features": []}')
+    (tmp_path / "cut.json").write_text('{"features":[' + feature(90) + ', {"type": "Feature", "properties": {"n": "91"')
+    decoder, want = json.JSONDecoder(), {}
+    for text in (first, (tmp_path / "b.json").read_text(encoding="utf-8")):
+        at = 0
+        while at < len(text.rstrip()):
+            whole, at = decoder.raw_decode(text, at)
+            at += len(text[at:]) - len(text[at:].lstrip())
+            want |= {int(f["properties"]["n"]): f for f in whole["features"]}
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(block), spark__sql__files__openCostInBytes="1"):
+        found = [json.loads(r["json"]) for r in ly.feature_texts(spark, str(tmp_path)).collect() if '"91"' not in r["json"]]
+        rows = {r["properties"]["n"]: r for r in ly.read_feature_files(spark, str(tmp_path)).where("valid").collect()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > (1 if block < 1000 else 0)
+    got = {int(f["properties"]["n"]): f for f in found}
+    assert len(found) == len(got) == 91 and got.pop(90)["type"] == "Feature" and got == want
+    assert {int(n) for n in rows} >= set(want) and rows["1"]["kind"] == "LineString" and rows["3"]["x"] == 3
