@@ -91,7 +91,8 @@ def feature_texts(spark: SparkSession, path: str) -> DataFrame:
     which follows, over one row per block, whether each block begins in a string, how deep, and
     after how many objects. The second scan cuts features by that, so a feature may lie across
     blocks and texts may hold braces and quotes. Its fragments meet by file and number, so only
-    a feature has to fit into memory. Other objects beside the features are left out; several
+    a feature has to fit into memory. Other objects beside the features
+    are left out: those of another type, and those without a type and a geometry. Several
     collections may follow each other in a file. A file that breaks off loses its last feature
     or shows it as unreadable. Files must be UTF-8 and not compressed to be read in parts.
     """
@@ -127,7 +128,8 @@ def feature_texts(spark: SparkSession, path: str) -> DataFrame:
     )
     text = F.concat(F.array_join(F.transform("parts", lambda p: p["text"]), _BRACE), F.lit(_BRACE))
     out = joined.where(c("whole") == 1).select("file", "number", text.alias("json"))
-    return out.where(F.get_json_object("json", "$.type") == "Feature")
+    kind = F.get_json_object("json", "$.type")
+    return out.where((kind == "Feature") | (kind.isNull() & F.get_json_object("json", "$.geometry").isNotNull()))
 
 
 def read_feature_files(spark: SparkSession, path: str) -> DataFrame:
