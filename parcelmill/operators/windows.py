@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,8 +105,8 @@ def sales_list(df: DataFrame, sort: str = "recent", direction: str | None = None
 def parcel_search(df: DataFrame, page: int = 1, size: int = 25, key: str = "parcel_id") -> DataFrame:
     """One page of parcels by assessed value, highest first.
 
-    Page numbers need all rows before the page in one place; to walk through many pages use
-    `parcel_search_after`.
+    Page numbers need all rows before the page in one place; for deep pages use `indexed_page`,
+    to walk through many pages `parcel_search_after`.
     """
     return df.orderBy(c("assessed_value").desc_nulls_last(), c(key)).offset((page - 1) * size).limit(size)
 
@@ -126,6 +126,45 @@ def parcel_search_after(df: DataFrame, last_value: float | None = None, last_key
     return rows.orderBy(c("assessed_value").desc_nulls_last(), c(key)).limit(size)
 
 
+def write_page_index(df: DataFrame, path: str, ranges: int, key: str = "parcel_id") -> None:
+    """Store parcels in page order so that any page reads only its own ranges.
+
+    Rows go to `ranges` folders by (assessed value, key), highest value first and unknown last;
+    equal values are told apart by the key, so no value fills a range of its own. A second
+    table holds the rows before each range. An index is written once and replaced as a whole.
+    """
+    order = [c("assessed_value").desc_nulls_last(), c(key)]
+    placed = df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
+    placed.sortWithinPartitions("range", *order).write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
+    placed.limit(0).write.mode("overwrite").parquet(f"{path}/columns")  # an index without rows has no range to tell them
+    counts = df.sparkSession.read.schema(placed.schema).parquet(f"{path}/rows").groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per range.
+    before = F.sum("rows").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    counts.withColumn("first", F.coalesce(before, F.lit(0))).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def _index_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+
+
+def indexed_page(spark: SparkSession, path: str, page: int, size: int = 25, key: str = "parcel_id") -> DataFrame:
+    """One page from `write_page_index`: as `parcel_search`, but only the ranges of the page are read and sorted."""
+    start = (page - 1) * size
+    counts = spark.read.parquet(f"{path}/ranges")
+    # Every range holds a row, so a page meets at most `size` of them.
+    hit = counts.where((c("first") < start + size) & (c("first") + c("rows") > start)).orderBy("range").collect()
+    skip = start - hit[0]["first"] if hit else 0
+    rows = _index_rows(spark, path).where(c("range").isin([r["range"] for r in hit]))
+    return rows.orderBy("range", c("assessed_value").desc_nulls_last(), c(key)).offset(skip).limit(size).drop("range")
+
+
+def numbered_pages(spark: SparkSession, path: str, size: int = 25, key: str = "parcel_id") -> DataFrame:
+    """All rows of `write_page_index` with their page and place on it; each range is ranked by itself."""
+    rows = _index_rows(spark, path).join(spark.read.parquet(f"{path}/ranges").select("range", "first"), "range")
+    at = c("first") + F.row_number().over(W.partitionBy("range").orderBy(c("assessed_value").desc_nulls_last(), c(key))) - 1
+    return rows.withColumns({"page": F.floor(at / size) + 1, "place": at % size + 1}).drop("range", "first")
+
+
 def _with_delta(joined: DataFrame) -> DataFrame:
     kept = joined.where((F.lower(F.trim("sale_type")) == "valid sale") & c("sale_price").isNotNull() & is_residential())
     delta = F.when(c("assessed_value") != 0, (c("sale_price") - c("assessed_value")) / c("assessed_value") * 100)

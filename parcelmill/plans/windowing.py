@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from parcelmill.operators import windows as wn
 from parcelmill.plans.aggregating import history_docs, r6
 from parcelmill.plans.filtering import LATEST
 from parcelmill.plans.registry import query
+from parcelmill.session import shared_folder
 
 c = F.col
 
@@ -121,6 +123,26 @@ def _(t):
     return jn.with_latest_sale(page, t.sales).select("parcel_id", "assessed_value", "last_sale_price")
 
 
+def _page_index(t):
+    path = f"{shared_folder(t.spark)}/pages-{uuid.uuid4().hex}"
+    wn.write_page_index(t.parcels.where("upper(trim(coalesce(proptype, ''))) = 'R'").select("parcel_id", "assessed_value"), path, ranges=16)
+    return path
+
+
+_PAGED = """SELECT parcel_id, assessed_value, row_number() OVER (ORDER BY assessed_value DESC NULLS LAST, parcel_id) - 1 AS before
+    FROM parcels WHERE upper(trim(coalesce(proptype, ''))) = 'R'"""
+
+
+@query("k02_deep_page", f"SELECT parcel_id, assessed_value FROM ({_PAGED}) WHERE before >= 12 * 25 AND before < 13 * 25")
+def _(t):
+    return wn.indexed_page(t.spark, _page_index(t), page=13, size=25)
+
+
+@query("k02_numbered_pages", f"SELECT parcel_id, before // 25 + 1 AS page, before % 25 + 1 AS place FROM ({_PAGED})")
+def _(t):
+    return wn.numbered_pages(t.spark, _page_index(t), size=25).select("parcel_id", "page", c("place").cast("bigint").alias("place"))
+
+
 @query(
     "k03_top_sales",
     f"""SELECT s.sale_id, s.sale_price, round((sale_price - assessed_value) / assessed_value * 100, 6) AS delta_pct FROM sales {_BASE}

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parcelmill.operators.windows import recent_activity
 from parcelmill.session import cut_lineage
@@ -157,3 +161,67 @@ def activity_feed(stream: DataFrame, table_path: str, checkpoint: str, n: int =
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+SCHEDULE = "place_id long, event string, at timestamp, days double, gap_days double, next_fetch_at timestamp"
+
+
+def fetch_schedule(outcomes: DataFrame, late: str = "1 day", min_days: float = 3.0, max_days: float = 45.0) -> DataFrame:
+    """The refresh schedule of every place as a stream of `fetched`, `late` and `due` events.
+
+    `outcomes` is a stream of fetches: place_id, at, failed, inserted, avg_gap_days (of the
+    newest reviews). A place keeps its stored gap, its next fetch and its newest outcome as
+    state, three numbers however long the feed is. Each outcome sets the next fetch by the rule
+    of `fetch_outcome` and a timer for it; once the watermark, `late` behind the newest time,
+    passes the timer without another outcome, the place is due. Outcomes of a batch are taken by
+    time. One that is not newer than what its place has handled is reported as `late` and changes
+    nothing; Spark leaves out rows that are behind the watermark when they are read, so `late`
+    must cover the feed's disorder. Rows without place or time are left out; missing flags and
+    counts are false and 0.
+    """
+
+    def micros(at: pd.Timestamp) -> int:
+        return at.value // 1000
+
+    def clamp(days: float) -> float:
+        return max(min_days, min(max_days, days))
+
+    def wait(row: object, gap: float | None) -> tuple[float, float | None]:
+        if row.failed:
+            return 1.0, gap
+        if row.inserted > 0:
+            fresh = 14.0 if math.isnan(row.avg_gap_days) else float(row.avg_gap_days)
+            return clamp(fresh * 0.8), fresh
+        return clamp((gap or 21.0) * 1.25), gap
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        gap, following, newest = state.get if state.exists else (None, None, None)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], "due", following, None, gap, following))
+            state.update((gap, following, newest))  # without the timer, which would go off again
+        else:
+            rows = pd.concat(list(batches)).sort_values(["at", "failed", "inserted", "avg_gap_days"])
+            for row in rows.itertuples(index=False):
+                at = micros(row.at)
+                if newest is not None and at <= newest:
+                    out.append((key[0], "late", at, None, gap, following))
+                    continue
+                days, gap = wait(row, gap)
+                newest, following = at, at + round(days * 86400e6)
+                out.append((key[0], "fetched", at, days, gap, following))
+            state.update((gap, following, newest))
+            if following // 1000 > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(following // 1000)
+            elif any(x[1] == "fetched" for x in out):
+                out.append((key[0], "due", following, None, gap, following))
+        if not out:
+            return
+        made = pd.DataFrame(out, columns=["place_id", "event", "at", "days", "gap_days", "next_fetch_at"])
+        times = {x: pd.to_datetime(made[x].astype("int64"), unit="us") for x in ("at", "next_fetch_at")}
+        yield made.assign(days=made["days"].astype(float), gap_days=made["gap_days"].astype(float), **times)
+
+    rows = outcomes.where(c("place_id").isNotNull() & c("at").isNotNull()).select(
+        c("place_id").cast("long").alias("place_id"), "at", F.coalesce("failed", F.lit(False)).alias("failed"),
+        F.coalesce(c("inserted").cast("int"), F.lit(0)).alias("inserted"), c("avg_gap_days").cast("double").alias("avg_gap_days"),
+    )
+    keyed = rows.withWatermark("at", late).groupBy("place_id")
+    return keyed.applyInPandasWithState(run, SCHEDULE, "gap double, following long, newest long", "append", GroupStateTimeout.EventTimeTimeout)

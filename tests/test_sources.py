@@ -179,3 +179,61 @@ def test_feature_files_in_blocks(spark, tmp_path, block):
     got = {int(f["properties"]["n"]): f for f in found}
     assert len(found) == len(got) == 91 and got.pop(90)["type"] == "Feature" and got == want
     assert {int(n) for n in rows} >= set(want) and rows["1"]["kind"] == "LineString" and rows["3"]["x"] == 3
+
+
+def test_schedule_stream_equals_the_batch_rule(spark, tmp_path):
+    schema = "place_id long, at timestamp, failed boolean, inserted int, avg_gap_days double"
+    src, sink, rng = str(tmp_path / "in"), str(tmp_path / "out"), random.Random(2)
+    start, at, feed = dt.datetime(2024, 1, 1), {}, []
+    for turn in range(4):
+        rows = []
+        for place in range(6):
+            for _ in range(rng.randrange(3) if turn else 2):
+                at[place] = at.get(place, start) + dt.timedelta(days=rng.randrange(1, 9), microseconds=rng.randrange(10**6))
+                rows.append((place, at[place], rng.random() < 0.2, rng.randrange(3), rng.choice([None, 2.0, 10.0, 400.0])))
+        rng.shuffle(rows)
+        feed.append(rows)
+    feed.append([(0, start, False, 1, 5.0), (99, max(at.values()) + dt.timedelta(days=300), None, None, None), (None, start, False, 0, None), (5, None, False, 0, None)])
+    feed.append([(99, max(at.values()) + dt.timedelta(days=500), False, 0, None)])
+    for rows in feed:  # one run per part: the schedule goes on from the state of the checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        out = fd.fetch_schedule(spark.readStream.schema(schema).parquet(src), late="60 days")
+        out.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(sink).awaitTermination(180)
+    got = spark.read.parquet(sink).toPandas()
+    fetched = {(r.place_id, r.at.to_pydatetime()): r for r in got[got.event == "fetched"].itertuples()}
+    outcomes = sorted((r for rows in feed[:4] for r in rows), key=lambda r: (r[0], r[1]))
+    steps, stored = [], {}
+    for place, when, failed, inserted, gap in outcomes:
+        steps.append((place, when, failed, inserted, gap, stored.get(place)))
+        if not failed and inserted > 0:
+            stored[place] = gap if gap is not None else 14.0
+    batch = spark.createDataFrame(steps, schema + ", stored_gap_days double")
+    want = wn.fetch_outcome(batch, start).select("place_id", "at", "days", "gap_days").collect()
+    assert len(want) == len(outcomes) == len(fetched) - 2
+    for r in want:
+        mine = fetched[r["place_id"], r["at"]]
+        assert mine.days == pytest.approx(r["days"]) and (r["gap_days"] is None or mine.gap_days == pytest.approx(r["gap_days"]))
+        assert abs((mine.next_fetch_at - mine.at).total_seconds() - r["days"] * 86400) < 1e-5
+    assert got[got.event == "late"].place_id.tolist() == [0]
+    # In the end the newest outcome of every place is past its timer, so each is due at its last time.
+    last = {p: max(fetched[k].next_fetch_at for k in fetched if k[0] == p) for p in at}
+    due = got[got.event == "due"]
+    for place, k in ((p, max(w for q, w in fetched if q == p)) for p in at):
+        assert fetched[place, k].next_fetch_at in set(due[due.place_id == place]["at"]), (place, last)
+    assert not due.duplicated(["place_id", "at"]).any()
+
+
+def test_pages_from_the_index(spark, tmp_path):
+    rows = [(i * 7919 % 1009, None if i % 10 == 0 else float(i % 4) if i % 3 else 5.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "parcel_id long, assessed_value double")
+    path = str(tmp_path / "index")
+    wn.write_page_index(df, path, 7)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    for page in (1, 2, 17, 40, 41, 10_000):
+        assert [tuple(r) for r in wn.indexed_page(spark, path, page, 25).collect()] == want[(page - 1) * 25 : page * 25]
+    plan = wn.indexed_page(spark, path, 30, 25)
+    assert len(plan.inputFiles()) == 7 and spark.read.parquet(path + "/ranges").agg(F.max("rows")).first()[0] < 400
+    numbered = {r["parcel_id"]: (r["page"], r["place"]) for r in wn.numbered_pages(spark, path, 25).collect()}
+    assert numbered == {r[0]: (i // 25 + 1, i % 25 + 1) for i, r in enumerate(want)}
+    wn.write_page_index(df.limit(0), path, 3)
+    assert wn.indexed_page(spark, path, 1).count() == 0 and wn.numbered_pages(spark, path).count() == 0
