@@ -155,3 +155,52 @@ def test_settings_from_one_matrix(spark):
         assert mine.to_numpy() == pytest.approx(alone.to_numpy(), rel=1e-6)
     out = md.tune(df, grid, max_cod=1000.0, prd=(0.0, 9.0)).orderBy("setting").collect()
     assert [r["setting"] for r in out] == [0, 1, 2] and [r["selected"] for r in out] == [True, False, False]
+
+
+def test_stepwise_equals_fits_on_the_rows(spark):
+    rng = np.random.default_rng(11)
+    names = [f"x{i}" for i in range(6)]
+    rows = []
+    for g, n in (("a", 80), ("b", 300)):
+        x = rng.normal(0, 1, (n, 6))
+        x[:, 4] = x[:, 0] + rng.normal(0, 0.3, n)  # close to another term
+        y = 3 + x[:, 0] * 2 + (x[:, 1] if g == "a" else -x[:, 2] * 0.4) + rng.normal(0, 1, n)
+        rows += [(g, *map(float, r), float(v)) for r, v in zip(x, y)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{x} double" for x in names) + ", y double")
+    got = {r["g"]: r["terms"] for r in mo.stepwise(mo.moments(df, ["g"], names, "y"), ["x3"], [x for x in names if x != "x3"]).collect()}
+
+    def aic(x, y, use):
+        z = np.column_stack([np.ones(len(y)), *[x[:, int(k[1:])] for k in use]])
+        ssr = float(((y - z @ np.linalg.lstsq(z, y, rcond=None)[0]) ** 2).sum())
+        return len(y) * (np.log(2 * np.pi * ssr / len(y)) + 1) + 2 * z.shape[1]
+
+    for g in "ab":
+        data = np.array([r[1:] for r in rows if r[0] == g])
+        x, y, chosen = data[:, :6], data[:, 6], ["x3"]
+        while True:
+            tried = sorted((aic(x, y, [*chosen, k]), k) for k in names if k not in chosen)
+            if not tried or tried[0][0] >= aic(x, y, chosen) - 2:
+                break
+            chosen.append(tried[0][1])
+        assert got[g] == chosen and len(chosen) > 2
+
+
+def test_families_keep_their_terms(spark):
+    """Every subset of two families, against the rule stated as sets."""
+    names = [*mo.LAND_FAMILY, *mo.QUALITY_PAIR, *mo.TIME_FAMILY, *mo.TERRAIN_FAMILY]
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k in range(60):
+        use = [x for x in dict.fromkeys(names) if rng.random() < 0.6]
+        n = int(rng.choice([200, 999, 1000, 5000]))
+        t = {x: round(float(rng.normal(0, 3)), 3) for x in use}
+        rows += [(str(k), x, t[x], 1.0, n) for x in use] + [(str(k), "const", 1.0, 1.0, n), (str(k), "other", 1.0, 1.0, n)]
+        gone = {x for x in use if x in mo.LAND_FAMILY and any(mo.LAND_FAMILY.index(y) < mo.LAND_FAMILY.index(x) for y in use if y in mo.LAND_FAMILY)}
+        gone |= set(mo.QUALITY_PAIR[1:]) if set(mo.QUALITY_PAIR) <= set(use) else set()
+        gone |= {"t" if n >= 1000 else "area_time"} if set(mo.TIME_FAMILY) <= set(use) else set()
+        terrain = [x for x in use if x in mo.TERRAIN_FAMILY and x not in gone]
+        gone |= {x for x in terrain if sum(abs(t[y]) > abs(t[x]) for y in terrain) >= 2}
+        want[str(k)] = ({*use, "other"} - gone, gone)
+    df = spark.createDataFrame(rows, "g string, term string, beta double, beta_se double, n bigint")
+    got = {r["g"]: (set(r["kept"]), set(r["dropped_terms"])) for r in mo.apply_family_rules(df, ["g"]).collect()}
+    assert got == want
