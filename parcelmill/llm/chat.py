@@ -120,14 +120,14 @@ def format_conversations(
                 if pieces and (one != conv or at >= part_chars):
                     finish(conv, part, pieces, spans)
                     part, pieces, spans, at = (part + 1 if one == conv else 0), [], [], 0
+                    if len(done) >= 200 or sum(len(r["text"]) for r in done) > part_chars:
+                        yield flush()
                 conv = one
                 head, body = template.before + template.escape(role) + template.between, template.escape(text)
                 if role in trained_roles:
                     spans.append((at + len(head), at + len(head) + len(body)))
                 pieces.append(head + body + template.after)
                 at += len(pieces[-1])
-                if len(done) >= 200 or sum(len(r["text"]) for r in done[-1:]) > part_chars:
-                    yield flush()
         if pieces:
             finish(conv, part, pieces, spans)
         if done:
