@@ -35,10 +35,13 @@ def tile_pairs(boxes: DataFrame, size: float, key: str = KEY) -> DataFrame:
     rows = boxes.withColumn("e", extent)
 
     def span(a: str) -> Column:
+        # Divisions may round over a tile's edge: one tile more on both sides, then the edges themselves decide.
         low, high = (c(f"{a}0") - c(f"e.{a}0")) / size, (c(f"{a}1") - c(f"e.{a}0")) / size
         last = F.greatest(F.ceil((c(f"e.{a}1") - c(f"e.{a}0")) / size) - 1, F.lit(0))
-        first = F.greatest(F.ceil(low) - 1, F.lit(0))
-        return F.sequence(F.least(first, last), F.least(F.floor(high), last))
+        first = F.greatest(F.ceil(low) - 2, F.lit(0))
+        near = F.sequence(F.least(first, last), F.least(F.floor(high) + 1, last))
+        edge = lambda i: c(f"e.{a}0") + i * F.lit(float(size))
+        return F.filter(near, lambda i: (c(f"{a}0") <= edge(i) + F.lit(float(size))) & (c(f"{a}1") >= edge(i)))
 
     return rows.withColumn("tx", F.explode(span("x"))).select(key, "tx", span("y").alias("tys")).select(key, "tx", F.explode("tys").alias("ty"))
 
