@@ -150,17 +150,17 @@ def verify_sample(
     return rows.where(~same)
 
 
-def outliers(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """Per column: discrete percentiles, threshold and the top values (5 to 20 rows)."""
+def outliers(df: DataFrame, columns: Sequence[str], key: str, least: int = 5, most: int = 20) -> DataFrame:
+    """Per column: discrete percentiles, threshold and the top values (a thousandth of the rows, `least` to `most`)."""
     probs = {"p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
     rows = long_form(df, columns, "double", [key]).where(c("value").isNotNull())
     marks = metric_quantiles(rows, ["column"], {n: ("value", p) for n, p in probs.items()}, discrete=True)
     facts = rows.groupBy("column").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev"), F.max("value").alias("max")
     )
-    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("column").orderBy(c("value").desc(), c(key)))).where(c("rn") <= 20)
+    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("column").orderBy(c("value").desc(), c(key)))).where(c("rn") <= most)
     tops = ranked.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rn", c(key).alias("key"), "value"))).alias("tops"))
-    limit = F.least(F.greatest(F.lit(5), F.ceil(c("n") * 0.001)), F.lit(20)).cast("int")
+    limit = F.least(F.greatest(F.lit(least), F.ceil(c("n") * 0.001)), F.lit(most)).cast("int")
     return facts.join(marks, "column").join(tops, "column").select(
         "column", "n", "mean", "stddev", "max", *probs,
         F.greatest(c("p99"), c("mean") + c("stddev") * 5).alias("threshold"), F.slice(c("tops"), F.lit(1), limit).alias("top"),

@@ -26,3 +26,9 @@ def test_tile_edges_decide_not_quotients(spark):
     }
     got = ra.tile_pairs(spark.createDataFrame(boxes, "parcel_id long, x0 double, y0 double, x1 double, y1 double"), 0.05).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_outliers_keep_the_stated_number(spark):
+    rows = spark.range(9000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"))
+    tops = {most: len(ql.outliers(rows, ["v"], "k", most=most).first()["top"]) for most in (5, 20)}
+    assert tops == {5: 5, 20: 9}
