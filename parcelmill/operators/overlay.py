@@ -356,15 +356,24 @@ def convex_hull(points: list) -> list:
     return half(pts) + half(pts[::-1])
 
 
-def within(points: DataFrame, layer: DataFrame, distance: float, cell: float, where: Column | None = None) -> DataFrame:
-    """Point and feature pairs no farther apart than `distance`."""
+def within(
+    points: DataFrame, layer: DataFrame, distance: float, cell: float, where: Column | None = None, measure: Column | None = None
+) -> DataFrame:
+    """Point and feature pairs no farther apart than `distance`.
+
+    `measure` is the distance by columns of the layer, where these state it (a rectangle's corner and side);
+    it then decides pairs whose distance by edges differs from the limit in rounding only.
+    """
     kept = layer if where is None else layer.where(where)
     pieces, cut = subdivide(kept)
-    pairs = gr.cell_pairs(as_points_keep(points), as_polygons(pieces, "r_", grow=distance), cell)
-    near = pairs.withColumn("distance", gm.point_distance(c("r_edges"), c("px"), c("py"))).where(c("distance") <= distance)
+    reach = distance if measure is None else distance * (1 + 1e-6) + 1e-9
+    pairs = gr.cell_pairs(as_points_keep(points), as_polygons(pieces, "r_", grow=reach), cell)
+    near = pairs.withColumn("distance", gm.point_distance(c("r_edges"), c("px"), c("py"))).where(c("distance") <= reach)
     if cut:
         own = [x for x in near.columns if x not in ("r_edges", "distance", PIECE, *_boxes())]
         near = near.groupBy(own).agg(F.min("distance").alias("distance"))
+    if measure is not None:
+        near = near.withColumn("distance", measure).where(c("distance") <= distance)
     return near.drop(*_shapes())
 
 

@@ -32,3 +32,20 @@ def test_outliers_keep_the_stated_number(spark):
     rows = spark.range(9000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"))
     tops = {most: len(ql.outliers(rows, ["v"], "k", most=most).first()["top"]) for most in (5, 20)}
     assert tops == {5: 5, 20: 9}
+
+
+def test_stated_distance_decides_at_the_limit(spark):
+    from parcelmill.functions import geometry as gm
+
+    rnd = random.Random(8)
+    c = F.col
+    squares = [(i, 0.001 * rnd.randrange(1000), 0.001 * rnd.randrange(1000), 0.05 + 0.01 * rnd.randrange(9)) for i in range(40)]
+    spots = [(i * 10 + j, x + s + 0.15 if j % 2 else x - 0.15, y + s / 2) for i, x, y, s in squares for j in range(2)]
+    gap = lambda z, p, s: max(z - p, 0, p - z - s) ** 2
+    want = {(p, z) for p, px, py in spots for z, x, y, s in squares if np.sqrt(gap(x, px, s) + gap(y, py, s)) <= 0.15}
+    layer = spark.createDataFrame(squares, "zone_id long, x0 double, y0 double, side double")
+    layer = layer.withColumn("rings", gm.box_rings(c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
+    points = ov.as_points(spark.createDataFrame(spots, "parcel_id long, x double, y double"))
+    far = lambda z, p: F.pow(F.greatest(c(z) - c(p), F.lit(0.0), c(p) - c(z) - c("side")), 2)
+    got = ov.within(points, layer, 0.15, 0.5, measure=F.sqrt(far("x0", "px") + far("y0", "py")))
+    assert {(r["parcel_id"], r["zone_id"]) for r in got.collect()} == want
