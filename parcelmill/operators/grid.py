@@ -29,6 +29,8 @@ FANOUT = 8
 MAX_LEAF_ROWS = 1024
 SMALL_CELL_ROWS = 64
 MAX_KINDS = 1000
+#: A side of so many rows is never broadcast. Rows carry shapes, so tables are far larger than the files by which Spark judges them.
+BROADCAST_ROWS = 4096
 
 
 def box_of(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str) -> DataFrame:
@@ -63,17 +65,27 @@ def _to_cells(df: DataFrame, prefix: str, cell: float, own: Sequence[int], other
     ).withColumn("cy", F.explode(F.sequence(c(f"{prefix}cy"), F.floor(c(f"{prefix}y1") / size))))
 
 
-def _in_blocks(a: DataFrame, b: DataFrame, keys: Sequence[str], left: Sequence[str], right: Sequence[str], hot_rows: int) -> DataFrame:
+def _shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """A join side that both sides are dealt by key for, unless it is proven small."""
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
+def _in_blocks(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], left: Sequence[str], right: Sequence[str], hot_rows: int, rows: int
+) -> DataFrame:
     """Join of cells where a cell crowded on either side is cut into blocks of both; every pair of blocks is one key."""
     sizes = [df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias(n)).where(c(n) > 1) for df, n in ((a, "__sa"), (b, "__sb"))]
-    salts = sizes[0].join(sizes[1], list(keys), "full_outer").na.fill(1, ["__sa", "__sb"])
+    salts = cut_lineage(sizes[0].join(sizes[1], list(keys), "full_outer").na.fill(1, ["__sa", "__sb"]))
+    if salts.isEmpty():
+        return _shuffled(a, rows).join(b, keys)
+    salts = F.broadcast(salts)  # a crowded cell has over `hot_rows` rows, so there are few
 
     def blocks(df: DataFrame, columns: Sequence[str], own: str, other: str) -> DataFrame:
         part = F.pmod(F.xxhash64(*columns), F.coalesce(c(f"__{own}"), F.lit(1))).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.coalesce(c(f"__{other}"), F.lit(1)) - 1))
         return df.join(salts, list(keys), "left").withColumn(own, part).withColumn(other, every).drop("__sa", "__sb")
 
-    return blocks(a, left, "sa", "sb").join(blocks(b, right, "sb", "sa"), [*keys, "sa", "sb"])
+    return _shuffled(blocks(a, left, "sa", "sb"), rows).join(blocks(b, right, "sb", "sa"), [*keys, "sa", "sb"])
 
 
 def cell_pairs(
@@ -92,9 +104,9 @@ def cell_pairs(
     b = _to_cells(right, "r_", cell, right_levels, left_levels)
     keys = [*equal, "lv", "cx", "cy"]
     if max(left_rows, right_rows) <= hot_rows:  # a box has one row per cell, so no cell can be crowded
-        joined = a.join(b, keys)
+        joined = _shuffled(a, min(left_rows, right_rows)).join(b, keys)
     else:
-        joined = _in_blocks(a, b, keys, left.columns, right.columns, hot_rows)
+        joined = _in_blocks(a, b, keys, left.columns, right.columns, hot_rows, min(left_rows, right_rows))
     meets = (
         (c("l_x0") <= c("r_x1")) & (c("r_x0") <= c("l_x1")) & (c("l_y0") <= c("r_y1")) & (c("r_y0") <= c("l_y1"))
     )
@@ -220,6 +232,8 @@ def nearest(
         child = cells.select(*fkeys, "px", "py", "lv", "ix", "iy", "n", "f_x0", "f_y0", "f_x1", "f_y1").withColumn("plv", c("lv") + 1)
         if not fkeys and depth_left < 2:
             child = F.broadcast(child)  # at most 64 then 4096 cells exist on the two levels below the top
+        else:
+            child = _shuffled(child, facts["n"])
         named = child.select(*fkeys, *[c(x).alias(f"k_{x}") for x in ("lv", "ix", "iy", "n")], "f_x0", "f_y0", "f_x1", "f_y1",
                              c("px").alias("ix"), c("py").alias("iy"), c("plv").alias("lv"))
         step = cand.select(*qkeys, *box, *own).join(named, [*fkeys, "lv", "ix", "iy"], "left")
@@ -236,7 +250,8 @@ def nearest(
             running = F.sum("n").over(whole.orderBy("hi").rowsBetween(W.unboundedPreceding, W.currentRow))
             kept = step.withColumn("run", running).withColumn("lim", F.min(F.when(c("run") >= k, c("hi"))).over(whole))
         cand = kept.where(c("lim").isNull() | (c("lo") <= c("lim")))
-    pairs = located.join(cand.select(*qkeys, "lv", "ix", "iy"), [*by, "qx", "qy"]).join(housed, [*fkeys, "lv", "ix", "iy"])
+    chosen = _shuffled(cand.select(*qkeys, "lv", "ix", "iy"), facts["n"])
+    pairs = located.join(chosen, [*by, "qx", "qy"]).join(_shuffled(housed, facts["n"]), [*fkeys, "lv", "ix", "iy"])
     if ceiling is not None:
         qb = query_box or ("x", "y", "x", "y")
         floor = F.hypot(_gap(c(qb[0]), c(qb[2]), c("f_x0"), c("f_x1")), _gap(c(qb[1]), c(qb[3]), c("f_y0"), c("f_y1")))

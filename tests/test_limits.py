@@ -17,14 +17,16 @@ POINT = "array<array<struct<x:double,y:double>>>"
 
 def test_tile_edges_decide_not_quotients(spark):
     rnd = random.Random(3)
-    boxes = [(0, 0.0005, 0.0005, 0.06, 0.06)] + [(i, x, y, x + s, y + s) for i in range(1, 400) for x, y, s in [(0.001 * rnd.randrange(500), 0.001 * rnd.randrange(500), 0.001 * rnd.randrange(100))]]
+    boxes = [(0, -0.03, -0.03, 0.0, 0.0), (1, 3.97, 0.0, 4.03, 0.5), (2, 0.0, 9.97, 0.5, 10.067)]  # corners that miss an edge by rounding
+    boxes += [(i, x, y, x + s, y + s) for i in range(3, 400) for x, y, s in [(0.001 * rnd.randrange(9000), 0.001 * rnd.randrange(9000), 0.001 * rnd.randrange(100))]]
+    size = 2.0
     x0, y0 = min(b[1] for b in boxes), min(b[2] for b in boxes)
-    wide, high = (int(np.ceil((max(b[3 + a] for b in boxes) - low) / 0.05)) for a, low in ((0, x0), (1, y0)))
+    wide, high = (int(np.ceil((max(b[3 + a] for b in boxes) - low) / size)) for a, low in ((0, x0), (1, y0)))
     want = {
         (b[0], i, j) for b in boxes for i in range(wide) for j in range(high)
-        if b[1] <= x0 + i * 0.05 + 0.05 and b[3] >= x0 + i * 0.05 and b[2] <= y0 + j * 0.05 + 0.05 and b[4] >= y0 + j * 0.05
+        if b[1] <= x0 + i * size + size and b[3] >= x0 + i * size and b[2] <= y0 + j * size + size and b[4] >= y0 + j * size
     }
-    got = ra.tile_pairs(spark.createDataFrame(boxes, "parcel_id long, x0 double, y0 double, x1 double, y1 double"), 0.05).collect()
+    got = ra.tile_pairs(spark.createDataFrame(boxes, "parcel_id long, x0 double, y0 double, x1 double, y1 double"), size).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
@@ -49,3 +51,12 @@ def test_stated_distance_decides_at_the_limit(spark):
     far = lambda z, p: F.pow(F.greatest(c(z) - c(p), F.lit(0.0), c(p) - c(z) - c("side")), 2)
     got = ov.within(points, layer, 0.15, 0.5, measure=F.sqrt(far("x0", "px") + far("y0", "py")))
     assert {(r["parcel_id"], r["zone_id"]) for r in got.collect()} == want
+
+
+def test_wide_sides_are_never_broadcast(spark):
+    boxes = spark.range(6000).select("id", *[(F.col("id") * 0.1 + d).alias(n) for n, d in (("x0", 0.0), ("y0", 0.0), ("x1", 0.05), ("y1", 0.05))])
+    sides = [gr.box_of(boxes, *map(F.col, gr.BOX), p).drop(*gr.BOX).withColumnRenamed("id", f"{p}id") for p in ("l_", "r_")]
+    for hot_rows in (gr.HOT_CELL_ROWS, 1000):  # without and with a count of crowded cells
+        pairs = gr.cell_pairs(*sides, 0.5, hot_rows=hot_rows)
+        assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == 6000
