@@ -9,6 +9,7 @@ size is bounded. Pieces are polygons in rows of their own: no later step sees a
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,8 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from parcelmill.session import stored
+
 c = F.col
 MAX_CORNERS = 64
+#: Polygons that one task cuts, and corners of pieces held at a time.
+CUT_ROWS = 20_000
+_CORNERS_AT_ONCE = 200_000
 #: Columns of a cut table: hash of the whole shape, and number of the piece.
 WHOLE, PIECE = "__whole", "__piece"
 
@@ -122,39 +128,59 @@ def subdivide(df: DataFrame, rings: str = "rings", corners: int = MAX_CORNERS, o
     """The table with large polygons cut into pieces, one row each, and whether any was.
 
     Other columns are repeated, and `__whole` (hash of the shape) and `__piece` tell pieces
-    apart. Where no polygon has more than `corners` corners the table is returned as it is.
-    `only` limits cutting to the rows it holds for, the rest stay whole.
+    apart. Polygons are dealt to tasks by rows, not by the bytes of their file, and cut once: the
+    result is stored, as every caller reads it several times. Where no polygon has more than
+    `corners` corners the table is returned as it is. `only` limits cutting to the rows it holds
+    for, the rest stay whole.
     """
     large = corner_count(c(rings)) > corners
     if only is not None:
         large = large & only
     large = F.coalesce(large, F.lit(False))
-    if df.where(large).limit(1).count() == 0:
+    many = df.where(large).count()
+    if many == 0:
         return df, False
-    named = df.withColumns({WHOLE: F.xxhash64(rings), PIECE: F.lit(0)})
+    # Read from a file, shapes are not made anew for each of the expressions below.
+    named = stored(df, "shapes").withColumns({WHOLE: F.xxhash64(rings), PIECE: F.lit(0)})
     shape = StructType([*df.schema.fields, StructField(WHOLE, LongType()), StructField(PIECE, IntegerType())])
     at = df.columns.index(rings)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            paths = batch.column(at)
+            ring_at, point_at = paths.offsets.to_numpy(), paths.values.offsets.to_numpy()
+            place = paths.values.values
+            p = np.stack([place.field(i).to_numpy(zero_copy_only=False) for i in ("x", "y")], axis=1).astype(float)
+            edges = np.concatenate([p[:-1], p[1:]], axis=1)
+            inner = np.ones(len(edges), bool)  # not from one ring to the next
+            ends = point_at[(point_at > 0) & (point_at < len(p))] - 1
+            inner[ends] = False
+            rows, pieces, held = [], [], 0
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                paths = []
-                for ring in one.column(at)[0].values.to_pylist():
-                    p = np.array([(q["x"], q["y"]) for q in ring], float)
-                    paths.append(np.concatenate([p[:-1], p[1:]], axis=1))
-                pieces = list(cut_polygon(np.concatenate(paths), corners))
-                points = [q for piece in pieces for r in piece for q in r]
-                corner = pa.StructArray.from_arrays([pa.array([q[i] for q in points], pa.float64()) for i in (0, 1)], ["x", "y"])
-                ring_ends = np.cumsum([0, *(len(r) for piece in pieces for r in piece)])
-                piece_ends = np.cumsum([0, *map(len, pieces)])
-                lists = pa.ListArray.from_arrays(pa.array(piece_ends, pa.int32()), pa.ListArray.from_arrays(pa.array(ring_ends, pa.int32()), corner))
-                repeated = one.take(pa.array(np.zeros(len(pieces), np.int64)))
-                columns = [lists if i == at else repeated.column(i) for i in range(repeated.num_columns - 1)] + [pa.array(np.arange(len(pieces)), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, repeated.schema.names)
-
-    pieces = named.where(large).mapInArrow(cut, shape)
-    return named.where(~large).unionByName(pieces), True
+                first, last = point_at[ring_at[row]], point_at[ring_at[row + 1]] - 1
+                own = list(cut_polygon(edges[first:last][inner[first:last]], corners))
+                rows += [(row, n) for n in range(len(own))]
+                pieces += own
+                held += sum(len(r) for piece in own for r in piece)
+                if held >= _CORNERS_AT_ONCE:
+                    yield assembled(batch, rows, pieces)
+                    rows, pieces, held = [], [], 0
+            if rows:
+                yield assembled(batch, rows, pieces)
+
+    def assembled(batch: pa.RecordBatch, rows: list[tuple[int, int]], pieces: list) -> pa.RecordBatch:
+        points = np.array([q for piece in pieces for r in piece for q in r], float).reshape(-1, 2)
+        corner = pa.StructArray.from_arrays([pa.array(points[:, i]) for i in (0, 1)], ["x", "y"])
+        ring_ends = np.cumsum([0, *(len(r) for piece in pieces for r in piece)])
+        piece_ends = np.cumsum([0, *map(len, pieces)])
+        lists = pa.ListArray.from_arrays(pa.array(piece_ends, pa.int32()), pa.ListArray.from_arrays(pa.array(ring_ends, pa.int32()), corner))
+        of = pa.array([row for row, _ in rows], pa.int64())
+        others = [batch.column(i).take(of) if i != at else lists for i in range(batch.num_columns - 1)]
+        return pa.RecordBatch.from_arrays([*others, pa.array([n for _, n in rows], pa.int32())], batch.schema.names)
+
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(many / CUT_ROWS))
+    pieces = named.where(large).repartition(tasks, F.xxhash64(*df.columns)).mapInArrow(cut, shape)
+    return stored(named.where(~large).unionByName(pieces), "pieces"), True
 
 
 def path_chunks(rings: Column, corners: int = MAX_CORNERS) -> Column:

@@ -60,3 +60,26 @@ def test_wide_sides_are_never_broadcast(spark):
         pairs = gr.cell_pairs(*sides, 0.5, hot_rows=hot_rows)
         assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
         assert pairs.count() == 6000
+
+
+def test_large_polygons_are_cut_by_many_tasks_once(spark, tmp_path):
+    t = 2 * np.pi * np.arange(100) / 100
+    circle = lambda x: [{"x": float(x + np.cos(a)), "y": float(np.sin(a))} for a in [*t, t[0]]]
+    square = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]
+    rows = [(i, [circle(3 * i)]) for i in range(60)] + [(60, [square])]
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(i):
+        asked.add(1)
+        return i
+
+    one_task = spark.createDataFrame(rows, f"zone_id long, rings {POINT}").coalesce(1)
+    read = one_task.withColumn("seen", seen.asNondeterministic()("zone_id"))
+    pieces, cut = pc.subdivide(read)
+    assert cut and {r["zone_id"] for r in pieces.collect()} == set(range(61))
+    before = asked.value
+    assert before <= 2 * 61  # once to count, once to store
+    assert pieces.groupBy("zone_id").count().count() == 61 and pieces.count() >= 121
+    assert asked.value == before  # the source is not read again
+    assert pieces.rdd.getNumPartitions() > 1
