@@ -4,9 +4,10 @@
 matches its size, so it touches at most four cells there, however large it is.
 Cells that hold very many rows are salted.
 
-`nearest` walks down a pyramid of cell bounds, opening a cell only while it holds
-many features. It works on groups of query points that share a block, keeps only
-cells that can still hold one of the k nearest, and compares points with features
+`nearest` finds point features by tiles (`near`). For boxes and shapes, and where a tile
+would need very many features, it walks down a pyramid of cell bounds, opening a cell only
+while it holds many features. There it works on groups of query points that share a block,
+keeps only cells that can still hold one of the k nearest, and compares points with features
 only in the cells left at the end.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelmill.operators.near import nearest_points
 from parcelmill.operators.windows import first_by
 from parcelmill.session import cut_lineage
 
@@ -138,6 +140,7 @@ def nearest(
     point_features: bool = True,
     query_box: Sequence[str] | None = None,
     ceiling: Column | None = None,
+    within: float | None = None,
 ) -> DataFrame:
     """The k nearest features of every point, ties to the lower feature id.
 
@@ -147,17 +150,35 @@ def nearest(
     agree on both sides. `per` is a feature column: k neighbors are found for each
     of its values. With `ceiling`, an upper bound of the distance of a pair, distances are not
     measured: all pairs that can still be the nearest (k = 1) are returned, by the gap of
-    their bounds. Else returns the point columns, the feature columns, `distance` and `rank`.
+    their bounds. Else returns the point columns, the feature columns (without bounds for point
+    features), `distance` and `rank`. With `within`, only pairs up to that distance are returned.
     """
     by = list(by)
     extra = [per] if per else []
     fkeys = [*by, *extra]
+    if point_features and distance is None and ceiling is None:
+        # At one spot only the k lowest ids can ever be among the nearest.
+        features = cut_lineage(first_by(features, [*fkeys, "f_x0", "f_y0", "f_x1", "f_y1"], [c(feature_id)], k))
+        found, rest = nearest_points(points, features, k, feature_id, by, per, within, MAX_KINDS)
+        if rest is None:
+            return found
+        more = _descend(rest, features, k, point_id, feature_id, fkeys, None, None, None, None)
+        return found.unionByName((more if within is None else more.where(c("distance") <= within)).select(*found.columns))
+    found = _descend(points, features, k, point_id, feature_id, by, per, distance, query_box, ceiling)
+    return found if within is None or ceiling is not None else found.where(c("distance") <= within)
+
+
+def _descend(
+    points: DataFrame, features: DataFrame, k: int, point_id: str, feature_id: str, by: Sequence[str], per: str | None, distance: Column | None,
+    query_box: Sequence[str] | None, ceiling: Column | None,
+) -> DataFrame:
+    """`nearest` by the pyramid of cells."""
+    by = list(by)
+    extra = [per] if per else []
+    fkeys = [*by, *extra]
     exact = distance if distance is not None else F.sqrt(
         F.pow(_gap(c("x"), c("x"), c("f_x0"), c("f_x1")), 2) + F.pow(_gap(c("y"), c("y"), c("f_y0"), c("f_y1")), 2)
     )
-    if point_features and distance is None and ceiling is None:
-        # At one spot only the k lowest ids can ever be among the nearest.
-        features = first_by(features, [*fkeys, "f_x0", "f_y0", "f_x1", "f_y1"], [c(feature_id)], k)
     features = cut_lineage(features)  # read by the extent, every occupancy check, the pyramid and the last join
 
     facts = features.agg(
@@ -258,7 +279,7 @@ def nearest(
         bounded = pairs.withColumn("__lim", F.min(ceiling).over(W.partitionBy(point_id, *extra)))
         return bounded.where(floor <= c("__lim")).drop("__lim", "lv", "ix", "iy", "qx", "qy")
     measured = pairs.withColumn("distance", exact)
-    order = W.partitionBy(point_id, *extra).orderBy("distance", feature_id)
+    order = W.partitionBy(point_id, *fkeys).orderBy("distance", feature_id)
     ranked = measured.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
     return ranked.drop("lv", "ix", "iy", "qx", "qy")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parcelmill.functions import geometry as gm
 from parcelmill.operators import facts as fc
 from parcelmill.operators import grid as gr
+from parcelmill.operators import near
 from parcelmill.operators import overlay as ov
 from parcelmill.operators import raster as ra
 
@@ -82,6 +83,35 @@ def test_nearest_equals_brute_force_with_hot_spot(spark, k):
     assert found == sorted(want)
 
 
+def _nearest_by_hand(pts, feats, k, within):
+    want = []
+    for pid, x, y, use in pts:
+        near = sorted((math.sqrt((fx - x) * (fx - x) + (fy - y) * (fy - y)), fid) for fid, fx, fy, own in feats if own == use)[:k]
+        want += [(pid, i, fid) for i, (d, fid) in enumerate(near, 1) if d <= within]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("most, k, within", [(20_000, 3, 9.0), (20_000, 1, 1000.0), (30, 3, 9.0)])
+def test_nearest_within_a_distance(spark, monkeypatch, most, k, within):
+    rnd = random.Random(5)
+    monkeypatch.setattr(near, "MAX_TILE_FEATURES", most)  # tiles beyond it go by the pyramid
+    monkeypatch.setattr(near, "CHUNK_POINTS", 16)
+    spot = lambda n: (rnd.gauss(0, 0.5), rnd.gauss(0, 0.5)) if n % 3 == 0 else (rnd.uniform(-60, 60), rnd.uniform(-5, 5))
+    feats = [(i, *spot(i), "ab"[i % 5 == 0]) for i in range(600)] + [(900, 0.0, 0.0, "c")]
+    pts = [(i, *spot(i), "abc"[i % 3]) for i in range(150)] + [(200, 90.0, 90.0, "a"), (201, 0.0, 0.0, "none")]
+    f = gr.point_box(spark.createDataFrame(feats, "feature_id long, x double, y double, use string")).drop("x", "y")
+    found = gr.nearest(spark.createDataFrame(pts, "point_id long, x double, y double, use string"), f, k, by=["use"], within=within)
+    assert sorted((r["point_id"], r["rank"], r["feature_id"]) for r in found.collect()) == _nearest_by_hand(pts, feats, k, within)
+
+
+def test_points_of_a_tile_share_their_search(spark):
+    # No list of cells for each point: points and features meet by tile, without a window over pairs.
+    rows = spark.range(4000).selectExpr("id AS point_id", "id % 64 * 1e0 AS x", "floor(id / 64) * 1e0 AS y")
+    f = gr.point_box(rows.withColumnRenamed("point_id", "feature_id")).drop("x", "y")
+    plan = gr.nearest(rows, f, 17, within=5.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+
+
 def test_diagonal_neighbor_is_not_missed(spark):
     f = gr.point_box(spark.createDataFrame([(1, 1.0, 0.0), (2, 0.72, 0.72)], "feature_id long, x double, y double")).drop("x", "y")
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.02, 0.0)], "point_id long, x double, y double")
