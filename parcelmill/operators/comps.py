@@ -73,13 +73,10 @@ def comp_candidates(subjects: DataFrame, pool: DataFrame, n: int, radius: float
     s = subjects.select(c(KEY).alias("subject_id"), "x", "y", F.coalesce(use, F.lit("*")).alias("use"), F.inline(scopes)).where(
         c("scope").isNotNull()
     )
-    s = s.withColumn("point_id", F.struct("subject_id", "tier"))
     f = pool.select(c(KEY).alias("comp_id"), "x", "y", F.explode(F.array_compact(F.array(use, F.lit("*")))).alias("use"), scopes.alias("sc"))
     f = f.select("comp_id", "x", "y", "use", F.inline("sc")).where(c("scope").isNotNull()).drop("tier")
     features = gr.point_box(f).drop("x", "y")
-    found = gr.nearest(s, features, n + 1, feature_id="comp_id", by=["scope", "use"]).where(c("comp_id") != c("subject_id"))
-    if radius is not None:
-        found = found.where(c("distance") <= radius)
+    found = gr.nearest(s, features, n + 1, "subject_id", "comp_id", by=["scope", "use"], within=radius).where(c("comp_id") != c("subject_id"))
     best = found.groupBy("subject_id", "comp_id").agg(F.min("tier").alias("tier"), F.min("distance").alias("distance"))
     top = tiered_topk(best, keep or n)
     left = subjects.select(c(KEY).alias("subject_id"), *[c(x).alias(f"s_{x}") for x in subjects.columns if x != KEY])
