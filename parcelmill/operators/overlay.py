@@ -18,10 +18,13 @@ from parcelmill.operators import grid as gr
 from parcelmill.operators.joins import latest_valid_sale
 from parcelmill.operators.pieces import MAX_CORNERS, PIECE, WHOLE, corner_count, path_chunks, subdivide
 from parcelmill.operators.windows import first_by
+from parcelmill.session import cut_lineage
 
 c = F.col
 SQFT_PER_ACRE = 43560.0
 KEY = "parcel_id"
+#: A point whose nearest corner is so many cells away is searched for by the pyramid.
+FAR_CELLS = 16
 
 
 def as_points(df: DataFrame, key: str = KEY, x: str = "x", y: str = "y", keep: Sequence[str] = ()) -> DataFrame:
@@ -397,12 +400,34 @@ def nearest_fact(
 
 
 def nearest_polygon(points: DataFrame, layer: DataFrame, feature_id: str) -> DataFrame:
-    """Distance to the nearest polygon, 0 inside."""
+    """Distance to the nearest polygon, 0 inside.
+
+    The nearest corner bounds how far the nearest polygon can lie, so only polygons whose box
+    lies within that reach of a point are measured.
+    """
     pieces, _ = subdivide(layer.select(c(feature_id).alias("feature_id"), "rings"))
-    shaped = pieces.select("feature_id", gm.edges(c("rings")).alias("edges"), gm.bbox(c("rings")).alias("b"))
-    features = gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "f_").drop("b")
+    shaped = pieces.select("feature_id", gm.edges(c("rings")).alias("edges"), gm.starts(c("rings"))[0].alias("one"), gm.bbox(c("rings")).alias("b"))
+    polygons = cut_lineage(gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "r_").drop("b"))
+    corners = gr.point_box(polygons.select("feature_id", c("one.x").alias("x"), c("one.y").alias("y"))).drop("x", "y")
+    reach = c("distance") * (1 + 1e-9) + (F.abs("x") + F.abs("y")) * 1e-12
+    reached = cut_lineage(gr.nearest(points.select(KEY, "x", "y"), corners, 1, point_id=KEY).select(KEY, "x", "y", reach.alias("reach")))
+    sides = polygons.agg(F.avg(F.greatest(c("r_x1") - c("r_x0"), c("r_y1") - c("r_y0")))).first()[0] or 0.0
+    cell = max(sides, 2 * (reached.agg(F.percentile_approx("reach", 0.5)).first()[0] or 0.0)) or 1.0
+    # The square around a point far from every corner would hold very many polygons.
+    far = c("reach") > FAR_CELLS * cell
+    close = reached.where(~far)
+    squares = gr.box_of(close, c("x") - c("reach"), c("y") - c("reach"), c("x") + c("reach"), c("y") + c("reach"), "l_")
+    met = gr.cell_pairs(squares, polygons.drop("one"), cell)
+    gap = F.hypot(F.greatest(c("r_x0") - c("x"), c("x") - c("r_x1"), F.lit(0.0)), F.greatest(c("r_y0") - c("y"), c("y") - c("r_y1"), F.lit(0.0)))
     d = gm.point_distance(c("edges"), c("x"), c("y"))
-    return gr.nearest(points.select(KEY, "x", "y"), features, 1, point_id=KEY, distance=d).select(KEY, "feature_id", "distance")
+    measured = met.where(gap <= c("reach")).select(KEY, "feature_id", d.alias("distance"))
+    found = first_by(measured, [KEY], [c("distance"), c("feature_id")])
+    away = reached.where(far).select(KEY, "x", "y")
+    if away.isEmpty():
+        return found
+    features = gr.box_of(polygons.select("feature_id", "edges", "r_x0", "r_y0", "r_x1", "r_y1"), c("r_x0"), c("r_y0"), c("r_x1"), c("r_y1"), "f_")
+    more = gr.nearest(away, features, 1, point_id=KEY, distance=d)
+    return found.unionByName(more.select(KEY, "feature_id", "distance"))
 
 
 def shape_features(features: DataFrame, feature_id: str, filled: Column | bool, *keep: Column) -> DataFrame:

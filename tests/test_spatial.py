@@ -104,6 +104,23 @@ def test_nearest_within_a_distance(spark, monkeypatch, most, k, within):
     assert sorted((r["point_id"], r["rank"], r["feature_id"]) for r in found.collect()) == _nearest_by_hand(pts, feats, k, within)
 
 
+def test_nearest_polygon_by_reach(spark, monkeypatch):
+    rnd = random.Random(8)
+    boxes = [(i, rnd.uniform(-20, 20), rnd.uniform(-20, 20), rnd.choice([0.1, 1.0, 9.0])) for i in range(120)]
+    rings = [(i, [ring((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]) for i, x, y, s in boxes]
+    pts = [(i, rnd.uniform(-25, 25), rnd.uniform(-25, 25)) for i in range(100)] + [(500, 300.0, -400.0), (501, 3000.0, 10.0)]
+    used = []
+    pairs = gr.cell_pairs
+    monkeypatch.setattr(gr, "cell_pairs", lambda left, *a, **b: used.append(left.count()) or pairs(left, *a, **b))
+    found = ov.nearest_polygon(spark.createDataFrame(pts, "parcel_id long, x double, y double"), layer(spark, rings, "zone_id"), "zone_id")
+    got = {r["parcel_id"]: (r["feature_id"], r["distance"]) for r in found.collect()}
+    gap = lambda p, b: math.hypot(max(b[1] - p[1], 0, p[1] - b[1] - b[3]), max(b[2] - p[2], 0, p[2] - b[2] - b[3]))
+    want = {p[0]: min((gap(p, b), b[0]) for b in boxes) for p in pts}
+    assert {k: v[0] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(v[0]) for k, v in want.items())
+    assert used and used[0] == 100  # all but the far ones meet polygons by their reach
+
+
 def test_points_of_a_tile_share_their_search(spark):
     # No list of cells for each point: points and features meet by tile, without a window over pairs.
     rows = spark.range(4000).selectExpr("id AS point_id", "id % 64 * 1e0 AS x", "floor(id / 64) * 1e0 AS y")
