@@ -15,7 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelmill.llm.sampling import id_remainder, labelled_sample
+from parcelmill.llm.sampling import id_remainder, labelled_features
+from parcelmill.operators.quantiles import group_quantiles
 from parcelmill.session import stored
 
 
@@ -66,19 +67,18 @@ class QualityModel:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, pairs_per_row: int = 4, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, pairs_per_row: int = 4, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id",
 ) -> QualityModel:
-    """Learn worth from pairs among at most `sample_rows` labelled rows.
+    """Learn worth from pairs among all labelled rows.
 
     Every labelled row of the rarer class meets `pairs_per_row` or more rows of the other,
     dealt by a hash of the id. The cut is the quantile of worth below which, as a share of
     the labelled rows, the poor ones lie; scores put `threshold` there. With one class only,
     or no labelled row, every text gets the share of label 1.
     """
-    sample = labelled_sample(docs, labels, "quality", sample_rows, id_col, text_col).repartition(12)
     columns = feature_columns(F.col("text"))
     names = list(columns)
-    wide = stored(sample.select("id", "label", *[c.alias(n) for n, c in columns.items()]), "quality_features")
+    wide = stored(labelled_features(docs, labels, "quality", columns, id_col, text_col), "quality_features")
     count = {r["label"]: r["count"] for r in wide.groupBy("label").count().collect()}
     good, poor = count.get(1, 0), count.get(0, 0)
     base = good / (good + poor) if good + poor else 0.0
@@ -96,11 +96,11 @@ def fit(
         pairs = one if pairs is None else pairs.unionByName(one)
     diff = pairs.select(*[(F.col(f"{n}_1") - F.col(f"{n}_0")).alias(n) for n in names])
     both = diff.withColumn("won", F.lit(1.0)).unionByName(diff.select(*[(-F.col(n)).alias(n) for n in names]).withColumn("won", F.lit(0.0)))
-    ready = stored(VectorAssembler(inputCols=names, outputCol="features").transform(both).select("features", "won"), "quality_pairs").coalesce(4)
+    ready = stored(VectorAssembler(inputCols=names, outputCol="features").transform(both).select("features", "won"), "quality_pairs")
     model = LogisticRegression(labelCol="won", fitIntercept=False, regParam=0.002, maxIter=60).fit(ready)
     weights = [float(w) for w in model.coefficients]
     worth = wide.select("label", _sum(names, weights).alias("worth"))
-    cut = float(worth.agg(F.percentile("worth", F.lit(poor / (good + poor)))).first()[0])
+    cut = float(group_quantiles(worth, [], "worth", {"cut": poor / (good + poor)}).first()["cut"])
     spread = worth.agg(F.stddev("worth")).first()[0] or 1.0
     return QualityModel(weights, cut, 2.0 / float(spread), threshold, base)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelmill.llm import langid, quality, toxicity
-from parcelmill.llm.sampling import id_remainder, labelled_sample
+from parcelmill.llm.sampling import id_remainder, labelled_features, labelled_sample
 
 DATA = "/root/testdata/sf0.1"
 ODD = [(1, None, "x"), (2, "", "x"), (3, " ", "x"), (4, "!!! 123", "x"), (4, "!!! 123", "x"), (None, "idiot " * 20000, "x")]
@@ -73,6 +73,16 @@ def test_sample_is_bounded_and_split(spark, docs, labels):
     assert labelled_sample(docs.unionByName(docs), labels.unionByName(labels), "toxic", 50).count() == 50
 
 
+def test_quality_counts_every_labelled_row(spark):
+    docs = spark.range(12000).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    labels = docs.select("doc_id", (F.col("doc_id") != 1).cast("int").alias("quality"))
+    fitted = labels.where(id_remainder("doc_id", 5) != 0)
+    rows, good = fitted.count(), fitted.agg(F.sum("quality")).first()[0]
+    assert rows > 8000 and quality.fit(docs, labels).base_rate == good / rows
+    found = labelled_features(docs.unionByName(docs), labels, "quality", {"length": F.length("text")})
+    assert found.count() == rows and found.columns == ["id", "label", "length"]
+
+
 def test_languages(spark, docs):
     rows = langid.op6_languages(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id")
     held = rows.where("held_out")
