@@ -20,6 +20,9 @@ from parcelmill.operators.quantiles import group_quantiles
 from parcelmill.session import stored
 
 
+PAIRS_PER_TASK = 100_000
+
+
 def feature_columns(text: Column) -> dict[str, Column]:
     """Features of a whole text, about 0 to 3 each; an empty text has zeros."""
     raw = F.coalesce(text, F.lit(""))
@@ -97,6 +100,7 @@ def fit(
     diff = pairs.select(*[(F.col(f"{n}_1") - F.col(f"{n}_0")).alias(n) for n in names])
     both = diff.withColumn("won", F.lit(1.0)).unionByName(diff.select(*[(-F.col(n)).alias(n) for n in names]).withColumn("won", F.lit(0.0)))
     ready = stored(VectorAssembler(inputCols=names, outputCol="features").transform(both).select("features", "won"), "quality_pairs")
+    ready = ready.coalesce(max(4, ready.count() // PAIRS_PER_TASK))  # each step of the solver runs one task per partition
     model = LogisticRegression(labelCol="won", fitIntercept=False, regParam=0.002, maxIter=60).fit(ready)
     weights = [float(w) for w in model.coefficients]
     worth = wide.select("label", _sum(names, weights).alias("worth"))
