@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from parcelmill.operators.features import qcut
 from parcelmill.operators.quantiles import attach, group_quantiles, metric_quantiles
 from parcelmill.operators.ratio import model_fit_stats, prb
-from parcelmill.session import cut_lineage
+from parcelmill.session import cut_lineage, stored
 
 c = F.col
 
@@ -30,10 +30,11 @@ def retransform(df: DataFrame, group: Sequence[str]) -> DataFrame:
 def band_calibration(df: DataFrame, group: Sequence[str], bands: int = 10, value: str = "v_proxy") -> DataFrame:
     """Ratio times overall median / band median, for groups of 100 rows and 5 values or more.
 
-    The input is written once because five passes read it.
+    The input is written once because five passes read it, as a table: a checkpoint keeps all
+    constraints Spark has inferred so far, and with them plans take ever longer to make.
     """
     group = list(group)
-    df = cut_lineage(df)
+    df = stored(df, "band_rows")
     sizes = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("k")).groupBy(*group).agg(
         F.sum("k").alias("__n"), F.count(F.lit(1)).alias("__d")
     )
@@ -58,7 +59,7 @@ def calibration_bands(calibrated: DataFrame, group: Sequence[str], value: str =
 def prb_flatten(df: DataFrame, group: Sequence[str], value: str = "v_proxy", ratio: str = "ratio_adj") -> DataFrame:
     """Remove the trend of ln(ratio) on relative value, where 60 rows or more support it."""
     group = list(group)
-    df = cut_lineage(df)
+    df = stored(df, "prb_rows")
     marks = cut_lineage(metric_quantiles(df, group, {"__lo": (value, 0.1), "__hi": (value, 0.9), "__m": (value, 0.5)}))
     rows = attach(df, marks, group)
     dev = c(value) / c("__m") - 1.0
@@ -105,11 +106,15 @@ def unbiased_moments(x: str) -> tuple[Column, Column]:
 
 
 def segment_diagnostics(df: DataFrame, group: Sequence[str], ratio: str = "ratio_final", value: str = "v_proxy") -> DataFrame:
-    """Fit measures, ratio spread, warning flags and the three largest residuals per segment."""
+    """Fit measures, ratio spread, warning flags and the three largest residuals per segment.
+
+    The rows are written as a table, free of the constraints that a model run's plan has gathered,
+    and every part before they are joined: planning time grows far faster than their number.
+    """
     group = list(group)
-    df = cut_lineage(df.select(*group, *dict.fromkeys(["sale_id", "sale_price", "residual", "ratio", ratio, value])))
+    df = stored(df.select(*group, *dict.fromkeys(["sale_id", "sale_price", "residual", "ratio", ratio, value])), "diagnostics_rows")
     skew, kurt = unbiased_moments("ratio")
-    shape = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), skew.alias("skew"), kurt.alias("kurt"))
+    shape = cut_lineage(df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), skew.alias("skew"), kurt.alias("kurt")))
     marks = metric_quantiles(df, group, {"p10": ("ratio", 0.1), "p50": ("ratio", 0.5), "p90": ("ratio", 0.9)})
     fit = model_fit_stats(df, group, "proxy", ratio, value)
     bias = prb(df, group, "linear", ratio, value=value).select(*group, "prb")
@@ -120,7 +125,7 @@ def segment_diagnostics(df: DataFrame, group: Sequence[str], ratio: str = "ratio
     )
     out = shape
     for part in (marks, fit, bias, worst):
-        out = attach(out, part.drop("n"), group)
+        out = attach(out, cut_lineage(part.drop("n")), group)
     cod, prd, b, med = F.round("cod", 2), F.round("prd", 3), F.round("prb", 3), F.round("median_ratio", 3)
     flags = F.array_compact(
         F.array(

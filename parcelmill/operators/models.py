@@ -17,7 +17,7 @@ from parcelmill.operators import features as ft
 from parcelmill.operators import moments as mo
 from parcelmill.operators.quantiles import attach, group_quantiles
 from parcelmill.operators.ratio import clipped_fit
-from parcelmill.session import cut_lineage
+from parcelmill.session import cut_lineage, stored
 
 c = F.col
 TIERS = ("T1_LOW", "T2_MID", "T3_HIGH")
@@ -156,7 +156,7 @@ def run_model(
         return attach(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys).where(c("__n") >= fv.MIN_ROWS_FIT).drop("__n")
 
     # Segments must be large enough before and after the trim.
-    trimmed = cut_lineage(large(ft.tier_trim(large(rows), [group])))
+    trimmed = stored(large(ft.tier_trim(large(rows), [group])), "trimmed")  # a table keeps no constraints, a checkpoint does
     shaped, forced = ft.tier_terms(trimmed, names["core"])
     every = list(dict.fromkeys([*[x for v in forced.values() for x in v], *names["candidates"]]))
     mom = mo.moments(shaped, keys, every, "log_price", required=names["core"])

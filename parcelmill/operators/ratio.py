@@ -73,7 +73,7 @@ def prb(
         return out.select(*group, F.when((c("n") >= 12) & (c("n_used") >= 6), F.round("slope", 3)).alias("prb"), "n", "n_used")
     if kind == "linear":
         wanted = {"mr": ("r", 0.5), "mx": ("x", 0.5), "lo": ("x", 0.1), "hi": ("x", 0.9)}
-        marked = attach(rows, metric_quantiles(rows, group, wanted), group, "inner").where(c("x").between(c("lo"), c("hi")))
+        marked = attach(rows, cut_lineage(metric_quantiles(rows, group, wanted)), group, "inner").where(c("x").between(c("lo"), c("hi")))
         out = marked.groupBy(*group).agg(F.regr_slope(c("r") / c("mr") - 1, c("x") / c("mx") - 1).alias("prb"), F.count(F.lit(1)).alias("n_used"))
         return out.select(*group, "prb", "n_used")
     if kind == "log2":
@@ -104,16 +104,17 @@ def model_fit_stats(df: DataFrame, group: Sequence[str], kind: str = "proxy", ra
     group = list(group)
     columns = [*group, "r", *(["x"] if kind == "proxy" else [])]
     rows = df.where(c(ratio).isNotNull()).select(*group, c(ratio).alias("r"), *([c(value).alias("x")] if kind == "proxy" else []))
-    # The reduced lines are written once; every later pass reads them.
+    # The reduced lines are written once; every later pass reads them. So are quantiles, as plans that join several take long to plan.
     lines = cut_lineage(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("k")))
     if kind == "ratio":
         middle = cut_lineage(group_quantiles(lines, group, "r", {"med": 0.5}, weight="k"))
     else:
         # Value at position n/2 (from 0) bounds the lower half.
-        edge = group_quantiles(lines, group, "x", {"edge": 0.5}, weight="k", discrete=True)
-        middle = cut_lineage(attach(group_quantiles(lines, group, "r", {"med": 0.5}, weight="k"), edge, group, "inner"))
+        edge = cut_lineage(group_quantiles(lines, group, "x", {"edge": 0.5}, weight="k", discrete=True))
+        middle = cut_lineage(group_quantiles(lines, group, "r", {"med": 0.5}, weight="k"))
+        middle = cut_lineage(attach(middle, edge, group, "inner"))
     marked = attach(lines, middle, group, "inner").withColumn("dev", F.abs(c("r") - c("med")) / c("med"))
-    spread = group_quantiles(marked, group, "dev", {"mad": 0.5}, weight="k")
+    spread = cut_lineage(group_quantiles(marked, group, "dev", {"mad": 0.5}, weight="k"))
     if kind == "ratio":
         upper, lower = c("r") >= c("med"), c("r") < c("med")
 

@@ -204,3 +204,22 @@ def test_families_keep_their_terms(spark):
     df = spark.createDataFrame(rows, "g string, term string, beta double, beta_se double, n bigint")
     got = {r["g"]: (set(r["kept"]), set(r["dropped_terms"])) for r in mo.apply_family_rules(df, ["g"]).collect()}
     assert got == want
+
+
+def test_diagnostics_carry_no_constraints_on(spark):
+    """Constraints inherited through checkpoints made the plan of r23_segment_model_diagnostics too long to finish."""
+    from parcelmill.session import cut_lineage
+
+    rows = spark.range(300).select(
+        F.col("id").alias("sale_id"), (F.col("id") % 2).cast("string").alias("g"), (F.col("id") + 100.0).alias("sale_price"), F.sin("id").alias("residual"),
+        (1 + F.sin("id") / 10).alias("ratio"), (1 + F.cos("id") / 10).alias("ratio_final"), (F.col("id") + 90.0).alias("v_proxy"),
+    )
+    held = rows
+    for x in ("sale_price", "ratio", "ratio_final", "v_proxy"):
+        held = held.where((F.col(x) > 0) & F.col(x).isNotNull() & (F.col(x) < 1e9))
+    got = []
+    for df in (rows, cut_lineage(held)):
+        out = cb.segment_diagnostics(df, ["g"])
+        leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves()
+        got.append((sorted(out.collect()), sum(leaves.apply(i).constraints().size() for i in range(leaves.size()))))
+    assert got[0] == got[1] and len(got[0][0]) == 2
