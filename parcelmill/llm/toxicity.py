@@ -8,8 +8,11 @@ punctuation and disguised letters; all are column expressions over the whole tex
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +29,9 @@ SECOND_PERSON = ("you", "your", "yours", "yourself", "du", "dich", "dir", "dein"
 #: Letters read for the digits and signs that stand in for them.
 DISGUISE_FROM, DISGUISE_TO = "013457@$", "oleastas"
 _STEM_LENGTHS = (4, 5, 6, 7)  # letters
+ROWS_PER_TASK = 20_000
+#: Terms that a task counts before it hands them on.
+HELD_TERMS = 200_000
 _NEAR = r"(?:[^\p{L}]+\p{L}+){0,4}[^\p{L}]+"
 
 
@@ -34,20 +40,41 @@ def plain(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(plain(text), F.lit(r"\p{L}+"), F.lit(0))
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def stems(text: Column) -> Column:
-    """Distinct words of a text and their beginnings."""
-    words = F.array_distinct(words_of(text))
+def stems(low: str) -> set[str]:
+    """Distinct words (with a full stop) of a lower-cased text and their beginnings."""
+    words = set(_WORD.findall(low))
+    for w in [w for w in words if not w.isalpha()]:  # number signs such as a raised two are no letters
+        words.remove(w)
+        words.update("".join(x if x.isalpha() else " " for x in w).split())
+    terms = {w + "." for w in words if 3 <= len(w) <= 20}
+    for n in _STEM_LENGTHS:
+        terms.update([w[:n] for w in words if len(w) > n])
+    return terms
 
-    def beginnings(n: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
 
-    parts = [beginnings(n) for n in _STEM_LENGTHS]
-    whole = F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 20))
-    return F.array_distinct(F.flatten(F.array(*[F.transform(whole, lambda w: F.concat(w, F.lit("."))), *parts])))
+def _counts(known: frozenset[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to (term, number of them with it), of `known` terms or all; a task holds `HELD_TERMS` terms and one text's."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for low in batch.column(0):
+                terms = stems(low.as_py())
+                seen.update(terms if known is None else terms & known)
+                if len(seen) >= HELD_TERMS:
+                    yield pa.RecordBatch.from_pydict({"term": list(seen.keys()), "n": list(seen.values())})
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    return count
+
+
+def _counted(rows: DataFrame, label: int, known: frozenset[str] | None = None) -> DataFrame:
+    texts = rows.where(F.col("label") == label).select(plain(F.col("text")).alias("low"))
+    return texts.mapInArrow(_counts(known), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicons(sample: DataFrame, strong_terms: int = 48, weak_terms: int = 48) -> tuple[list[str], list[str]]:
@@ -60,13 +87,17 @@ def learn_lexicons(sample: DataFrame, strong_terms: int = 48, weak_terms: int =
     pos, neg = size["pos"], size["n"] - size["pos"]
     if not pos or not neg:
         return [], []
-    counted = sample.select("label", F.explode(stems(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    # Terms of a hundredth of the positive texts: at most a hundred times the terms of a mean one, however many rows there are.
+    often = stored(_counted(sample, 1).where(F.col("n") >= max(3, 0.01 * pos)).withColumnRenamed("n", "a"), "toxicity_terms")
+    known = frozenset(r["term"] for r in often.select("term").collect())
+    counted = often.join(_counted(sample, 0, known).withColumnRenamed("n", "b"), "term", "left").na.fill(0, ["b"])
+    counted = stored(counted, "toxicity_counts")
     odds = F.log((F.col("a") + 0.5) / (pos + 1.0)) - F.log((F.col("b") + 0.5) / (neg + 1.0))
     gain = F.col("a") / pos - F.col("b") / neg
     share = (F.col("a") + F.col("b")) / (pos + neg)
     # A difference that chance makes once in a billion terms is not kept.
     sure = F.col("gain") > 6 * F.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
-    ranked = counted.where(F.col("a") >= max(3, 0.01 * pos)).withColumn("odds", odds).withColumn("gain", gain).where((F.col("odds") > 1.2) & sure)
+    ranked = counted.withColumn("odds", odds).withColumn("gain", gain).where((F.col("odds") > 1.2) & sure)
 
     def best(rows: DataFrame, count: int) -> list[str]:
         kept: list[str] = []
@@ -132,14 +163,14 @@ def _margin() -> Column:
     return vector_to_array("rawPrediction")[1] / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, trees: int = 12, depth: int = 3, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
-    """Learn lexicons, trees and calibration from at most `sample_rows` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 12, depth: int = 3, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
+    """Learn lexicons, trees and calibration from all labelled rows.
 
-    Trees see three quarters of the sample; the isotonic curve from tree margin to
+    Trees see three quarters of the rows; the isotonic curve from tree margin to
     probability is fitted on all of it, weighted three to one for the quarter left out.
     With one class only, or no labelled row, every text gets the share of label 1.
     """
-    sample = stored(labelled_sample(docs, labels, "toxic", sample_rows, id_col, text_col).repartition(12), "toxicity_sample")
+    sample = stored(labelled_sample(docs, labels, "toxic", None, id_col, text_col), "toxicity_rows")
     seen = sample.groupBy("label").count().collect()
     count = {r["label"]: r["count"] for r in seen}
     total = sum(count.values())
@@ -148,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, trees: int
         return ToxicityModel([], [], base, None, None)
     strong, weak = learn_lexicons(sample)
     columns = feature_columns(F.col("text"), strong, weak)
-    wide = stored(sample.select("id", F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in columns.items()]), "toxicity_features").coalesce(4)
+    wide = stored(sample.select("id", F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in columns.items()]), "toxicity_features")
+    wide = wide.coalesce(max(4, total // ROWS_PER_TASK))  # each step of the trees runs one task per partition
     held = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(4)) == 0
     ready = _assembled(wide, list(columns))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=2, maxBins=64, seed=4).fit(ready.where(~held))

@@ -83,6 +83,22 @@ def test_quality_counts_every_labelled_row(spark):
     assert found.count() == rows and found.columns == ["id", "label", "length"]
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    docs = spark.range(12000).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    labels = docs.select("doc_id", (F.col("doc_id") == 1).cast("int").alias("toxic"))
+    fitted = labels.where(id_remainder("doc_id", 5) != 0)
+    rows, bad = fitted.count(), fitted.agg(F.sum("toxic")).first()[0]
+    assert rows > 8000 and toxicity.fit(docs, labels).base_rate == bad / rows
+
+
+def test_stems_are_letters_and_counted_once_a_text(spark):
+    assert toxicity.stems("abcde x² ab½cd_efg no1 ⅷ") == {"abcde.", "abcd", "efg."}
+    rows = spark.createDataFrame([(0, "Good good day"), (0, "good night"), (1, "bad day"), (1, None)], "label int, text string")
+    got = {label: {r["term"]: r["n"] for r in toxicity._counted(rows, label).collect()} for label in (0, 1)}
+    assert got == {0: {"good.": 2, "day.": 1, "night.": 1, "nigh": 1}, 1: {"bad.": 1, "day.": 1}}
+    assert {r["term"]: r["n"] for r in toxicity._counted(rows, 0, frozenset(["good.", "bad."])).collect()} == {"good.": 2}
+
+
 def test_languages(spark, docs):
     rows = langid.op6_languages(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id")
     held = rows.where("held_out")
