@@ -78,8 +78,7 @@ def screen_roll(
     """
     subjects = cm.subject_facts(parcels)
     pool = cm.comp_pool(parcels, sales, as_of, days)
-    candidates = cm.comp_candidates(subjects, pool, max(limit, 8) * 2, 4828.0, keep=max(limit, 8) * 6)
-    chosen = cm.escalate_radius(candidates, limit)
+    chosen = cm.comp_candidates(subjects, pool, max(limit, 8) * 2, 4828.0, lambda rows: cm.escalate_radius(rows, limit))
     # At most `limit` prices per subject enter this median.
     prices = chosen.groupBy("subject_id").agg(F.median("c_sale_price").alias("median_price"), F.count(F.lit(1)).alias("comp_count"))
     rows = subjects.select(c("parcel_id").alias("subject_id"), "hood_code", "value").join(prices, "subject_id", "left")

@@ -6,7 +6,9 @@ Distances are metres on a plane; parcels carry x and y in metres.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,20 +50,23 @@ def comp_pool(parcels: DataFrame, sales: DataFrame, as_of: dt.date, days: int |
         c("bedrooms").isNotNull() & c("bathrooms").isNotNull() & c("year_built").isNotNull() & c("living_area").isNotNull()
         & clean_address(c("address")).isNotNull()
     )
+    if days and days > 0:  # a parcel's newest sale is recent if any of its sales is
+        sales = sales.where(c("sale_date") >= F.lit(as_of - dt.timedelta(days=days)))
     sold = latest_valid_sale(sales).where(c("last_sale_price").isNotNull() & c("last_sale_date").isNotNull())
-    if days and days > 0:
-        sold = sold.where(c("last_sale_date") >= F.lit(as_of - dt.timedelta(days=days)))
     sold = sold.select(KEY, c("last_sale_price").alias("sale_price"), c("last_sale_date").cast("date").alias("sale_date"))
     return subject_facts(complete).join(sold, KEY)
 
 
-def comp_candidates(subjects: DataFrame, pool: DataFrame, n: int, radius: float | None = None, keep: int | None = None) -> DataFrame:
+def comp_candidates(
+    subjects: DataFrame, pool: DataFrame, n: int, radius: float | None = None, pick: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Nearest comparables of every subject in three scopes: same neighborhood, same city, anywhere.
 
     Land use must agree where the subject has one. For each scope the `n` nearest
-    are found exactly, which is all the tiered fill can ever need. Returns subject
-    and comparable facts (s_ and c_ columns), `tier` and `distance`, at most `keep`
-    (default n) rows per subject in tier and distance order.
+    are found exactly, which is all that a tiered fill of `n` within the radius or a smaller one
+    can ever need. Of these rows (subject_id, comp_id, `tier`, `distance`) `pick` keeps what it
+    wants, by default the first `n` per subject in tier and distance order. Returns them with
+    subject and comparable facts (s_ and c_ columns), dealt by subject.
     """
     pool = cut_lineage(pool)
     use = F.nullif(F.upper(F.trim(c("land_use_code"))), F.lit(""))
@@ -77,11 +82,13 @@ def comp_candidates(subjects: DataFrame, pool: DataFrame, n: int, radius: float
     f = f.select("comp_id", "x", "y", "use", F.inline("sc")).where(c("scope").isNotNull()).drop("tier")
     features = gr.point_box(f).drop("x", "y")
     found = gr.nearest(s, features, n + 1, "subject_id", "comp_id", by=["scope", "use"], within=radius).where(c("comp_id") != c("subject_id"))
-    best = found.groupBy("subject_id", "comp_id").agg(F.min("tier").alias("tier"), F.min("distance").alias("distance"))
-    top = tiered_topk(best, keep or n)
+    # Dealt by subject once: the steps per pair and per subject up to the choice follow without another shuffle.
+    dealt = found.select("subject_id", "comp_id", "tier", "distance").repartition("subject_id")
+    best = dealt.groupBy("subject_id", "comp_id").agg(F.min("tier").alias("tier"), F.min("distance").alias("distance"))
+    top = pick(best) if pick else tiered_topk(best, n)
     left = subjects.select(c(KEY).alias("subject_id"), *[c(x).alias(f"s_{x}") for x in subjects.columns if x != KEY])
     right = pool.select(c(KEY).alias("comp_id"), *[c(x).alias(f"c_{x}") for x in pool.columns if x != KEY])
-    return top.join(left, "subject_id").join(right, "comp_id")
+    return top.join(right, "comp_id").join(left, "subject_id")
 
 
 def tiered_topk(df: DataFrame, n: int) -> DataFrame:
@@ -206,37 +213,40 @@ def select_comps(scored: DataFrame, n: int = 16, field: str = "score", direction
     return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
 
 
-def prefer_near(df: DataFrame, n: int, miles: float = 1.0) -> DataFrame:
-    """Only comparables within a mile when there are three or more, then the nearest `n`."""
-    near = c("distance") <= miles * METRES_PER_MILE
-    marked = df.withColumn("__k", F.count_if(near).over(W.partitionBy("subject_id")))
-    kept = marked.where((c("__k") < 3) | near).drop("__k")
-    w = W.partitionBy("subject_id").orderBy("distance", "comp_id")
-    return kept.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
-
-
 def citizen_comps(candidates: DataFrame, n: int, radius: float) -> DataFrame:
-    """Simple nearest comparables from a candidate list: tiered fill, nearest first, one-mile preference."""
-    pick = max(n, 8)
-    filled = tiered_topk(candidates.where(c("distance") <= radius), pick * 2)
-    w = W.partitionBy("subject_id").orderBy("distance", "comp_id")
-    shortlist = filled.withColumn("__rn", F.row_number().over(w)).where(c("__rn") <= pick).drop("__rn")
-    return prefer_near(shortlist, n)
+    """Simple nearest comparables from candidate rows, with their `rank`: see `escalate_radius` for one radius."""
+    return escalate_radius(candidates, n, (radius,)).drop("ring")
 
 
-def escalate_radius(candidates: DataFrame, n: int, radii: Sequence[float] = (3218.0, 4828.0)) -> DataFrame:
-    """Comparables of the small radius first, then new ones of the larger, until `n`.
+def escalate_radius(candidates: DataFrame, n: int, radii: Sequence[float] = (3218.0, 4828.0), miles: float = 1.0) -> DataFrame:
+    """Comparables of the small radius first, then new ones of the larger, until `n`, with their `ring` and `rank`.
 
-    `candidates` must reach the largest radius; every ring is a filter on it.
+    A ring takes its tiered fill, of that the nearest, of those only the ones within a mile
+    when there are three or more. `candidates` must reach the largest radius and hold a pair
+    once; all rings are counted in one pass over the rows of a subject.
     """
-    rings = [citizen_comps(candidates, n, r).withColumn("ring", F.lit(i)) for i, r in enumerate(radii)]
-    every = rings[0]
-    for ring in rings[1:]:
-        every = every.unionByName(ring)
-    first = every.groupBy("subject_id", "comp_id").agg(F.min(F.struct("ring", "rank")).alias("o"))
-    w = W.partitionBy("subject_id").orderBy("o", "comp_id")
-    kept = first.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n).select("subject_id", "comp_id", c("o.ring").alias("ring"), "rank")
-    return candidates.join(kept, ["subject_id", "comp_id"])
+    pick = max(n, 8)
+    whole = W.partitionBy("subject_id")
+    rings = range(len(radii))
+
+    def first(rows: DataFrame, marks: Sequence[Column], order: Sequence[str], most: int) -> DataFrame:
+        """Columns __0, __1 ..: which marked rows are the first `most` of their subject; rows of no ring go."""
+        so_far = whole.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        rows = rows.withColumns({f"__{i}": m for i, m in enumerate(marks)})
+        rows = rows.withColumns({f"__n{i}": F.count_if(f"__{i}").over(so_far) for i in rings})
+        rows = rows.withColumns({f"__{i}": c(f"__{i}") & (c(f"__n{i}") <= most) for i in rings})
+        return rows.where(reduce(or_, [c(f"__{i}") for i in rings]))
+
+    rows = first(candidates, [c("distance") <= r for r in radii], ["tier", "distance", "comp_id"], pick * 2)
+    rows = first(rows, [c(f"__{i}") for i in rings], ["distance", "comp_id"], pick)
+    close = c("distance") <= miles * METRES_PER_MILE
+    rows = rows.withColumns({f"__k{i}": F.count_if(c(f"__{i}") & close).over(whole) for i in rings})
+    rows = first(rows, [c(f"__{i}") & ((c(f"__k{i}") < 3) | close) for i in rings], ["distance", "comp_id"], n)
+    ring = F.coalesce(*[F.when(c(f"__{i}"), F.lit(i)) for i in rings])
+    rows = rows.select("subject_id", "comp_id", "tier", "distance", ring.alias("ring"))
+    # Within a ring the order is by distance, for a comparable new to it as for all.
+    order = whole.orderBy("ring", "distance", "comp_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(c("rank") <= n)
 
 
 def match_scores(scored: DataFrame) -> DataFrame:

@@ -39,9 +39,13 @@ def homes(t):
     )
 
 
-def candidates(t, n=16, radius=3000.0, keep=None):
+def candidates(t, n=16, radius=3000.0, pick=None):
     rows = homes(t)
-    return cm.comp_candidates(cm.subject_facts(rows), cm.comp_pool(rows, t.sales, AS_OF), n, radius, keep)
+    return cm.comp_candidates(cm.subject_facts(rows), cm.comp_pool(rows, t.sales, AS_OF), n, radius, pick)
+
+
+def escalated(t):
+    return candidates(t, 16, 4828.0, lambda rows: cm.escalate_radius(rows, 7))
 
 
 CAND_SQL = f"""{LATEST_VALID},
@@ -166,12 +170,12 @@ RING_SQL = f"""{CAND_SQL}, {_RING.format(i=0, r=3218)}, {_RING.format(i=1, r=482
 
 @query("k06_radius_escalation", f"WITH {RING_SQL} SELECT subject_id, comp_id, CAST(o // 1000 AS INT) AS ring, CAST(rank AS INT) AS rank FROM chosen")
 def _(t):
-    return cm.escalate_radius(candidates(t, 16, 4828.0, keep=48), 7).select("subject_id", "comp_id", "ring", "rank")
+    return escalated(t).select("subject_id", "comp_id", "ring", "rank")
 
 
 @query("k07_one_mile_preference", f"WITH {RING_SQL} SELECT subject_id, comp_id, CAST(rn AS INT) AS rank FROM ring0")
 def _(t):
-    return cm.citizen_comps(candidates(t, 16, 4828.0, keep=48), 7, 3218.0).select("subject_id", "comp_id", "rank")
+    return candidates(t, 16, 4828.0, lambda rows: cm.citizen_comps(rows, 7, 3218.0)).select("subject_id", "comp_id", "rank")
 
 
 def adjust_pairs(t):
@@ -259,8 +263,7 @@ def _(t):
         SELECT m.subject_id, n AS comp_count, round((h.value - med) / med * 100, 6) AS over_pct FROM m JOIN home h ON m.subject_id = h.parcel_id""",
 )
 def _(t):
-    chosen = cm.escalate_radius(candidates(t, 16, 4828.0, keep=48), 7)
-    out = chosen.groupBy("subject_id", "s_value").agg(F.median("c_sale_price").alias("med"), F.count(F.lit(1)).alias("comp_count"))
+    out = escalated(t).groupBy("subject_id", "s_value").agg(F.median("c_sale_price").alias("med"), F.count(F.lit(1)).alias("comp_count"))
     return out.select("subject_id", "comp_count", F.round(ap.over_assessment(c("s_value"), c("med")), 6).alias("over_pct"))
 
 
