@@ -9,22 +9,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from parcelmill.functions import geometry as gm
 from parcelmill.functions.codes import yield_class
-from parcelmill.functions.shapes import shape_distance, shapes_meet
 from parcelmill.operators import grid as gr
+from parcelmill.operators import tiles as tl
 from parcelmill.operators.joins import latest_valid_sale
 from parcelmill.operators.pieces import MAX_CORNERS, PIECE, WHOLE, corner_count, path_chunks, subdivide
 from parcelmill.operators.windows import first_by
-from parcelmill.session import cut_lineage
+from parcelmill.session import cut_lineage, stored
 
 c = F.col
 SQFT_PER_ACRE = 43560.0
 KEY = "parcel_id"
 #: A point whose nearest corner is so many cells away is searched for by the pyramid.
 FAR_CELLS = 16
+#: A polygon of so many edges is clipped by.
+CLIP_EDGES = 8
 
 
 def as_points(df: DataFrame, key: str = KEY, x: str = "x", y: str = "y", keep: Sequence[str] = ()) -> DataFrame:
@@ -57,30 +58,17 @@ def _boxes() -> list[str]:
 
 
 def _shapes() -> list[str]:
-    return [*_boxes(), "l_edges", "r_edges", WHOLE, PIECE, *_NAMES]
+    return [*_boxes(), "l_edges", "r_edges", WHOLE, PIECE]
 
 
-#: Names of whole shapes and pieces, once both sides are in one row.
-_NAMES = [f"__{side}_{n}" for side in "lr" for n in ("whole", "piece")]
-
-
-def _side(df: DataFrame, side: str, grow: float = 0.0) -> tuple[DataFrame, bool]:
-    """One side of a pair join, large polygons in pieces, and whether there were any."""
-    pieces, cut = subdivide(df)
-    if cut:
-        pieces = pieces.withColumnsRenamed({WHOLE: f"__{side}_whole", PIECE: f"__{side}_piece"})
-    return as_polygons(pieces, f"{side}_", grow=grow), cut
-
-
-def polygon_pairs(parcels: DataFrame, layer: DataFrame, cell: float, grow: float = 0.0) -> tuple[DataFrame, bool]:
-    """Parcel and layer polygons whose (grown) boxes meet, with both shapes, and whether they are pieces."""
-    (left, cut_left), (right, cut_right) = _side(parcels, "l"), _side(layer, "r", grow)
-    return gr.cell_pairs(left, right, cell), cut_left or cut_right
+def _own(df: DataFrame) -> list[str]:
+    return [x for x in df.columns if x != "rings"]
 
 
 def intersecting(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
-    """Pairs that meet; a pair of large polygons may come several times, once for each pair of pieces."""
-    return polygon_pairs(parcels, layer, cell)[0].where(shapes_meet("l_edges", "r_edges")).drop(*_shapes())
+    """Columns of pairs that meet; a pair may come several times, or once for several pairs with the same columns."""
+    (left, _), (right, _) = tl.side(parcels, "l_"), tl.side(layer, "r_")
+    return tl.joined(left, right, cell, tl.meeting, _own(parcels), _own(layer), distinct=True)
 
 
 def intersects(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
@@ -194,27 +182,30 @@ def _has_specks(edges: np.ndarray) -> bool:
 def polygon_overlap(a, b) -> float:
     """Overlap area of two polygons given as edge lists: by clipping, or by slabs where an edge has no sure direction."""
     second = _edge_array(b)
-    return area_within(_edge_array(a), [second]) if len(second) > 8 or _has_specks(second) else clip_area(a, b)
+    return area_within(_edge_array(a), [second]) if len(second) > CLIP_EDGES or _has_specks(second) else clip_area(a, b)
+
 
+def _edge_dicts(edges: np.ndarray) -> list[dict]:
+    return [dict(zip(("ax", "ay", "bx", "by"), e, strict=True)) for e in edges.tolist()]
 
-@F.pandas_udf(DoubleType())
-def _overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([polygon_overlap(x, y) for x, y in zip(a, b)])
+
+def _slow_overlap(a: np.ndarray, b: np.ndarray) -> float:
+    return polygon_overlap(_edge_dicts(a), _edge_dicts(b))
 
 
 def overlap_pairs(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
-    """Intersecting pairs with their overlap area; shapes reach Python only here.
+    """Intersecting pairs with their overlap area.
 
-    Areas of pieces are summed per pair; rows that repeat shape and columns then count once.
+    With large polygons areas are summed per pair; rows that repeat shape and columns then count once.
     """
-    pairs, cut = polygon_pairs(parcels, layer, cell)
-    hits = pairs.where(shapes_meet("l_edges", "r_edges")).withColumn("overlap", _overlap_udf(c("l_edges"), c("r_edges")))
-    if not cut:
-        return hits.drop(*_shapes())
-    named = hits.drop("l_edges", "r_edges", *_boxes())
-    own = [x for x in named.columns if x not in ("overlap", "__l_piece", "__r_piece")]
-    once = named.groupBy([x for x in named.columns if x != "overlap"]).agg(F.max("overlap").alias("overlap"))
-    return once.groupBy(own).agg(F.sum("overlap").alias("overlap")).drop(*_NAMES)
+    (left, large_left), (right, large_right) = tl.side(parcels, "l_"), tl.side(layer, "r_")
+    own = [*_own(parcels), *_own(layer)]
+    if not (large_left or large_right):
+        return tl.joined(left, right, cell, tl.overlapping(_slow_overlap, CLIP_EDGES), _own(parcels), _own(layer), "overlap")
+    whole, piece = ([f"{x}_{p}" for p in ("l_", "r_")] for x in (WHOLE, PIECE))
+    pairs = tl.joined(left, right, cell, tl.overlapping(_slow_overlap, CLIP_EDGES), [*_own(parcels), whole[0], piece[0]], [*_own(layer), whole[1], piece[1]], "overlap")
+    once = pairs.groupBy(*own, *whole, *piece).agg(F.max("overlap").alias("overlap"))
+    return once.groupBy(*own, *whole).agg(F.sum("overlap").alias("overlap")).drop(*whole)
 
 
 def box_overlap_pairs(parcels: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
@@ -244,15 +235,10 @@ def buffer_overlap_area(parcels: DataFrame, layer: DataFrame, distance: float, c
     hull of a bent feature has no overlap.
     """
     # Grown pieces would overlap one another, so shapes stay whole here.
-    pairs = gr.cell_pairs(as_polygons(parcels.select(KEY, "rings"), "l_"), as_polygons(layer.select("rings"), "r_", grow=distance), cell)
+    left, right = (tl.named_side(tl.packed(df.select(*own, "rings")), p, F.lit(g)) for df, own, p, g in ((parcels, [KEY], "l_", 0.0), (layer, [], "r_", distance)))
     angle = 2 * np.pi * np.arange(corners) / corners
     shape = distance * (np.array([(1, 1), (-1, 1), (-1, -1), (1, -1)], float) if square else np.stack([np.cos(angle), np.sin(angle)], axis=1))
-
-    @F.pandas_udf(DoubleType())
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([grown_overlap(x, y, shape) for x, y in zip(a, b)])
-
-    hits = pairs.select(KEY, overlap(c("l_edges"), c("r_edges")).alias("overlap")).where(c("overlap") > 0)
+    hits = tl.joined(left, right, cell, tl.largest_grown(shape, lambda a, b: _grown_area(a, b, shape)), [KEY], [], "overlap", grow=distance)
     return _facts(parcels, hits.groupBy(KEY).agg(F.max("overlap").alias("val")))
 
 
@@ -299,7 +285,10 @@ def _strips(edges: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def grown_overlap(a, b, shape: np.ndarray) -> float:
     """Overlap area of polygon `a` with polygon `b` grown by a convex shape."""
-    first, second = _edge_array(a), _edge_array(b)
+    return _grown_area(_edge_array(a), _edge_array(b), shape)
+
+
+def _grown_area(first: np.ndarray, second: np.ndarray, shape: np.ndarray) -> float:
     box = np.array([first[:, 0].min(), first[:, 1].min(), first[:, 0].max(), first[:, 1].max()])
     return area_within(first, [second, *_swept(second, box, shape)])
 
@@ -383,8 +372,8 @@ def within(
 def parcels_within(parcels: DataFrame, layer: DataFrame, distance: float, cell: float, where: Column | None = None) -> DataFrame:
     """Every parcel with `val` = true when a feature lies within the distance of its polygon."""
     kept = layer if where is None else layer.where(where)
-    pairs, _ = polygon_pairs(parcels.select(KEY, "rings"), kept.select("rings"), cell, grow=distance)
-    near = pairs.where(shape_distance("l_edges", "r_edges", F.lit(True)) <= distance).select(KEY).distinct()
+    (left, _), (right, _) = tl.side(parcels.select(KEY, "rings"), "l_"), tl.side(kept.select("rings"), "r_", grow=distance)
+    near = tl.joined(left, right, cell, tl.within(distance), [KEY], [], grow=distance, distinct=True).distinct()
     return _facts(parcels, near.withColumn("val", F.lit(True)))
 
 
@@ -440,34 +429,32 @@ def shape_features(features: DataFrame, feature_id: str, filled: Column | bool,
     # Long lines go in chunks, large polygons in pieces; they keep the id of their feature.
     line = ~c("f_filled") & (corner_count(c("rings")) > MAX_CORNERS)
     short = named.withColumn("rings", F.explode(F.when(line, path_chunks(c("rings"))).otherwise(F.array("rings"))))
-    pieces = subdivide(short, only=c("f_filled"))[0].drop(WHOLE, PIECE)
     paths = F.transform("rings", lambda r: F.when(F.size(r) == 1, F.concat(r, r)).otherwise(r))
-    shaped = pieces.withColumns({"f_edges": gm.edges(paths), "f_starts": gm.starts(c("rings")), "b": gm.bbox(c("rings"))}).drop("rings")
-    return gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "f_").drop("b")
+    return tl.in_pieces(tl.packed(short.withColumn("rings", paths)), only="f_filled")[0].drop(WHOLE, PIECE)
 
 
 def nearest_shapes(parcels: DataFrame, features: DataFrame, per: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(parcel, feature_id, distance): the nearest feature of each parcel polygon, 0 where they meet.
 
     `features` come from `shape_features`; `per` finds one for each value of a feature column,
-    `keep` names feature columns to return as well.
+    `keep` names feature columns to return as well. The nearest first corner bounds how far the
+    nearest feature can lie, so only features whose box lies within that reach are measured.
     """
-    pieces, _ = subdivide(parcels.select(KEY, "rings"))
-    shaped = pieces.select(KEY, gm.edges(c("rings")).alias("edges"), gm.starts(c("rings")).alias("starts"), gm.bbox(c("rings")).alias("b"))
-    boxed = gr.box_of(shaped, c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), "s_").drop("b")
-    # The search sees boxes and one corner of each shape; only pairs that can still be nearest fetch their edges.
-    placed = boxed.withColumns({"x": (c("s_x0") + c("s_x1")) / 2, "y": (c("s_y0") + c("s_y1")) / 2, "s_row": F.xxhash64(KEY, "edges"), "s_one": c("starts")[0]})
-    known = features.withColumns({"f_row": F.xxhash64("feature_id", *([per] if per else []), "f_edges"), "f_one": c("f_starts")[0]})
-    ceiling = F.hypot(c("s_one.x") - c("f_one.x"), c("s_one.y") - c("f_one.y")) * (1 + 1e-9)
-    light = gr.nearest(
-        placed.drop("edges", "starts"), known.drop("f_edges", "f_starts"), 1, point_id=KEY, per=per, query_box=[f"s_{n}" for n in gr.BOX], ceiling=ceiling,
+    extra = [per] if per else []
+    pieces = tl.in_pieces(tl.packed(parcels.select(KEY, "rings")))[0].drop(WHOLE, PIECE).withColumnRenamed(tl.ROW, "s_row")
+    corners = gr.point_box(features.select("feature_id", *extra, c("__x").alias("x"), c("__y").alias("y"))).drop("x", "y")
+    found = gr.nearest(pieces.select("s_row", c("__x").alias("x"), c("__y").alias("y")), corners, 1, point_id="s_row", per=per)
+    reach = c("distance") * (1 + 1e-9) + (F.abs("x") + F.abs("y")) * 1e-12
+    asked = stored(pieces.join(found.select("s_row", *extra, reach.alias("reach")).hint("merge"), "s_row"), "asked")
+    sides = features.agg(F.avg(F.greatest(c("__x1") - c("__x0"), c("__y1") - c("__y0")))).first()[0] or 0.0
+    cell = max(sides, 2 * (asked.agg(F.percentile_approx("reach", 0.5)).first()[0] or 0.0)) or 1.0
+    left, right = tl.named_side(asked, "l_", c("reach")), tl.named_side(features, "r_", F.lit(0.0))
+    near = tl.joined(
+        left, right, cell, tl.nearest("f_filled", "reach"), [KEY, *extra], ["feature_id", *keep], "distance",
+        equal=extra, reach="reach", order="feature_id", needs=["f_filled"],
     )
-    once = lambda df, row, *columns: df.groupBy(row).agg(*[F.any_value(x).alias(x) for x in columns])
-    near = light.join(once(placed, "s_row", "edges"), "s_row").join(once(known, "f_row", "f_edges"), "f_row")
-    gap = shape_distance("edges", "f_edges", "f_filled")
     # All pieces of a parcel are ranked together.
-    measured = near.select(KEY, *([per] if per else []), "feature_id", gap.alias("distance"), *keep)
-    return first_by(measured, [KEY, *([per] if per else [])], [c("distance"), c("feature_id")])
+    return first_by(near.select(KEY, *extra, "feature_id", "distance", *keep), [KEY, *extra], [c("distance"), c("feature_id")])
 
 
 def shape_distances(parcels: DataFrame, features: DataFrame, classes: Sequence, per: str = "cls") -> DataFrame:
