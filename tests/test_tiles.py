@@ -74,3 +74,15 @@ def test_overlap_areas_by_tile(spark, shapes, monkeypatch):
     assert set(got) == {k for k, d in brute(shapes, False).items() if d == 0}
     area = {(a, b): ov.area_within(ov._edge_array(edges(p)), [ov._edge_array(edges(q))]) for a, p in lots for b, q in zones}
     assert all(got.get(k, 0.0) == pytest.approx(v, abs=1e-9) for k, v in area.items())
+
+
+def test_nearest_shapes_by_tile(spark, shapes):
+    lots, zones = shapes
+    lots = [*lots, (900, [box(200, 300, 1.0)])]  # far from all
+    far = brute((lots, zones), True)
+    found = ov.nearest_shape_fact(table(spark, lots, "parcel_id"), table(spark, zones, "zone_id"), "zone_id")
+    assert "ArrowEvalPython" not in plan(found)
+    got = {r["parcel_id"]: (r["distance"], r["feature_id"]) for r in found.collect()}
+    best = {a: min((far[a, b], b) for b, _ in zones) for a, _ in lots}
+    assert {a: b for a, (_, b) in got.items()} == {a: b for a, (_, b) in best.items()}
+    assert all(got[a][0] == pytest.approx(d, abs=1e-9) for a, (d, _) in best.items())
