@@ -86,3 +86,14 @@ def test_nearest_shapes_by_tile(spark, shapes):
     best = {a: min((far[a, b], b) for b, _ in zones) for a, _ in lots}
     assert {a: b for a, (_, b) in got.items()} == {a: b for a, (_, b) in best.items()}
     assert all(got[a][0] == pytest.approx(d, abs=1e-9) for a, (d, _) in best.items())
+
+
+def test_meetings_by_tile(spark, shapes):
+    lots, zones = shapes
+    named = table(spark, zones, "zone_id").select("rings", (F.col("zone_id") % 5).cast("string").alias("kind"))
+    found = ov.intersects_list(table(spark, lots, "parcel_id"), named, "kind", 1.0)
+    assert "ArrowEvalPython" not in plan(found)
+    want = {}
+    for (a, b), d in brute(shapes, False).items():
+        want.setdefault(a, set()).update([str(b % 5)] if d == 0 else [])
+    assert {r["parcel_id"]: r["val"] or [] for r in found.collect()} == {a: sorted(v) for a, v in want.items()}
