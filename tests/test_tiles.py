@@ -97,3 +97,15 @@ def test_meetings_by_tile(spark, shapes):
     for (a, b), d in brute(shapes, False).items():
         want.setdefault(a, set()).update([str(b % 5)] if d == 0 else [])
     assert {r["parcel_id"]: r["val"] or [] for r in found.collect()} == {a: sorted(v) for a, v in want.items()}
+
+
+@pytest.mark.parametrize("square", [False, True])
+def test_grown_features_by_tile(spark, shapes, square):
+    lots, zones = shapes
+    angle = 2 * np.pi * np.arange(32) / 32
+    shape = 0.2 * (np.array([(1, 1), (-1, 1), (-1, -1), (1, -1)], float) if square else np.stack([np.cos(angle), np.sin(angle)], axis=1))
+    some = [z for z in zones if z[0] < 120]
+    found = ov.buffer_overlap_area(table(spark, lots, "parcel_id"), table(spark, some, "zone_id"), 0.2, 1.0, square=square)
+    assert "ArrowEvalPython" not in plan(found)
+    want = {a: max(ov.grown_overlap(edges(p), edges(q), shape) for _, q in some) for a, p in lots}
+    assert all((r["val"] or 0.0) == pytest.approx(want[r["parcel_id"]], abs=1e-9) for r in found.collect())
