@@ -109,3 +109,25 @@ def test_grown_features_by_tile(spark, shapes, square):
     assert "ArrowEvalPython" not in plan(found)
     want = {a: max(ov.grown_overlap(edges(p), edges(q), shape) for _, q in some) for a, p in lots}
     assert all((r["val"] or 0.0) == pytest.approx(want[r["parcel_id"]], abs=1e-9) for r in found.collect())
+
+
+def test_shape_distances_by_tile(spark, shapes):
+    lots, zones = shapes
+    lines = [(i, [r[0][: len(r[0]) // 2]]) for i, r in zones[:20]]
+    spots = [(i, [[r[0][0]]]) for i, r in zones[20:40]]
+    kinds = [("area", zones[40:]), ("line", lines), ("point", spots)]
+    layer = None
+    for name, rows in kinds:
+        one = table(spark, rows, "id").withColumn("cls", F.lit(name))
+        layer = one if layer is None else layer.unionByName(one)
+    features = ov.shape_features(layer.repartition(3), "id", F.col("cls") == "area", F.col("cls"))
+    found = ov.shape_distances(table(spark, lots, "parcel_id"), features, ["area", "line", "point", "none"])
+    assert "ArrowEvalPython" not in plan(found)
+    got = {r["parcel_id"]: r for r in found.collect()}
+    for name, rows in kinds:
+        paths = [(i, [r * 2 if len(r) == 1 else r for r in rings]) for i, rings in rows]
+        pairs = [(a, b) for a in lots for b in paths]
+        gaps = _compare(*[pa.array([edges(p[k][1]) for p in pairs]) for k in (0, 1)], np.full(len(pairs), name == "area"), True)
+        for n, (a, _) in enumerate(lots):
+            assert got[a][f"dist_{name}"] == pytest.approx(min(gaps[n * len(rows) : (n + 1) * len(rows)]), abs=1e-9)
+    assert all(r["dist_none"] is None for r in got.values())
