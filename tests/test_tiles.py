@@ -131,3 +131,11 @@ def test_shape_distances_by_tile(spark, shapes):
         for n, (a, _) in enumerate(lots):
             assert got[a][f"dist_{name}"] == pytest.approx(min(gaps[n * len(rows) : (n + 1) * len(rows)]), abs=1e-9)
     assert all(r["dist_none"] is None for r in got.values())
+
+
+def test_near_shapes_by_tile(spark, shapes):
+    lots, zones = shapes
+    found = ov.parcels_within(table(spark, lots, "parcel_id"), table(spark, zones, "zone_id"), 0.3, 1.0)
+    assert "ArrowEvalPython" not in plan(found)
+    want = {a for (a, _), d in brute(shapes, True).items() if d <= 0.3}
+    assert {r["parcel_id"] for r in found.where("val").collect()} == want
