@@ -189,24 +189,25 @@ def detail_order() -> list[Column]:
 
 
 def dedupe_details(df: DataFrame) -> DataFrame:
-    """Best row per parcel, improvement id and type; rows without an id all stay."""
-    keyed = df.withColumn("__t", F.coalesce(cd.norm(c("type_code")), F.lit("")))
-    order = W.partitionBy(KEY, "improvement_id", "__t").orderBy(*detail_order())
-    known = keyed.where(c("improvement_id").isNotNull() & (c("improvement_id") != 0))
-    first = known.withColumn("__rn", F.row_number().over(order)).where(c("__rn") == 1).drop("__rn")
-    unknown = keyed.where(c("improvement_id").isNull() | (c("improvement_id") == 0))
-    return first.unionByName(unknown).drop("__t")
+    """Best row per parcel, improvement id and type; rows without an id all stay.
+
+    One pass over the rows: those without an id get a key of their own.
+    """
+    known = c("improvement_id").isNotNull() & (c("improvement_id") != 0)
+    keyed = df.withColumns({"__t": F.coalesce(cd.norm(c("type_code")), F.lit("")), "__own": F.when(~known, F.monotonically_increasing_id())})
+    order = W.partitionBy(KEY, "improvement_id", "__t", "__own").orderBy(*detail_order())
+    return keyed.withColumn("__rn", F.row_number().over(order)).where(c("__rn") == 1).drop("__rn", "__t", "__own")
 
 
 def display_rollup(df: DataFrame) -> DataFrame:
     """Compact description of a parcel's buildings from deduplicated detail rows.
 
-    Rows shrink to one line per parcel and code (or code pair) before any list is
-    built, so lists are bounded by the number of codes, not by the rows.
+    Rows shrink to one line per parcel, code, quality and condition; these are dealt by parcel once, and
+    all else is found there. So rows are read once, and lists are bounded by the number of codes, not by the rows.
     """
     code = cd.norm(c("type_code"))
     main = code.startswith("MA")
-    suffix = F.replace(F.substr(code, F.lit(3)), F.lit("_"), F.lit("."))
+    suffix = F.replace(F.substr(c("code"), F.lit(3)), F.lit("_"), F.lit("."))
     story = F.when(suffix.try_cast("double").isNotNull(), suffix).otherwise(F.lit("1"))
     position = F.struct(
         c("improvement_id").isNull().alias("a"),
@@ -221,42 +222,35 @@ def display_rollup(df: DataFrame) -> DataFrame:
     rows = df.select(
         KEY,
         code.alias("code"),
-        main.alias("main"),
-        F.when(main, story).alias("story"),
         F.coalesce(c("area"), F.lit(0.0)).alias("area"),
         F.when(main, F.nullif(cd.norm(c("class_code")), F.lit(""))).alias("qc"),
         F.when(main, F.nullif(cd.norm(c("condition_code")), F.lit(""))).alias("cc"),
         F.when(F.trim(c("building_style")) != "", F.struct(position.alias("p"), "building_style")).alias("st"),
     ).where(c("code") != "")
 
-    lines = rows.groupBy(KEY, "code", "main", "story", "qc", "cc").agg(
-        F.sum("area").alias("area"), F.count(F.lit(1)).alias("n"), F.min("st").alias("st")
-    )
-    by_code = lines.groupBy(KEY, "code", "main", "story").agg(
-        F.sum("area").alias("area"), F.sum("n").alias("n"), F.min("st").alias("st")
-    )
-    stories = (
-        by_code.where("main").groupBy(KEY, "story").agg(F.sum("area").alias("area")).where("area <> 0")
-        .groupBy(KEY)
-        .agg(F.sort_array(F.collect_list(F.struct("story", F.round("area").cast("int").alias("sqft")))).alias("by_story"))
-    )
+    lines = rows.groupBy(KEY, "code", "qc", "cc").agg(F.sum("area").alias("area"), F.count(F.lit(1)).alias("n"), F.min("st").alias("st"))
+    is_main = c("code").startswith("MA")
+    total = lambda value, *keys: F.sum(value).over(W.partitionBy(KEY, *keys))
+    summed = lines.repartition(KEY).withColumns({"main": is_main, "story": F.when(is_main, story)}).withColumns({
+        "code_area": total("area", "code"), "code_n": total("n", "code"), "story_area": total("area", "main", "story"),
+        "quality_n": total("n", "qc"), "condition_n": total("n", "cc"),
+    })
     weights = F.coalesce(cd.lookup(c("qc"), fv.QUALITY_WEIGHTS), F.lit(0))
-    quality = lines.where(c("qc").isNotNull()).groupBy(KEY, "qc").agg(F.sum("n").alias("n")).groupBy(KEY).agg(
-        F.min(F.struct((-weights).alias("w"), (-c("n")).alias("n"), "qc"))["qc"].alias("quality_code")
-    )
     rank = F.coalesce(cd.lookup(c("cc"), fv.CONDITION_ORDER), F.lit(-1))
-    condition = lines.where(c("cc").isNotNull()).groupBy(KEY, "cc").agg(F.sum("n").alias("n")).groupBy(KEY).agg(
-        F.min(F.struct((-c("n")).alias("n"), (-rank).alias("w"), "cc"))["cc"].alias("condition_code")
-    )
-    component = F.struct((-c("area")).alias("o"), "code", "n", F.round("area").cast("int").alias("sqft"))
-    largest_main = F.min(F.when(c("main"), F.struct((-c("area")).alias("a"), "code")))
-    parcels = by_code.groupBy(KEY).agg(
+    story_line = F.struct("story", F.round("story_area").cast("int").alias("sqft"))
+    component = F.struct((-c("code_area")).alias("o"), "code", c("code_n").alias("n"), F.round("code_area").cast("int").alias("sqft"))
+    stories = F.sort_array(F.collect_set(F.when(c("main") & (c("story_area") != 0), story_line)))
+    joined = summed.groupBy(KEY).agg(
         F.min("st")["building_style"].alias("style_raw"),
         _sum_where(c("main"), c("area")).alias("main_area"),
-        largest_main["code"].alias("main_code"),
-        F.sort_array(F.collect_list(F.when(~c("main"), component))).alias("others"),
+        F.min(F.when(c("main"), F.struct((-c("code_area")).alias("a"), "code")))["code"].alias("main_code"),
+        F.sort_array(F.collect_set(F.when(~c("main"), component))).alias("others"),
+        F.when(F.size(stories) > 0, stories).alias("by_story"),
+        F.min(F.when(c("qc").isNotNull(), F.struct((-weights).alias("w"), (-c("quality_n")).alias("n"), "qc")))["qc"].alias("quality_code"),
+        F.min(F.when(c("cc").isNotNull(), F.struct((-c("condition_n")).alias("n"), (-rank).alias("w"), "cc")))["cc"].alias("condition_code"),
     )
-    joined = parcels.join(stories, KEY, "left").join(quality, KEY, "left").join(condition, KEY, "left")
+    # Rows without a parcel are one line without what was found per story, quality and condition.
+    joined = joined.withColumns({x: F.when(c(KEY).isNotNull(), c(x)) for x in ("by_story", "quality_code", "condition_code")})
     fallback = c("main_code").isNull()
     kept = F.when(fallback & (F.size("others") > 0), F.slice(c("others"), 2, F.greatest(F.size("others") - 1, F.lit(1)))).otherwise(c("others"))
     primary = F.coalesce(c("main_code"), F.try_element_at(c("others"), F.lit(1))["code"])

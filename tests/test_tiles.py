@@ -139,3 +139,28 @@ def test_near_shapes_by_tile(spark, shapes):
     assert "ArrowEvalPython" not in plan(found)
     want = {a for (a, _), d in brute(shapes, True).items() if d <= 0.3}
     assert {r["parcel_id"] for r in found.where("val").collect()} == want
+
+
+def test_display_rollup_reads_its_rows_once(spark):
+    rows = [
+        (1, 10, "MA", "MSA", "A", 100.0, "two story", 5.0, 1), (1, 11, "MA2", "MSG", "G", 50.0, "", 6.0, 2), (1, 11, "MA2", "MSG", "G", 50.0, "", 4.0, 3),
+        (1, 12, "SHED", "MSA", "A", 30.0, None, 1.0, 4), (1, None, "SHED", "ZZ", "U", 20.0, None, 1.0, 5), (1, 0, "SHED", "ZZ", "U", 10.0, None, 1.0, 6),
+        (1, 0, "SHED", "ZZ", "U", 10.0, None, 1.0, 6), (2, 13, "DECK", "MSA", "A", 7.0, None, 1.0, 7), (2, 14, "SHED", "MSA", "A", 9.0, None, 1.0, 8),
+    ]
+    names = "parcel_id long, improvement_id long, type_code string, class_code string, condition_code string, area double, building_style string, value double, detail_id long"
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(code):
+        asked.add(1)
+        return code
+
+    df = spark.createDataFrame(rows, names).withColumns({"year_built": F.lit(1990), "eff_year_built": F.lit(2000)})
+    read = df.withColumn("type_code", seen.asNondeterministic()("type_code"))
+    got = {r["parcel_id"]: r for r in ru.display_rollup(ru.dedupe_details(read)).collect()}
+    assert asked.value == len(rows)
+    one, two = got[1], got[2]
+    assert (one["main_sqft"], one["by_story"], one["primary_code"], one["style"]) == (150, {"1": 100, "2": 50}, "MA", "Two Story")
+    assert [(x["code"], x["count"], x["total_sqft"]) for x in one["components"]] == [("SHED", 4, 70)]
+    assert (two["main_sqft"], two["by_story"], two["primary_code"], two["quality_code"]) == (0, None, "SHED", None)
+    assert [(x["code"], x["count"], x["total_sqft"]) for x in two["components"]] == [("DECK", 1, 7)]
