@@ -39,7 +39,7 @@ def slices(sizes: np.ndarray, most: int = AT_ONCE) -> Iterator[slice]:
 
 
 def written(rings: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Shapes as bytes (number of rings, points of each, points; all as doubles), their bounds, first points and numbers of edges."""
+    """Shapes as bytes (number of rings, points of each, points; all as doubles), their bounds, first points and numbers of points."""
     first, n = rings.offsets.to_numpy().astype(np.int64), len(rings)
     held = rings.values
     point_at = held.offsets.to_numpy().astype(np.int64)
@@ -65,7 +65,7 @@ def written(rings: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarr
         box[ragged(k)[0][held.is_null().to_numpy(zero_copy_only=False)[first[0] : first[-1]]]] = np.nan
     offsets = np.concatenate([begin, [out.size]]) * 8
     blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-    return blob, box, corner, np.bincount(ragged(k)[0], np.maximum(size - 1, 0), n).astype(np.int64)
+    return blob, box, corner, points
 
 
 @dataclass
@@ -206,9 +206,13 @@ def _holds(s: Shapes, first: np.ndarray, count: np.ndarray, places: np.ndarray)
 
 
 def _ring_held(a: Shapes, pa_: np.ndarray, b: Shapes, pb: np.ndarray) -> np.ndarray:
-    """Does a part of b hold the first corner of a ring of a part of a?"""
+    """Does a part of b hold the first corner of a ring of a part of a? Of rings with missing coordinates all corners are asked."""
     owner, t = ragged(a.part_rings[pa_])
-    corner = a.edges[a.ring_first[a.part_ring[pa_][owner] + t], :2]
+    edge = a.ring_first[a.part_ring[pa_][owner] + t]
+    if (some := np.flatnonzero(a.unknown[a.part_row[pa_]])).size:
+        own, t = ragged(a.part_edges[pa_[some]])
+        owner, edge = np.concatenate([owner, some[own]]), np.concatenate([edge, a.part_first[pa_[some]][own] + t])
+    corner = a.edges[edge, :2]
     box = b.part_box[pb][owner]
     near = (corner >= box[:, :2]).all(axis=1) & (corner <= box[:, 2:]).all(axis=1)
     owner, corner = owner[near], corner[near]
@@ -354,7 +358,9 @@ def shared(a: Shapes, sign_a: np.ndarray, b: Shapes, sign_b: np.ndarray, u: np.n
             middle = np.where(cross, p0 + t * (p1 - p0), first)
             under = (hi - lo) * (t * (first + middle) + (1 - t) * (middle + last)) / 2
             total += np.bincount(own, sign_a[e] * sign_b[f] * under, len(x))
-        out[part] = np.maximum(total, 0.0)
+        box = a.part_box[x]
+        noise = 1e-15 * (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        out[part] = np.where(total > noise, total, 0.0)
     return out
 
 

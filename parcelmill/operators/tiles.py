@@ -23,11 +23,11 @@ from parcelmill.operators.pieces import MAX_CORNERS, cut_polygon
 from parcelmill.session import cut_lineage, stored
 
 c = F.col
-SHAPE, EDGES, WHOLE, PIECE, ROW = "__shape", "__edges", "__whole", "__piece", "__row"
+SHAPE, CORNERS, UNKNOWN, WHOLE, PIECE, ROW = "__shape", "__corners", "__unknown", "__whole", "__piece", "__row"
 #: Bounds and first point of a packed shape.
 PLACE = tuple(f"__{x}" for x in (*gr.BOX, "x", "y"))
-#: A polygon of more edges is cut into pieces of at most MAX_CORNERS.
-CUT_EDGES = 512
+#: A polygon of more corners is cut into pieces of at most MAX_CORNERS.
+CUT_CORNERS = 512
 #: Rows of a tile as the average row sees it, of a block of a crowded tile, and of a call.
 TILE_ROWS, BLOCK_ROWS, BUCKET_ROWS = 4096, 16_384, 16_384
 #: Bytes of shapes handed on at a time.
@@ -38,10 +38,10 @@ Judge = Callable[[flat.Shapes, flat.Shapes, pa.Table, pa.Table, Iterator[tuple[n
 
 
 def packed(df: DataFrame, rings: str = "rings") -> DataFrame:
-    """The table with its rings as bytes, a row number, bounds, first point and number of edges, stored; shapes without a place are left out."""
+    """The table with its rings as bytes, a row number, bounds, first point and number of points, stored; shapes without a place are left out."""
     others = [*[x for x in df.columns if x != rings], ROW]
     kept = df.withColumn(ROW, F.monotonically_increasing_id()).select(*others, rings)  # no filter, which would make shapes before they are dealt
-    extra = [T.StructField(SHAPE, T.BinaryType()), T.StructField(EDGES, T.LongType()), *[T.StructField(x, T.DoubleType()) for x in PLACE]]
+    extra = [T.StructField(SHAPE, T.BinaryType()), T.StructField(CORNERS, T.LongType()), T.StructField(UNKNOWN, T.BooleanType()), *[T.StructField(x, T.DoubleType()) for x in PLACE]]
     schema = T.StructType([*[kept.schema[x] for x in others], *extra])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +50,9 @@ def packed(df: DataFrame, rings: str = "rings") -> DataFrame:
             corners = np.diff(column.values.offsets.to_numpy()[column.offsets.to_numpy()])
             for part in flat.slices(corners, _BYTES // 16):
                 some = batch.slice(part.start, part.stop - part.start)
-                shapes, box, corner, edges = flat.written(some.column(some.num_columns - 1))
-                columns = [*some.columns[:-1], shapes, pa.array(edges), *[pa.array(x) for x in (*box.T.copy(), *corner.T.copy())]]
+                shapes, box, corner, points = flat.written(some.column(some.num_columns - 1))
+                missing = flat.read(shapes).unknown
+                columns = [*some.columns[:-1], shapes, pa.array(points), pa.array(missing), *[pa.array(x) for x in (*box.T.copy(), *corner.T.copy())]]
                 out = pa.RecordBatch.from_arrays(columns, schema.names)
                 known = ~np.isnan(box).any(axis=1)
                 yield out if known.all() else out.filter(pa.array(known))
@@ -64,11 +65,13 @@ def in_pieces(df: DataFrame, only: str | None = None) -> tuple[DataFrame, bool]:
 
     `only` names a column that tells which shapes may be cut.
     """
-    facts = df.agg(F.max(EDGES), F.count_if((c(EDGES) > CUT_EDGES) & (F.lit(True) if only is None else c(only)))).first()
+    # A large shape with missing coordinates is cut as well: its pieces are what is known of it.
+    large = ((c(CORNERS) > CUT_CORNERS) | ((c(CORNERS) > MAX_CORNERS) & c(UNKNOWN))) & (F.lit(True) if only is None else c(only))
+    large = F.coalesce(large, F.lit(False))
+    facts = df.agg(F.max(CORNERS), F.count_if(large)).first()
     named = df.withColumns({WHOLE: F.xxhash64(SHAPE), PIECE: F.lit(0)})
     if not facts[1]:
         return named, (facts[0] or 0) > MAX_CORNERS
-    large = F.coalesce((c(EDGES) > CUT_EDGES) & (F.lit(True) if only is None else c(only)), F.lit(False))
     at, names = df.columns.index(SHAPE), named.columns
     schema = T.StructType([named.schema[x] for x in names])
 
@@ -80,8 +83,8 @@ def in_pieces(df: DataFrame, only: str | None = None) -> tuple[DataFrame, bool]:
                     continue
                 point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
                 held = pa.array([[[{"x": x, "y": y} for x, y in r] for r in p] for p in rings], pa.list_(pa.list_(point)))
-                shapes, box, corner, edges = flat.written(held)
-                new = {SHAPE: shapes, EDGES: pa.array(edges), PIECE: pa.array(np.arange(len(rings)), pa.int32())}
+                shapes, box, corner, points = flat.written(held)
+                new = {SHAPE: shapes, CORNERS: pa.array(points), PIECE: pa.array(np.arange(len(rings)), pa.int32())}
                 new |= {x: pa.array(v) for x, v in zip(PLACE, (*box.T.copy(), *corner.T.copy()), strict=True)}
                 same = batch.slice(row, 1).take(pa.array(np.zeros(len(rings), np.int64)))
                 yield pa.RecordBatch.from_arrays([new.get(x, same.column(i)) for i, x in enumerate(names)], names)
@@ -99,7 +102,7 @@ def side(df: DataFrame, prefix: str, grow: float = 0.0) -> tuple[DataFrame, bool
 
 def named_side(pieces: DataFrame, prefix: str, grow: Column) -> DataFrame:
     boxes = {f"{prefix}{x}": c(f"__{x}") + (grow if x.endswith("1") else -grow) for x in gr.BOX}
-    return pieces.withColumns(boxes).withColumnsRenamed({x: f"{x}_{prefix}" for x in (SHAPE, WHOLE, PIECE)}).drop(EDGES, ROW, *PLACE)
+    return pieces.withColumns(boxes).withColumnsRenamed({x: f"{x}_{prefix}" for x in (SHAPE, WHOLE, PIECE)}).drop(CORNERS, UNKNOWN, ROW, *PLACE)
 
 
 def _tile(sides: Sequence[tuple[DataFrame, str]], cell: float) -> float:

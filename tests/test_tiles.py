@@ -164,3 +164,12 @@ def test_display_rollup_reads_its_rows_once(spark):
     assert [(x["code"], x["count"], x["total_sqft"]) for x in one["components"]] == [("SHED", 4, 70)]
     assert (two["main_sqft"], two["by_story"], two["primary_code"], two["quality_code"]) == (0, None, "SHED", None)
     assert [(x["code"], x["count"], x["total_sqft"]) for x in two["components"]] == [("DECK", 1, 7)]
+
+
+def test_touching_is_no_overlap_and_unknown_corners_are_cut(spark):
+    lot = table(spark, [(1, [box(1.3, 0.1, 0.07)])], "parcel_id")
+    zone = table(spark, [(9, [box(0.95, 0.1, 0.3)])], "zone_id")  # grown by 0.05 it ends where the lot begins
+    assert (ov.buffer_overlap_area(lot, zone, 0.05, 1.0).first()["val"] or 0.0) == 0.0
+    half = [[{"x": 0.1 * i if i < 40 else None, "y": 0.0} for i in range(80)]]
+    pieces, large = tl.in_pieces(tl.packed(spark.createDataFrame([(9, half)], f"zone_id long, rings {RINGS}")))
+    assert large and pieces.columns.count(tl.PIECE) == 1
